@@ -67,14 +67,15 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round every node points to its smallest neighbour or itself, pointers are followed once more, and edges are
     contracted to what they point at.  A node with many edges costs nothing extra: minima are combined before the
-    shuffle.  Edges shrink every round until none is left; nothing is collected.  Null ends are ignored.
+    shuffle.  Edges shrink every round until none is left; nothing is collected.  Null ends are ignored.  ``edges`` is
+    read more than once, so it should be a written table.
     """
     spark = edges.sparkSession
-    edges = durable(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct(), "edges")
+    edges = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     labels, number = None, 0
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = durable(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")).select(F.col("a").alias("id"), "p"), f"parents{number}")
+        parent = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")).select(F.col("a").alias("id"), "p")
         up = parent.select(F.col("id").alias("p"), F.col("p").alias("pp"))
         parent = durable(parent.join(up, "p").select("id", F.col("pp").alias("p")), f"parents{number}")
         at = lambda c: parent.select(F.col("id").alias(c), F.col("p").alias(f"{c}_p"))  # noqa: E731, B023

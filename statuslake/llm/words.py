@@ -74,28 +74,3 @@ def hash_words(vocabulary: pa.Array) -> np.ndarray:
     import xxhash
 
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in vocabulary.to_pylist()), np.uint64, len(vocabulary))
-
-
-def shingle_hashes(hashes: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct sorted 64-bit hashes of the k-word shingles of each text, and the offsets of the texts in them.
-
-    A text of fewer than ``k`` words, but not none, has one shingle: its whole sequence.
-    """
-    n = np.diff(offsets)
-    count = np.where(n >= k, n - k + 1, np.minimum(n, 1))
-    out = np.concatenate([[0], np.cumsum(count)])
-    owner = np.repeat(np.arange(len(n)), count)
-    first = np.arange(out[-1]) - np.repeat(out[:-1], count) + np.repeat(offsets[:-1], count)
-    value = np.zeros(len(first), np.uint64)
-    last = np.repeat(offsets[1:], count)
-    for i in range(k):
-        at = first + i
-        inside = at < last
-        word = hashes[np.where(inside, at, 0)] if len(hashes) else np.zeros(len(first), np.uint64)
-        value = np.where(inside, mix64(value * MIX + word), value)
-    order = np.lexsort((value, owner))
-    value, owner = value[order], owner[order]
-    keep = np.ones(len(value), bool)
-    keep[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
-    value, owner = value[keep], owner[keep]
-    return value, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(n)))]).astype(np.int64)
