@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, sharding, token_files
+from . import bpe, ctw, decontaminate, minhash, sharding, token_files
 from .cluster import documents, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,15 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), shingle=2, percent=80)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.hits(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op6_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(documents(spark, sf_dir))
+
+
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law ``bytes``: 8 shards of nearly equal bytes, equal texts together."""
     out = sharding.assign(documents(spark, sf_dir), 8)
@@ -41,5 +50,5 @@ def shipped(query: Query) -> Query:
     return run
 
 
-QUERIES: dict[str, Query] = {f.__name__: shipped(f) for f in (op1_token_files, op4_minhash, op7_shards, op9_bpe)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: shipped(f) for f in (op1_token_files, op4_minhash, op5_decontaminate, op6_ctw, op7_shards, op9_bpe)}
+ORACLE_SQL: dict[str, str] = {"op5_decontaminate": decontaminate.ORACLE}
