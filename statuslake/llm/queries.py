@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, decontaminate, minhash, sharding, token_files
+from . import bpe, ctw, decontaminate, minhash, pii, sharding, token_files
 from .cluster import documents, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(documents(spark, sf_dir))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.anonymise(documents(spark, sf_dir)).select("doc_id", "text", "n_entities")
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), shingle=2, percent=80)
 
@@ -50,5 +54,5 @@ def shipped(query: Query) -> Query:
     return run
 
 
-QUERIES: dict[str, Query] = {f.__name__: shipped(f) for f in (op1_token_files, op4_minhash, op5_decontaminate, op6_ctw, op7_shards, op9_bpe)}
+QUERIES: dict[str, Query] = {f.__name__: shipped(f) for f in (op1_token_files, op3_pii, op4_minhash, op5_decontaminate, op6_ctw, op7_shards, op9_bpe)}
 ORACLE_SQL: dict[str, str] = {"op5_decontaminate": decontaminate.ORACLE}
