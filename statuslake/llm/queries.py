@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, decontaminate, minhash, pii, sharding, token_files
+from . import bpe, ctw, decontaminate, minhash, pii, sharding, token_files, vectors
 from .cluster import documents, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,10 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.95)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir))
 
@@ -54,5 +58,5 @@ def shipped(query: Query) -> Query:
     return run
 
 
-QUERIES: dict[str, Query] = {f.__name__: shipped(f) for f in (op1_token_files, op3_pii, op4_minhash, op5_decontaminate, op6_ctw, op7_shards, op9_bpe)}
+QUERIES: dict[str, Query] = {f.__name__: shipped(f) for f in (op1_token_files, op3_pii, op4_minhash, op5_decontaminate, op6_ctw, op7_shards, op8_vectors, op9_bpe)}
 ORACLE_SQL: dict[str, str] = {"op5_decontaminate": decontaminate.ORACLE}
