@@ -30,7 +30,12 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = SL
 
 
 def whole_texts(column: pa.Array) -> pa.Array:
-    """Null becomes the empty text; offsets are 64 bits wide."""
+    """Null becomes the empty text; offsets are 64 bits wide.
+
+    A slice is copied first: Arrow's string kernels read slices of wide strings from the wrong place.
+    """
+    if column.offset:
+        column = column.take(pa.array(np.arange(len(column))))
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
