@@ -16,6 +16,7 @@ import hashlib
 import json
 import string
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from .words import split_words, text_slices
 
 TOKENIZER = "word_bpe_49k.json"
 #: Finished words that a task keeps; the cache is emptied when it is full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 SPACE = "\t-\r \u0085   -     　"
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
 
@@ -203,16 +204,16 @@ def encode(docs: DataFrame, id_column: str = "doc_id", path: str | None = None)
 
 @functools.cache
 def word_ids(path: str) -> WordCache:
-    return WordCache(lambda words: [np.array(x, np.int32) for x in merges(path).encode_words(words)])
+    return WordCache(lambda words: [array("i", x).tobytes() for x in merges(path).encode_words(words)])
 
 
 def slice_ids(column: pa.Array, cache: WordCache, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts of a slice in one array, and the texts' offsets in it."""
     vocabulary, codes, offsets = split_words(column, lower=lower)
-    lists = cache(vocabulary.to_pylist())
-    size = np.array([len(x) for x in lists], np.int64)
+    lists = cache(vocabulary.to_pylist())  # 4 bytes for each id
+    size = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
     start = np.concatenate([[0], np.cumsum(size)])
-    flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
+    flat = np.frombuffer(b"".join(lists), np.int32)
     n = size[codes]
     ends = np.concatenate([[0], np.cumsum(n)])
     at = np.arange(ends[-1]) + np.repeat(start[codes] - ends[:-1], n)

@@ -13,7 +13,9 @@ first and equal ids are ordered by text.  A document longer than a chunk makes a
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +24,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import PUNCTUATION, WordCache, slice_ids, tokenizer_path
+from .bpe import PUNCTUATION, WordCache, byte_letters, lower_each, slice_ids, tokenizer_path
 from .cluster import shared_dir
 from .words import text_slices
 
 BLOCK = 1 << 16
 #: Ids after which a chunk is closed.
 CHUNK = 1 << 20
+BYTE_LETTERS = dict(enumerate(byte_letters()))
 #: Bytes of text for each file.
 FILE_BYTES = 48 << 20
 CHUNK_SCHEMA = "file int, chunk int, doc_ids array<bigint>, sizes array<bigint>, n_ids bigint, planes string, blocks array<struct<n: int, planes: array<binary>>>"
@@ -68,19 +71,34 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        self.pieces = WordCache(lambda pieces: [[t.id for t in self.model.tokenize(p)] for p in pieces])
+        self.pieces = WordCache(lambda pieces: [array("i", [t.id for t in self.model.tokenize(p)]).tobytes() for p in pieces])
         self.cache = WordCache(self.encode)
 
-    def encode(self, words: list[str]) -> list[np.ndarray]:
-        cut: list[list[str] | None] = []
+    def encode(self, words: list[str]) -> list[bytes]:
+        cores, tails = [], []
         for word in words:
-            core = word.rstrip(PUNCTUATION) if word.isascii() else ""
-            cut.append(([core.lower()] if len(core) == len(word) else [core.lower(), word[len(core) :]]) if core.isalpha() else None)
-        pieces = list({p for ps in cut if ps for p in ps})
-        ids = dict(zip(pieces, self.pieces(pieces), strict=True))
-        others = [w for w, ps in zip(words, cut, strict=True) if ps is None]
-        whole = iter(self.tokenizer.encode_batch_fast(others, add_special_tokens=False))
-        return [np.array(next(whole).ids if ps is None else [i for p in ps for i in ids[p]], np.int32) for ps in cut]
+            core = word.rstrip(PUNCTUATION)
+            size = len(core)
+            if core.isalpha():
+                core = core.lower() if core.isascii() else self.letters_of(core)
+            else:
+                core = ""
+            cores.append(core)
+            tails.append(word[size:] if core else word)
+        ids = self.pieces
+        own = ids([c for c in cores if c])
+        behind = ids([t for c, t in zip(cores, tails, strict=True) if c and t])
+        whole = self.tokenizer.encode_batch_fast([t for c, t in zip(cores, tails, strict=True) if not c], add_special_tokens=False)
+        own, behind, whole = iter(own), iter(behind), iter(whole)
+        return [next(own) + next(behind) if c and t else next(own) if c else array("i", next(whole).ids).tobytes() for c, t in zip(cores, tails, strict=True)]
+
+    @staticmethod
+    def letters_of(core: str) -> str:
+        """A word of letters, lower-cased, in the vocabulary's characters for its bytes; empty if that isn't certain."""
+        if not unicodedata.is_normalized("NFC", core):
+            return ""
+        core = lower_each(core)
+        return core.encode().decode("latin-1").translate(BYTE_LETTERS) if core.isalpha() else ""
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return slice_ids(column, self.cache)
