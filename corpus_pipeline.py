@@ -1,21 +1,56 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
+
+Every stage sees all rows that its predecessor kept and returns the columns of ``documents``; the last returns token
+ids.  Rows with a null doc_id pass the classifier and decontamination as any other and are never dropped as duplicates.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from statuslake.llm import bpe
+from statuslake.llm import bpe, cotraining, decontaminate, minhash, pii
 from statuslake.llm.cluster import documents, durable, ship
 
+#: A document stays if it is this likely to be good; below one half, so that clean documents stay.
+QUALITY_THRESHOLD = 0.3
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier doesn't reject."""
+    ship(spark)
+    model = cotraining.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return cotraining.score(docs, model, QUALITY_THRESHOLD).where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates on five-word shingles at a similarity of 0.8: the smallest id."""
+    ship(spark)
+    found = minhash.near_duplicates(docs, shingle=5, percent=80)
+    gone = found.where("NOT kept").select("doc_id").distinct()
+    # rows that repeat a kept document's id are copies of it or other texts under its id: one row stays
+    return docs.join(gone, "doc_id", "left_anti").where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of ten benchmark words occurs."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
+
+
+def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by surrogates, lengths brought up to date."""
+    out = pii.anonymise(docs).drop("n_entities")
+    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(dict(docs.dtypes)["n_chars"])))
+
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids of each whole text."""
     ship(spark)
     return bpe.encode(docs)
 
 
-STAGES = [("bpe_encoding", encode)]
-#: The stages hash, sample and fit models: no SQL form. Tests hold the rows against brute force.
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontaminated), ("surrogates", surrogates), ("bpe_encoding", encoding)]
+#: The stages fit a model, hash and draw surrogates: no SQL form. Tests hold the rows against brute force.
 ORACLE_SQL = None
 
 
