@@ -46,7 +46,8 @@ def whole_days(earlier: Column, later: Column) -> Column:
 
 def age_days(earlier: Column, later: Column, missing: float = -1.0) -> Column:
     """``whole_days`` not below zero; ``missing`` where there is no date."""
-    return F.coalesce(F.greatest(whole_days(earlier, later), F.lit(0)).cast("double"), F.lit(missing))
+    days = whole_days(earlier, later)
+    return F.when(days.isNull(), F.lit(missing)).otherwise(F.greatest(days, F.lit(0)).cast("double"))
 
 
 def years(earlier: Column, later: Column) -> Column:

@@ -166,7 +166,7 @@ def bucket_agreement(df: DataFrame, score: str, edges: list[float], agree: Colum
 
 
 def match_pivot(df: DataFrame, label: str, kind: str, kinds: list[str]) -> DataFrame:
-    return df.groupBy(label).pivot(kind, kinds).agg(F.count("*")).na.fill(0)
+    return df.groupBy(label).pivot(kind, kinds).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def null_tally(df: DataFrame, column: str) -> DataFrame:
