@@ -12,7 +12,7 @@ weights of fixed size.
 
 Defined results: null text counts as empty and has metadata only; null language or source is a value of its own;
 a document without any labelled data gets the share of good labels, or 1 where there are no labels, and is kept then;
-repeated rows each get the same score; labels that are null are not used; an empty table gives an empty table; other
+repeated rows each get the same score; score columns of the input are replaced; labels that are null are not used; an empty table gives an empty table; other
 columns are not read.
 """
 
@@ -194,6 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = 4, share: float = 0.05
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """``docs`` with text_score, meta_score, quality_score (probabilities) and kept."""
     names = ["text_score", "meta_score", "quality_score"]
+    docs = docs.drop(*names, "kept")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

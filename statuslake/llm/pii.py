@@ -14,7 +14,7 @@ surrogates everywhere, different values different ones.
 
 Only rows with an entity are joined; their texts are shuffled, all others pass straight through.  Defined results:
 null stays null, empty stays empty; repeated rows get the same text; an empty table gives an empty table; all other
-columns are kept as they are.
+columns are kept as they are, but for an ``n_entities`` of the input, which is replaced.
 """
 
 from __future__ import annotations
@@ -170,6 +170,7 @@ def replacements(entities: DataFrame, key: str) -> DataFrame:
 
 def anonymise(docs: DataFrame, key: str = "statuslake", text: str = "text") -> DataFrame:
     """``docs`` with surrogates in ``text``, and ``n_entities``: how many occurrences were replaced."""
+    docs = docs.drop("n_entities")
     found = F.when(F.col(text).rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), 0)).otherwise(F.array().cast("array<string>"))
     marked = docs.withColumn("statuslake_found", F.coalesce(found, F.array().cast("array<string>")))
     own_id = F.xxhash64(*[c for c, t in docs.dtypes if not t.startswith("map")])

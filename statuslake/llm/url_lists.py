@@ -11,7 +11,8 @@ a hot host.
 
 Defined results: a null or unreadable URL has no host and is not blocked, nor is a capture without a time; events with
 a null domain, time or action are ignored; of events at the same instant ``remove`` wins; repeated captures each keep a
-row; without events nothing is blocked; all columns of the captures stay.
+row; without events nothing is blocked; all columns of the captures stay, but for those
+named as a result column.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ def intervals(events: DataFrame) -> DataFrame:
 
 def evaluate(captures: DataFrame, events: DataFrame, url: str = "url", at: str = "fetched_at") -> DataFrame:
     """``captures`` with host, blocked, and the matched domain (the longest), its list and since when it is listed."""
+    captures = captures.drop("host", "blocked", "listed_domain", "list", "since")
     held = intervals(events)
     if held.count() <= BROADCAST_INTERVALS:
         held = F.broadcast(held)
@@ -48,9 +50,9 @@ def evaluate(captures: DataFrame, events: DataFrame, url: str = "url", at: str =
     parents = F.expr("transform(sequence(1, size(labels)), i -> array_join(slice(labels, i, size(labels)), '.'))")
     each = asked.withColumn("labels", labels).select("host", "time", F.explode(parents).alias("domain"))
     met = each.join(held, "domain").where("since <= time AND (until IS NULL OR time < until)")
-    best = met.groupBy("host", "time").agg(F.max_by(F.struct("domain", "list", "since"), F.struct(F.length("domain"), "list")).alias("m")).withColumnRenamed("host", "statuslake_host")
-    out = named.join(best, (named["host"] == best["statuslake_host"]) & (named[at] == best["time"]), "left")
-    return out.select(*captures.columns, "host", F.col("m").isNotNull().alias("blocked"), F.col("m.domain").alias("listed_domain"), F.col("m.list").alias("list"), F.col("m.since").alias("since"))
+    best = met.groupBy("host", "time").agg(F.max_by(F.struct("domain", "list", "since"), F.struct(F.length("domain"), "list")).alias("statuslake_m")).withColumnsRenamed({"host": "statuslake_host", "time": "statuslake_time"})
+    out = named.join(best, (named["host"] == best["statuslake_host"]) & (named[at] == best["statuslake_time"]), "left")
+    return out.select(*captures.columns, "host", F.col("statuslake_m").isNotNull().alias("blocked"), F.col("statuslake_m.domain").alias("listed_domain"), F.col("statuslake_m.list").alias("list"), F.col("statuslake_m.since").alias("since"))
 
 
 def page_captures(pages: DataFrame) -> DataFrame:
