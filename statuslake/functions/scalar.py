@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -126,11 +127,25 @@ def half_even(c: Column, scale: int = 0) -> Column:
     return F.bround(c, scale)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, evaluated once: a lambda over an array of one element binds it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(scores: Column, temperature: float = 1.0) -> Column:
     """Softmax of an array, its maximum taken away first."""
-    top = F.array_max(scores)
-    e = F.transform(scores, lambda x: F.exp((x - top) / temperature))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+
+    def shares(pair: Column) -> Column:
+        return F.transform(pair["e"], lambda x: x / pair["sum"])
+
+    def exponentials(bound: Column) -> Column:
+        return F.transform(bound["s"], lambda x: F.exp((x - bound["top"]) / temperature))
+
+    def summed(e: Column) -> Column:
+        return F.struct(e.alias("e"), F.aggregate(e, F.lit(0.0), lambda a, y: a + y).alias("sum"))
+
+    topped = let(scores, lambda s: F.struct(s.alias("s"), F.array_max(s).alias("top")))
+    return let(let(let(topped, exponentials), summed), shares)
 
 
 def is_present(c: Column) -> Column:
