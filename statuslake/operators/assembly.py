@@ -69,11 +69,12 @@ def target_encode_folds(train: DataFrame, category: str, label: str, key: str, f
 
 
 def one_hot(rows: DataFrame, index: str = "index", size: int = 300) -> DataFrame:
-    """Adds the sparse vector of the index; unknown ones and those beyond the cap are all zeros."""
+    """Adds category_vec, the indicator vector of the index; unknown ones and those beyond the cap are all zeros."""
+    from pyspark.ml.feature import VectorSizeHint
     from pyspark.ml.functions import array_to_vector
 
     hot = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (i == F.col(index)).cast("double"))
-    return rows.withColumn("category_vec", array_to_vector(hot))
+    return VectorSizeHint(inputCol="category_vec", size=size, handleInvalid="optimistic").transform(rows.withColumn("category_vec", array_to_vector(hot)))
 
 
 def balanced_weights(train: DataFrame, label: str) -> DataFrame:
