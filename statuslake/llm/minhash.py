@@ -6,9 +6,12 @@ table key joins one sub-key of either collection, which gives ``m * m`` tables o
 2 * 0.36**8 < 0.0006.  Every link is confirmed on the full shingle sets.
 
 Equal sets meet first: they form a class that its smallest id stands for.  In the tables a document is compared with
-its smallest companion; then, round by round, only documents of one bucket that are still in different components are
-compared, so a bucket of thousands of copies costs one comparison a document, and in the end no pair of a bucket is
-left unexamined whose documents are not already connected.
+its smallest companion; then, in buckets that still hold several components, with a member of the smallest one; so a
+bucket of thousands of copies costs a comparison a document.  In the end all pairs of a bucket that are still in
+different components are examined, none is left out.
+
+Before sets are fetched, bitmaps rule pairs out: every item sets one of 1,024 bits, so bits that differ prove items that
+differ, and a pair with more of them than its similarity allows can't be a link.  That test never dismisses a link.
 
 Sets hold 50-bit hashes of shingles.  Defined results: null, empty and blank texts have an empty set and are linked
 with nothing; a text of fewer words than a shingle has one, the whole sequence; rows with a null id are returned with a
@@ -29,6 +32,10 @@ from .cluster import components, durable
 from .words import MIX, hash_words, mix64, split_words, text_slices
 
 VALUE_BITS = 50
+#: 64-bit words of a bitmap.
+BITMAP = 16
+#: Ids that are broadcast to fetch their texts, 16 bytes each; beyond that the texts are shuffled.
+BROADCAST_IDS = 1_000_000
 MAX_DOCS = 1 << (64 - VALUE_BITS)
 
 
@@ -80,7 +87,7 @@ def sub_keys(values: np.ndarray, starts: np.ndarray, m: int, t: int) -> np.ndarr
 
 
 def signatures(docs: DataFrame, k: int, m: int, t: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit name of the set, and the sub-keys (null where the set is empty)."""
+    """doc_id, n_shingles, a 128-bit name of the set, the sub-keys (none where the set is empty) and the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,10 +103,14 @@ def signatures(docs: DataFrame, k: int, m: int, t: int) -> DataFrame:
                     name[full, 1] = np.add.reduceat(mix64(values ^ MIX), starts).view(np.int64)
                     keys[full] = sub_keys(values, starts, m, t)
                 wide = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * 2 * m)]), pa.int32()), pa.array(keys[full].reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(name[:, 0]), pa.array(name[:, 1]), wide], ["doc_id", "n_shingles", "s0", "s1", "keys"])
+                bits = np.zeros(part.num_rows * BITMAP * 64, bool)
+                bits[np.repeat(np.arange(part.num_rows), n) * (BITMAP * 64) + (values % np.uint64(BITMAP * 64)).astype(np.int64)] = True
+                bitmap = np.packbits(bits).view(np.int64)
+                maps = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * BITMAP, pa.int32()), pa.array(bitmap))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(name[:, 0]), pa.array(name[:, 1]), wide, maps], ["doc_id", "n_shingles", "s0", "s1", "keys", "bitmap"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, s0 bigint, s1 bigint, keys array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, s0 bigint, s1 bigint, keys array<bigint>, bitmap array<bigint>")
 
 
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
@@ -115,13 +126,21 @@ def sets_of(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"id {kind}, items array<bigint>")
 
 
+def plausible(percent: int) -> str:
+    """Whether sets a and b may be similar enough, from sizes (na, nb) and bitmaps (a0, b0, ...)."""
+    differ = " + ".join(f"bit_count(a{i} ^ b{i})" for i in range(BITMAP))
+    # similarity s allows a symmetric difference of (1 - s) / (1 + s) of both sizes together
+    return f"100 * least(na, nb) >= {percent} * greatest(na, nb) AND {100 + percent} * ({differ}) <= {100 - percent} * (na + nb)"
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those pairs (a, b) whose full sets have 100 * intersection >= percent * union.
 
     Only documents of a pair have their sets built.  A document in many pairs is a skewed join key, which adaptive
     execution splits.
     """
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    wanted = durable(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     sets = durable(sets_of(docs.join(wanted, "doc_id", "left_semi"), k), "sets")
     side = lambda c, items: sets.select(F.col("id").alias(c), F.col("items").alias(items))
     both = pairs.join(side("b", "items_b"), "b").join(side("a", "items_a"), "a")
@@ -129,38 +148,49 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return both.where(100 * common >= percent * (F.size("items_a") + F.size("items_b") - common)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, m: int = 8, t: int = 2, hub_rounds: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept, one row for each row of ``docs``."""
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, m: int = 8, t: int = 2, rounds: int = 1) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept, one row for each row of ``docs``.
+
+    ``rounds`` is how often members of open buckets meet one of the smallest component before all pairs left are taken.
+    """
     docs = docs.select("doc_id", "text")
     signed = durable(signatures(docs, shingle, m, t), "signatures")
     known = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = known.groupBy("s0", "s1", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    copies = known.join(classes, ["s0", "s1", "n_shingles"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    reps = known.join(classes.select("s0", "s1", "n_shingles", F.col("rep").alias("doc_id")), ["s0", "s1", "n_shingles", "doc_id"], "left_semi")
-    table = F.posexplode(F.expr(f"flatten(transform(slice(keys, 1, {m}), x -> transform(slice(keys, {m + 1}, {m}), y -> struct(x, y))))")).alias("table", "pair")
-    rows = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), table).select("id", "n", F.xxhash64("table", "pair.x", "pair.y").alias("key"))
+    copies = known.select("doc_id", "s0", "s1", "n_shingles").join(classes, ["s0", "s1", "n_shingles"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    reps = durable(known.join(classes.select("s0", "s1", "n_shingles", F.col("rep").alias("doc_id")), ["s0", "s1", "n_shingles", "doc_id"], "left_semi").drop("s0", "s1"), "representatives")
+    table = F.posexplode(F.expr(f"flatten(transform(slice(keys, 1, {m}), x -> transform(slice(keys, {m + 1}, {m}), y -> xxhash64(x, y))))")).alias("table", "pair")
+    rows = reps.select(F.col("doc_id").alias("id"), table).select("id", F.xxhash64("table", "pair").alias("key"))
     shared = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", F.col("low").alias("hub"))
     buckets = durable(rows.join(shared, "key"), "buckets")
 
-    # first each document with its smallest companion
-    first = buckets.where("id <> hub").groupBy("id").agg(F.min("hub").alias("a")).select("a", F.col("id").alias("b"))
-    links = durable(confirmed(first, docs, shingle, percent), "links")
-    tested = durable(first, "tested")
-    for number in range(1, hub_rounds + 1):
+    def sketch(c: str) -> DataFrame:
+        """Size and bitmap of each representative under the names of side ``c``."""
+        return reps.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), *[F.col("bitmap")[i].alias(f"{c}{i}") for i in range(BITMAP)])
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        likely = pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(plausible(percent)).select("a", "b")
+        return confirmed(durable(likely, "likely"), docs, shingle, percent)
+
+    def opened(links: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
+        """Bucket rows with their component, and a member of the smallest component of buckets that hold several."""
         labels = components(links).select("id", F.col("component").alias("c"))
-        named = buckets.select("id", "n", "key").join(labels, "id", "left").withColumn("c", F.coalesce("c", "id"))
-        open_keys = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by(F.struct("id", "n", "c"), F.xxhash64("id", F.lit(number))).alias("hub")).where("low <> high")
-        other = named.join(open_keys.select("key", "hub"), "key") if number < hub_rounds else named.join(open_keys.select("key"), "key", "left_semi")
-        if number < hub_rounds:
-            pairs = other.where("c <> hub.c").select("id", "n", F.col("hub.id").alias("id2"), F.col("hub.n").alias("n2"))
-        else:  # all that is left
-            mate = other.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-            pairs = other.join(mate, "key").where("c < c2")
-        pairs = pairs.where(f"100 * least(n, n2) >= {percent} * greatest(n, n2)").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-        pairs = durable(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            links = durable(links.union(confirmed(pairs, docs, shingle, percent)), "links")
-            tested = durable(tested.union(pairs), "tested")
+        named = buckets.select("id", "key").join(labels, "id", "left").withColumn("c", F.coalesce("c", "id"))
+        ends = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by("id", F.struct("c", F.xxhash64("id", "key", F.lit(number)))).alias("mate"))
+        return named, ends.where("low <> high")
+
+    pair = [F.least("id", "mate").alias("a"), F.greatest("id", "mate").alias("b")]
+    first = buckets.where("id <> hub").groupBy("id").agg(F.min("hub").alias("mate")).select(*pair)
+    links = durable(linked(first), "links")
+    for number in range(rounds):
+        named, ends = opened(links, number)
+        pairs = named.join(ends.select("key", "low", "mate"), "key").where("c <> low").select(*pair).distinct()
+        links = durable(links.union(linked(pairs)), "links")
+    named, ends = opened(links, rounds)
+    left = durable(named.join(ends.select("key"), "key", "left_semi"), "open")
+    side = lambda c: left.select(F.col("id").alias(c), "key", F.col("c").alias(f"c{c}")).join(sketch(c), c)
+    pairs = side("a").join(side("b"), "key").where(f"ca < cb AND {plausible(percent)}").select("a", "b").distinct()
+    links = durable(links.union(confirmed(durable(pairs, "pairs"), docs, shingle, percent)), "links")
     found = components(durable(links.union(copies), "edges")).select(F.col("id").alias("doc_id"), F.col("component").alias("component_id"))
     out = signed.select("doc_id", "n_shingles").join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
