@@ -160,13 +160,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, m: int
     copies = known.select("doc_id", "s0", "s1", "n_shingles").join(classes, ["s0", "s1", "n_shingles"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     reps = durable(known.join(classes.select("s0", "s1", "n_shingles", F.col("rep").alias("doc_id")), ["s0", "s1", "n_shingles", "doc_id"], "left_semi").drop("s0", "s1"), "representatives")
     table = F.posexplode(F.expr(f"flatten(transform(slice(keys, 1, {m}), x -> transform(slice(keys, {m + 1}, {m}), y -> xxhash64(x, y))))")).alias("table", "pair")
-    rows = reps.select(F.col("doc_id").alias("id"), table).select("id", F.xxhash64("table", "pair").alias("key"))
+    rows = reps.select(F.col("doc_id").alias("id"), table).select("id", "table", F.xxhash64("table", "pair").alias("key"))
     shared = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", F.col("low").alias("hub"))
     buckets = durable(rows.join(shared, "key"), "buckets")
 
-    def sketch(c: str) -> DataFrame:
-        """Size and bitmap of each representative under the names of side ``c``."""
-        return reps.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), *[F.col("bitmap")[i].alias(f"{c}{i}") for i in range(BITMAP)])
+    def sketch(c: str, keys: bool = False) -> DataFrame:
+        """Size and bitmap of each representative under the names of side ``c``, and its sub-keys if asked for."""
+        wide = [F.col("keys")[i].alias(f"{c}k{i}") for i in range(2 * m)] if keys else []
+        return reps.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), *[F.col("bitmap")[i].alias(f"{c}{i}") for i in range(BITMAP)], *wide)
 
     def linked(pairs: DataFrame) -> DataFrame:
         likely = pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(plausible(percent)).select("a", "b")
@@ -175,7 +176,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, m: int
     def opened(links: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
         """Bucket rows with their component, and a member of the smallest component of buckets that hold several."""
         labels = components(links).select("id", F.col("component").alias("c"))
-        named = buckets.select("id", "key").join(labels, "id", "left").withColumn("c", F.coalesce("c", "id"))
+        named = buckets.select("id", "table", "key").join(labels, "id", "left").withColumn("c", F.coalesce("c", "id"))
         ends = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by("id", F.struct("c", F.xxhash64("id", "key", F.lit(number)))).alias("mate"))
         return named, ends.where("low <> high")
 
@@ -188,8 +189,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, m: int
         links = durable(links.union(linked(pairs)), "links")
     named, ends = opened(links, rounds)
     left = durable(named.join(ends.select("key"), "key", "left_semi"), "open")
-    side = lambda c: left.select(F.col("id").alias(c), "key", F.col("c").alias(f"c{c}")).join(sketch(c), c)
-    pairs = side("a").join(side("b"), "key").where(f"ca < cb AND {plausible(percent)}").select("a", "b").distinct()
+    # a pair is taken in the first table it shares, so it comes up once
+    same = [" ".join(f"WHEN ak{i} = bk{i} THEN {i - low}" for i in range(low, low + m)) for low in (0, m)]
+    once = f"tablea = {m} * (CASE {same[0]} END) + (CASE {same[1]} END)"
+
+    def side(c: str) -> DataFrame:
+        return left.select(F.col("id").alias(c), "key", F.col("table").alias(f"table{c}"), F.col("c").alias(f"c{c}")).join(sketch(c, keys=True), c)
+
+    pairs = side("a").join(side("b"), "key").where(f"ca < cb AND {once} AND {plausible(percent)}").select("a", "b").distinct()
     links = durable(links.union(confirmed(durable(pairs, "pairs"), docs, shingle, percent)), "links")
     found = components(durable(links.union(copies), "edges")).select(F.col("id").alias("doc_id"), F.col("component").alias("component_id"))
     out = signed.select("doc_id", "n_shingles").join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
