@@ -6,16 +6,17 @@ and mixes that, half and half, with the product of its children: the weighting o
 Trained on a corpus and then frozen, the mixture turns into one probability for each node, and a text's code length is
 the sum over its bits at the deepest node that matches.
 
-Counting covers the whole training text: grams of ``depth + 1`` bytes are counted in tasks, summed by key and turned
-into node counts.  A node is in the tree if it holds at least ``1 / nodes`` of all training bits, so every depth has at
-most ``nodes`` nodes whatever the corpus: that bound makes the model small enough for the driver and for every task.
-The bits of a node that no child holds meet in one further child, the rest.
+Counting covers the whole training text: grams of ``depth + 1`` bytes are counted in tasks and summed by key.  Every
+context seen is in the tree.  Nodes of up to ``TOP`` context bytes, a number that the alphabet bounds, are weighted on the
+driver.  Deeper nodes are dealt out by their last ``TOP + 1`` context bytes: one pass sums the log weights of such
+subtrees for the driver, a second one turns each gram of the corpus into its log probability.
 
 A text is the byte 0 ``depth`` times (not scored), its UTF-8 bytes with A-Z lower-cased, and the byte 255, which UTF-8
 never uses, as its end; so probabilities of texts sum to one.
 
-The base model counts words: its counts are joined to the words of bounded blocks of documents, and a block's counts
-meet its texts again in a co-group; nothing about words is broadcast.
+The base model counts words.  Word counts and gram probabilities meet the distinct words and grams of bounded blocks of
+documents part by part, both sides dealt by key, and a block's values meet its texts again in a co-group; neither is
+broadcast.
 
 Defined results: null counts as the empty text, whose only token is the end; equal texts get equal scores; an empty
 table gives an empty table; without training documents every bit has probability one half; columns other than doc_id
@@ -38,7 +39,10 @@ from pyspark.sql import functions as F
 from .cluster import durable
 from .words import hash_words, split_words, text_slices, whole_texts
 
-NODES = 1 << 21
+#: Bytes of context that the driver's part of the tree has at most.
+TOP = 2
+#: Grams that a task weights at once, or one group of equal last ``TOP + 1`` context bytes if it is larger.
+PIECE_GRAMS = 1 << 17
 BLOCK_BYTES = 32 << 20
 LEAST_BLOCKS = 32
 GRAM_SLICE = 2 << 20
@@ -100,7 +104,7 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 
 
 def corpus_counts(docs: DataFrame, depth: int) -> DataFrame:
-    """(key, n) of all grams, words and ends of the training documents."""
+    """(key, n) of all grams, and of the words and ends of the training documents; n counts training documents only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, held = [], [], 0
@@ -110,44 +114,29 @@ def corpus_counts(docs: DataFrame, depth: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c.astype(np.int64))], ["key", "n"])
 
         for batch in batches:
-            batch = batch.filter(pa.array(training(batch.column(0).to_pylist())))
-            for part in text_slices(batch):
-                vocabulary, codes, _ = split_words(part.column("text"))
-                found = [(hash_words(vocabulary) | WORD, np.bincount(codes, minlength=len(vocabulary))), (np.array([END_TOKEN], np.uint64), np.array([part.num_rows]))]
-                found += [counted(grams(piece.column("text"), depth)[0]) for piece in text_slices(part, max_bytes=GRAM_SLICE)]
-                k, c = summed(*map(list, zip(*found, strict=True)))
-                keys.append(k)
-                counts.append(c)
-                held += len(k)
-                if held > TASK_KEYS:
-                    k, c = summed(keys, counts)
-                    keys, counts, held = [k], [c], len(k)
-                    if held > TASK_KEYS // 2:
-                        yield out()
-                        keys, counts, held = [], [], 0
+            own = training(batch.column(0).to_pylist())
+            for use in (True, False):
+                for part in text_slices(batch.filter(pa.array(own == use))):
+                    found = [counted(grams(piece.column("text"), depth)[0]) for piece in text_slices(part, max_bytes=GRAM_SLICE)]
+                    if use:
+                        vocabulary, codes, _ = split_words(part.column("text"))
+                        found += [(hash_words(vocabulary) | WORD, np.bincount(codes, minlength=len(vocabulary))), (np.array([END_TOKEN], np.uint64), np.array([part.num_rows]))]
+                    k, c = summed(*map(list, zip(*found, strict=True)))
+                    keys.append(k)
+                    counts.append(c * use)
+                    held += len(k)
+                    if held > TASK_KEYS:
+                        k, c = summed(keys, counts)
+                        keys, counts, held = [k], [c], len(k)
+                        if held > TASK_KEYS // 2:
+                            yield out()
+                            keys, counts, held = [], [], 0
         if keys:
             yield out()
 
     return docs.select("doc_id", "text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def node_counts(counts: DataFrame, depth: int, nodes: int) -> list:
-    """(d, ctx, node, n0, n1) of the nodes that hold at least 1 / ``nodes`` of all bits; at most ``nodes`` a depth."""
-    gram = counts.where(f"key >= 0 AND key < {1 << (8 * depth + 8)}")
-    total = gram.agg(F.sum("n")).first()[0] or 0
-    least = max(1, -(-8 * total // nodes))
-    bits = F.explode(F.array(*[F.struct(F.expr(f"{1 << i} | shiftright(byte, {8 - i})").alias("node"), F.expr(f"shiftright(byte, {7 - i}) & 1").alias("bit")) for i in range(8)])).alias("b")
-    deep = gram.select(F.expr("shiftright(key, 8)").alias("ctx"), F.expr("CAST(key & 255 AS INT)").alias("byte"), "n").select("ctx", "n", bits)
-    ones, noughts = (F.sum(F.when(F.col("b.bit") == v, F.col("n")).otherwise(0)) for v in (1, 0))
-    deep = durable(deep.groupBy("ctx", F.col("b.node").alias("node")).agg(noughts.alias("n0"), ones.alias("n1")), "nodes")
-    out = None
-    for d in range(depth + 1):
-        level = deep.groupBy(F.expr(f"ctx & {(1 << (8 * d)) - 1}").alias("ctx"), "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-        level = level.where(F.col("n0") + F.col("n1") >= least).select(F.lit(d).alias("d"), "ctx", "node", "n0", "n1")
-        out = level if out is None else out.unionByName(level)
-    return out.toArrow()
-
-
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """Stirling's series after a shift by 8; right to about 1e-13 for x >= 0.5."""
     shift = np.ones_like(x)
@@ -197,60 +186,161 @@ def node_key(d: int, ctx: np.ndarray, node: np.ndarray) -> np.ndarray:
     return np.uint64(d << 52) | ((ctx & np.uint64((1 << (8 * d)) - 1)) << np.uint64(8)) | node
 
 
-def weighted(table: pa.Table, depth: int) -> Tree:
-    """The frozen mixture: weights from the leaves up, then probabilities from the root down."""
-    col = {c: table.column(c).to_numpy() for c in table.column_names}
-    levels = []
-    for d in range(depth + 1):
-        own = col["d"] == d
-        key = node_key(d, col["ctx"][own].astype(np.uint64), col["node"][own].astype(np.uint64))
-        order = np.argsort(key)
-        levels.append({"key": key[order], "ctx": col["ctx"][own][order].astype(np.uint64), "node": col["node"][own][order].astype(np.uint64), "n0": col["n0"][own][order].astype(np.int64), "n1": col["n1"][own][order].astype(np.int64)})
-    for d in range(depth, -1, -1):
-        x = levels[d]
+def merged(d: int, ctx: np.ndarray, node: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> dict:
+    """The nodes of depth ``d``, in the order of their keys, with the counts of equal ones added up."""
+    ctx = ctx & np.uint64((1 << (8 * d)) - 1)
+    key = node_key(d, ctx, node)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    add = lambda n: np.add.reduceat(n[order], at) if len(at) else n
+    return {"d": d, "key": key[at], "ctx": ctx[order][at], "node": node[order][at], "n0": add(n0), "n1": add(n1)}
+
+
+def levels_of(ctx: np.ndarray, byte: np.ndarray, n: np.ndarray, low: int, high: int) -> list[dict]:
+    """The nodes of the depths from ``low`` to ``high`` over counted bytes."""
+    one = lambda i: ((byte >> np.uint64(7 - i)) & np.uint64(1)).astype(np.int64)
+    bits = [(np.uint64(1 << i) | (byte >> np.uint64(8 - i)), n * (1 - one(i)), n * one(i)) for i in range(8)]
+    node, n0, n1 = (np.concatenate(x) for x in zip(*bits, strict=True))
+    levels = [merged(high, np.tile(ctx, 8), node, n0, n1)]
+    for d in range(high - 1, low - 1, -1):
+        x = levels[0]
+        levels.insert(0, merged(d, x["ctx"], x["node"], x["n0"], x["n1"]))
+    return levels
+
+
+def rise(levels: list[dict], below: np.ndarray | None = None) -> None:
+    """Weights from the last level up.  Its nodes are leaves, or ``below`` has the sum of their children's log weights."""
+    for j in range(len(levels) - 1, -1, -1):
+        x = levels[j]
         x["kt"] = log_kt(x["n0"], x["n1"])
         x["p_kt"] = (x["n1"] + 0.5) / (x["n0"] + x["n1"] + 1)
-        if d == depth:
+        if j < len(levels) - 1:
+            y, n = levels[j + 1], len(x["key"])
+            at = y["up"] = np.searchsorted(x["key"], node_key(x["d"], y["ctx"], y["node"]))
+            # bits that no child holds meet in one further child
+            rest0 = x["n0"] - np.bincount(at, y["n0"], n).astype(np.int64)
+            rest1 = x["n1"] - np.bincount(at, y["n1"], n).astype(np.int64)
+            under, x["p_rest"] = np.bincount(at, y["lw"], n) + log_kt(rest0, rest1), (rest1 + 0.5) / (rest0 + rest1 + 1)
+        elif below is None:
             x["lw"], x["stop"], x["p_rest"] = x["kt"], np.ones(len(x["key"])), x["p_kt"]
             continue
-        y, n = levels[d + 1], len(x["key"])
-        at = y["up"] = np.searchsorted(x["key"], node_key(d, y["ctx"], y["node"]))
-        rest0 = x["n0"] - np.bincount(at, y["n0"], n).astype(np.int64)
-        rest1 = x["n1"] - np.bincount(at, y["n1"], n).astype(np.int64)
-        below = np.bincount(at, y["lw"], n) + log_kt(rest0, rest1)
-        x["lw"] = math.log(0.5) + np.logaddexp(x["kt"], below)
+        else:
+            under, x["p_rest"] = below, np.full(len(x["key"]), 0.5)
+        x["lw"] = math.log(0.5) + np.logaddexp(x["kt"], under)
         x["stop"] = np.exp(math.log(0.5) + x["kt"] - x["lw"])
-        x["p_rest"] = (rest1 + 0.5) / (rest0 + rest1 + 1)
-    for d, x in enumerate(levels):
-        up = levels[d - 1] if d else None
-        got = up["got"][x["up"]] if d else np.zeros(len(x["key"]))
-        left = up["left"][x["up"]] if d else np.ones(len(x["key"]))
+
+
+def fall(levels: list[dict], above: dict | None = None) -> None:
+    """Probabilities from the first level down; ``above`` is the level before it, if there is one."""
+    for j, x in enumerate(levels):
+        up = levels[j - 1] if j else above
+        if not j and above is not None:
+            x["up"] = np.searchsorted(above["key"], node_key(above["d"], x["ctx"], x["node"]))
+        got = np.zeros(len(x["key"])) if up is None else up["got"][x["up"]]
+        left = np.ones(len(x["key"])) if up is None else up["left"][x["up"]]
         x["got"] = got + left * x["stop"] * x["p_kt"]
         x["left"] = left * (1 - x["stop"])
         x["ones"] = x["got"] + x["left"] * x["p_rest"]
-    return Tree(depth, np.concatenate([x["key"] for x in levels]), np.concatenate([x["ones"] for x in levels]))
 
 
-def train(counts: DataFrame, depth: int = 5, nodes: int = NODES) -> Tree:
-    return weighted(node_counts(counts, depth, nodes), depth)
+def weighted(table: pa.Table, depth: int) -> Tree:
+    """The frozen mixture of one table of nodes: weights from the leaves up, then probabilities from the root down."""
+    col = {c: table.column(c).to_numpy() for c in table.column_names}
+    levels = []
+    for d in range(depth + 1):
+        ctx, node, n0, n1 = (col[c][col["d"] == d] for c in ("ctx", "node", "n0", "n1"))
+        levels.append(merged(d, ctx.astype(np.uint64), node.astype(np.uint64), n0.astype(np.int64), n1.astype(np.int64)))
+    rise(levels)
+    fall(levels)
+    return Tree(depth, np.concatenate([x["key"] for x in levels]), np.concatenate([x["ones"] for x in levels]))
 
 
-def text_scores(column: pa.Array, tree: Tree) -> np.ndarray:
-    """log10 probability of each text of a slice."""
-    key, size = grams(column, tree.depth)
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(gram, n) of whole groups; rows of a group follow each other."""
+    held, size, limit = [], 0, PIECE_GRAMS
+    for batch in batches:
+        held.append((batch.column("key").to_numpy().view(np.uint64), batch.column("n").to_numpy()))
+        size += batch.num_rows
+        if size >= limit:
+            key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            group = (key >> np.uint64(8)) & np.uint64((1 << (8 * TOP + 8)) - 1)
+            ends = np.flatnonzero(group[1:] != group[:-1]) + 1
+            cut = int(ends[-1]) if len(ends) else 0
+            if cut:
+                yield key[:cut], n[:cut]
+            held, size = [(key[cut:], n[cut:])], len(key) - cut
+            limit = max(PIECE_GRAMS, 2 * size)
+    if size:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def gram_scores(counts: DataFrame, depth: int) -> DataFrame:
+    """(key, value): log10 probability of each gram's last byte, given those before."""
+    gram, top = counts.where(f"key >= 0 AND key < {1 << (8 * depth + 8)}"), min(depth, TOP)
+    group = F.expr(f"shiftright(key, 8) & {(1 << (8 * TOP + 8)) - 1}")
+    dealt = gram.repartition(group).sortWithinPartitions(group).select("key", "n")
+
+    def deep(key: np.ndarray, n: np.ndarray) -> list[dict]:
+        own = n > 0
+        levels = levels_of(key[own] >> np.uint64(8), key[own] & np.uint64(255), n[own], top + 1, depth)
+        rise(levels)
+        return levels
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches):
+            x = deep(*piece)[0]
+            yield pa.RecordBatch.from_arrays([pa.array((x["ctx"] & np.uint64((1 << (8 * top)) - 1)).view(np.int64)), pa.array(x["node"].view(np.int64)), pa.array(x["lw"])], ["ctx", "node", "lw"])
+
+    # at most 2**24 rows: a byte after TOP bytes, and the same for nodes
+    table = gram.where("n > 0").groupBy(F.expr(f"shiftright(key, 8) & {(1 << (8 * top)) - 1}").alias("ctx"), F.expr("key & 255").alias("byte")).agg(F.sum("n").alias("n")).toArrow()
+    ctx, byte, n = (table.column(c).to_numpy() for c in ("ctx", "byte", "n"))
+    levels = levels_of(ctx.astype(np.uint64), byte.astype(np.uint64), n.astype(np.int64), 0, top)
+    below = None
+    if depth > top:
+        sums = dealt.mapInArrow(weigh, "ctx bigint, node bigint, lw double").groupBy("ctx", "node").agg(F.sum("lw").alias("lw")).toArrow()
+        at = np.searchsorted(levels[-1]["key"], node_key(top, sums.column("ctx").to_numpy().astype(np.uint64), sums.column("node").to_numpy().astype(np.uint64)))
+        below = np.bincount(at, sums.column("lw").to_numpy(), len(levels[-1]["key"]))
+    rise(levels, below)
+    fall(levels)
+    keys, ones = (np.concatenate([x[c] for x in levels]) for c in ("key", "ones"))
+    above = {c: levels[-1][c] for c in ("d", "key", "got", "left")}
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, n in pieces(batches):
+            lower = []
+            if depth > top:
+                lower = deep(key, n)
+                fall(lower, above)
+            tree = Tree(depth, np.concatenate([keys, *(x["key"] for x in lower)]), np.concatenate([ones, *(x["ones"] for x in lower)]))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(tree.log10_of(key))], ["key", "value"])
+
+    return dealt.mapInArrow(look, "key bigint, value double")
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Eight-byte numbers as compressed byte planes."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int, kind: type) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, n).T).view(kind).reshape(-1)
+
+
+def text_scores(column: pa.Array, depth: int, key: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """log10 probability of each text of a slice; ``key`` is sorted and has all of its grams."""
+    gram, size = grams(column, depth)
     owner = np.repeat(np.arange(len(size), dtype=np.uint64), size)
-    bits = np.uint64(8 * (tree.depth + 1))
-    both, n = counted((owner << bits) | key)
-    gram = both & np.uint64((1 << int(bits)) - 1)
-    known = np.unique(gram)
-    return np.bincount((both >> bits).astype(np.int64), n * tree.log10_of(known)[np.searchsorted(known, gram)], len(size))
+    bits = np.uint64(8 * (depth + 1))
+    both, n = counted((owner << bits) | gram)
+    return np.bincount((both >> bits).astype(np.int64), n * value[np.searchsorted(key, both & np.uint64((1 << int(bits)) - 1))], len(size))
 
 
-def score(docs: DataFrame, depth: int = 5, nodes: int = NODES) -> DataFrame:
+def score(docs: DataFrame, depth: int = 5) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of each document."""
     docs = docs.select("doc_id", "text")
     counts = durable(corpus_counts(docs, depth), "counts")
-    tree = train(counts, depth, nodes)
     words = counts.where(f"key < 0 OR key = {END_TOKEN}")
     seen = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens, types = seen["n"] or 0, seen["v"]
@@ -259,30 +349,53 @@ def score(docs: DataFrame, depth: int = 5, nodes: int = NODES) -> DataFrame:
     blocks = max(LEAST_BLOCKS, -(-size // BLOCK_BYTES))
     held = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(int(blocks))).alias("block"), "doc_id", "text")
 
-    def vocabulary(table: pa.Table) -> pa.Table:
-        found = [hash_words(split_words(part.column("text"))[0]) | WORD for batch in table.to_batches() for part in text_slices(batch)]
-        keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-        return pa.table({"block": pa.array(np.full(len(keys), table.column("block")[0].as_py(), np.int64)), "key": pa.array(keys.view(np.int64))})
+    parts = int(2 * blocks + 1)
 
-    known = held.groupBy("block").applyInArrow(vocabulary, "block bigint, key bigint").join(words, "key").select("block", "key", "n")
+    def vocabulary(table: pa.Table) -> pa.Table:
+        found = [np.zeros(0, np.uint64)]
+        for batch in table.to_batches():
+            for part in text_slices(batch):
+                found.append(hash_words(split_words(part.column("text"))[0]) | WORD)
+                found += [counted(grams(piece.column("text"), depth)[0])[0] for piece in text_slices(part, max_bytes=GRAM_SLICE)]
+        keys = np.unique(np.concatenate(found))
+        part = np.mod(keys.view(np.int64), parts)
+        some = [(int(i), keys[part == i]) for i in np.unique(part)]
+        block = table.column("block")[0].as_py()
+        return pa.table({"block": pa.array([block] * len(some), pa.int64()), "part": pa.array([i for i, _ in some], pa.int64()), "n": pa.array([len(k) for _, k in some], pa.int64()), "keys": pa.array([packed(np.diff(k, prepend=np.uint64(0))) for _, k in some], pa.binary())})
+
+    def found(values: pa.Table, wanted: pa.Table) -> pa.Table:
+        key = values.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(key)
+        key, value = key[order], values.column("value").to_numpy()[order]
+        out = []
+        for n, data in zip(wanted.column("n").to_pylist(), wanted.column("keys").to_pylist(), strict=True):
+            own = np.cumsum(unpacked(data, n, np.uint64), dtype=np.uint64)
+            at = np.minimum(np.searchsorted(key, own), max(len(key) - 1, 0))
+            out.append(packed(np.where(key[at] == own, value[at], 0.0) if len(key) else np.zeros(n)))
+        return pa.table({"block": wanted.column("block"), "n": wanted.column("n"), "keys": wanted.column("keys"), "found": pa.array(out, pa.binary())})
+
+    values = words.select("key", F.col("n").cast("double").alias("value")).unionByName(gram_scores(counts, depth)).withColumn("part", F.pmod("key", F.lit(parts)))
+    wanted = held.groupBy("block").applyInArrow(vocabulary, "block bigint, part bigint, n bigint, keys binary")
+    known = values.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(found, "block bigint, n bigint, keys binary, found binary")
     rest = math.log10(tokens + types + 1)
 
     def scored(texts: pa.Table, vocabulary: pa.Table) -> pa.Table:
-        key = vocabulary.column("key").to_numpy().view(np.uint64)
+        sizes, keys, values = (vocabulary.column(c).to_pylist() for c in ("n", "keys", "found"))
+        key = np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(unpacked(k, m, np.uint64), dtype=np.uint64) for k, m in zip(keys, sizes, strict=True))])
         order = np.argsort(key)
-        key, n = key[order], vocabulary.column("n").to_numpy()[order]
+        key, n = key[order], np.concatenate([np.zeros(0), *(unpacked(x, m, np.float64) for x, m in zip(values, sizes, strict=True))])[order]
         out = []
         for batch in texts.to_batches():
             for part in text_slices(batch):
                 word, codes, offsets = split_words(part.column("text"))
                 own = hash_words(word) | WORD
                 at = np.minimum(np.searchsorted(key, own), max(len(key) - 1, 0))
-                c = np.where(key[at] == own, n[at], 0) if len(key) else np.zeros(len(own), np.int64)
+                c = np.where(key[at] == own, n[at], 0.0) if len(key) else np.zeros(len(own))
                 doc = np.repeat(np.arange(part.num_rows), np.diff(offsets))
                 log_c = np.bincount(doc, np.log10(c + 1.0)[codes], part.num_rows) + math.log10(ends + 1)
                 n_tokens = np.diff(offsets) + 1
                 n_known = np.bincount(doc, (c > 0)[codes], part.num_rows).astype(np.int64) + int(ends > 0)
-                value = np.concatenate([text_scores(x.column("text").slice(i, MAX_DOCS), tree) for x in text_slices(part, max_bytes=GRAM_SLICE * 2) for i in range(0, x.num_rows, MAX_DOCS)])
+                value = np.concatenate([text_scores(x.column("text").slice(i, MAX_DOCS), depth, key, n) for x in text_slices(part, max_bytes=GRAM_SLICE * 2) for i in range(0, x.num_rows, MAX_DOCS)])
                 length = pc.fill_null(pc.binary_length(part.column("text")), 0).to_numpy(zero_copy_only=False)
                 ids = part.column("doc_id")
                 rows = {"doc_id": ids, "held_out": ~training(ids.to_pylist()), "n_tokens": n_tokens, "n_known": n_known, "train_tokens": np.full(part.num_rows, tokens, np.int64), "base_score": log_c - n_tokens * rest, "score": value, "bits_per_byte": -value / math.log10(2) / (length + 1)}

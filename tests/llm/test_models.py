@@ -95,6 +95,16 @@ def test_code_lengths_follow_the_recursion(spark):
         assert got[i]["score"] == pytest.approx(score((t or "").translate(LOWER).encode()), rel=1e-9, abs=1e-9)
 
 
+def test_rare_contexts_stay_in_a_large_corpus(spark):
+    texts = ["ab" * 140_000, "xyzzy plugh", "xyzzy plover", "aab xyzz"]
+    ids = [i for i in range(50) if zlib.crc32(str(i).encode()) % 7 != 2]
+    docs = spark.createDataFrame([*zip(ids, texts, strict=False)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["score"] for r in ctw.score(docs, depth=4).collect()}
+    score = direct([t.encode() for t in texts], 4)
+    for i, t in list(zip(ids, texts, strict=False))[1:]:
+        assert got[i] == pytest.approx(score(t.encode()), rel=1e-9)
+
+
 def test_probabilities_sum_to_one():
     table = pa.table({"d": pa.array([0, 1], pa.int32()), "ctx": pa.array([0, 97]), "node": pa.array([1, 1]), "n0": pa.array([5, 3]), "n1": pa.array([2, 1])})
     tree = ctw.weighted(table, 2)
