@@ -6,9 +6,11 @@ Bayes scorer.  In every round each scorer labels the pool, and the documents it
 classes, join the training set of the *other* view.  In the end both scores are calibrated on labelled rows that took no
 part in training, and the calibrated log-odds are combined by a logistic model fitted on the same rows.
 
-Fitting uses at most ``max_labelled`` labelled and ``max_pool`` unlabelled documents, the first in the order of a hash of
-doc_id: a bounded sample, so it runs on the driver in numpy.  Scoring covers every document, slice by slice, with
-weights of fixed size.
+The pool is every unlabelled document.  Its features are written once; in each round one pass counts the scores of both
+views in fine steps, which gives the cut-offs, and a second one counts features of the chosen documents by class.  Only
+such counts and weights, of fixed size, reach the driver.  Where a cut-off falls within a step, a hash of the row decides
+which of its rows are taken, so numbers are those asked for up to the spread of a draw.  Labelled documents are a bounded
+sample: the first ``max_labelled`` in the order of a hash of doc_id.  Scoring covers every document, slice by slice.
 
 Defined results: null text counts as empty and has metadata only; null language or source is a value of its own;
 a document without any labelled data gets the share of good labels, or 1 where there are no labels, and is kept then;
@@ -28,10 +30,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cluster import durable
 from .words import split_words, text_slices, whole_texts
 
 TEXT_SIZE = 1 << 16
 META_SIZE = 1 << 12
+SIZES = TEXT_SIZE, META_SIZE
+#: Steps of a score for each unit of the mean log ratio.
+STEPS = 4096
+#: Beyond all steps.
+NEVER = 1 << 60
 #: Added to counts, in the proportion of the classes, so that an unseen feature weighs nothing.
 SMOOTH = 1.0
 PUNCT = np.array([33 <= b <= 47 or 58 <= b <= 64 or 91 <= b <= 96 or 123 <= b <= 126 for b in range(256)])
@@ -79,13 +87,21 @@ def means(features: tuple[np.ndarray, np.ndarray], weights: np.ndarray) -> np.nd
     return np.bincount(np.repeat(np.arange(len(n)), n), weights[flat], len(n)) / np.maximum(n, 1)
 
 
-def fit_weights(rows: list[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
+def feature_counts(rows: list[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
+    """How many bad and how many good documents have each feature; the last column counts the documents."""
+    out = np.zeros((2, size + 1), np.int64)
+    for y in (0, 1):
+        own = [r for r, z in zip(rows, labels, strict=True) if z == y]
+        out[y, :size] = np.bincount(np.concatenate([np.zeros(0, np.int64), *own]), minlength=size)
+        out[y, size] = len(own)
+    return out
+
+
+def fit_weights(counts: np.ndarray) -> np.ndarray:
     """The log ratio of how often a feature occurs in good and in bad documents."""
-    good = np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y] or [np.zeros(0, np.int64)]), minlength=size)
-    bad = np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if not y] or [np.zeros(0, np.int64)]), minlength=size)
-    n1, n0 = max(int(labels.sum()), 1), max(int((~labels).sum()), 1)
+    n0, n1 = (max(int(n), 1) for n in counts[:, -1])
     share = n1 / (n1 + n0)
-    return np.log((good + SMOOTH * share) / n1) - np.log((bad + SMOOTH * (1 - share)) / n0)
+    return np.log((counts[1, :-1] + SMOOTH * share) / n1) - np.log((counts[0, :-1] + SMOOTH * (1 - share)) / n0)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -122,37 +138,129 @@ class Model:
         return tuple(1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in (*z, both))
 
 
-def cotrain(text: list[np.ndarray], meta: list[np.ndarray], labels: np.ndarray, held: np.ndarray, rounds: int, share: float) -> Model:
-    """``labels``: 1, 0 or -1 (pool); ``held``: labelled rows kept for calibration; ``share``: of the pool, each round."""
-    train, pool = np.flatnonzero((labels >= 0) & ~held), np.flatnonzero(labels < 0)
-    test = np.flatnonzero((labels >= 0) & held)
-    if len(set(labels[train].tolist())) < 2 or len(set(labels[test].tolist())) < 2:
-        known = labels[labels >= 0]
-        return Model(np.zeros(TEXT_SIZE), np.zeros(META_SIZE), prior=float(known.mean()) if len(known) else 1.0)
-    rows, sizes = (text, meta), (TEXT_SIZE, META_SIZE)
-    own = [dict(zip(train.tolist(), labels[train].tolist(), strict=True)) for _ in rows]
-    good = float(labels[train].mean())
-    take = max(2, int(share * len(pool)))
-    left, history = [set(pool.tolist()) for _ in rows], []
+def feature_rows(rows: DataFrame, others: list[str], kinds: str) -> DataFrame:
+    """``others`` of each row, and the features of its views as 16-bit numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch):
+                lists = [pa.array([x.tobytes() for x in np.split(f.astype(np.uint16), o[1:-1])], pa.binary()) for f, o in views(part)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), *lists], [*others, "text_features", "meta_features"])
+
+    return rows.mapInArrow(run, f"{kinds}, text_features binary, meta_features binary")
+
+
+def batch_views(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+    out = []
+    for name in ("text_features", "meta_features"):
+        data = batch.column(name).to_pylist()
+        out.append((np.frombuffer(b"".join(data), np.uint16).astype(np.int64), np.concatenate([[0], np.cumsum([len(x) // 2 for x in data])]).astype(np.int64)))
+    return out
+
+
+@dataclass
+class Round:
+    """Weights of the views, and for each the steps and shares of them from which its scores count as good or as bad."""
+
+    weights: list[np.ndarray]
+    cuts: list[tuple[int, float, int, float]] = field(default_factory=list)
+
+
+def steps(features: tuple[np.ndarray, np.ndarray], weights: np.ndarray) -> np.ndarray:
+    return np.floor(means(features, weights) * STEPS).astype(np.int64)
+
 
-    def fit(view: int) -> np.ndarray:
-        keys = list(own[view])
-        return fit_weights([rows[view][k] for k in keys], np.array([own[view][k] for k in keys], bool), sizes[view])
+def chosen(both: list, draw: np.ndarray, past: list[Round]) -> list[np.ndarray]:
+    """For each view, the label that past rounds gave a row of the pool, or -1."""
+    label = [np.full(len(draw), -1) for _ in both]
+    for r in past:
+        for v in (0, 1):
+            own = steps(both[v], r.weights[v])
+            good, good_share, bad, bad_share = r.cuts[v]
+            free = label[1 - v] < 0
+            is_good = (own > good) | ((own == good) & (draw < good_share))
+            is_bad = (own < bad) | ((own == bad) & (draw >= 1 - bad_share))
+            label[1 - v][free & is_bad] = 0
+            label[1 - v][free & is_good] = 1
+    return label
+
+
+def pool_steps(pool: DataFrame, past: list[Round], weights: list[np.ndarray]) -> pa.Table:
+    """(view, step, n): how many rows that the other view has not got yet score in each step."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for batch in batches for p in text_slices(batch, "text_features")):
+            both = batch_views(part)
+            label = chosen(both, part.column("draw").to_numpy(), past)
+            for v in (0, 1):
+                step, n = np.unique(steps(both[v], weights[v])[label[1 - v] < 0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(step), v, np.int32)), pa.array(step), pa.array(n.astype(np.int64))], ["view", "step", "n"])
 
+    return pool.mapInArrow(run, "view int, step bigint, n bigint").groupBy("view", "step").agg(F.sum("n").alias("n")).toArrow()
+
+
+def pool_counts(pool: DataFrame, past: list[Round]) -> list[np.ndarray]:
+    """For each view, ``feature_counts`` of the rows of the pool that it has got."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros((2, size + 1), np.int64) for size in SIZES]
+        for part in (p for batch in batches for p in text_slices(batch, "text_features")):
+            both = batch_views(part)
+            label = chosen(both, part.column("draw").to_numpy(), past)
+            for v, (flat, offsets) in enumerate(both):
+                of = np.repeat(label[v], np.diff(offsets))
+                for y in (0, 1):
+                    sums[v][y, :-1] += np.bincount(flat[of == y], minlength=SIZES[v])
+                    sums[v][y, -1] += int((label[v] == y).sum())
+        for v, x in enumerate(sums):
+            y, at = np.nonzero(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), v, np.int32)), pa.array(y.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(x[y, at])], ["view", "label", "feature", "n"])
+
+    table = pool.mapInArrow(run, "view int, label int, feature int, n bigint").groupBy("view", "label", "feature").agg(F.sum("n").alias("n")).toArrow()
+    view, label, feature, n = (table.column(c).to_numpy() for c in ("view", "label", "feature", "n"))
+    out = []
+    for v, size in enumerate(SIZES):
+        counts = np.zeros((2, size + 1), np.int64)
+        counts[label[view == v], feature[view == v]] = n[view == v]
+        out.append(counts)
+    return out
+
+
+def cut(step: np.ndarray, n: np.ndarray, want: int) -> tuple[int, float]:
+    """The step, counted from the first, in which the ``want``-th row falls, and the share of its rows that are wanted."""
+    total = np.cumsum(n)
+    i = min(int(np.searchsorted(total, want)), len(n) - 1)
+    return int(step[i]), float(min(1.0, (want - (total[i] - n[i])) / n[i]))
+
+
+def cotrain(text: list[np.ndarray], meta: list[np.ndarray], labels: np.ndarray, held: np.ndarray, pool: DataFrame, rounds: int, share: float) -> Model:
+    """``text``, ``meta``, ``labels``: labelled rows; ``held``: those kept for calibration; ``share``: of the pool, each round."""
+    train, test = np.flatnonzero(~held), np.flatnonzero(held)
+    if len(set(labels[train].tolist())) < 2 or len(set(labels[test].tolist())) < 2:
+        return Model(np.zeros(TEXT_SIZE), np.zeros(META_SIZE), prior=float(labels.mean()) if len(labels) else 1.0)
+    rows = (text, meta)
+    pool = durable(pool, "pool")
+    good = float(labels[train].mean())
+    take = max(2, int(share * pool.count()))
+    base = [feature_counts([rows[v][i] for i in train], labels[train], SIZES[v]) for v in (0, 1)]
+    weights, past, history = [fit_weights(c) for c in base], [], []
     for _ in range(rounds):
-        weights = [fit(v) for v in (0, 1)]
+        table = pool_steps(pool, past, weights)
+        now = Round(weights)
         for v in (0, 1):
-            ids = np.array(sorted(left[1 - v]), np.int64)
-            if not len(ids):
+            own = table.column("view").to_numpy() == v
+            step, n = (table.column(c).to_numpy()[own] for c in ("step", "n"))
+            if not len(step):
+                now.cuts.append((NEVER, 0.0, -NEVER, 0.0))
                 continue
-            score = np.array([weights[v][rows[v][i]].mean() if len(rows[v][i]) else 0.0 for i in ids])
-            order = np.argsort(score, kind="stable")
-            n1, n0 = min(len(ids), max(1, round(take * good))), min(len(ids), max(1, round(take * (1 - good))))
-            chosen = {int(i): 0 for i in ids[order[:n0]]} | {int(i): 1 for i in ids[order[::-1][:n1]]}
-            own[1 - v] |= chosen
-            left[1 - v] -= set(chosen)
+            order = np.argsort(step)
+            step, n = step[order], n[order]
+            n1, n0 = (min(int(n.sum()), max(1, round(take * p))) for p in (good, 1 - good))
+            now.cuts.append((*cut(step[::-1], n[::-1], n1), *cut(step, n, n0)))
             history.append({"from": ("text", "metadata")[v], "good": n1, "bad": n0})
-    model = Model(fit(0), fit(1), history=history, prior=good)
+        past.append(now)
+        weights = [fit_weights(b + c) for b, c in zip(base, pool_counts(pool, past), strict=True)]
+    model = Model(*weights, history=history, prior=good)
     y = labels[test].astype(float)
     z = []
     for v, w in enumerate((model.text, model.meta)):
@@ -164,31 +272,19 @@ def cotrain(text: list[np.ndarray], meta: list[np.ndarray], labels: np.ndarray,
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_labelled: int, max_pool: int) -> pa.Table:
-    """(label, held, text, meta) of the bounded sample; label -1 is the pool."""
-    order = F.xxhash64("doc_id")
+def fit(docs: DataFrame, labels: DataFrame, rounds: int = 4, share: float = 0.05, max_labelled: int = 6000) -> Model:
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
-    some = known.orderBy(order, "doc_id").limit(max_labelled)
-    pool = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().join(known, "doc_id", "left_anti").orderBy(order, "doc_id").limit(max_pool)
-    wanted = some.unionByName(pool.withColumn("label", F.lit(-1)))  # at most max_labelled + max_pool rows
-    rows = docs.select("doc_id", "text", "lang", "source").join(F.broadcast(wanted), "doc_id").withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(4)) == 0)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch):
-                lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(f, pa.int32())) for f, o in views(part)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), part.column("held"), *lists], ["doc_id", "label", "held", "text", "meta"])
-
-    kind = dict(docs.dtypes)["doc_id"]
-    return rows.mapInArrow(run, f"doc_id {kind}, label int, held boolean, text array<int>, meta array<int>").toArrow()
-
-
-def fit(docs: DataFrame, labels: DataFrame, rounds: int = 4, share: float = 0.05, max_labelled: int = 6000, max_pool: int = 6000) -> Model:
-    table = sample(docs, labels, max_labelled, max_pool)
+    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)  # the only rows that the driver sees
+    docs = docs.select("doc_id", "text", "lang", "source")
+    rows = docs.join(F.broadcast(some), "doc_id").withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(4)) == 0)
+    table = feature_rows(rows, ["doc_id", "label", "held"], f"doc_id {dict(docs.dtypes)['doc_id']}, label int, held boolean").toArrow()
     order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
-    lists = [[np.asarray(x, np.int64) for x in table.column(c).to_pylist()] for c in ("text", "meta")]
-    text, meta = ([x[i] for i in order] for x in lists)
-    return cotrain(text, meta, table.column("label").to_numpy()[order], table.column("held").to_numpy(zero_copy_only=False).astype(bool)[order], rounds, share)
+    text, meta = ([np.frombuffer(x, np.uint16).astype(np.int64) for x in table.column(c).take(order).to_pylist()] for c in ("text_features", "meta_features"))
+    draw = (F.pmod(F.xxhash64("doc_id", "text", F.lit("draw")), F.lit(1 << 30)) / (1 << 30)).alias("draw")
+    # the join deals out features, which are far smaller than texts, and in the same way at any size
+    every = feature_rows(docs.withColumn("draw", draw), ["doc_id", "draw"], f"doc_id {dict(docs.dtypes)['doc_id']}, draw double")
+    pool = every.join(known.select("doc_id").hint("merge"), "doc_id", "left_anti").drop("doc_id")
+    return cotrain(text, meta, table.column("label").to_numpy()[order], table.column("held").to_numpy(zero_copy_only=False).astype(bool)[order], pool, rounds, share)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:

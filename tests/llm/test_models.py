@@ -38,6 +38,18 @@ def test_quality_edges(spark, odd, empty):
     assert cotraining.score(odd, model).columns == [*odd.columns, "text_score", "meta_score", "quality_score", "kept"]
 
 
+def test_the_whole_pool_takes_part(spark):
+    word = lambda i, k: f"{'good' if i % 2 else 'bad'}{k}"
+    rows = [(i, " ".join(word(i, (i + k) % 9) for k in range(4)), "en", f"s{i % 2}") for i in range(8000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(4)
+    labels = docs.where("doc_id < 100").selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality")
+    model = cotraining.fit(docs, labels)
+    # a round takes 5 % of the 7,900 unlabelled documents
+    assert all(h["good"] + h["bad"] == pytest.approx(395, abs=1) for h in model.history)
+    got = cotraining.score(docs, model).collect()
+    assert sum(r["kept"] == bool(r["doc_id"] % 2) for r in got) >= 0.99 * len(got)
+
+
 def direct(train: list[bytes], depth: int):
     """Mixture probabilities straight from the recursion, over all contexts seen."""
     counts = Counter()
