@@ -132,7 +132,7 @@ def f7_years(v: Source) -> DataFrame:
 
 @query("SELECT id, round(exp(n_chars / 10000) / (exp(n_chars / 10000) + exp(toxic)), 6) AS p FROM labeled WHERE n_chars < 100000")
 def f24_softmax(v: Source) -> DataFrame:
-    return v("labeled").where("n_chars < 100000").select("id", F.round(F.get(S.softmax(F.array(F.col("n_chars") / 10000, "toxic")), F.lit(0)), 6).alias("p"))
+    return v("labeled").select("id", F.round(F.get(S.softmax(F.array(F.col("n_chars") / 10000, "toxic")), F.lit(0)), 6).alias("p"))
 
 
 @query("SELECT id, lower(hex(encode(id))) AS geometry FROM flat_places")

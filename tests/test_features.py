@@ -144,3 +144,10 @@ def test_sinks(spark, tmp_path):
     io.write_json_lines(rows.select("id"), f"{tmp_path}/j", 1)
     assert tuple(io.json_lines(spark, f"{tmp_path}/j", "id string, open int").first()) == ("a", 1)
     assert [r["name"] for r in io.describe_schema(rows).collect()][0] == "id"
+
+
+def test_softmax_scores_long_documents(spark):
+    from statuslake.plans.scalar_queries import f24_softmax
+
+    rows = spark.createDataFrame([("a", 50_000.0, 5.0), ("b", 100_000.0, 1.0), ("c", 2e8, 0.0)], "id string, n_chars double, toxic double")
+    assert {r["id"]: r["p"] for r in f24_softmax(lambda _: rows).collect()} == {"a": 0.5, "b": 0.999877, "c": 1.0}
