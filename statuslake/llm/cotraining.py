@@ -4,13 +4,14 @@ Two views of a document: its content (distinct words and the last two characters
 source and layout: lengths, lines, share of punctuation, share of distinct words, in buckets).  Each view has a naive
 Bayes scorer.  In every round each scorer labels the pool, and the documents it is surest of, in the proportion of the
 classes, join the training set of the *other* view.  In the end both scores are calibrated on labelled rows that took no
-part in training, and the calibrated log-odds are combined by a logistic model fitted on the same rows.
+part in training, and the calibrated log-odds are combined by a logistic model fitted on further such rows.
 
-The pool is every unlabelled document.  Its features are written once; in each round one pass counts the scores of both
-views in fine steps, which gives the cut-offs, and a second one counts features of the chosen documents by class.  Only
-such counts and weights, of fixed size, reach the driver.  Where a cut-off falls within a step, a hash of the row decides
-which of its rows are taken, so numbers are those asked for up to the spread of a draw.  Labelled documents are a bounded
-sample: the first ``max_labelled`` in the order of a hash of doc_id.  Scoring covers every document, slice by slice.
+Labelled documents are a bounded sample: the first ``max_labelled`` in the order of a hash of doc_id.  The pool is every
+other document, so the ids to leave out are bounded as well and nothing is shuffled to find it.  Its features are written
+once; in each round one pass counts the scores of both views in fine steps, which gives the cut-offs, and a second one
+counts features of the chosen documents by class.  Only such counts and weights, of fixed size, reach the driver.  Where
+a cut-off falls within a step, a hash of the row decides which of its rows are taken, so numbers are those asked for up
+to the spread of a draw.  Scoring covers every document, slice by slice.
 
 Defined results: null text counts as empty and has metadata only; null language or source is a value of its own;
 a document without any labelled data gets the share of good labels, or 1 where there are no labels, and is kept then;
@@ -64,19 +65,22 @@ def views(part: pa.RecordBatch) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np
     punct = np.bincount(at[PUNCT[data]], minlength=n)
     n_words = np.diff(offsets)
     distinct = np.bincount(np.unique(row * max(len(words), 1) + codes) // max(len(words), 1), minlength=n)
-    log2 = lambda x: np.floor(np.log2(x + 1)).astype(np.int64).tolist()
+    log2 = lambda x: np.floor(np.log2(x + 1)).astype(np.int64)
     columns = {
-        "lang": part.column("lang").to_pylist(),
-        "source": part.column("source").to_pylist(),
+        "lang": part.column("lang"),
+        "source": part.column("source"),
         "bytes": log2(size),
         "lines": log2(lines),
         "line": log2(size / lines),
         "words": log2(n_words),
-        "punct": np.floor(20 * punct / np.maximum(size, 1)).astype(np.int64).tolist(),
-        "distinct": np.floor(10 * distinct / np.maximum(n_words, 1)).astype(np.int64).tolist(),
+        "punct": np.floor(20 * punct / np.maximum(size, 1)).astype(np.int64),
+        "distinct": np.floor(10 * distinct / np.maximum(n_words, 1)).astype(np.int64),
     }
-    known: dict[str, int] = {}
-    meta = np.array([[known.get(k) if (k := f"{name}={v}") in known else known.setdefault(k, xxhash.xxh3_64_intdigest(k) % META_SIZE) for name, values in columns.items() for v in [values[i]]] for i in range(n)], np.int64)
+    meta = np.empty((n, len(columns)), np.int64)
+    for j, (name, values) in enumerate(columns.items()):
+        coded = pa.array(values).dictionary_encode("encode")
+        hashed = np.array([xxhash.xxh3_64_intdigest(f"{name}={v}") % META_SIZE for v in coded.dictionary.to_pylist()], np.int64)
+        meta[:, j] = hashed[coded.indices.to_numpy()]
     return text, (meta.reshape(-1), np.arange(n + 1) * len(columns))
 
 
@@ -261,14 +265,16 @@ def cotrain(text: list[np.ndarray], meta: list[np.ndarray], labels: np.ndarray,
         past.append(now)
         weights = [fit_weights(b + c) for b, c in zip(base, pool_counts(pool, past), strict=True)]
     model = Model(*weights, history=history, prior=good)
-    y = labels[test].astype(float)
+    # every second held row calibrates, the others combine, unless one half lacks a class
+    halves = test[::2], test[1::2]
+    one, two = halves if all(len(set(labels[h].tolist())) == 2 for h in halves) else (test, test)
     z = []
     for v, w in enumerate((model.text, model.meta)):
-        m = np.array([w[rows[v][i]].mean() if len(rows[v][i]) else 0.0 for i in test])
-        c = logistic(m[:, None], y)
+        m = lambda at: np.array([w[rows[v][i]].mean() if len(rows[v][i]) else 0.0 for i in at])  # noqa: E731, B023
+        c = logistic(m(one)[:, None], labels[one].astype(float))
         model.calibrate.append(c)
-        z.append(np.clip(m * c[0] + c[1], -30, 30))
-    model.combine = logistic(np.column_stack(z), y)
+        z.append(np.clip(m(two) * c[0] + c[1], -30, 30))
+    model.combine = logistic(np.column_stack(z), labels[two].astype(float))
     return model
 
 
@@ -280,10 +286,10 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = 4, share: float = 0.05
     table = feature_rows(rows, ["doc_id", "label", "held"], f"doc_id {dict(docs.dtypes)['doc_id']}, label int, held boolean").toArrow()
     order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
     text, meta = ([np.frombuffer(x, np.uint16).astype(np.int64) for x in table.column(c).take(order).to_pylist()] for c in ("text_features", "meta_features"))
-    draw = (F.pmod(F.xxhash64("doc_id", "text", F.lit("draw")), F.lit(1 << 30)) / (1 << 30)).alias("draw")
-    # the join deals out features, which are far smaller than texts, and in the same way at any size
-    every = feature_rows(docs.withColumn("draw", draw), ["doc_id", "draw"], f"doc_id {dict(docs.dtypes)['doc_id']}, draw double")
-    pool = every.join(known.select("doc_id").hint("merge"), "doc_id", "left_anti").drop("doc_id")
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("draw")), F.lit(1 << 30)) / (1 << 30)
+    # at most max_labelled ids are broadcast
+    others = docs.join(F.broadcast(some.select("doc_id")), "doc_id", "left_anti")
+    pool = feature_rows(others.withColumn("draw", draw), ["draw"], "draw double")
     return cotrain(text, meta, table.column("label").to_numpy()[order], table.column("held").to_numpy(zero_copy_only=False).astype(bool)[order], pool, rounds, share)
 
 
