@@ -1,5 +1,8 @@
 """BPE encoding and decoding by batched merge rounds in numpy.
 
+Words of ASCII letters, perhaps with punctuation behind, are cut by eye; all others are normalised and cut into pieces by
+the normaliser and pre-tokeniser of the vocabulary file, so that both follow the library's own character tables.
+
 The symbols of many words lie in one flat array.  A round looks every adjacent pair up by binary search over the
 sorted pair keys, takes the lowest rank of each word, and merges that pair wherever it stands in the word, from the
 left; words without a known pair are finished and leave the array.  Only distinct words of a slice are encoded, and a
@@ -14,14 +17,13 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
 import string
-import unicodedata
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +32,6 @@ from .words import split_words, text_slices
 TOKENIZER = "word_bpe_49k.json"
 #: Finished words that a task keeps; the cache is emptied when it is full.
 CACHE_WORDS = 250_000
-SPACE = "\t-\r \u0085   -     　"
-PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
-
 #: ASCII symbols that no contraction of the pattern begins with.
 PUNCTUATION = string.punctuation.replace("'", "")
 
@@ -51,15 +50,14 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-def lower_each(text: str) -> str:
-    """Lower case character by character, without the rule for a final sigma."""
-    return text.lower() if text.isascii() or "Σ" not in text else "".join(c.lower() for c in text)
-
-
 class Merges:
     """A vocabulary with its merges, ready for batched rounds."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        self.normaliser, self.splitter = library.normalizer, library.pre_tokenizer
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
         model, letters = data["model"], byte_letters()
@@ -77,7 +75,8 @@ class Merges:
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         keys, rank = np.unique(keys, return_index=True)
         self.keys, self.rank, self.made = keys, rank.astype(np.int64), made[rank]
-        self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.byte_of = {c: b for b, c in enumerate(letters)}
         self.pieces: dict[str, list[int]] = {}
 
     def pieces_of(self, word: str) -> list[str]:
@@ -91,9 +90,9 @@ class Merges:
                 return [core.lower()] if len(core) == len(word) else [core.lower(), word[len(core) :]]
         if self.cut is not None and "<|" in word and (found := self.cut.search(word)):
             return [*self.pieces_of(word[: found.start()]), found[0], *self.pieces_of(word[found.end() :])]
-        if not word.isascii():
-            word = unicodedata.normalize("NFC", word)
-        return PIECE.findall(lower_each(word))
+        if not word:
+            return []
+        return [bytes(map(self.byte_of.__getitem__, piece)).decode() for piece, _ in self.splitter.pre_tokenize_str(self.normaliser.normalize_str(word))]
 
     def merge(self, pieces: list[str]) -> list[list[int]]:
         """The ids of each piece, by merge rounds over all of them at once."""

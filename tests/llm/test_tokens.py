@@ -45,6 +45,18 @@ def test_any_text(text):
     assert bpe.merges(PATH).decode(want) == LIBRARY.decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("form", ["x{}y", "{}", "e{}\u0301", "{}\u0327'S"])
+def test_all_characters(form):
+    """Every code point but the surrogates, in blocks."""
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3400 or c >= 0xA000) and (c < 0xAC00 or c >= 0xD7A4) and not 0x20000 <= c < 0x2FA00 and c < 0xF0000] + list(range(0x3400, 0x110000, 97))
+    for i in range(0, len(points), 20_000):
+        texts = [form.format(chr(c)) for c in points[i : i + 20_000] if not 0xD800 <= c < 0xE000]
+        want = [e.ids for e in LIBRARY.encode_batch_fast(texts, add_special_tokens=False)]
+        for encode in (lambda x: bpe.slice_ids(x, bpe.word_ids(PATH)), token_files.encoder(PATH)):
+            flat, offsets = encode(pa.array(texts, pa.string()))
+            assert [flat[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == want
+
+
 def test_merges_make_later_ranks():
     """A merged symbol only takes part in merges of a higher rank, so all places of a pair may be merged at once."""
     m = bpe.merges(PATH)
