@@ -8,12 +8,11 @@ system; the chunk index is a second table with, for each chunk, its documents an
 ids.
 
 Texts: null and empty have only the end id.  Rows with equal or null document ids keep a place of their own; null comes
-first and equal ids are ordered by text.  A document longer than a chunk makes a chunk with many blocks.
+first and equal ids are ordered by a hash of the text.  A document longer than a chunk makes a chunk with many blocks.
 """
 
 from __future__ import annotations
 
-import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -24,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import PUNCTUATION, WordCache, byte_letters, lower_each, slice_ids, tokenizer_path
+from .bpe import PUNCTUATION, WordCache, byte_letters, slice_ids, tokenizer_path
 from .cluster import shared_dir
 from .words import text_slices
 
@@ -32,6 +31,10 @@ BLOCK = 1 << 16
 #: Ids after which a chunk is closed.
 CHUNK = 1 << 20
 BYTE_LETTERS = dict(enumerate(byte_letters()))
+#: Letters before this one are older than any table of characters in use, and none of them composes with another.
+OLD_LETTERS = "\u02b0"
+#: Files whose chunks are numbered within one task.
+INDEX_FILES = 1024
 #: Bytes of text for each file.
 FILE_BYTES = 48 << 20
 CHUNK_SCHEMA = "file int, chunk int, doc_ids array<bigint>, sizes array<bigint>, n_ids bigint, planes string, blocks array<struct<n: int, planes: array<binary>>>"
@@ -57,8 +60,8 @@ class Encoder:
     """Ids of words by the tokenizers library, once for each distinct word of a slice.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those of its words in order.
-    A word of ASCII letters, perhaps with punctuation behind, needs no normaliser and is cut by eye; its pieces go
-    straight to the library's model.  All other words take the whole way through the library.
+    A word of letters below ``OLD_LETTERS``, perhaps with ASCII punctuation behind, needs no normaliser and is cut by eye;
+    its pieces go straight to the library's model.  All other words take the whole way through the library.
     """
 
     def __init__(self, path: str):
@@ -79,7 +82,7 @@ class Encoder:
         for word in words:
             core = word.rstrip(PUNCTUATION)
             size = len(core)
-            if core.isalpha():
+            if core.isalpha() and max(core) < OLD_LETTERS:
                 core = core.lower() if core.isascii() else self.letters_of(core)
             else:
                 core = ""
@@ -95,10 +98,8 @@ class Encoder:
     @staticmethod
     def letters_of(core: str) -> str:
         """A word of letters, lower-cased, in the vocabulary's characters for its bytes; empty if that isn't certain."""
-        if not unicodedata.is_normalized("NFC", core):
-            return ""
-        core = lower_each(core)
-        return core.encode().decode("latin-1").translate(BYTE_LETTERS) if core.isalpha() else ""
+        lower = core.lower()
+        return lower.encode().decode("latin-1").translate(BYTE_LETTERS) if lower.isalpha() and len(lower) == len(core) else ""
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return slice_ids(column, self.cache)
@@ -148,16 +149,26 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
             yield close()
 
     schema = pa.schema([("file", pa.int32()), ("chunk", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("planes", pa.string()), ("blocks", pa.list_(pa.struct([("n", pa.int32()), ("planes", pa.list_(pa.binary()))])))])
-    order = [F.asc_nulls_first("doc_id"), F.asc_nulls_first("text")]
-    ranged = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange(int(files), *order).sortWithinPartitions(*order)
-    chunks = ranged.withColumn("file", F.spark_partition_id()).mapInArrow(run, CHUNK_SCHEMA)
+    # Spark samples what it sorts by: ids and hashes, never texts
+    order = [F.asc_nulls_first("doc_id"), F.asc("hash"), F.asc("tie")]
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("tie"))
+    ranged = keyed.repartitionByRange(int(files), *order).sortWithinPartitions(*order)
+    chunks = ranged.select("doc_id", "text", F.spark_partition_id().alias("file")).mapInArrow(run, CHUNK_SCHEMA)
     chunks.write.option("compression", "none").parquet(f"{path}/chunks")
-    # the index needs only the narrow columns; files are few, so their totals go to one task
     narrow = spark.read.schema(CHUNK_SCHEMA).parquet(f"{path}/chunks").select("file", "chunk", "n_ids", F.size("doc_ids").alias("n_docs"), F.get("doc_ids", F.lit(0)).alias("first_doc"), F.element_at("doc_ids", -1).alias("last_doc"))
-    per_file = narrow.groupBy("file").agg(F.sum("n_ids").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = Window.partitionBy("file").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    index = narrow.join(per_file.select("file", "before"), "file").withColumn("start", F.col("before") + F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).drop("before")
-    index.coalesce(1).write.parquet(f"{path}/index")
+    index_of(narrow).write.parquet(f"{path}/index")
+
+
+def index_of(chunks: DataFrame) -> DataFrame:
+    """``chunks`` with ``start``, how many ids stand before each: sums over runs of files, then within each run.
+
+    One task sees the totals of the runs, a row for ``INDEX_FILES`` files; any other the chunks of one run.
+    """
+    runs = chunks.withColumn("run", F.floor(F.col("file") / INDEX_FILES))
+    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = runs.groupBy("run").agg(F.sum("n_ids").alias("n_ids")).select("run", before(Window.orderBy("run")).alias("base"))
+    inside = runs.withColumn("start", before(Window.partitionBy("run").orderBy("file", "chunk")))
+    return inside.join(totals, "run").withColumn("start", F.col("start") + F.col("base")).drop("run", "base")
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
