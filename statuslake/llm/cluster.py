@@ -44,6 +44,22 @@ def drop_table(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: A key is hot if it holds more than one in so many rows; there are fewer hot keys than this.
+HOT = 1000
+
+
+def join_members(rows: DataFrame, classes: DataFrame, on: list[str], members: str = "members") -> DataFrame:
+    """``rows`` joined with ``classes``, which has a row for each key with the number of its rows in ``members``.
+
+    The classes of hot keys, fewer than ``HOT`` at any size, are broadcast; all others meet their rows by a shuffle, so no
+    task gets more than a thousandth of the rows for one key.  ``rows`` is read twice and should be a written table.
+    """
+    total = classes.agg(F.sum(members)).first()[0] or 0
+    hot = F.broadcast(classes.where(F.col(members) * HOT > total))
+    rest = rows.join(hot.select(*on), on, "left_anti").join(classes.where(F.col(members) * HOT <= total), on)
+    return rows.join(hot, on).unionByName(rest)
+
+
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in the executors' Python workers."""
     context = spark.sparkContext

@@ -13,7 +13,7 @@ different components are examined, none is left out.
 Before sets are fetched, bitmaps rule pairs out: every item sets one of 1,024 bits, so bits that differ prove items that
 differ, and a pair with more of them than its similarity allows can't be a link.  That test never dismisses a link.
 
-Sets hold 50-bit hashes of shingles.  Defined results: null, empty and blank texts have an empty set and are linked
+Sets hold 64-bit hashes of shingles.  Defined results: null, empty and blank texts have an empty set and are linked
 with nothing; a text of fewer words than a shingle has one, the whole sequence; rows with a null id are returned with a
 null component and kept; repeated rows share their component, and rows that share an id are one node; other columns are
 not read; an empty table gives an empty table.
@@ -28,19 +28,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import components, durable
+from .cluster import components, durable, join_members
 from .words import MIX, hash_words, mix64, split_words, text_slices
 
-VALUE_BITS = 50
 #: 64-bit words of a bitmap.
 BITMAP = 16
 #: Ids that are broadcast to fetch their texts, 16 bytes each; beyond that the texts are shuffled.
 BROADCAST_IDS = 1_000_000
-MAX_DOCS = 1 << (64 - VALUE_BITS)
+#: Texts whose sets are built at once; their numbers are sorted as 16-bit integers.
+MAX_DOCS = 1 << 14
 
 
 def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct 50-bit shingle hashes of at most 16,384 texts, and the texts' offsets in them."""
+    """The sorted distinct shingle hashes of at most ``MAX_DOCS`` texts, and the texts' offsets in them."""
     vocabulary, codes, offsets = split_words(column)
     word = hash_words(vocabulary)[codes] if len(codes) else np.zeros(0, np.uint64)
     n = np.diff(offsets)
@@ -51,7 +51,7 @@ def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
         nxt[: max(total - i, 0)] = word[i:]
         value = mix64(value * MIX + nxt)
     count = np.where(n >= k, n - k + 1, 0)
-    owner = np.repeat(np.arange(len(n), dtype=np.uint64), count)
+    owner = np.repeat(np.arange(len(n), dtype=np.uint16), count)
     ends = np.cumsum(count)
     at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(offsets[:-1] - (ends - count), count)
     value = value[at]
@@ -59,12 +59,14 @@ def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
         short = mix64(np.array([int(n[d])], np.uint64))
         for w in word[offsets[d] : offsets[d + 1]]:
             short = mix64(short * MIX + w)
-        value, owner = np.append(value, short), np.append(owner, np.uint64(d))
-    key = np.sort((owner << np.uint64(VALUE_BITS)) | (value >> np.uint64(64 - VALUE_BITS)))
-    if len(key):
-        key = key[np.append(True, key[1:] != key[:-1])]
-    own = (key >> np.uint64(VALUE_BITS)).astype(np.int64)
-    return key & np.uint64((1 << VALUE_BITS) - 1), np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(n)))]).astype(np.int64)
+        value, owner = np.append(value, short), np.append(owner, np.uint16(d))
+    order = np.argsort(value)
+    order = order[np.argsort(owner[order], kind="stable")]
+    value, owner = value[order], owner[order]
+    if len(value):
+        new = np.append(True, (value[1:] != value[:-1]) | (owner[1:] != owner[:-1]))
+        value, owner = value[new], owner[new]
+    return value, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(n)))]).astype(np.int64)
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -156,8 +158,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, m: int
     docs = docs.select("doc_id", "text")
     signed = durable(signatures(docs, shingle, m, t), "signatures")
     known = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = known.groupBy("s0", "s1", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    copies = known.select("doc_id", "s0", "s1", "n_shingles").join(classes, ["s0", "s1", "n_shingles"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    classes = durable(known.groupBy("s0", "s1", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")), "classes")
+    copies = join_members(known.select("doc_id", "s0", "s1", "n_shingles"), classes, ["s0", "s1", "n_shingles"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     reps = durable(known.join(classes.select("s0", "s1", "n_shingles", F.col("rep").alias("doc_id")), ["s0", "s1", "n_shingles", "doc_id"], "left_semi").drop("s0", "s1"), "representatives")
     table = F.posexplode(F.expr(f"flatten(transform(slice(keys, 1, {m}), x -> transform(slice(keys, {m + 1}, {m}), y -> xxhash64(x, y))))")).alias("table", "pair")
     rows = reps.select(F.col("doc_id").alias("id"), table).select("id", "table", F.xxhash64("table", "pair").alias("key"))
@@ -201,3 +203,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, m: int
     found = components(durable(links.union(copies), "edges")).select(F.col("id").alias("doc_id"), F.col("component").alias("component_id"))
     out = signed.select("doc_id", "n_shingles").join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 1, 1))) AS i FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, list_slice(w, i, i + 1) AS s FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, m.doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)
+"""
