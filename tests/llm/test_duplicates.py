@@ -1,7 +1,12 @@
 """Operators 4, 5, 7 and 8 against brute force."""
 
+import hashlib
+import heapq
+import random
 import re
-from collections import Counter, defaultdict
+import zlib
+from collections import Counter
+from itertools import accumulate, groupby
 
 import numpy as np
 
@@ -87,24 +92,46 @@ def test_decontamination(spark, sf_dir, documents, odd, empty):
     assert kept.count() == want
 
 
-def test_shards(documents, odd, empty):
-    for docs in (documents, odd):
-        rows = docs.collect()
+def plain_schedule(sizes, shards):
+    """Items one by one through a heap."""
+    heap, out = [(0, i) for i in range(shards)], {size: [0] * shards for size, _ in sizes}
+    for size, count in sorted(sizes, reverse=True):
+        for _ in range(count):
+            load, i = heapq.heappop(heap)
+            out[size][i] += 1
+            heapq.heappush(heap, (load + size, i))
+    return out
+
+
+def test_schedule_equals_dealing_one_by_one():
+    rng = random.Random(3)
+    for _ in range(500):
+        sizes = list({rng.randint(1, 60): rng.randint(1, 80) for _ in range(rng.randint(0, 12))}.items()) + [(rng.randint(100, 5000), rng.randint(1, 2))]
+        shards = rng.randint(1, 9)
+        assert sharding.schedule(sizes, shards) == plain_schedule(sizes, shards)
+
+
+def brute_shards(rows, shards):
+    """Rows as (doc_id, size, crc32, shard) by scheduling the groups of equal texts one by one."""
+    size = lambda t: len((t or "").encode()) + 1
+    members = Counter(t for _, t in rows)
+    groups = sorted(((n * size(t), hashlib.sha256(t.encode()).hexdigest() if t is not None else "null", t) for t, n in members.items()), key=lambda g: (-g[0], g[1]))
+    dealt = plain_schedule(Counter(g[0] for g in groups).items(), shards)
+    home = {t: next(s for s, end in enumerate(accumulate(dealt[total])) if place < end) for total, own in groupby(groups, key=lambda g: g[0]) for place, (_, _, t) in enumerate(own)}
+    return Counter((i, size(t), zlib.crc32((t or "").encode()), home[t]) for i, t in rows)
+
+
+def test_shards(spark, documents, odd, empty):
+    many = spark.createDataFrame([(i, "same" if i % 3 == 0 else f"{'ab' * (i % 5)}{i:05}") for i in range(4000)], "doc_id bigint, text string")
+    for docs in (documents, odd, many):
+        rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
         got = sharding.assign(docs, 8).collect()
-        assert len(got) == len(rows)
-        slots, loads, homes = defaultdict(list), Counter(), defaultdict(set)
-        for r in got:
-            slots[r["shard"]].append(r["slot"])
-            loads[r["shard"]] += r["size"]
-        text = {(r["doc_id"]): r["text"] for r in rows}
-        for r in got:
-            homes[text[r["doc_id"]]].add(r["shard"])
-        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-        assert all(len(s) == 1 for s in homes.values())
-        if docs is documents:
-            assert max(loads.values()) - min(loads.values()) <= max(r["size"] for r in got)
+        assert Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"]) for r in got) == brute_shards(rows, 8)
+        for shard in range(8):
+            own = sorted((r["slot"], r["doc_id"] is not None, r["doc_id"] or 0) for r in got if r["shard"] == shard)
+            assert [slot for slot, *_ in own] == list(range(len(own)))
+            assert [k for _, *k in own] == sorted(k for _, *k in own)
     assert sharding.assign(empty, 8).count() == 0
-    assert sharding.schedule([(5, "a"), (4, "b"), (3, "c"), (3, "d"), (3, "e")], 2) == {"a": 0, "b": 1, "c": 1, "d": 0, "e": 1}
 
 
 def check_vectors(spark, rows):
