@@ -6,7 +6,7 @@ necessary prefix; shingles are ordered by rarity and the rarest, the one met at
 taken.  Documents meet windows on that shingle alone; the length of the document and the shingle's place in the window
 bound where an occurrence can start; and a candidate is confirmed if every shingle of the window stands at its place.
 
-Documents are never shuffled: their shingles are matched against the benchmark's, which are broadcast if they are at
+Texts are not shuffled to find hits: their shingles are matched against the benchmark's, which are broadcast if they are at
 most ``BROADCAST_SHINGLES`` (counted first) and joined by a shuffle beyond that; only places that match go on.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` with A-Z lower-cased; shingles are three words (one or two for
@@ -26,6 +26,8 @@ from .cluster import durable
 
 #: 24 bytes each: 48 MB.
 BROADCAST_SHINGLES = 2_000_000
+#: 16 bytes each: 16 MB.
+BROADCAST_IDS = 1_000_000
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHINGLE = 3
 
@@ -100,8 +102,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """``docs`` without the documents in which a window of the benchmark occurs."""
-    bad = hits(docs, benchmark, window).where("n_hit > 0").select("doc_id", "row").distinct()
+    """``docs`` without the documents in which a window of the benchmark occurs.
+
+    The ids of hit documents are broadcast if they are at most ``BROADCAST_IDS`` (counted first); beyond that documents
+    are shuffled to meet them.
+    """
+    bad = durable(hits(docs, benchmark, window).where("n_hit > 0").select("doc_id", "row").distinct(), "hit")
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad
     keyed = docs.withColumn("statuslake_row", F.xxhash64("doc_id", "text"))
     return keyed.join(bad.withColumnsRenamed({"doc_id": "statuslake_id", "row": "statuslake_bad"}), F.col("doc_id").eqNullSafe(F.col("statuslake_id")) & (F.col("statuslake_row") == F.col("statuslake_bad")), "left_anti").drop("statuslake_row")
 
