@@ -1,7 +1,9 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
 
-Every stage sees all rows that its predecessor kept and returns the columns of ``documents``; the last returns token
-ids.  Rows with a null doc_id pass the classifier and decontamination as any other and are never dropped as duplicates.
+Every stage sees all rows that its predecessor kept and returns the columns of ``documents``, further ones included; the
+last returns token ids.  Defined results, the same in all stages: an empty table gives an empty table; whole texts are
+read, however long; a null text counts as the empty one; a null doc_id is an id like any other; rows that share an id
+are rows of their own, and only those of equal text, too, are repeats.
 """
 
 from __future__ import annotations
@@ -17,34 +19,39 @@ QUALITY_THRESHOLD = 0.3
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier doesn't reject."""
+    """Documents that the co-trained classifier doesn't reject; all of them if no label names one. Repeats fare alike."""
     ship(spark)
     model = cotraining.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return cotraining.score(docs, model, QUALITY_THRESHOLD).where("kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates on five-word shingles at a similarity of 0.8: the smallest id."""
+    """One document of each group of near-duplicates on five-word shingles at a similarity of 0.8: the smallest id.
+
+    Of rows of one id and one text one stays, and of rows of one id and different texts all that aren't near-duplicates.
+    Null and blank texts are near-duplicates of nothing.
+    """
     ship(spark)
-    found = minhash.near_duplicates(docs, shingle=5, percent=80)
-    gone = found.where("NOT kept").select("doc_id").distinct()
-    # rows that repeat a kept document's id are copies of it or other texts under its id: one row stays
-    return docs.join(gone, "doc_id", "left_anti").where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    node = F.struct("doc_id", F.xxhash64("text").alias("text"))
+    found = minhash.near_duplicates(docs.select(node.alias("doc_id"), "text"), shingle=5, percent=80)
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("pipeline_node")).distinct()
+    return docs.withColumn("pipeline_node", node).dropDuplicates(["pipeline_node"]).join(gone, "pipeline_node", "left_anti").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of ten benchmark words occurs."""
+    """Documents in which no window of ten benchmark words occurs; all of them if the benchmark is empty."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by surrogates, lengths brought up to date."""
-    out = pii.anonymise(docs).drop("n_entities")
-    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(dict(docs.dtypes)["n_chars"])))
+    """All documents, personal data replaced by surrogates; ``n_chars``, if there is one, follows the new text."""
+    out = pii.anonymise(docs).select(*docs.columns)
+    kinds = dict(docs.dtypes)
+    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(kinds["n_chars"]))) if "n_chars" in kinds else out
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of each whole text."""
+    """doc_id, n_tokens and ids of each whole text; no ids for null and empty texts."""
     ship(spark)
     return bpe.encode(docs)
 
