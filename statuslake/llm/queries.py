@@ -76,4 +76,4 @@ def shipped(query: Query) -> Query:
 ALL = (op1_token_files, op2_cotraining, op3_pii, op4_minhash, op5_decontaminate, op6_ctw, op7_shards, op8_vectors, op9_bpe, op10_url_lists)
 QUERIES: dict[str, Query] = {f.__name__: shipped(f) for f in ALL}
 #: The others hash, fit or write files; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op5_decontaminate": decontaminate.ORACLE, "op10_url_lists": url_lists.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op4_minhash": minhash.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op8_vectors": vectors.ORACLE, "op10_url_lists": url_lists.ORACLE}

@@ -3,12 +3,17 @@
 Unit vectors of cosine at least ``c`` are within squared distance ``2 - 2c``.  A seeded rotation spreads that distance
 over all coordinates, which are split into ``blocks``; in at least one block a linked pair is within its share of the
 budget (proportional to the block's dimensions).  Each block is range-joined on its own: a grid over its first
-``grid`` coordinates, with cells twice as wide as the radius, sends a vector to its own cell and, as a query, to the
-cells its ball touches; inside a cell pairs are compared in numpy by their distance in the block.  The union of all
-blocks' pairs is verified on the whole vectors in double precision.
+``grid`` coordinates, with cells as wide as the ball, sends a vector to its own cell and, as a query, to those cells its
+ball touches that come before its own, so a pair meets in one cell of a block.  Inside a cell the block's distances pick
+candidates, whole vectors confirm them by their cosine in double precision, and a pair counts in the first block that
+finds it.
 
-A cell with more than ``CELL_ROWS`` vectors is cut into pieces whose pairs of pieces are separate groups, so no task
-gets an unbounded cell.  Exact copies meet first and are one class, joined once, and counted in the links of others.
+Pairs never leave the task: a cell returns how many vectors each of its vectors is linked with, and a spanning forest
+of the links.  A cell of more than ``CELL_ROWS`` rows is cut into pieces whose pairs are separate groups, so no task gets
+an unbounded cell.  Exact copies meet first and are one class, joined once, and counted in the links of others.
+
+Matrix products decide wherever they are clear; within ``BAND`` of a threshold the same sums are taken term by term, so
+all tasks decide alike.  The cosine of a pair right at the threshold is that of the given values.
 
 Defined results: null vectors, zero vectors, vectors that hold null or non-finite components link with nothing, and so
 do vectors of different lengths with each other; rows with a null id keep a row without links, component null, and are
@@ -18,20 +23,27 @@ gives an empty table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import components, durable
+from .cluster import components, durable, join_members
 
 CELL_ROWS = 8192
-TILE = 1024
-#: The name of a vector's value: 60 bits of a hash of its components (0.0 and -0.0 are the same).
-CLASS_ID = "CAST(conv(substr(sha2(concat_ws(',', transform(embedding, x -> CAST(x + 0.0D AS STRING))), 256), 1, 15), 16, 10) AS BIGINT)"
+TILE = 512
+#: The name of a vector's value: a hash of its components (0.0 and -0.0 are the same).
+CLASS_NAME = "unhex(sha2(concat_ws(',', transform(embedding, x -> CAST(x + 0.0D AS STRING))), 256))"
 #: Added to squared radii, above the rounding of unit vectors in double precision.
 SLACK = 1e-9
+#: What matrix products of unit vectors are trusted to.
+BAND = 1e-11
+#: Cells of several pieces that are broadcast, about 40 bytes each; beyond that they are shuffled.
+BROADCAST_CELLS = 1_000_000
+#: Bits of a cell's number for each coordinate.
+CELL_BITS = 20
 
 
 def rotation(n: int, seed: int = 7) -> np.ndarray:
@@ -45,114 +57,196 @@ def usable(c: str) -> Column:
     return F.col(c).isNotNull() & (F.size(c) > 0) & finite & F.expr(f"exists({c}, x -> x <> 0)")
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    return x / np.abs(x).max(axis=1, keepdims=True)
+
+
+def rotated(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors and their rotation; term by term, so that a vector has the same bits in every task."""
+    x = scaled(x)
+    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    out = np.zeros_like(unit)
+    for weight, row in zip(unit.T, rotation(x.shape[1]), strict=True):
+        out += weight[:, None] * row
+    return unit, out
+
+
+def block_dims(n: int, blocks: int, cosine: float) -> list[tuple[np.ndarray, float]]:
+    """The coordinates of each block and its share of the squared distance."""
+    return [(dims, (2 - 2 * cosine) * len(dims) / n + SLACK) for dims in np.array_split(np.arange(n), min(blocks, n))]
+
+
 def cells(vectors: DataFrame, cosine: float, blocks: int, grid: int) -> DataFrame:
-    """(n, block, cell, own, id, part): a row for each block and cell; ``own`` in the vector's own cell."""
-    budget = 2 - 2 * cosine
+    """``vectors`` (id, members, v) with (n, block, cell, own): a row for each block and cell; ``own`` in the own cell."""
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            sizes = np.array(batch.column("n").to_numpy())
-            arrays = batch.column("v")
+            sizes = batch.column("v").value_lengths().to_numpy()
             for n in np.unique(sizes):
-                at = np.flatnonzero(sizes == n)
-                x = arrays.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), n)
-                x = x / np.abs(x).max(axis=1, keepdims=True)
-                x = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ rotation(n)
-                for b, dims in enumerate(np.array_split(np.arange(n), min(blocks, n))):
-                    y = x[:, dims]
-                    r = np.sqrt(budget * len(dims) / n + SLACK)
-                    g = min(grid, len(dims))
-                    low = np.floor((y[:, :g] - r) / (2 * r)).astype(np.int64)
-                    high = np.floor((y[:, :g] + r) / (2 * r)).astype(np.int64)
-                    own = np.floor(y[:, :g] / (2 * r)).astype(np.int64)
+                part = batch.take(pa.array(np.flatnonzero(sizes == n)))
+                _, x = rotated(part.column("v").flatten().to_numpy().astype(np.float64).reshape(-1, n))
+                for b, (dims, limit) in enumerate(block_dims(n, blocks, cosine)):
+                    g, r = min(grid, len(dims)), np.sqrt(limit)
+                    width = 2 * r * (1 + 1e-9)
+                    at = lambda y, w=width: np.floor(y / w).astype(np.int64) + (1 << (CELL_BITS - 1))
+                    y = x[:, dims[:g]]
+                    low, high, own = at(y - r), at(y + r), at(y)
+                    number = lambda c, g=g: sum(c[:, k] << (CELL_BITS * k) for k in range(g))
+                    home = number(own)
                     for corner in range(1 << g):
                         pick = np.array([(corner >> k) & 1 for k in range(g)], bool)
-                        touched = np.where(pick, high, low)
-                        ok = ((low != high) | ~pick).all(axis=1)
-                        if not ok.any():
-                            continue
-                        cell = touched[ok]
-                        mixed = np.full(len(cell), np.int64(n * 1009 + b))
-                        for k in range(g):
-                            mixed = mixed * np.int64(1_000_003) + cell[:, k]
-                        rows = y[ok]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), n, np.int32)), pa.array(np.full(len(cell), b, np.int32)), pa.array(mixed), pa.array((cell == own[ok]).all(axis=1)), pa.array(ids[at][ok]), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.reshape(-1)))], ["n", "block", "cell", "own", "id", "part"])
-
-    kind = dict(vectors.dtypes)["id"]
-    return vectors.select("id", F.size("v").alias("n"), "v").mapInArrow(run, f"n int, block int, cell bigint, own boolean, id {kind}, part array<double>")
-
-
-def candidates(placed: DataFrame, cosine: float) -> DataFrame:
-    """Distinct pairs (a, b), a < b, within the budget of some block."""
-    counts = placed.groupBy("n", "block", "cell").agg(F.count_if("own").alias("data"), F.count("*").alias("asked")).where("data > 0 AND asked > 1")
-    pieces = counts.select("n", "block", "cell", F.expr(f"CAST(ceil(data / {CELL_ROWS}) AS INT)").alias("d"), F.expr(f"CAST(ceil(asked / {CELL_ROWS}) AS INT)").alias("q"))
-    rows = placed.join(pieces, ["n", "block", "cell"])
-    data = rows.where("own").select("n", "block", "cell", F.expr("pmod(xxhash64(id), d)").alias("i"), F.explode(F.expr("sequence(0, q - 1)")).alias("j"), F.lit(True).alias("data"), "id", "part")
-    asked = rows.select("n", "block", "cell", F.explode(F.expr("sequence(0L, d - 1L)")).alias("i"), F.expr("CAST(pmod(xxhash64(id), q) AS INT)").alias("j"), F.lit(False).alias("data"), "id", "part")
-    budget = 2 - 2 * cosine
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf["data"].to_numpy()
-        part = np.stack(pdf["part"].to_numpy())
-        ids = pdf["id"].to_numpy()
-        x, y, a, b = part[own], part[~own], ids[own], ids[~own]
-        limit = budget * part.shape[1] / pdf["n"].iloc[0] + SLACK
-        xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
-        left, right = [], []
-        for i in range(0, len(x), TILE):
-            near = xx[i : i + TILE, None] + yy[None, :] - 2 * (x[i : i + TILE] @ y.T) <= limit
-            p, q = np.nonzero(near)
-            ok = a[i + p] < b[q]
-            left.append(a[i + p[ok]])
-            right.append(b[q[ok]])
-        return pd.DataFrame({"a": np.concatenate(left) if left else ids[:0], "b": np.concatenate(right) if right else ids[:0]})
-
-    kind = dict(placed.dtypes)["id"]
-    return data.unionByName(asked).groupBy("n", "block", "cell", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
-
-
-def links(vectors: DataFrame, cosine: float = 0.95, blocks: int = 8, grid: int = 3) -> DataFrame:
-    """(a, b, cosine), a < b, for all pairs of ``vectors`` (id, v) with at least that cosine."""
-    placed = durable(cells(vectors, cosine, blocks, grid), "cells")
-    pairs = durable(candidates(placed, cosine), "candidates")
-    side = lambda c: vectors.select(F.col("id").alias(c), F.col("v").alias(f"v{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-
-    def exact(batches):
-        for batch in batches:
-            if not batch.num_rows:
+                        cell = number(np.where(pick, high, low))
+                        ok = ((low != high) | ~pick).all(axis=1) & (cell <= home)
+                        if ok.any():
+                            use = part.filter(pa.array(ok))
+                            yield pa.RecordBatch.from_arrays([*use.columns, pa.array(np.full(use.num_rows, n, np.int32)), pa.array(np.full(use.num_rows, b, np.int32)), pa.array(cell[ok]), pa.array((cell == home)[ok])], [*use.schema.names, "n", "block", "cell", "own"])
+
+    kinds = dict(vectors.dtypes)
+    return vectors.select("id", "members", "v").mapInArrow(run, f"id binary, members bigint, v {kinds['v']}, n int, block int, cell bigint, own boolean")
+
+
+def dealt(placed: DataFrame) -> DataFrame:
+    """Rows of cells in groups (n, block, cell, i, j): a row's piece meets every piece of its cell, itself included."""
+    counts = placed.groupBy("n", "block", "cell").count().where(f"count > {CELL_ROWS}")
+    pieces = durable(counts.select("n", "block", "cell", F.expr(f"CAST(ceil(count / {CELL_ROWS}) AS INT)").alias("pieces")), "pieces")
+    pieces = F.broadcast(pieces) if pieces.count() <= BROADCAST_CELLS else pieces
+    rows = placed.join(pieces, ["n", "block", "cell"], "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    rows = rows.withColumn("piece", F.expr("CAST(pmod(xxhash64(id), pieces) AS INT)")).withColumn("with", F.explode(F.expr("sequence(0, pieces - 1)")))
+    return rows.select("n", "block", "cell", F.least("piece", "with").alias("i"), F.greatest("piece", "with").alias("j"), "piece", "own", "id", "members", "v")
+
+
+def labels_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Component numbers of rows and columns of a link matrix without empty rows and columns."""
+    m, none = mask.shape[0], mask.size + sum(mask.shape)
+    rows, cols = np.arange(m), np.full(mask.shape[1], none)
+    while True:
+        cols_new = np.minimum(cols, np.where(mask, rows[:, None], none).min(axis=0))
+        rows_new = np.minimum(rows, np.where(mask, cols_new[None, :], none).min(axis=1))
+        if (rows_new == rows).all() and (cols_new == cols).all():
+            return rows, cols
+        rows, cols = rows_new, cols_new
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``n`` edges that connect what the edges (a, b) over 0, ..., n - 1 connect: each node and its root."""
+    root = np.arange(n)
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        if (low == high).all():
+            break
+        np.minimum.at(root, high, low)
+        while (root != root[root]).any():
+            root = root[root]
+    node = np.flatnonzero(root != np.arange(n))
+    return node, root[node]
+
+
+class Cell:
+    """The rows of one group, and what was found among them."""
+
+    def __init__(self, n: int, block: int, values: np.ndarray, members: np.ndarray, cosine: float, blocks: int):
+        self.raw, self.members, self.cosine = scaled(values), members.astype(np.float64), cosine
+        self.unit, x = rotated(values)
+        self.parts = [(np.ascontiguousarray(x[:, dims]), limit) for dims, limit in block_dims(n, blocks, cosine)][: block + 1]
+        self.squares = [(y * y).sum(axis=1) for y, _ in self.parts]
+        self.counts = np.zeros(len(values))
+        self.edges: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def near(self, b: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Which rows p and q are within the budget of block ``b``, as a matrix."""
+        y, limit = self.parts[b]
+        over = self.squares[b][p][:, None] + self.squares[b][q][None, :] - 2 * (y[p] @ y[q].T) - limit
+        out = over <= 0
+        i, j = np.nonzero(np.abs(over) <= BAND)
+        if len(i):
+            out[i, j] = ((y[p[i]] - y[q[j]]) ** 2).sum(axis=1) <= limit
+        return out
+
+    def alike(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        over = self.unit[p] @ self.unit[q].T - self.cosine
+        out = over >= 0
+        i, j = np.nonzero(np.abs(over) <= BAND)
+        if len(i):
+            x, y = self.raw[p[i]], self.raw[q[j]]
+            out[i, j] = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1)) >= self.cosine
+        return out
+
+    def compare(self, p: np.ndarray, q: np.ndarray | None = None) -> None:
+        """All pairs of rows p and q, or of two different rows of p."""
+        for at in range(0, len(p), TILE):
+            x = p[at : at + TILE]
+            y = p[at:] if q is None else q
+            found = self.near(len(self.parts) - 1, x, y)
+            if q is None:
+                found &= np.arange(len(y))[None, :] > np.arange(len(x))[:, None]
+            if not found.any():
                 continue
-            n = np.asarray(batch.column("va").value_lengths())
-            out = np.zeros(batch.num_rows)
-            for k in np.unique(n):
-                at = np.flatnonzero(n == k)
-                x, y = (batch.column(c).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), k) for c in ("va", "vb"))
-                x, y = (z / np.abs(z).max(axis=1, keepdims=True) for z in (x, y))
-                out[at] = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
-            batch = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out)], ["a", "b", "cosine"])
-            yield batch.filter(pa.array(out >= cosine))
-
-    kind = dict(vectors.dtypes)["id"]
-    return both.mapInArrow(exact, f"a {kind}, b {kind}, cosine double")
-
-
-def near_duplicates(rows: DataFrame, cosine: float = 0.95, blocks: int = 8, grid: int = 3) -> DataFrame:
+            row, col = found.any(axis=1), found.any(axis=0)
+            x, y, found = x[row], y[col], found[row][:, col]
+            found &= self.alike(x, y)
+            for b in range(len(self.parts) - 1):
+                if found.any():
+                    found &= ~self.near(b, x, y)
+            if not found.any():
+                continue
+            row, col = found.any(axis=1), found.any(axis=0)
+            x, y, found = x[row], y[col], found[row][:, col]
+            np.add.at(self.counts, x, found @ self.members[y])
+            np.add.at(self.counts, y, self.members[x] @ found)
+            rows, cols = labels_of(found)
+            self.edges += [(x, x[rows]), (y, x[cols])]
+
+
+def linked(vectors: DataFrame, cosine: float, blocks: int = 4, grid: int = 2) -> DataFrame:
+    """(id, other, n) over ``vectors`` (id, members, v): ``n`` members of linked vectors, or, with ``other``, an edge."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        n, block, _, i, j = (k.as_py() for k in key)
+        table = table.combine_chunks()
+        values = table.column("v").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, n)
+        own, piece = table.column("own").to_numpy().astype(bool), table.column("piece").to_numpy()
+        cell = Cell(n, block, values, table.column("members").to_numpy(), cosine, blocks)
+        if i == j:
+            cell.compare(np.flatnonzero(own))
+            cell.compare(np.flatnonzero(own), np.flatnonzero(~own))
+        else:
+            cell.compare(np.flatnonzero(own & (piece == i)), np.flatnonzero(piece == j))
+            cell.compare(np.flatnonzero(~own & (piece == i)), np.flatnonzero(own & (piece == j)))
+        some = np.flatnonzero(cell.counts)
+        a, b = forest(len(values), *(np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*cell.edges, strict=True) if cell.edges else ((), ()))))
+        ids = table.column("id").combine_chunks()
+        take = lambda *at: ids.take(pa.array(np.concatenate(at)))
+        other = pa.concat_arrays([pa.nulls(len(some), pa.binary()), ids.take(pa.array(b)).cast(pa.binary())])
+        return pa.table({"id": take(some, a), "other": other, "n": pa.array(np.concatenate([cell.counts[some], np.zeros(len(a))]).astype(np.int64))})
+
+    groups = dealt(cells(vectors, cosine, blocks, grid)).groupBy("n", "block", "cell", "i", "j")
+    return groups.applyInArrow(run, "id binary, other binary, n bigint")
+
+
+def near_duplicates(rows: DataFrame, cosine: float = 0.95, blocks: int = 4, grid: int = 2) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row of ``rows`` (vec_id, embedding)."""
-    rows = durable(rows.select("vec_id", "embedding").withColumn("name", F.when(F.col("vec_id").isNotNull() & usable("embedding"), F.expr(CLASS_ID))), "vectors")
+    rows = durable(rows.select("vec_id", "embedding").withColumn("name", F.when(F.col("vec_id").isNotNull() & usable("embedding"), F.expr(CLASS_NAME))), "vectors")
     good = rows.where("name IS NOT NULL")
-    ids = good.select("vec_id", "name").distinct()
+    ids = durable(good.select("vec_id", "name").distinct(), "ids")
     classes = durable(ids.groupBy("name").agg(F.min("vec_id").alias("rep"), F.count("*").alias("members")), "classes")
-    reps = durable(good.join(classes.select("name", "rep"), "name").where("vec_id = rep").dropDuplicates(["name"]).select(F.col("name").alias("id"), F.col("embedding").cast("array<double>").alias("v")), "reps")
-    linked = durable(links(reps, cosine, blocks, grid).select("a", "b"), "links")
-    size = classes.select(F.col("name").alias("id"), "members", "rep")
-    both = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    other = both.join(size.select(F.col("id").alias("b"), "members"), "b").groupBy("a").agg(F.sum("members").alias("others"))
-    name_rep = size.select("id", "rep")
-    edges = linked.join(name_rep.select(F.col("id").alias("a"), F.col("rep").alias("x")), "a").join(name_rep.select(F.col("id").alias("b"), F.col("rep").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    joined = ids.join(classes, "name")
-    copies = joined.where("vec_id <> rep").select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))
-    found = components(durable(edges.unionByName(copies).distinct(), "edges")).select(F.col("id").alias("vec_id"), F.col("component").alias("component_id"))
-    per_class = classes.join(other, classes["name"] == other["a"], "left").select("name", (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    out = rows.select("vec_id", "name").join(per_class, "name", "left").join(found, "vec_id", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)))
+    reps = durable(good.join(classes.withColumnRenamed("rep", "vec_id"), ["name", "vec_id"]).dropDuplicates(["name"]).select(F.col("name").alias("id"), "members", F.col("embedding").alias("v")), "representatives")
+    found = durable(linked(reps, cosine, blocks, grid), "linked")
+    others = found.where("other IS NULL").groupBy(F.col("id").alias("name")).agg(F.sum("n").alias("others"))
+    classes = durable(classes.join(others, "name", "left").select("name", "rep", "members", (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "counted")
+    rep = lambda c, to: classes.select(F.col("name").alias(c), F.col("rep").alias(to))
+    edges = found.where("other IS NOT NULL").select("id", "other").join(rep("id", "a"), "id").join(rep("other", "b"), "other").select("a", "b")
+    copies = join_members(ids, classes, ["name"]).where("vec_id <> rep").select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))
+    component = components(durable(edges.unionByName(copies).distinct(), "edges")).select(F.col("id").alias("vec_id"), F.col("component").alias("component_id"))
+    known = join_members(good.select("vec_id", "name"), classes, ["name"]).select("vec_id", "n_links")
+    none = rows.where("name IS NULL").select("vec_id", F.lit(0).cast("bigint").alias("n_links"))
+    out = known.unionByName(none).join(component, "vec_id", "left")
+    return out.select("vec_id", "n_links", F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)))
+
+
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM m LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a) USING (vec_id)
+"""

@@ -139,7 +139,7 @@ def check_vectors(spark, rows):
     good = [(i, np.array(v, np.float32).astype(float)) for i, v, *_ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     links = [(a, b) for k, (a, x) in enumerate(good) for b, y in good[:k] if len(x) == len(y) and x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.95]
     want, n = components({r[0] for r in rows if r[0] is not None}, links), Counter(x for link in links for x in link)
-    got = Counter(tuple(r) for r in vectors.near_duplicates(df, blocks=4).collect())
+    got = Counter(tuple(r) for r in vectors.near_duplicates(df).collect())
     assert got == Counter((i, n[i] if i is not None else 0, want.get(i), i is None or want[i] == i) for i, *_ in rows)
     return links
 
@@ -160,3 +160,10 @@ def test_vectors_in_pieces(spark, monkeypatch):
     rng = np.random.default_rng(6)
     one = rng.normal(size=8)
     check_vectors(spark, [(i, (one + rng.normal(size=8) * 0.15).tolist(), 0, 1, 2) for i in range(120)])
+
+
+def test_vectors_of_64_dimensions(spark):
+    """The production parameters on links near the threshold."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(20, 64))
+    assert len(check_vectors(spark, [(i, (base[i % 20] + rng.normal(size=64) * s).tolist(), 0, 1, 2) for i, s in enumerate(rng.uniform(0.1, 0.35, 600))])) > 500

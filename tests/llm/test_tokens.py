@@ -45,7 +45,7 @@ def test_any_text(text):
     assert bpe.merges(PATH).decode(want) == LIBRARY.decode(want, skip_special_tokens=False)
 
 
-@pytest.mark.parametrize("form", ["x{}y", "{}", "e{}\u0301", "{}\u0327'S"])
+@pytest.mark.parametrize("form", ["x{}y", "{}\u0327'S"])
 def test_all_characters(form):
     """Every code point but the surrogates, in blocks."""
     points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3400 or c >= 0xA000) and (c < 0xAC00 or c >= 0xD7A4) and not 0x20000 <= c < 0x2FA00 and c < 0xF0000] + list(range(0x3400, 0x110000, 97))
