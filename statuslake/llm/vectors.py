@@ -3,8 +3,9 @@
 Unit vectors of cosine at least ``c`` are within squared distance ``2 - 2c``.  A seeded rotation spreads that distance
 over all coordinates, which are split into ``blocks``; in at least one block a linked pair is within its share of the
 budget (proportional to the block's dimensions).  Each block is range-joined on its own: a grid over its first
-``grid`` coordinates, with cells as wide as the ball, sends a vector to its own cell and, as a query, to those cells its
-ball touches that come before its own, so a pair meets in one cell of a block.  Inside a cell the block's distances pick
+coordinates, with cells as wide as the ball, sends a vector to its own cell and, as a query, to those cells its ball
+touches that come before its own, so a pair meets in one cell of a block.  Every coordinate of the grid saves about a
+quarter of the comparisons and doubles the copies of a vector, so one more is taken whenever vectors double.  Inside a cell the block's distances pick
 candidates, whole vectors confirm them by their cosine in double precision, and a pair counts in the first block that
 finds it.
 
@@ -12,8 +13,8 @@ Pairs never leave the task: a cell returns how many vectors each of its vectors
 of the links.  A cell of more than ``CELL_ROWS`` rows is cut into pieces whose pairs are separate groups, so no task gets
 an unbounded cell.  Exact copies meet first and are one class, joined once, and counted in the links of others.
 
-Matrix products decide wherever they are clear; within ``BAND`` of a threshold the same sums are taken term by term, so
-all tasks decide alike.  The cosine of a pair right at the threshold is that of the given values.
+Matrix products, first in single and then in double precision, decide wherever they are clear; within ``BAND`` of a
+threshold the same sums are taken term by term, so all tasks decide alike.  The cosine of a pair right at the threshold is that of the given values.
 
 Defined results: null vectors, zero vectors, vectors that hold null or non-finite components link with nothing, and so
 do vectors of different lengths with each other; rows with a null id keep a row without links, component null, and are
@@ -32,18 +33,21 @@ from pyspark.sql import functions as F
 
 from .cluster import components, durable, join_members
 
-CELL_ROWS = 8192
-TILE = 512
+CELL_ROWS = 16_384
+#: Rows and columns that are compared at once.
+TILE, WIDE = 256, 4096
 #: The name of a vector's value: a hash of its components (0.0 and -0.0 are the same).
 CLASS_NAME = "unhex(sha2(concat_ws(',', transform(embedding, x -> CAST(x + 0.0D AS STRING))), 256))"
 #: Added to squared radii, above the rounding of unit vectors in double precision.
 SLACK = 1e-9
 #: What matrix products of unit vectors are trusted to.
 BAND = 1e-11
+#: The same in single precision.
+BAND32 = 1e-5
 #: Cells of several pieces that are broadcast, about 40 bytes each; beyond that they are shuffled.
 BROADCAST_CELLS = 1_000_000
-#: Bits of a cell's number for each coordinate.
-CELL_BITS = 20
+#: Coordinates of a grid at most, and bits of a cell's number for each; coordinates beyond share the last cell.
+MOST_GRID, CELL_BITS = 8, 7
 
 
 def rotation(n: int, seed: int = 7) -> np.ndarray:
@@ -88,7 +92,8 @@ def cells(vectors: DataFrame, cosine: float, blocks: int, grid: int) -> DataFram
                 for b, (dims, limit) in enumerate(block_dims(n, blocks, cosine)):
                     g, r = min(grid, len(dims)), np.sqrt(limit)
                     width = 2 * r * (1 + 1e-9)
-                    at = lambda y, w=width: np.floor(y / w).astype(np.int64) + (1 << (CELL_BITS - 1))
+                    half = 1 << (CELL_BITS - 1)
+                    at = lambda y, w=width: np.clip(np.floor(y / w), -half, half - 1).astype(np.int64) + half  # noqa: E731, B023
                     y = x[:, dims[:g]]
                     low, high, own = at(y - r), at(y + r), at(y)
                     number = lambda c, g=g: sum(c[:, k] << (CELL_BITS * k) for k in range(g))
@@ -149,6 +154,10 @@ class Cell:
         self.unit, x = rotated(values)
         self.parts = [(np.ascontiguousarray(x[:, dims]), limit) for dims, limit in block_dims(n, blocks, cosine)][: block + 1]
         self.squares = [(y * y).sum(axis=1) for y, _ in self.parts]
+        # one product of these gives the block's squared distance less the budget
+        y, square, one = self.parts[block][0], self.squares[block], np.ones(len(values))
+        self.left = np.column_stack([y, square - self.parts[block][1], one]).astype(np.float32)
+        self.right = np.column_stack([-2 * y, one, square]).astype(np.float32)
         self.counts = np.zeros(len(values))
         self.edges: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -174,30 +183,36 @@ class Cell:
     def compare(self, p: np.ndarray, q: np.ndarray | None = None) -> None:
         """All pairs of rows p and q, or of two different rows of p."""
         for at in range(0, len(p), TILE):
-            x = p[at : at + TILE]
-            y = p[at:] if q is None else q
-            found = self.near(len(self.parts) - 1, x, y)
-            if q is None:
-                found &= np.arange(len(y))[None, :] > np.arange(len(x))[:, None]
-            if not found.any():
-                continue
+            for to in range(at if q is None else 0, len(p if q is None else q), WIDE):
+                self.tile(p[at : at + TILE], (p if q is None else q)[to : to + WIDE], at - to if q is None else None)
+
+    def tile(self, x: np.ndarray, y: np.ndarray, ahead: int | None) -> None:
+        """Rows x and y; with ``ahead``, both are parts of one list, x starts so many places behind y."""
+        over = self.left[x] @ self.right[y].T
+        if over.min() > BAND32:
+            return
+        found = over <= BAND32
+        if ahead is not None:
+            found &= np.arange(len(y))[None, :] > (np.arange(len(x)) + ahead)[:, None]
+        for test in (lambda: self.near(len(self.parts) - 1, x, y), lambda: self.alike(x, y), *(lambda b=b: ~self.near(b, x, y) for b in range(len(self.parts) - 1)), None):
             row, col = found.any(axis=1), found.any(axis=0)
+            if not row.any():
+                return
             x, y, found = x[row], y[col], found[row][:, col]
-            found &= self.alike(x, y)
-            for b in range(len(self.parts) - 1):
-                if found.any():
-                    found &= ~self.near(b, x, y)
-            if not found.any():
-                continue
-            row, col = found.any(axis=1), found.any(axis=0)
-            x, y, found = x[row], y[col], found[row][:, col]
-            np.add.at(self.counts, x, found @ self.members[y])
-            np.add.at(self.counts, y, self.members[x] @ found)
-            rows, cols = labels_of(found)
-            self.edges += [(x, x[rows]), (y, x[cols])]
+            if test:
+                found &= test()
+        np.add.at(self.counts, x, found @ self.members[y])
+        np.add.at(self.counts, y, self.members[x] @ found)
+        rows, cols = labels_of(found)
+        self.edges += [(x, x[rows]), (y, x[cols])]
+
+
+def grid_of(n: int) -> int:
+    """Coordinates of the grid for ``n`` vectors."""
+    return min(max(n.bit_length() - 13, 2), MOST_GRID)
 
 
-def linked(vectors: DataFrame, cosine: float, blocks: int = 4, grid: int = 2) -> DataFrame:
+def linked(vectors: DataFrame, cosine: float, blocks: int = 4, grid: int | None = None) -> DataFrame:
     """(id, other, n) over ``vectors`` (id, members, v): ``n`` members of linked vectors, or, with ``other``, an edge."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -219,11 +234,12 @@ def linked(vectors: DataFrame, cosine: float, blocks: int = 4, grid: int = 2) ->
         other = pa.concat_arrays([pa.nulls(len(some), pa.binary()), ids.take(pa.array(b)).cast(pa.binary())])
         return pa.table({"id": take(some, a), "other": other, "n": pa.array(np.concatenate([cell.counts[some], np.zeros(len(a))]).astype(np.int64))})
 
+    grid = grid_of(vectors.count()) if grid is None else grid
     groups = dealt(cells(vectors, cosine, blocks, grid)).groupBy("n", "block", "cell", "i", "j")
     return groups.applyInArrow(run, "id binary, other binary, n bigint")
 
 
-def near_duplicates(rows: DataFrame, cosine: float = 0.95, blocks: int = 4, grid: int = 2) -> DataFrame:
+def near_duplicates(rows: DataFrame, cosine: float = 0.95, blocks: int = 4, grid: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row of ``rows`` (vec_id, embedding)."""
     rows = durable(rows.select("vec_id", "embedding").withColumn("name", F.when(F.col("vec_id").isNotNull() & usable("embedding"), F.expr(CLASS_NAME))), "vectors")
     good = rows.where("name IS NOT NULL")
