@@ -31,7 +31,7 @@ from .words import split_words, text_slices
 
 TOKENIZER = "word_bpe_49k.json"
 #: Finished words that a task keeps; the cache is emptied when it is full.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
 #: ASCII symbols that no contraction of the pattern begins with.
 PUNCTUATION = string.punctuation.replace("'", "")
 
@@ -56,10 +56,11 @@ class Merges:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        library = Tokenizer.from_file(path)
-        self.normaliser, self.splitter = library.normalizer, library.pre_tokenizer
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
+        # the library's own tables of characters, without its vocabulary
+        library = Tokenizer.from_str(json.dumps(data | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": []}))
+        self.normaliser, self.splitter = library.normalizer, library.pre_tokenizer
         model, letters = data["model"], byte_letters()
         vocab: dict[str, int] = model["vocab"]
         self.end = model.get("end_of_word_suffix") or ""
