@@ -4,15 +4,20 @@ Entities are found by one pattern.  Each distinct value, written in any format o
 value) and gets one keyed surrogate of the same type: hashes of a secret key, the type, the value and an attempt number
 choose the new characters, class by class.  Every occurrence is then filled with the surrogate's characters in its own
 format: punctuation, spacing, case, length, top-level domain, country prefix and the validity of a card's check digit
-stay.  Names behind a title get given names of the title's gender in the script of the name, and surnames in that
-script, token by token, so later mentions of a surname agree.
+stay.
+
+Names are found behind a title, in Latin, Cyrillic, Greek or Armenian letters.  Their words are units of the one type
+that a script has, whatever the title; titles of all their occurrences tell their gender (neutral if they disagree or
+tell none), and a word that ever comes last is a surname.  New names are built of syllables of that script and end as
+fits the gender.  In a document with a name, the same words without a title, capitalised or in capitals, get the same
+surrogates: surnames, and other words of three letters or more.
 
 Collision checks run over all units of the corpus: a surrogate that equals a real value of its type, or that another
-unit of the type also drew, is drawn again with the next attempt by all but one of those units; from attempt
-``LONGER`` on, surrogates grow, so that small value spaces don't end the search.  Equal values thus keep equal
-surrogates everywhere, different values different ones.
+unit of the type also drew, is drawn again with the next attempt by all but one of those units; further attempts make
+names, and from attempt ``LONGER`` on other surrogates, longer, so that small value spaces don't end the search.  Equal
+values thus keep equal surrogates everywhere, different values different ones.
 
-Only rows with an entity are joined; their texts are shuffled, all others pass straight through.  Defined results:
+The table is searched and written once; only rows with an entity are joined, by a number of their own.  Defined results:
 null stays null, empty stays empty; repeated rows get the same text; an empty table gives an empty table; all other
 columns are kept as they are, but for an ``n_entities`` of the input, which is replaced.
 """
@@ -22,44 +27,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import durable
+from .cluster import durable, join_members
 
-#: Attempts after which surrogates get longer.
+#: Attempts after which surrogates other than names get longer.
 LONGER = 8
-FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа"
-MALE = "Mr|Herr|Monsieur|Señor|Sr|Господин"
-NEUTRAL = "Dr|Prof"
-WORD = r"\p{Lu}[\p{L}'’-]{1,30}"
+
+
+def titles(words: str) -> str:
+    return "|".join(f"{w}|{w.upper()}" for w in words.split())
+
+
+FEMALE = titles("Mrs Ms Miss Frau Madame Mme Señora Sra Госпожа Κυρία")
+MALE = titles("Mr Herr Monsieur Señor Sr Господин Κύριος")
+NEUTRAL = titles("Dr Prof")
+TITLE = rf"(?:{FEMALE}|{MALE}|{NEUTRAL})\.? "
+LETTERS = r"[\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{IsArmenian}]"
+WORD = rf"(?=\p{{Lu}}){LETTERS}(?:{LETTERS}|['’-](?={LETTERS})){{1,30}}"
+NO_BEFORE, NO_AFTER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "secret": r"(?<![\p{L}\p{N}])[0-9a-f]{32,64}(?![\p{L}\p{N}])",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![\p{L}\p{N}])",
+    "secret": rf"{NO_BEFORE}[0-9a-f]{{32,64}}{NO_AFTER}",
+    "iban": rf"{NO_BEFORE}[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9A-Z]{{4}}){{3,7}}(?: ?[0-9A-Z]{{1,3}})?{NO_AFTER}",
     "ip": r"(?<![\p{L}\p{N}.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\p{L}\p{N}]|\.[0-9])",
-    "card": r"(?<![\p{L}\p{N}])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![\p{L}\p{N}])",
+    "ip6": r"(?<![\p{L}\p{N}:.])(?=[A-Fa-f:]{0,39}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
+    "card": rf"{NO_BEFORE}[0-9]{{4}}(?:[ -]?[0-9]{{4}}){{2}}[ -]?[0-9]{{1,7}}{NO_AFTER}",
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}]|-[0-9])",
-    "phone": r"(?<![\p{L}\p{N}])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{1,4}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![\p{L}\p{N}])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{FEMALE}|{MALE}|{NEUTRAL})\.? {WORD}(?: {WORD})?",
+    "phone": rf"(?<![\p{{L}}\p{{N}}+])(?:(?:\+[0-9]{{1,3}}[ .-]?)?(?:\([0-9]{{1,4}}\)|[0-9]{{3}})[ .-]?[0-9]{{3}}[ .-]?[0-9]{{4}}|\+(?=(?:[ .()-]{{0,2}}[0-9]){{8}})[0-9]{{1,3}}(?:[ .-]?(?:\([0-9]{{1,4}}\)|[0-9]{{1,4}})){{2,5}}){NO_AFTER}",
+    "passport": rf"(?<=[Pp]assport |PASSPORT |[Pp]assport: |[Pp]assport [Nn]o |[Pp]assport [Nn]o\. |[Pp]assport [Nn]umber )[A-Z]{{0,2}}[0-9]{{6,9}}{NO_AFTER}",
+    "name": rf"{NO_BEFORE}{TITLE}{WORD}(?: {WORD})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Rows without these have no entity: a digit or an at sign, or a title.
-HINT = rf"[0-9@]|(?:{FEMALE}|{MALE}|{NEUTRAL})\.? \p{{Lu}}"
-GIVEN = {
-    "latin f": "Anna Clara Elena Greta Hanna Irene Julia Laura Lena Maria Nina Olga Paula Rosa Sofia Teresa".split(),
-    "latin m": "Adam Bruno Carlos David Emil Felix Georg Hugo Ivan Jonas Karl Leo Martin Oscar Paul Viktor".split(),
-    "cyrillic f": "Анна Вера Дарья Елена Ирина Мария Ольга София".split(),
-    "cyrillic m": "Антон Борис Виктор Глеб Иван Максим Олег Павел".split(),
-}
-SURNAMES = {
-    "latin": "Abbott Becker Costa Dupont Ericson Fischer Garcia Hansen Ibarra Jansen Keller Lambert Moreau Novak Ortega Petit".split(),
-    "cyrillic": "Белов Волков Громов Зайцев Козлов Лебедев Морозов Орлов".split(),
+HINT = rf"[0-9@]|{TITLE}\p{{Lu}}"
+#: For each script the consonants and vowels of syllables, and endings: of given names (f, m, neither) and surnames (not f, f).
+SYLLABLES = {
+    "latin": ("bdfgklmnprstvz", "aeiou", "na ra lia sa", "ton rik mar vin", "el is en or", "mann sen ter wick ini ert", "mann sen ter wick ini ert"),
+    "cyrillic": ("бвгдзклмнпрст", "аеиоу", "на ра лия са", "тон рик мир лан", "ель ис ен ор", "ов ин ев", "ова ина ева"),
+    "greek": ("βγδζκλμνπρστ", "αεηιο", "να ρα λια σα", "νος ρης τας μων", "ις ων", "πουλος ιδης ακης", "πουλου ιδη ακη"),
+    "armenian": ("բգդկլմնպրստ", "աեիո", "նե լա նա", "մեն կոս րիկ", "իկ են", "յան ունի", "յան ունի"),
 }
 
 
 def kind(e: str) -> Column:
     """The type of a found string."""
     c = F.col(e)
-    out = F.when(c.contains("@"), "email").when(c.rlike(rf"^(?:{FEMALE}|{MALE}|{NEUTRAL})\.? "), "name")
-    for name in ("secret", "iban", "ip", "ssn", "phone", "card"):
+    out = F.when(c.contains("@"), "email").when(c.rlike(rf"^{TITLE}"), "name").when(c.rlike("^[A-Z]{0,2}[0-9]{6,9}$"), "passport")
+    for name in ("secret", "iban", "ip", "ip6", "ssn", "phone", "card"):
         if name != "phone":
             out = out.when(c.rlike(rf"^(?:{PATTERNS[name]})$"), name)
     return out.otherwise("phone")
@@ -71,23 +84,26 @@ def digest(*parts: Column) -> Column:
     return F.concat(F.sha2(whole, 256), F.sha2(F.concat(whole, F.lit("\u0001more")), 256))
 
 
+def script(word: Column) -> Column:
+    return F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").when(word.rlike(r"\p{IsArmenian}"), "armenian").otherwise("latin")
+
+
 def units(entities: DataFrame) -> DataFrame:
-    """e, type, and the units of each distinct string: arrays of (type, canonical value)."""
+    """``entities`` (e, ...) with type, and units: an array of (type, canon, word, gender, surname)."""
     t = entities.withColumn("type", kind("e"))
     plain = F.regexp_replace(F.lower("e"), r"[^\p{L}\p{N}]", "")
     canon = F.when(F.col("type") == "ip", F.col("e")).when(F.col("type") == "email", F.concat(plain, F.lit("."), F.lower(F.regexp_extract("e", r"\.([A-Za-z]+)$", 1)))).otherwise(plain)
     prefix = F.when(F.col("type") == "phone", F.regexp_extract("e", r"^\+([0-9]{1,3})", 1)).when(F.col("type") == "iban", F.substring("e", 1, 2)).otherwise("")
-    tokens = F.split(F.regexp_replace("e", r"^[\p{L}]+\.? ", ""), " ")
-    script = F.when(F.col("e").rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    words = F.split(F.regexp_replace("e", rf"^{TITLE}", ""), "[ -]")
     gender = F.when(F.col("e").rlike(rf"^(?:{FEMALE})\.? "), "f").when(F.col("e").rlike(rf"^(?:{MALE})\.? "), "m").otherwise("")
-    surname = F.struct(F.concat(F.lit("surname "), script).alias("type"), F.lower(F.element_at(tokens, -1)).alias("canon"))
-    given = F.struct(F.rtrim(F.concat(F.lit("given "), script, F.lit(" "), gender)).alias("type"), F.lower(F.element_at(tokens, 1)).alias("canon"))
-    one = F.struct(F.rtrim(F.concat("type", F.lit(" "), F.lower(prefix))).alias("type"), canon.alias("canon"))
-    return t.withColumn("units", F.when(F.col("type") != "name", F.array(one)).when(F.size(tokens) == 1, F.array(surname)).otherwise(F.array(given, surname)))
+    unit = lambda kind_, canon_, word, g, surname: F.struct(kind_.alias("type"), canon_.alias("canon"), word.alias("word"), g.alias("gender"), surname.alias("surname"))
+    name = F.transform(words, lambda w, i: unit(F.concat(F.lit("name "), script(w)), F.lower(w), w, gender, i == F.size(words) - 1))
+    one = F.array(unit(F.rtrim(F.concat("type", F.lit(" "), F.lower(prefix))), canon, F.lit(""), F.lit(""), F.lit(False)))
+    return t.withColumn("units", F.when(F.col("type") == "name", name).otherwise(one))
 
 
 def drawn() -> Column:
-    """The surrogate of a unit, as an expression over type, canon, attempt and the keyed digest h."""
+    """The surrogate of a unit, as an expression over type, canon, gender, surname, attempt and the keyed digest h."""
     more = f"greatest(attempt - {LONGER - 1}, 0)"
     # characters: digit for digit, letter for letter; the kept prefix stays, and behind an e-mail's dot the domain
     body = "regexp_replace(canon, '[.][a-z]+$', '')"
@@ -96,7 +112,7 @@ def drawn() -> Column:
     char = f"""CASE WHEN (type LIKE 'phone %' OR type LIKE 'iban %') AND i < {keep} THEN c
         WHEN type = 'email' AND i >= length({body}) - {keep} THEN c
         WHEN c RLIKE '[0-9]' THEN CAST({value} % 10 AS STRING)
-        WHEN type = 'secret' THEN substr('abcdef', {value} % 6 + 1, 1)
+        WHEN type IN ('secret', 'ip6') THEN substr('abcdef', {value} % 6 + 1, 1)
         ELSE chr(97 + {value} % 26) END"""
     chars = f"concat(array_join(transform(split({body}, ''), (c, i) -> {char}), ''), substr(h, 1, {more}))"
     octets = f"""array_join(transform(split(canon, '[.]'), (o, i) -> CAST(CASE WHEN attempt >= {LONGER} THEN pmod(CAST(conv(substr(h, i * 4 + 1, 4), 16, 10) AS INT), 256)
@@ -104,14 +120,15 @@ def drawn() -> Column:
         WHEN length(o) = 2 THEN 10 + pmod(CAST(conv(substr(h, i * 4 + 1, 4), 16, 10) AS INT), 90)
         ELSE 100 + pmod(CAST(conv(substr(h, i * 4 + 1, 4), 16, 10) AS INT), 156) END AS STRING)), '.')"""
 
-    def pick(words: list[str]) -> str:
-        listed = ", ".join(f"'{w}'" for w in words)
-        # one word at first, then compounds: "-" and one more word for each attempt
-        return f"array_join(transform(sequence(0, attempt), i -> element_at(array({listed}), 1 + pmod(CAST(conv(substr(h, (i * 4) % 120 + 1, 4), 16, 10) AS INT), {len(words)}))), '-')"
+    number = lambda i: f"CAST(conv(substr(h, {i} * 4 + 1, 4), 16, 10) AS INT)"
+
+    def name(consonants: str, vowels: str, female: str, male: str, neutral: str, surnames: str, female_surnames: str) -> str:
+        pick = lambda ends: f"element_at(array({', '.join(repr(e) for e in ends.split())}), 1 + {number(31)} % {len(ends.split())})"
+        syllable = f"concat(substr('{consonants}', {number('(2 * i)')} % {len(consonants)} + 1, 1), substr('{vowels}', {number('(2 * i + 1)')} % {len(vowels)} + 1, 1))"
+        end = f"CASE WHEN surname AND gender = 'f' THEN {pick(female_surnames)} WHEN surname THEN {pick(surnames)} WHEN gender = 'f' THEN {pick(female)} WHEN gender = 'm' THEN {pick(male)} ELSE {pick(neutral)} END"
+        return f"concat(array_join(transform(sequence(0, least(attempt, 13) + 1), i -> {syllable}), ''), {end})"
 
-    cases = [f"WHEN type = 'surname {s}' THEN {pick(w)}" for s, w in SURNAMES.items()]
-    cases += [f"WHEN type = 'given {s}' THEN {pick(w)}" for s, w in GIVEN.items()]
-    cases += [f"WHEN type = 'given {s}' THEN {pick([x for n, w in GIVEN.items() if n.startswith(s) for x in w])}" for s in SURNAMES]
+    cases = [f"WHEN type = 'name {s}' THEN {name(*parts)}" for s, parts in SYLLABLES.items()]
     return F.expr(f"CASE {' '.join(cases)} WHEN type = 'ip' THEN {octets} ELSE {chars} END")
 
 
@@ -124,10 +141,11 @@ def checked_card() -> Column:
     return F.expr(f"IF(type = 'card' AND attempt < {LONGER}, concat(substr(s, 1, length(s) - 1), CAST(pmod(CAST(right(s, 1) AS INT) + {rest('canon')} - {rest('s')}, 10) AS STRING)), s)")
 
 
-def surrogates(distinct_units: DataFrame, key: str) -> DataFrame:
-    """(type, canon, s): a surrogate for each unit, distinct within its type and unlike any real value of it."""
-    spark = distinct_units.sparkSession
-    real = durable(distinct_units.select("type", "canon").distinct(), "units")
+def surrogates(real: DataFrame, key: str) -> DataFrame:
+    """(type, canon, s): a surrogate for each unit of ``real`` (type, canon, gender, surname), a written table.
+
+    It is distinct within its type and unlike any real value of it.
+    """
     pending, done, attempt = real, None, 0
     while not pending.isEmpty():
         h = digest(F.lit(key), F.col("type"), F.col("canon"), F.lit(str(attempt)))
@@ -141,7 +159,7 @@ def surrogates(distinct_units: DataFrame, key: str) -> DataFrame:
         done = durable(won if done is None else done.unionByName(won), "surrogates")
         pending = durable(real.join(done.select("type", "canon"), ["type", "canon"], "left_anti"), "pending")
         attempt += 1
-    return done if done is not None else spark.createDataFrame([], "type string, canon string, s string")
+    return done if done is not None else real.select("type", "canon", F.lit("").alias("s"))
 
 
 def body_of(canon: str) -> Column:
@@ -156,31 +174,58 @@ def filled() -> Column:
         r -> concat(r.out, substr(s, r.at))))""")
 
 
+def alone(word: Column) -> Column:
+    """The pattern of a word that is no part of a longer one."""
+    return F.concat(F.lit(NO_BEFORE + r"\Q"), word, F.lit(r"\E" + NO_AFTER))
+
+
+def in_case(s: Column, word: Column) -> Column:
+    """``s`` in capitals if ``word`` is, else capitalised."""
+    return F.when(word == F.upper(word), F.upper(s)).otherwise(F.initcap(s))
+
+
 def replacements(entities: DataFrame, key: str) -> DataFrame:
-    """(e, type, new) for each distinct found string."""
-    known = durable(units(entities.select("e").distinct()), "entities")
-    each = known.select("e", F.posexplode("units").alias("place", "u")).select("e", "place", "u.type", "u.canon")
-    found = surrogates(each, key)
-    joined = each.join(found, ["type", "canon"]).groupBy("e").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "s"))), lambda x: x["s"]).alias("parts"))
-    out = known.select("e", "type").join(joined, "e").withColumn("s", F.get("parts", F.lit(0)))
-    title = F.regexp_extract("e", r"^[\p{L}]+\.? ", 0)
-    new = F.when(F.col("type") == "name", F.concat(title, F.array_join("parts", " "))).when(F.col("type") == "ip", F.col("s")).otherwise(filled())
-    return out.select("e", "type", new.alias("new"))
+    """``entities`` (e, members) with new, and mentions: patterns and replacements of its words where they stand alone."""
+    known = durable(units(entities), "entities")
+    each = known.select("e", F.posexplode("units").alias("place", "u")).select("e", "place", "u.*")
+    female, male = F.max(F.col("gender") == "f"), F.max(F.col("gender") == "m")
+    real = each.groupBy("type", "canon").agg(F.when(female & ~male, "f").when(male & ~female, "m").otherwise("").alias("gender"), F.max("surname").alias("surname"))
+    # a Russian or Greek surname tells its gender by its end
+    ending = F.when(F.col("surname") & (F.col("type") == "name cyrillic"), F.when(F.col("canon").rlike("[ая]$"), "f").otherwise("m")).when(F.col("surname") & (F.col("type") == "name greek"), F.when(F.col("canon").rlike("(?:ου|ού|η|ή|α|ά)$"), "f").otherwise("m"))
+    real = durable(real.withColumn("gender", F.coalesce(ending, "gender")), "units")
+    roles = real.select("type", "canon", F.col("surname").alias("bare"))
+    drawn_ = surrogates(real, key).join(roles, ["type", "canon"])
+    title_case, capitals = F.initcap("canon"), F.upper("canon")
+    forms = F.array_distinct(F.array(F.col("word"), title_case, capitals))
+    mentions = F.when((F.col("word") != "") & (F.col("bare") | (F.length("canon") > 2)), F.transform(forms, lambda w: F.struct(alone(w).alias("pattern"), in_case(F.col("s"), w).alias("new"))))
+    none = F.array().cast("array<struct<pattern: string, new: string>>")
+    told = each.join(drawn_, ["type", "canon"]).select("e", "place", F.when(F.col("word") == "", F.col("s")).otherwise(in_case(F.col("s"), F.col("word"))).alias("s"), F.coalesce(mentions, none).alias("mentions"))
+    joined = told.groupBy("e").agg(F.sort_array(F.collect_list(F.struct("place", "s", "mentions"))).alias("p"))
+    out = known.select("e", "members", "type").join(joined, "e").withColumn("parts", F.transform("p", lambda x: x["s"])).withColumn("s", F.get("parts", F.lit(0)))
+    title = F.regexp_extract("e", rf"^{TITLE}", 0)
+    between = F.concat(F.regexp_extract_all(F.substr("e", F.length(title) + 1), F.lit("[ -]"), F.lit(0)), F.array(F.lit("")))
+    name = F.concat(title, F.array_join(F.zip_with("parts", between, lambda a, b: F.concat(a, b)), ""))
+    new = F.when(F.col("type") == "name", name).when(F.col("type") == "ip", F.col("s")).otherwise(filled())
+    return out.select("e", "members", new.alias("new"), F.flatten(F.transform("p", lambda x: x["mentions"])).alias("mentions"))
 
 
 def anonymise(docs: DataFrame, key: str = "statuslake", text: str = "text") -> DataFrame:
     """``docs`` with surrogates in ``text``, and ``n_entities``: how many occurrences were replaced."""
     docs = docs.drop("n_entities")
-    found = F.when(F.col(text).rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), 0)).otherwise(F.array().cast("array<string>"))
-    marked = docs.withColumn("statuslake_found", F.coalesce(found, F.array().cast("array<string>")))
-    own_id = F.xxhash64(*[c for c, t in docs.dtypes if not t.startswith("map")])
-    hit = durable(marked.where(F.size("statuslake_found") > 0).withColumn("statuslake_row", own_id), "entity_rows")
+    none = F.array().cast("array<string>")
+    found = F.coalesce(F.when(F.col(text).rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), 0)), none)
+    marked = durable(docs.withColumns({"statuslake_found": found, "statuslake_row": F.monotonically_increasing_id()}), "marked")
+    hit = marked.where(F.size("statuslake_found") > 0)
     each = hit.select("statuslake_row", F.posexplode("statuslake_found").alias("place", "e"))
-    new = replacements(each.select("e"), key)
-    lists = each.join(new, "e").groupBy("statuslake_row").agg(F.transform(F.sort_array(F.collect_set(F.struct("place", "new"))), lambda x: x["new"]).alias("statuslake_new"))
-    between = F.split(text, ANY, -1)
-    rebuilt = F.array_join(F.zip_with(between, F.concat("statuslake_new", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    n = F.size("statuslake_found").cast("bigint").alias("n_entities")
-    changed = hit.join(lists, "statuslake_row").select(*[rebuilt.alias(c) if c == text else F.col(c) for c in docs.columns], n)
+    new = durable(replacements(each.groupBy("e").agg(F.count("*").alias("members")), key), "replacements")
+    told = join_members(each, new, ["e"])
+    lists = told.groupBy("statuslake_row").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "new"))), lambda x: x["new"]).alias("statuslake_new"), F.array_distinct(F.flatten(F.collect_set("mentions"))).alias("statuslake_mentions"))
+    between, mentions = F.split(text, ANY, -1), F.col("statuslake_mentions")
+    # a surrogate is no real name of its script, so a replaced word is not replaced again
+    spoken = F.when(F.size(mentions) == 0, between).otherwise(F.transform(between, lambda part: F.aggregate(mentions, part, lambda t, m: F.regexp_replace(t, m["pattern"], m["new"]))))
+    rebuilt = F.array_join(F.zip_with(spoken, F.concat("statuslake_new", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    bare = F.aggregate(mentions, F.lit(0), lambda n, m: n + F.regexp_count(F.array_join(between, "\n"), m["pattern"]))
+    n = (F.size("statuslake_found") + F.when(F.size(mentions) == 0, 0).otherwise(bare)).cast("bigint")
+    changed = hit.join(lists, "statuslake_row").withColumn("n_entities", n).withColumn(text, rebuilt).select(*docs.columns, "n_entities")
     same = marked.where(F.size("statuslake_found") == 0).select(*docs.columns, F.lit(0).cast("bigint").alias("n_entities"))
     return same.unionByName(changed)
