@@ -52,19 +52,55 @@ def token_sort_ratio(a: Column, b: Column) -> Column:
     return indel_udf(sorted_words(a), sorted_words(b))
 
 
-def name_similarity(a: Column, b: Column, weight: float = FIRST_WORD_WEIGHT) -> Column:
-    """0 if either name is empty, 1 if one holds the other, else a mix of the whole names' and first words' ratios.
+#: The characters of a normal name, about from the rarest to the commonest.
+ALPHABET = "0123456789qjzxvkwybghfmpduclsntoirae "
+
+
+def letter_counts(normal: Column) -> Column:
+    """How often each character of ``ALPHABET`` occurs."""
+    return F.transform(F.lit(list(ALPHABET)), lambda c: F.length(normal) - F.length(F.replace(normal, c, F.lit(""))))
+
+
+def prepared(name: Column) -> Column:
+    """What comparisons need of a name, computed once for each row before any join."""
+    normal = S.normal_name(F.coalesce(name, F.lit("")))
+    first = S.first_word(normal)
+    return F.struct(normal.alias("name"), first.alias("first"), letter_counts(normal).alias("letters"), letter_counts(first).alias("first_letters"))
+
+
+def may_reach(a: Column, b: Column, least: float, weight: float = FIRST_WORD_WEIGHT) -> Column:
+    """Whether two prepared names can be at least so similar; never false for a pair that is.
+
+    Matching characters are at most those of the shorter text, and at most those that both have.
+    """
+    size = lambda x, y: 2 * F.least(F.length(x), F.length(y)) / (F.length(x) + F.length(y))
+    shared = lambda x, y: F.aggregate(F.zip_with(x, y, lambda i, j: F.least(i, j)), F.lit(0), lambda n, i: n + i)
+    letters = lambda c, d: 2 * shared(a[d], b[d]) / (F.length(a[c]) + F.length(b[c]))
+    mixed = lambda whole, first: (1 - weight) * whole + weight * first >= least - 1e-9
+    named = (a["name"] != "") & (b["name"] != "")
+    by_size = mixed(size(a["name"], b["name"]), size(a["first"], b["first"]))
+    by_letters = mixed(letters("name", "letters"), letters("first", "first_letters"))
+    return F.lit(least <= 0) | (named & (S.contains_either(a["name"], b["name"]) | (by_size & by_letters)))
+
+
+def prepared_similarity(a: Column, b: Column, weight: float = FIRST_WORD_WEIGHT) -> Column:
+    """``name_similarity`` of two prepared names.
 
     The Python part sees only pairs that the built-in tests leave open: for all others both its inputs are null.
     """
-    x, y = S.normal_name(a), S.normal_name(b)
-    empty, inside = (F.coalesce(x, F.lit("")) == "") | (F.coalesce(y, F.lit("")) == ""), S.contains_either(x, y)
+    x, y = a["name"], b["name"]
+    empty, inside = (x == "") | (y == ""), S.contains_either(x, y)
     ask = ~empty & ~inside
-    u, v = F.when(ask, x), F.when(ask, y)
-    mixed = (1 - weight) * gestalt_udf(u, v) + weight * gestalt_udf(S.first_word(u), S.first_word(v))
+    mixed = (1 - weight) * gestalt_udf(F.when(ask, x), F.when(ask, y)) + weight * gestalt_udf(F.when(ask, a["first"]), F.when(ask, b["first"]))
     return F.when(empty, 0.0).when(inside, 1.0).otherwise(mixed)
 
 
+def name_similarity(a: Column, b: Column, weight: float = FIRST_WORD_WEIGHT) -> Column:
+    """0 if either name is empty, 1 if one holds the other, else a mix of the whole names' and first words' ratios."""
+    part = lambda c: F.struct(S.normal_name(F.coalesce(c, F.lit(""))).alias("name"), S.first_word(S.normal_name(F.coalesce(c, F.lit("")))).alias("first"))
+    return prepared_similarity(part(a), part(b), weight)
+
+
 def register(spark: SparkSession) -> None:
     """Makes ``name_ratio`` and ``token_sort_ratio`` available in SQL."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..functions.similarity import name_similarity, token_sort_ratio
+from ..functions.similarity import ALPHABET, FIRST_WORD_WEIGHT, may_reach, name_similarity, prepared, prepared_similarity, token_sort_ratio
 from . import spatial
 from .profile import threshold_sweep
 from .relational import best_per_key
@@ -14,18 +14,22 @@ from .relational import best_per_key
 RADIUS, MIN_NAME, MIN_PLACE = 100.0, 0.75, 0.85
 
 
-def candidates(places: DataFrame, registry: DataFrame, radius: float = RADIUS) -> DataFrame:
-    """Pairs within the radius with dist_m, lsim (decay with distance) and nsim (names)."""
-    pairs = spatial.radius_join(places, registry, radius)
-    return pairs.withColumn("lsim", S.decay(F.col("dist_m"), radius)).withColumn("nsim", name_similarity(F.col("name"), F.col("r_name")))
+def candidates(places: DataFrame, registry: DataFrame, radius: float = RADIUS, least: float = 0.0) -> DataFrame:
+    """Pairs within the radius with dist_m, lsim (decay with distance) and nsim (names).
+
+    Pairs that can't have an nsim of ``least`` by their lengths and letters are left out before the names are compared.
+    """
+    ready = lambda df: df.withColumn("_n", prepared(F.col("name")))
+    pairs = spatial.radius_join(ready(places), ready(registry), radius).where(may_reach(F.col("_n"), F.col("r__n"), least))
+    return pairs.withColumn("lsim", S.decay(F.col("dist_m"), radius)).withColumn("nsim", prepared_similarity(F.col("_n"), F.col("r__n"))).drop("_n", "r__n")
 
 
 def best_match(places: DataFrame, registry: DataFrame, radius: float = RADIUS, min_name: float = MIN_NAME, min_place: float = MIN_PLACE) -> DataFrame:
     """For each place its most similar candidate, kept if both similarities suffice: the thresholds come after the choice.
 
-    Ties: the nearer candidate, then the smaller id.
+    Ties: the nearer candidate, then the smaller id.  A candidate below ``min_name`` can't be accepted, chosen or not.
     """
-    best = best_per_key(candidates(places, registry, radius), "id", F.struct("nsim", -F.col("dist_m"), -F.col("r_id")))
+    best = best_per_key(candidates(places, registry, radius, min_name), "id", F.struct("nsim", -F.col("dist_m"), -F.col("r_id")))
     return best.where((F.col("nsim") >= min_name) & (F.col("lsim") >= min_place))
 
 
@@ -83,17 +87,69 @@ def probe(left: DataFrame, right: DataFrame, delta: float, thresholds: list[floa
     return threshold_sweep(pairs, "sim", thresholds, "id", agree), best_per_key(pairs, "id", F.struct("sim", -F.col("r_id")))
 
 
+def letter_blocks(names: DataFrame, least: float, own: str, other: str) -> DataFrame:
+    """``names`` (..., _n) with (own, other, token): places where names whose first words reach the ratio ``least`` meet.
+
+    Two words of m and n characters with that ratio share at least least * (m + n) / 2 of them, repeats counted; so for
+    each length that the other word may have, the rarest characters of either, all but that number less one, hold one
+    of the shared.
+    """
+    tokens = F.expr("flatten(transform(_n.first_letters, (n, i) -> IF(n = 0, CAST(array() AS ARRAY<INT>), transform(sequence(1, n), j -> i * 1000 + j))))")
+    sized = names.withColumn("_t", tokens).withColumn(own, F.size("_t")).where(F.col(own) > 0)
+    half, short = least / 2, least / (2 - least)
+    lengths = F.sequence(F.ceil(F.col(own) * short - 1e-9).cast("int"), F.floor(F.col(own) / short + 1e-9).cast("int"))
+    each = sized.withColumn(other, F.explode(lengths))
+    needed = F.ceil((F.col(own) + F.col(other)) * half - 1e-9).cast("int")
+    return each.withColumn("token", F.explode(F.slice("_t", F.lit(1), F.greatest(F.col(own) - needed + 1, F.lit(0))))).drop("_t")
+
+
+def inner_blocks(names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``names`` with a gram that any name holding them has: a pair of characters made of rare ones, or the only one; and
+    ``names`` with all their grams."""
+    grams = "IF(length(_n.name) < 2, array(_n.name), transform(sequence(1, length(_n.name) - 1), i -> substr(_n.name, i, 2)))"
+    rarest = F.expr(f"array_min(transform({grams}, g -> struct(instr('{ALPHABET}', left(g, 1)) + instr('{ALPHABET}', right(g, 1)) AS r, g AS g))).g")
+    known = names.where("_n.name <> ''")
+    every = F.expr(f"array_distinct(concat({grams}, split(_n.name, '')))")
+    return known.withColumn("gram", rarest), known.withColumn("gram", F.explode(every))
+
+
+def named_pairs(left: DataFrame, right: DataFrame, least: float, weight: float = FIRST_WORD_WEIGHT) -> DataFrame:
+    """(id, r_id, nsim) of all pairs of one locality whose names are at least so similar, for ``least`` above 1 - weight.
+
+    Either one name holds the other, or the first words are similar enough for the mix to reach ``least``; each case has
+    its own blocks, and none loses a pair.  Null localities meet nothing.
+    """
+    a = left.where("locality IS NOT NULL").select("id", "locality", prepared(F.col("name")).alias("_n"))
+    b = right.where("locality IS NOT NULL").select("id", "locality", prepared(F.col("name")).alias("_n"))
+    renamed = lambda df: df.withColumnsRenamed({"id": "r_id", "_n": "r__n"})
+    first = (least - (1 - weight)) / weight
+    alike = letter_blocks(a, first, "m", "n").join(renamed(letter_blocks(b, first, "n", "m")), ["locality", "m", "n", "token"])
+    (one_a, all_a), (one_b, all_b) = inner_blocks(a), inner_blocks(b)
+    inside = one_a.join(renamed(all_b), ["locality", "gram"]).where(F.contains("r__n.name", F.col("_n.name")))
+    around = all_a.join(renamed(one_b), ["locality", "gram"]).where(F.contains("_n.name", F.col("r__n.name")))
+    columns = ["id", "r_id", "_n", "r__n"]
+    pairs = alike.select(*columns).unionByName(inside.select(*columns)).unionByName(around.select(*columns))
+    likely = pairs.where(may_reach(F.col("_n"), F.col("r__n"), least)).dropDuplicates(["id", "r_id"])
+    return likely.select("id", "r_id", prepared_similarity(F.col("_n"), F.col("r__n"), weight).alias("nsim")).where(F.col("nsim") >= least)
+
+
 def cascade(left: DataFrame, right: DataFrame, radius: float = 200.0, near: float = 0.55, far: float = 0.75) -> DataFrame:
     """The best candidate nearby if similar enough, else the best of the same locality by name; match_type says which.
 
-    Both sides have id, name, lat, lon and locality.  Candidates of a locality are blocked by the first two letters.
+    Both sides have id, name, lat, lon and locality.
     """
-    geo = best_per_key(candidates(left, right, radius).select("id", "r_id", "nsim"), "id", F.struct("nsim", -F.col("r_id"))).where(F.col("nsim") >= near)
-    block = lambda c: F.substring(S.normal_name(F.col(c)), 1, 2)
-    other = right.select(F.col("id").alias("r_id"), F.col("name").alias("r_name"), F.col("locality"), block("name").alias("_b"))
-    named = left.select("id", "name", "locality", block("name").alias("_b")).join(other, ["locality", "_b"]).withColumn("nsim", name_similarity(F.col("name"), F.col("r_name")))
-    named = best_per_key(named.select("id", "r_id", "nsim"), "id", F.struct("nsim", -F.col("r_id"))).where(F.col("nsim") >= far)
+    geo = best_per_key(candidates(left, right, radius, near).select("id", "r_id", "nsim"), "id", F.struct("nsim", -F.col("r_id"))).where(F.col("nsim") >= near)
+    named = best_per_key(named_pairs(left, right, far), "id", F.struct("nsim", -F.col("r_id")))
     g, n = geo.select("id", F.struct("r_id", "nsim").alias("g")), named.select("id", F.struct("r_id", "nsim").alias("n"))
     out = left.select("id").join(g, "id", "left").join(n, "id", "left")
     kind = F.when(F.col("g").isNotNull(), "geo").when(F.col("n").isNotNull(), "name").otherwise("none")
     return out.select("id", kind.alias("match_type"), F.coalesce("g.r_id", "n.r_id").alias("r_id"), F.coalesce("g.nsim", "n.nsim").alias("nsim"))
+
+
+def city_sweep(cities: DataFrame, places: DataFrame, metres: float = 50_000.0, limit: int = 50) -> DataFrame:
+    """(city, found, closed): of the ``limit`` places nearest to each city, those that no earlier city had.
+
+    ``cities`` has cell, lon and lat, ``places`` id, lon, lat and closed.
+    """
+    once = spatial.sweep(cities, places, metres, limit).join(places.select("id", "closed"), "id")
+    return once.groupBy(F.col("first_cell").alias("city")).agg(F.count("*").alias("found"), F.count_if("closed").alias("closed"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import similarity
 from ..operators import matching, spatial
 from .catalogue import query
 from .views import Source
@@ -94,3 +95,80 @@ _SWEEP = """WITH c AS (SELECT i AS id, -122.52 + (i % 8 + 0.5) * 0.017 / 8 AS lo
 def m12_m13_grid_sweep(v: Source) -> DataFrame:
     points = v("points_r")
     return spatial.sweep(spatial.grid_centres(points, (-122.52, -122.503, 37.70, 37.712), 8), points, 120.0)
+
+
+# the same operators on names whose similarity SQL can tell: place by place
+
+_SIM = "CASE WHEN l.name = r.name THEN CAST(1 AS DOUBLE) ELSE 0.4 * (21 - hamming(l.name, r.name)) / 21.0 + 0.6 * (10 - hamming(l.name[1:10], r.name[1:10])) / 10.0 END"
+_NAMED_PAIRS = f"SELECT l.id, r.id AS r_id, l.name, l.status, r.closed AS r_closed, {_SIM} AS nsim, {D} AS d FROM named_l l JOIN named_r r ON {D} <= 100"
+_NAMED = f"SELECT id, r_id, r_closed, nsim, 1 - d / 100 AS lsim, d FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(nsim, 9) DESC, d, r_id) AS rn FROM ({_NAMED_PAIRS})) WHERE rn = 1 AND nsim >= 0.75 - 1e-12 AND d <= 15"
+
+
+@query(f"SELECT id, r_id, round(nsim, 6) AS nsim, round(lsim, 6) AS lsim, round(d, 3) AS dist_m FROM ({_NAMED})")
+def m2_named_match(v: Source) -> DataFrame:
+    m = matching.best_match(v("named_l"), v("named_r"))
+    return m.select("id", "r_id", F.round("nsim", 6).alias("nsim"), F.round("lsim", 6).alias("lsim"), F.round("dist_m", 3).alias("dist_m"))
+
+
+def _named_report(v: Source) -> DataFrame:
+    """Addresses are names, too: those of the records beside the matched ones; every third place has none."""
+    beside = lambda name, shift: v(name).select((F.col("id") + shift).alias("id"), F.col("name").alias("address"))
+    m = matching.best_match(v("named_l"), v("named_r")).join(beside("named_l", 1).where("id % 3 > 0"), "id", "left")
+    m = m.join(beside("named_r", 0).withColumnsRenamed({"id": "r_id", "address": "r_address"}), "r_id", "left")
+    gated = matching.address_gate(m, "address", "r_address", 0.75)
+    return matching.report(v("named_l").withColumn("open", F.when(F.col("status") == "permanently_closed", 0).otherwise(1)), gated)
+
+
+_NAMED_REPORT = f"""SELECT p.id, CASE WHEN p.status = 'permanently_closed' THEN 0 ELSE 1 END AS open, m.r_id, m.r_closed,
+    CASE WHEN m.r_id IS NULL THEN 'no_match' WHEN l.name IS NOT NULL AND NOT ({_SIM} >= 0.75 - 1e-12) THEN 'address_rejected' ELSE 'matched' END AS match_status
+  FROM named_l p LEFT JOIN ({_NAMED}) m ON m.id = p.id LEFT JOIN named_l l ON l.id = m.id - 1 AND m.id % 3 > 0 LEFT JOIN named_r r ON r.id = m.r_id"""
+
+
+@query(_NAMED_REPORT)
+def m3_m6_named_report(v: Source) -> DataFrame:
+    return _named_report(v).select("id", "open", "r_id", "r_closed", "match_status")
+
+
+@query(f"""SELECT count(*) AS n, count(*) FILTER (WHERE match_status = 'matched') AS matched, count(*) FILTER (WHERE match_status = 'matched' AND (open = 0) = r_closed) AS agree,
+  count(*) FILTER (WHERE match_status = 'matched' AND (open = 0) <> r_closed) AS disagree, count(*) FILTER (WHERE match_status = 'no_match') AS no_match, count(*) FILTER (WHERE match_status = 'address_rejected') AS rejected FROM ({_NAMED_REPORT})""")
+def m8_named_summary(v: Source) -> DataFrame:
+    return matching.match_summary(_named_report(v))
+
+
+_BAND = "FROM named_l l JOIN named_r r ON abs(l.lon - r.lon) <= 0.00045 AND abs(l.lat - r.lat) <= 0.00045"
+
+
+@query(f"""SELECT CAST(t AS DOUBLE) AS threshold, count(*) FILTER (WHERE s >= t) AS kept, count(*) FILTER (WHERE s < t) AS dropped, count(DISTINCT CASE WHEN s >= t THEN id END) AS keys, count(*) FILTER (WHERE s >= t AND same) AS agree
+  FROM (SELECT l.id, 100.0 * (21 - hamming(l.name, r.name)) / 21 AS s, coalesce(r.closed = (l.status = 'permanently_closed'), false) AS same {_BAND}), (SELECT unnest([50.0, 65.0, 80.0, 95.0]) AS t) GROUP BY t""")
+def m10_named_probe(v: Source) -> DataFrame:
+    table, _ = matching.probe(v("named_l"), v("named_r"), 0.00045, [50.0, 65.0, 80.0, 95.0], F.col("r_closed") == (F.col("status") == "permanently_closed"))
+    return table
+
+
+_PLACED = "(SELECT *, CAST(floor(lat * 200) AS VARCHAR) AS locality FROM $)"
+
+
+@query(f"""WITH g AS (SELECT id, r_id, nsim FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(nsim, 9) DESC, r_id) AS rn FROM (SELECT l.id, r.id AS r_id, {_SIM} AS nsim FROM named_l l JOIN named_r r ON {D} <= 20)) WHERE rn = 1 AND nsim >= 0.55 - 1e-12),
+  n AS (SELECT id, r_id, nsim FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(nsim, 9) DESC, r_id) AS rn FROM (SELECT l.id, r.id AS r_id, {_SIM} AS nsim FROM {_PLACED.replace('$', 'named_l')} l JOIN {_PLACED.replace('$', 'named_r')} r ON l.locality = r.locality)) WHERE rn = 1 AND nsim >= 0.75 - 1e-12)
+  SELECT p.id, CASE WHEN g.id IS NOT NULL THEN 'geo' WHEN n.id IS NOT NULL THEN 'name' ELSE 'none' END AS match_type, coalesce(g.r_id, n.r_id) AS r_id, round(coalesce(g.nsim, n.nsim), 6) AS nsim FROM named_l p LEFT JOIN g ON g.id = p.id LEFT JOIN n ON n.id = p.id""")
+def m11_named_cascade(v: Source) -> DataFrame:
+    placed = lambda name: v(name).withColumn("locality", F.floor(F.col("lat") * 200).cast("string"))
+    return matching.cascade(placed("named_l"), placed("named_r"), radius=20.0).select("id", "match_type", "r_id", F.round("nsim", 6).alias("nsim"))
+
+
+@query(f"""SELECT l.id, round({_SIM}, 6) AS similarity, round(100.0 * (21 - hamming(l.name, r.name)) / 21, 6) AS token_sort, round({_SIM}, 6) AS sql_similarity FROM named_l l JOIN named_r r ON r.id = l.id + 1000000""")
+def f20_f21_m1_v1_named(v: Source) -> DataFrame:
+    """Each place against its own registry record: the library's columns and the functions registered for SQL."""
+    similarity.register(v.spark)
+    pairs = v("named_l").join(v("named_r").select((F.col("id") - 1000000).alias("id"), F.col("name").alias("other")), "id")
+    return pairs.select("id", F.round(similarity.name_similarity(F.col("name"), F.col("other")), 6).alias("similarity"), F.round(similarity.token_sort_ratio(F.col("name"), F.col("other")), 6).alias("token_sort"), F.round(F.call_function("name_ratio", "name", "other"), 6).alias("sql_similarity"))
+
+
+_CITY = """WITH f AS (SELECT l.cell, r.id, r.closed, row_number() OVER (PARTITION BY l.cell ORDER BY round($, 6), r.id) AS rn FROM cities l JOIN wide_r r ON $ <= 50000),
+  o AS (SELECT id, closed, min(cell) AS city FROM f WHERE rn <= 50 GROUP BY id, closed)
+  SELECT city, count(*) AS found, count(*) FILTER (WHERE closed) AS closed FROM o GROUP BY city""".replace("$", D)
+
+
+@query(_CITY)
+def m13_city_sweep(v: Source) -> DataFrame:
+    return matching.city_sweep(v("cities"), v("wide_r"))

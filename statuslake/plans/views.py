@@ -15,6 +15,16 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 #: The instant that ages refer to.
 REFERENCE = "2001-08-02 00:00:00"
 
+
+def coded_name(digits: str, step: int) -> str:
+    """A name of two words whose letters all differ and stay in place; ``step`` decides which of them become digits.
+
+    Such names of equal length only match place by place, so SQL can tell their similarity from their differences.
+    """
+    part = lambda letters, at: " || ".join([f"'{letters[0]}'", *(f"CASE WHEN k * {step + 2 * i} % {5 + (i + at) % 4} = 0 THEN '{digits[i % len(digits)]}' ELSE '{c}' END" for i, c in enumerate(letters[1:], 1))])
+    return f"{part('abcdefghij', 0)} || ' ' || {part('klmnopqrst', 2)}"
+
+
 VIEWS = {
     "flat_places": """
         SELECT c_custkey AS k, CAST(c_custkey AS STRING) AS id, p_name || ' ' || lower(c_mktsegment) AS name,
@@ -46,6 +56,13 @@ VIEWS = {
         SELECT k + 1000000 AS id, lat + CAST((k * 31 % 41) - 20 AS DOUBLE) / CAST(111111 AS DOUBLE) AS lat, lon + CAST((k * 17 % 41) - 20 AS DOUBLE) / CAST(87824 AS DOUBLE) AS lon,
                CASE WHEN k % 3 = 1 THEN name || ' inc' ELSE reverse(split_part(name, ' ', 1)) || substr(name, length(split_part(name, ' ', 1)) + 1) END AS name, k % 4 = 0 AS closed
         FROM flat_places WHERE k % 3 <> 0""",
+    "named_l": f"SELECT k AS id, {coded_name('135', 7)} AS name, lat, lon, status FROM flat_places",
+    "named_r": f"SELECT id, {coded_name('246', 11)} AS name, lat, lon, closed FROM (SELECT *, CAST((id - 1000000) * 3 AS BIGINT) AS k FROM points_r)",
+    "wide_r": """
+        SELECT k AS id, CAST(25 AS DOUBLE) + CAST(k * 7919 % 20000 AS DOUBLE) / CAST(1000 AS DOUBLE) AS lat, CAST(-120 AS DOUBLE) + CAST(k * 104729 % 40000 AS DOUBLE) / CAST(1000 AS DOUBLE) AS lon, k % 4 = 0 AS closed
+        FROM flat_places""",
+    "cities": """
+        SELECT CAST(n_nationkey AS BIGINT) AS cell, CAST(26 + n_nationkey * 7 % 18 AS DOUBLE) AS lat, CAST(-118 + n_nationkey * 11 % 36 AS DOUBLE) AS lon FROM nation""",
     "registry": """
         SELECT o_orderkey AS certificate, p_name AS dba_name, CAST(o_orderdate AS DATE) AS start_day,
                CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey * 13 % 2500 AS INT) AS DATE) END AS end_day,
