@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .profile import distribution, top_values
-from .relational import lookup, missing_from, sample_exact, seeded
+from .relational import lookup, missing_from, sample_exact, seeded, seeded_rank, small
 
 
 def stratified(df: DataFrame, label: str, key: str, percent: int, seed: int = 42) -> DataFrame:
@@ -20,8 +20,7 @@ def stratified(df: DataFrame, label: str, key: str, percent: int, seed: int = 42
     left = F.col("_want") - F.sum("_base").over(Window.partitionBy())
     place = F.row_number().over(Window.orderBy(F.desc(F.col("_share") - F.col("_base")), F.asc(label)))
     quota = part.withColumn("_left", left).withColumn("_place", place).select(label, (F.col("_base") + F.when(F.col("_place") <= F.col("_left"), 1).otherwise(0)).alias("_quota"))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(seeded(key, seed=seed), key))
-    return df.withColumn("_rank", rank).join(F.broadcast(quota), label).withColumn("held", F.col("_rank") <= F.col("_quota")).drop("_rank", "_quota")
+    return seeded_rank(df, label, key, seed, "_rank").join(small(quota), label).withColumn("held", F.col("_rank") <= F.col("_quota")).drop("_rank", "_quota")
 
 
 def append_training(train: DataFrame, held: DataFrame, extra: list[DataFrame], key: str) -> DataFrame:
@@ -40,7 +39,7 @@ def category_index(train: DataFrame, category: str) -> DataFrame:
 def apply_index(rows: DataFrame, index: DataFrame, category: str) -> DataFrame:
     """Unseen categories get the size of the vocabulary."""
     size = index.agg(F.count("*").cast("int").alias("_size"))
-    return rows.join(F.broadcast(index), category, "left").crossJoin(F.broadcast(size)).withColumn("index", F.coalesce("index", "_size")).drop("_size")
+    return rows.join(small(index), category, "left").crossJoin(F.broadcast(size)).withColumn("index", F.coalesce("index", "_size")).drop("_size")
 
 
 def decode_index(rows: DataFrame, index: DataFrame, category: str) -> DataFrame:
@@ -54,18 +53,18 @@ def closure_rates(train: DataFrame, category: str, label: str) -> DataFrame:
 def target_encode(rows: DataFrame, train: DataFrame, category: str, label: str) -> DataFrame:
     """Adds closure_rate of the category in ``train``; the overall rate for unseen ones."""
     overall = train.agg(F.avg((F.col(label) == 0).cast("double")).alias("_all"))
-    return rows.join(F.broadcast(closure_rates(train, category, label)), category, "left").crossJoin(F.broadcast(overall)).withColumn("closure_rate", F.coalesce("closure_rate", "_all")).drop("_all")
+    return rows.join(small(closure_rates(train, category, label)), category, "left").crossJoin(F.broadcast(overall)).withColumn("closure_rate", F.coalesce("closure_rate", "_all")).drop("_all")
 
 
 def target_encode_folds(train: DataFrame, category: str, label: str, key: str, folds: int = 5) -> DataFrame:
     """Out-of-fold form: a row's rate leaves its own fold out."""
-    fold = F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds))
+    fold = F.pmod(F.conv(F.substring(seeded(key), 1, 8), 16, 10).cast("bigint"), F.lit(folds))
     rows = train.withColumn("_fold", fold).withColumn("_c", (F.col(label) == 0).cast("double"))
     per = rows.groupBy(category, "_fold").agg(F.sum("_c").alias("_s"), F.count("*").alias("_n"))
     w = Window.partitionBy(category)
     other = per.withColumn("closure_rate", F.try_divide(F.sum("_s").over(w) - F.col("_s"), F.sum("_n").over(w) - F.col("_n"))).select(category, "_fold", "closure_rate")
     overall = rows.agg(F.avg("_c").alias("_all"))
-    return rows.join(F.broadcast(other), [category, "_fold"], "left").crossJoin(F.broadcast(overall)).withColumn("closure_rate", F.coalesce("closure_rate", "_all")).drop("_fold", "_c", "_all")
+    return rows.join(small(other), [category, "_fold"], "left").crossJoin(F.broadcast(overall)).withColumn("closure_rate", F.coalesce("closure_rate", "_all")).drop("_fold", "_c", "_all")
 
 
 def one_hot(rows: DataFrame, index: str = "index", size: int = 300) -> DataFrame:
@@ -82,7 +81,7 @@ def balanced_weights(train: DataFrame, label: str) -> DataFrame:
     sizes = train.groupBy(label).agg(F.count("*").alias("_n"))
     w = Window.partitionBy()
     weights = sizes.select(label, (F.sum("_n").over(w) / (F.count("*").over(w) * F.col("_n"))).alias("weight"))
-    return train.join(F.broadcast(weights), label)
+    return train.join(small(weights), label)
 
 
 def top_regions(places: DataFrame, n: int) -> DataFrame:
@@ -92,8 +91,7 @@ def top_regions(places: DataFrame, n: int) -> DataFrame:
 def stratified_negatives(pool: DataFrame, shares: DataFrame, n: int, category: str, key: str, seed: int = 42) -> DataFrame:
     """n open rows: four fifths to known categories in proportion (at least 1, half to even), the rest to other ones."""
     quota = shares.select(category, F.greatest(F.bround(F.col("fraction") * (0.8 * n)), F.lit(1.0)).cast("int").alias("_quota"))
-    place = F.row_number().over(Window.partitionBy(category).orderBy(seeded(key, seed=seed), key))
-    known = pool.join(F.broadcast(quota), category).withColumn("_rn", place).where(F.col("_rn") <= F.col("_quota")).drop("_rn", "_quota")
+    known = seeded_rank(pool, category, key, seed, "_rn").join(small(quota), category).where(F.col("_rn") <= F.col("_quota")).drop("_rn", "_quota")
     other = sample_exact(missing_from(pool.where(F.col(category).isNotNull()), shares, category), n - int(0.8 * n), key, seed)
     return known.unionByName(other.select(*known.columns))
 

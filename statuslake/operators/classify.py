@@ -20,12 +20,29 @@ from ..functions.scalar import softmax
 # nearest class mean
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of equal length as the rows of a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
 def ncm_fit(rows: DataFrame, vector: str = "v", label: str = "label") -> DataFrame:
-    """(label, n, mean)."""
-    each = rows.where(F.col(vector).isNotNull()).select(label, F.posexplode(vector).alias("pos", "x"))
-    sums = each.groupBy(label, "pos").agg(F.count("*").alias("n"), F.avg(F.col("x").cast("double")).alias("m"))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"])
-    return sums.groupBy(F.col(label).alias("label")).agg(F.max("n").alias("n"), ordered.alias("mean"))
+    """(label, n, mean): each task sends one row a class. Rows without a vector or a label are left out."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            coded = batch.column(0).dictionary_encode()
+            codes, x = coded.indices.to_numpy(), _matrix(batch.column(1))
+            for i, c in enumerate(coded.dictionary.to_pylist()):
+                own = x[codes == i]
+                n, total = held.get(c, (0, 0.0))
+                held[c] = n + len(own), total + own.sum(axis=0)
+        if held:
+            kind = batch.schema.field(0).type
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), kind), pa.array([n for n, _ in held.values()], pa.int64()), pa.array([(t / n).tolist() for n, t in held.values()], pa.list_(pa.float64()))], ["label", "n", "mean"])
+
+    known = rows.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).select(F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    return ncm_merge(known.mapInArrow(partial, f"label {dict(known.dtypes)['label']}, n bigint, mean array<double>"))
 
 
 def ncm_merge(*states: DataFrame) -> DataFrame:
@@ -62,9 +79,15 @@ def state_summary(state: DataFrame) -> DataFrame:
     return state.select("label", "n", F.round(norm, 6).alias("norm"))
 
 
-def condition_numbers(state: DataFrame) -> dict[object, float]:
-    """Of each class's regularised covariance; on the driver, D x D."""
-    return {r["label"]: float(np.linalg.cond(np.array(r["scatter"]) / max(r["n"] - 1, 1) + 1e-4 * np.eye(len(r["mean"])))) for r in state.collect()}
+def condition_numbers(state: DataFrame, ridge: float = 1e-4) -> DataFrame:
+    """(label, n, condition): of each class's regularised covariance."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            cond = [np.linalg.cond(np.stack(s) / max(n - 1, 1) + ridge * np.eye(len(s))) for s, n in zip(df["scatter"], df["n"], strict=True)]
+            yield pd.DataFrame({"label": df["label"], "n": df["n"], "condition": cond})
+
+    return state.select("label", "n", "scatter").mapInPandas(run, "label bigint, n bigint, condition double")
 
 
 # discriminant analysis
@@ -89,7 +112,7 @@ def da_fit(rows: DataFrame, vector: str = "v", label: str = "label") -> DataFram
         held: dict[int, tuple] = {}
         for batch in batches:
             labels = batch.column(0).to_numpy(zero_copy_only=False)
-            x = np.array(batch.column(1).to_pylist(), float)
+            x = _matrix(batch.column(1))
             for c in np.unique(labels):
                 own = x[labels == c]
                 mean = own.mean(axis=0)
@@ -100,10 +123,15 @@ def da_fit(rows: DataFrame, vector: str = "v", label: str = "label") -> DataFram
             yield pa.RecordBatch.from_pylist(rows_)
 
     parts = rows.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).select(F.col(label).cast("bigint").alias("label"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(partial, STATE)
-    return da_merge(parts)
+    # two levels: no task merges the parts of all tasks
+    return da_merge(da_merge(parts.withColumn("part", F.spark_partition_id() % MERGE_LANES), by=["label", "part"]))
+
 
+#: Lanes in which the parts of a class are merged before the lanes are.
+MERGE_LANES = 64
 
-def da_merge(*states: DataFrame) -> DataFrame:
+
+def da_merge(*states: DataFrame, by: list[str] | None = None) -> DataFrame:
     """The exact state of all rows together; order and grouping don't matter."""
     every = states[0]
     for s in states[1:]:
@@ -113,15 +141,14 @@ def da_merge(*states: DataFrame) -> DataFrame:
         n, mean, scatter = _merge([(int(r.n), np.array(r.mean_), np.stack(r.scatter)) for r in pdf.rename(columns={"mean": "mean_"}).itertuples()])
         return pd.DataFrame([{"label": pdf["label"].iloc[0], "n": n, "mean": mean.tolist(), "scatter": scatter.tolist()}])
 
-    return every.groupBy("label").applyInPandas(merge, STATE)
+    return every.groupBy(*(by or ["label"])).applyInPandas(merge, STATE)
 
 
 def _collected(state: DataFrame) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
     return sorted(((r["label"], r["n"], np.array(r["mean"]), np.array(r["scatter"])) for r in state.collect()), key=lambda x: x[0])
 
 
-def pooled_covariance(state: DataFrame, ridge: float = 1e-4) -> np.ndarray:
-    got = _collected(state)
+def pooled_covariance(got: list[tuple[int, int, np.ndarray, np.ndarray]], ridge: float = 1e-4) -> np.ndarray:
     n = sum(x[1] for x in got)
     return sum(x[3] for x in got) / max(n - len(got), 1) + ridge * np.eye(len(got[0][2]))
 
@@ -129,7 +156,7 @@ def pooled_covariance(state: DataFrame, ridge: float = 1e-4) -> np.ndarray:
 def slda_proba(rows: DataFrame, state: DataFrame, vector: str = "v") -> DataFrame:
     """Adds labels and probabilities of the shared-covariance model. Weights are solved once and go out as literals."""
     got = _collected(state)
-    cov, n = pooled_covariance(state), sum(x[1] for x in got)
+    cov, n = pooled_covariance(got), sum(x[1] for x in got)
     w = np.linalg.solve(cov, np.stack([x[2] for x in got]).T).T
     b = [-0.5 * float(x[2] @ wi) + float(np.log(x[1] / n)) for x, wi in zip(got, w, strict=True)]
     v = F.col(vector).cast("array<double>")

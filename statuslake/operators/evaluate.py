@@ -1,7 +1,7 @@
 """Evaluation of scores, closed (y = 1) as the positive class.
 
-Ranking measures start from one row for each model and distinct score, with counts, so a window never sees single rows;
-for continuous scores of very large tables, ``digits`` rounds them first.
+Ranking measures start from one row for each model and distinct score, with counts, and sum those up within ranges of
+the score, so no task holds all scores of a model; ``digits`` rounds scores first.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import running_sums
+
 
 def score_counts(scored: DataFrame, digits: int | None = None) -> DataFrame:
     s = F.col("p_closed") if digits is None else F.round("p_closed", digits)
@@ -17,17 +19,18 @@ def score_counts(scored: DataFrame, digits: int | None = None) -> DataFrame:
 
 def auc(scored: DataFrame, digits: int | None = None) -> DataFrame:
     """(model, auc): the probability that a closed row scores above an open one, ties half."""
-    below = Window.partitionBy("model").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    c = score_counts(scored, digits).withColumn("less", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    wins = F.sum(F.col("pos") * (F.col("less") + F.col("neg") / 2.0))
+    c = running_sums(score_counts(scored, digits), "model", "s", ["neg"])
+    wins = F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2.0))
     return c.groupBy("model").agg(F.round(F.try_divide(wins, F.sum("pos") * F.sum("neg")), 6).alias("auc"))
 
 
 def average_precision(scored: DataFrame, digits: int | None = None) -> DataFrame:
     """(model, ap): the sum over thresholds of precision times the gain in recall."""
-    down = Window.partitionBy("model").orderBy(F.desc("s"))
-    c = score_counts(scored, digits).withColumn("tp", F.sum("pos").over(down)).withColumn("all", F.sum(F.col("pos") + F.col("neg")).over(down))
-    return c.groupBy("model").agg(F.round(F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("all")), F.sum("pos")), 6).alias("ap"))
+    counts = score_counts(scored, digits)
+    totals = counts.groupBy("model").agg(F.sum("pos").alias("all_pos"), F.sum(F.col("pos") + F.col("neg")).alias("all"))
+    c = running_sums(counts, "model", "s", ["pos", "neg"]).join(totals, "model")
+    tp, called = F.col("all_pos") - F.col("before_pos"), F.col("all") - F.col("before_pos") - F.col("before_neg")
+    return c.groupBy("model").agg(F.round(F.try_divide(F.sum(F.col("pos") * tp / called), F.sum("pos")), 6).alias("ap"))
 
 
 def confusion(scored: DataFrame, threshold: float, *by: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from .relational import running_sums
 
 
 def counts(df: DataFrame, *by: str) -> DataFrame:
@@ -83,17 +84,33 @@ def effect_sizes(df: DataFrame, columns: list[str], label: str) -> DataFrame:
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 
 
+def exact_quantiles(rows: DataFrame, key: str, value: str, fractions: list[float]) -> DataFrame:
+    """(key, total, q): quantiles with linear interpolation, from counts of values that run within ranges; nulls are left out."""
+    each = rows.where(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("n"))
+    counts = running_sums(each, key, "_v", ["n"]).join(each.groupBy(key).agg(F.sum("n").alias("total")), key)
+    at = lambda p: (F.col("total") - 1) * F.lit(float(p))
+    there = lambda i: F.max(F.when((F.col("before_n") <= i) & (i < F.col("before_n") + F.col("n")), F.col("_v")))
+    ends = [F.struct(there(F.floor(at(p))).alias("low"), there(F.ceil(at(p))).alias("high"), F.max(at(p) - F.floor(at(p))).alias("part")) for p in fractions]
+    got = counts.groupBy(key).agg(F.max("total").alias("total"), F.array(*ends).alias("q"))
+    return got.withColumn("q", F.transform("q", lambda x: x["low"] + (x["high"] - x["low"]) * x["part"]))
+
+
 def quantiles(df: DataFrame, column: str, approximate: int = 0) -> DataFrame:
-    """p10 to p90 with linear interpolation, mean and greatest; ``approximate`` is an accuracy for very large tables."""
-    q = F.percentile_approx(column, list(QUANTILES), approximate) if approximate else F.percentile(column, F.array(*map(F.lit, QUANTILES)))
-    got = df.agg(q.alias("q"), F.round(F.avg(column), 6).alias("mean"), F.max(column).alias("max"))
+    """p10 to p90 with linear interpolation, mean and greatest; ``approximate`` is an accuracy for a faster answer."""
+    got = df.agg(F.round(F.avg(column), 6).alias("mean"), F.max(column).alias("max"), *([F.percentile_approx(column, list(QUANTILES), approximate).alias("q")] if approximate else []))
+    if not approximate:
+        exact = exact_quantiles(df.select(F.lit(0).alias("k"), column), "k", column, list(QUANTILES))
+        got = got.withColumn("k", F.lit(0)).join(F.broadcast(exact), "k", "left")
     return got.select(*[F.round(F.get("q", F.lit(i)), 6).alias(f"p{int(100 * p)}") for i, p in enumerate(QUANTILES)], "mean", "max")
 
 
 def class_stats(df: DataFrame, column: str, label: str, missing: float = -1.0) -> DataFrame:
     """Statistics of the rows with a value, and their share, for each class."""
     x = F.when(F.col(column) != missing, F.col(column))
-    return df.groupBy(label).agg(F.round(F.avg(x), 6).alias("mean"), F.round(F.median(x), 6).alias("median"), F.min(x).alias("min"), F.max(x).alias("max"), F.round(F.count(x) / F.count("*"), 6).alias("share"))
+    rest = df.groupBy(label).agg(F.round(F.avg(x), 6).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"), F.round(F.count(x) / F.count("*"), 6).alias("share"))
+    middle = exact_quantiles(df.select(F.col(label).alias("_k"), x.alias("_x")), "_k", "_x", [0.5])
+    out = rest.join(middle, F.col(label).eqNullSafe(F.col("_k")), "left")
+    return out.select(label, "mean", F.round(F.get("q", F.lit(0)), 6).alias("median"), "min", "max", "share")
 
 
 def left_closed(c: Column, edges: list[float]) -> Column:
@@ -124,10 +141,9 @@ def year_histogram(df: DataFrame, column: str) -> DataFrame:
 def upper_median(df: DataFrame, column: str) -> DataFrame:
     """min, the element at n // 2 of the sorted values, max and mean."""
     total = df.where(F.col(column).isNotNull()).agg(F.count("*").alias("total"), F.min(column).alias("min"), F.max(column).alias("max"), F.round(F.avg(column), 6).alias("mean"))
-    # the n // 2-th value from equal-value counts: cumulative counts of distinct values, not of rows
-    each = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).count()
-    upto = each.withColumn("upto", F.sum("count").over(Window.orderBy("v")))
-    mid = upto.crossJoin(F.broadcast(total.select("total"))).where("upto > floor(total / 2)").agg(F.min("v").alias("upper_median"))
+    # the n // 2-th value from counts of equal values
+    each = df.where(F.col(column).isNotNull()).groupBy(F.lit(0).alias("_k"), F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    mid = running_sums(each, "_k", "v", ["n"]).crossJoin(F.broadcast(total.select("total"))).where("before_n + n > floor(total / 2)").agg(F.min("v").alias("upper_median"))
     return total.crossJoin(mid).select("min", "upper_median", "max", "mean")
 
 
@@ -180,8 +196,11 @@ def size_projection(df: DataFrame, label: str, targets: list[int]) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    q = lambda c, p: F.round(F.percentile(c, F.lit(p)), 6)
-    return long(df, {c: {"count": F.count(c), "nulls": F.count_if(F.col(c).isNull()), "mean": F.round(F.avg(c), 6), "std": F.round(F.stddev_samp(c), 6), "min": F.round(F.min(c).cast("double"), 6), "p25": q(c, 0.25), "p50": q(c, 0.5), "p75": q(c, 0.75), "max": F.round(F.max(c).cast("double"), 6)} for c in columns})
+    rest = long(df, {c: {"count": F.count(c), "nulls": F.count_if(F.col(c).isNull()), "mean": F.round(F.avg(c), 6), "std": F.round(F.stddev_samp(c), 6), "min": F.round(F.min(c).cast("double"), 6), "max": F.round(F.max(c).cast("double"), 6)} for c in columns})
+    each = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")
+    out = rest.join(exact_quantiles(each, "feature", "v", [0.25, 0.5, 0.75]), "feature", "left")
+    q = lambda i: F.round(F.get("q", F.lit(i)), 6)
+    return out.select("feature", "count", "nulls", "mean", "std", "min", q(0).alias("p25"), q(1).alias("p50"), q(2).alias("p75"), "max")
 
 
 def join_feasibility(registry: DataFrame) -> DataFrame:

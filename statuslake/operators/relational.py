@@ -78,6 +78,41 @@ def seeded(*key: str, seed: int | str = 42) -> Column:
     return F.md5(F.concat(*[F.col(k).cast("string") for k in key], F.lit(str(seed))))
 
 
+def seeded_rank(df: DataFrame, group: str, key: str, seed: int | str = 42, name: str = "rank") -> DataFrame:
+    """Adds the rank, from 1, of each row in its group by the seeded order.
+
+    Rows are ranked within the 4,096 ranges of the order's first digits and shifted by the counts of the ranges before,
+    so a group of any size is spread over as many tasks.  Rows of a null group are left out.
+    """
+    rows = df.where(F.col(group).isNotNull()).withColumn("_h", seeded(key, seed=seed)).withColumn("_range", F.substring("_h", 1, 3))
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = rows.groupBy(group, "_range").agg(F.count("*").alias("_n")).withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(group, "_range").orderBy("_h", key))
+    return rows.join(shift, [group, "_range"]).withColumn(name, inside + F.col("_shift")).drop("_h", "_range", "_shift")
+
+
+def cuts_of(df: DataFrame, column: str, ranges: int = 256) -> list:
+    """Values, at most ``ranges`` - 1, that cut the column into ranges of about as many rows; only they reach the driver."""
+    found = df.agg(F.percentile_approx(column, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0]
+    return sorted({x for x in found or [] if x == x})
+
+
+def running_sums(df: DataFrame, key: str, by: str, values: list[str]) -> DataFrame:
+    """Adds before_<value>: the sum over the key's rows with a smaller ``by``; one row for each key and ``by``.
+
+    Sums run within ranges of ``by`` and are shifted by those of the ranges before, so no task holds a whole key.
+    """
+    cuts = cuts_of(df, by)
+    rows = df.withColumn("_range", F.size(F.filter(F.lit(cuts), lambda c: c < F.col(by))) if cuts else F.lit(0))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    over = lambda c, w: F.coalesce(F.sum(c).over(earlier(w)), F.lit(0))
+    totals = rows.groupBy(key, "_range").agg(*[F.sum(v).alias(v) for v in values])
+    shifts = totals.select(key, "_range", *[over(v, Window.partitionBy(key).orderBy("_range")).alias(f"_{v}") for v in values])
+    inside = Window.partitionBy(key, "_range").orderBy(by)
+    out = rows.join(shifts, [key, "_range"])
+    return out.withColumns({f"before_{v}": over(v, inside) + F.col(f"_{v}") for v in values}).drop("_range", *[f"_{v}" for v in values])
+
+
 def sample_exact(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """Exactly n rows (or all, if fewer), chosen by the seeded order."""
     return df.orderBy(seeded(key, seed=seed), key).limit(n)
