@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share, from ``spark.checkpoint.dir``; only where it is unset, as in tests, a local one."""
+    """The folder all machines share, from ``spark.checkpoint.dir``; a temporary one only in local mode, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     return found or _own_dir()
 
 
@@ -38,12 +40,6 @@ def write_table(df: DataFrame, name: str) -> str:
     return path
 
 
-def drop_table(spark: SparkSession, path: str) -> None:
-    """Removes a table that nothing reads any more."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 #: A key is hot if it holds more than one in so many rows; there are fewer hot keys than this.
 HOT = 1000
 
