@@ -46,19 +46,26 @@ def d4_target_encoding(v: Source) -> DataFrame:
     return assembly.target_encode(rows.where("held"), rows.where("NOT held"), "category", "open").select("id", F.round("closure_rate", 6).alias("closure_rate"))
 
 
-@query()
+_FOLD = "CAST('0x' || substr(md5(id || '42'), 1, 8) AS BIGINT) % 5"
+
+
+@query(f"""WITH r AS (SELECT id, category, {_FOLD} AS f, CAST(1 - open AS DOUBLE) AS c FROM labeled), g AS (SELECT category, f, sum(c) AS s, count(*) AS n FROM r GROUP BY ALL),
+  o AS (SELECT a.category, a.f, sum(b.s) / sum(b.n) AS rate FROM g a JOIN g b ON a.category = b.category AND a.f <> b.f GROUP BY ALL)
+  SELECT r.id, round(coalesce(o.rate, (SELECT avg(c) FROM r)), 6) AS closure_rate FROM r LEFT JOIN o ON r.category = o.category AND r.f = o.f""")
 def d4_target_encoding_folds(v: Source) -> DataFrame:
     return assembly.target_encode_folds(v("labeled"), "category", "open", "id").select("id", F.round("closure_rate", 6).alias("closure_rate"))
 
 
-@query()
+@query("""WITH i AS (SELECT category, CAST(row_number() OVER (ORDER BY category) AS INT) AS i FROM (SELECT DISTINCT category FROM labeled WHERE category IS NOT NULL))
+  SELECT id, n_chars + toxic + 1 AS total, CAST(coalesce(i.i, (SELECT count(*) + 1 FROM i)) AS BIGINT) AS hot FROM labeled l LEFT JOIN i ON l.category = i.category""")
 def d5_d13_one_hot_matrix(v: Source) -> DataFrame:
     rows = v("labeled")
     coded = assembly.one_hot(assembly.apply_index(rows, assembly.category_index(rows, "category"), "category"))
     from pyspark.ml.functions import vector_to_array
 
     out = assembly.assemble(coded, ["n_chars", "toxic", "category_vec"])
-    return out.select("id", F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x).alias("total"))
+    hot = F.array_position(F.slice(vector_to_array("category_vec"), 1, 300), F.lit(1.0)).alias("hot")
+    return out.select("id", F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x).alias("total"), hot)
 
 
 @query("SELECT id, round(CAST((SELECT count(*) FROM labeled) AS DOUBLE) / (2 * n), 6) AS weight FROM labeled l JOIN (SELECT open, count(*) AS n FROM labeled GROUP BY open) c ON l.open = c.open")
@@ -85,7 +92,17 @@ def d8_stratified_negatives(v: Source) -> DataFrame:
     return assembly.stratified_negatives(pool, shares, 200, "category", "id").select("id", "category")
 
 
-@query()
+_RATIO = """top AS (SELECT region FROM release_a WHERE status IN ('closed', 'permanently_closed') GROUP BY region ORDER BY count(*) DESC, region LIMIT 5),
+  ins AS (SELECT * FROM release_a WHERE region IN (SELECT region FROM top)),
+  cl AS (SELECT id FROM ins WHERE status IN ('closed', 'permanently_closed')), n AS (SELECT 2 * count(*) AS n FROM cl),
+  pool AS (SELECT * FROM ins WHERE status IS NULL OR status = 'open'),
+  sh AS (SELECT category, count(*) / (SELECT count(*) FROM release_b WHERE category < 'm') AS fraction FROM release_b WHERE category < 'm' GROUP BY category),
+  qt AS (SELECT category, greatest(CAST(round_even(fraction * (0.8 * n), 0) AS DOUBLE), 1) AS quota FROM sh, n),
+  kn AS (SELECT id FROM (SELECT p.id, quota, row_number() OVER (PARTITION BY p.category ORDER BY md5(p.id || '42'), p.id) AS rn FROM pool p JOIN qt ON p.category = qt.category) WHERE rn <= quota),
+  ot AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY md5(id || '42'), id) AS rn FROM pool WHERE category IS NOT NULL AND category NOT IN (SELECT category FROM sh)), n WHERE rn <= n - CAST(floor(0.8 * n) AS BIGINT))"""
+
+
+@query(f"WITH {_RATIO} SELECT id, 0 AS open FROM cl UNION ALL SELECT id, 1 FROM kn UNION ALL SELECT id, 1 FROM ot")
 def d9_fixed_ratio(v: Source) -> DataFrame:
     return assembly.fixed_ratio(v("release_a"), v("release_b").where("category < 'm'"), 5, 2).select("id", "open")
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import assembly, classify, evaluate
+from ..operators import assembly, classify, evaluate, relational
 from ..sources import io
 from ..streaming import state as streaming
 from .catalogue import query
@@ -17,10 +17,7 @@ from .views import Source
 
 def scratch(v: Source, name: str) -> str:
     """A new folder that all machines share."""
-    import tempfile
-
-    root = v.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    return f"{io.shared_folder(v.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # classifiers
@@ -57,6 +54,20 @@ def c5_state_summary(v: Source) -> DataFrame:
     return classify.state_summary(classify.ncm_fit(v("embed")))
 
 
+def _plane(v: Source) -> DataFrame:
+    """The vectors' first two coordinates, for which SQL can invert a covariance."""
+    return v("embed").withColumn("v", F.slice("v", 1, 2))
+
+
+_PLANE = """e AS (SELECT id, CAST(label AS BIGINT) AS label, CAST(v[1] AS DOUBLE) AS x, CAST(v[2] AS DOUBLE) AS y FROM embed),
+  m AS (SELECT label, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) * count(*) AS sxx, var_pop(y) * count(*) AS syy, covar_pop(x, y) * count(*) AS sxy FROM e GROUP BY label)"""
+
+
+@query(f"WITH {_PLANE}, c AS (SELECT label, n, sxx / (n - 1) + 0.0001 AS a, syy / (n - 1) + 0.0001 AS b, sxy / (n - 1) AS c FROM m) SELECT label, n, round((a + b + sqrt(power(a - b, 2) + 4 * c * c)) / (a + b - sqrt(power(a - b, 2) + 4 * c * c)), 5) AS condition FROM c")
+def c5_condition_numbers(v: Source) -> DataFrame:
+    return classify.condition_numbers(classify.da_fit(_plane(v))).withColumn("condition", F.round("condition", 5))
+
+
 _SCATTER = "SELECT label, round(sum(s), 4) AS trace, round(sum(CASE WHEN i = 1 THEN c END), 4) AS corner FROM (SELECT CAST(label AS BIGINT) AS label, i, covar_pop(CAST(v[i] AS DOUBLE), CAST(v[i] AS DOUBLE)) * count(*) AS s, covar_pop(CAST(v[i] AS DOUBLE), CAST(v[2] AS DOUBLE)) * count(*) AS c FROM embed, (SELECT unnest(generate_series(1, 64)) AS i) GROUP BY label, i) GROUP BY label"
 
 
@@ -88,6 +99,25 @@ def c10_qda(v: Source) -> DataFrame:
     return out.select("id", "label", "prediction", F.round(F.array_max("proba"), 6).alias("p"))
 
 
+_SHARED = f"""WITH {_PLANE}, p AS (SELECT sum(sxx) / (sum(n) - count(*)) + 0.0001 AS a, sum(syy) / (sum(n) - count(*)) + 0.0001 AS b, sum(sxy) / (sum(n) - count(*)) AS c, sum(n) AS t FROM m),
+  w AS (SELECT label, mx, my, (b * mx - c * my) / (a * b - c * c) AS wx, (a * my - c * mx) / (a * b - c * c) AS wy, ln(n / t) AS prior FROM m, p),
+  s AS (SELECT id, e.label AS own, w.label, x * wx + y * wy - 0.5 * (mx * wx + my * wy) + prior AS s FROM e, w)"""
+_CHOSEN = "SELECT id, own AS label, arg_max(label, s) AS prediction, round(1 / sum(exp(s - best)), 6) AS p FROM (SELECT *, max(s) OVER (PARTITION BY id) AS best FROM s) GROUP BY id, own"
+
+
+@query(f"{_SHARED} {_CHOSEN}")
+def c8_c9_slda_plane(v: Source) -> DataFrame:
+    out = classify.predict(classify.slda_proba(_plane(v), classify.da_fit(_plane(v))))
+    return out.select("id", F.col("label").cast("bigint").alias("label"), "prediction", F.round(F.array_max("proba"), 6).alias("p"))
+
+
+@query(f"""WITH {_PLANE}, c AS (SELECT *, sxx / (n - 1) + 0.1 AS a, syy / (n - 1) + 0.1 AS b, sxy / (n - 1) AS c, ln(n / sum(n) OVER ()) AS prior FROM m),
+  s AS (SELECT id, e.label AS own, c.label, prior - 0.5 * ln(a * b - c * c) - 0.5 * (b * power(x - mx, 2) - 2 * c * (x - mx) * (y - my) + a * power(y - my, 2)) / (a * b - c * c) AS s FROM e, c) {_CHOSEN}""")
+def c10_qda_plane(v: Source) -> DataFrame:
+    out = classify.predict(classify.qda_proba(_plane(v), classify.da_fit(_plane(v))))
+    return out.select("id", F.col("label").cast("bigint").alias("label"), "prediction", F.round(F.array_max("proba"), 6).alias("p"))
+
+
 @query("SELECT CAST(0 AS DOUBLE) AS mean_diff, CAST(0 AS DOUBLE) AS scatter_diff, CAST(0 AS BIGINT) AS n_diff FROM (SELECT count(*) AS n FROM embed) WHERE n > 0")
 def c18_incremental_is_full(v: Source) -> DataFrame:
     e = v("embed")
@@ -191,10 +221,9 @@ def e11_extreme_categories(v: Source) -> DataFrame:
     return evaluate.extreme_categories(evaluate.category_metrics(v("scored"), 0.5), least=1)
 
 
-@query()
-def e13_continual_learning(v: Source) -> DataFrame:
+def _continual(v: Source, rows: DataFrame) -> DataFrame:
     """AUC of a two-class state fitted on the first release, updated with the second, and fitted on both."""
-    rows = v("embed").withColumn("closed", (F.col("label") < 3).cast("int")).withColumn("key", F.col("id").cast("string"))
+    rows = rows.withColumn("closed", (F.col("label") < 3).cast("int")).withColumn("key", F.col("id").cast("string"))
     parts = assembly.stratified(rows, "closed", "key", 30)
     old, new = parts.where("NOT held"), parts.where("held")
     first = classify.da_fit(old, label="closed")
@@ -206,6 +235,34 @@ def e13_continual_learning(v: Source) -> DataFrame:
     return evaluate.auc(out)
 
 
+@query()
+def e13_continual_learning(v: Source) -> DataFrame:
+    return _continual(v, v("embed"))
+
+
+_HALVES = """e AS (SELECT id, CASE WHEN label < 3 THEN 1 ELSE 0 END AS closed, CAST(v[1] AS DOUBLE) AS x, CAST(v[2] AS DOUBLE) AS y FROM embed),
+  q AS (SELECT closed, n, n * ceil(sum(n) OVER () * 30 / 100) / sum(n) OVER () AS share, ceil(sum(n) OVER () * 30 / 100) AS want FROM (SELECT closed, count(*) AS n FROM e GROUP BY closed)),
+  quota AS (SELECT closed, floor(share) + CASE WHEN row_number() OVER (ORDER BY share - floor(share) DESC, closed) <= want - sum(floor(share)) OVER () THEN 1 ELSE 0 END AS quota FROM q),
+  h AS (SELECT e.*, row_number() OVER (PARTITION BY e.closed ORDER BY md5(id || '42'), CAST(id AS VARCHAR)) <= quota AS held FROM e JOIN quota ON e.closed = quota.closed),
+  z AS (SELECT 'first' AS model, * FROM h WHERE NOT held UNION ALL SELECT 'updated', * FROM h UNION ALL SELECT 'full', * FROM h),
+  m AS (SELECT model, closed, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) * count(*) AS sxx, var_pop(y) * count(*) AS syy, covar_pop(x, y) * count(*) AS sxy FROM z GROUP BY model, closed),
+  p AS (SELECT model, sum(sxx) / (sum(n) - 2) + 0.0001 AS a, sum(syy) / (sum(n) - 2) + 0.0001 AS b, sum(sxy) / (sum(n) - 2) AS c, sum(n) AS t FROM m GROUP BY model),
+  w AS (SELECT m.model, closed, (b * mx - c * my) / (a * b - c * c) AS wx, (a * my - c * mx) / (a * b - c * c) AS wy, ln(n / t) - 0.5 * (b * mx * mx - 2 * c * mx * my + a * my * my) / (a * b - c * c) AS w0 FROM m JOIN p ON m.model = p.model),
+  f AS (SELECT w.model, h.closed AS y, round(1 / (1 + exp(sum(CASE WHEN w.closed = 0 THEN 1 ELSE -1 END * (x * wx + h.y * wy + w0)))), 9) AS s FROM h, w GROUP BY w.model, h.id, h.closed),
+  g AS (SELECT model, s, sum(y) AS pos, sum(1 - y) AS neg FROM f GROUP BY model, s)"""
+
+
+@query(f"WITH {_HALVES} SELECT model, round(sum(CAST(pos AS DOUBLE) * (less + neg / 2.0)) / (sum(pos) * sum(neg)), 6) AS auc FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY model ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS less FROM g) GROUP BY model")
+def e13_continual_plane(v: Source) -> DataFrame:
+    return _continual(v, _plane(v))
+
+
+@query("""SELECT model, category, round(sum(CAST(pos AS DOUBLE) * (less + neg / 2.0)) / (sum(pos) * sum(neg)), 6) AS auc FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY model, category ORDER BY p_closed ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS less
+  FROM (SELECT model, category, p_closed, sum(y) AS pos, sum(1 - y) AS neg FROM scored WHERE category IS NOT NULL GROUP BY ALL)) GROUP BY model, category HAVING sum(pos) * sum(neg) > 0""")
+def opt_stratified_auc(v: Source) -> DataFrame:
+    return evaluate.stratified_auc(v("scored"), "category")
+
+
 @query(f"SELECT id, model, y, p_closed, {_ERR} AS error FROM scored")
 def e14_s10_error_export(v: Source) -> DataFrame:
     """Written as JSON lines and read back."""
@@ -241,20 +298,32 @@ def s4_s5_json_lines(v: Source) -> DataFrame:
 
 @query("SELECT id, name, k % 4 <> 0 AS has_geometry, CASE WHEN k % 4 <> 0 THEN lon END AS lon, CASE WHEN k % 4 <> 0 THEN lat END AS lat FROM flat_places")
 def s6_geojson_collections(v: Source) -> DataFrame:
-    """Collections of features, one file for each of eight groups."""
+    """Collections of at most 500 features each; every fourth place has no geometry."""
     path = scratch(v, "geo")
-    point = F.when(F.col("k") % 4 != 0, F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")))
-    feature = F.struct(F.lit("Feature").alias("type"), F.struct("id", "name").alias("properties"), point.alias("geometry"))
-    groups = v("flat_places").groupBy((F.col("k") % 8).alias("g")).agg(F.collect_list(feature).alias("features"))
-    groups.select("g", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value")).repartition(8, "g").write.partitionBy("g").option("maxRecordsPerFile", 1).text(path)
+    io.write_geojson(v("flat_places").withColumn("lon", F.when(F.col("k") % 4 != 0, F.col("lon"))), path, "lon", "lat", ["id", "name"], file_rows=500)
     return io.geojson(v.spark, path, "id: string, name: string").select("id", "name", "has_geometry", "lon", "lat")
 
 
-@query("SELECT id, region, confidence FROM release_a WHERE region = 'FRANCE'")
+@query("SELECT id, region, confidence FROM release_a WHERE region = 'NATION_7'")
 def s9_parquet_partitions(v: Source) -> DataFrame:
     path = scratch(v, "parts")
     io.write_parquet(v("release_a").select("id", "region", "confidence"), path, "region")
-    return io.parquet(v.spark, path).where("region = 'FRANCE'").select("id", "region", "confidence")
+    return io.parquet(v.spark, path).where("region = 'NATION_7'").select("id", "region", "confidence")
+
+
+@query("SELECT id, status FROM release_b")
+def s3_listed_release(v: Source) -> DataFrame:
+    """The newest of the folders under a prefix; the others are not read."""
+    path = scratch(v, "releases")
+    io.write_parquet(relational.tagged_union({"2026-01": v("release_a"), "2026-02": v("release_b")}), path, "release")
+    return io.newest_release(v.spark, path).select("id", "status")
+
+
+@query("SELECT a.id, a.status AS before, b.status AS after FROM release_a a JOIN release_b b ON a.id = b.id WHERE a.status IS DISTINCT FROM b.status")
+def s7_attached_releases(v: Source) -> DataFrame:
+    """Two releases registered as views and read by one statement."""
+    a, b = io.register_release(v("release_a"), "2026-01"), io.register_release(v("release_b"), "2026-02")
+    return v.spark.sql(f"SELECT a.id, a.status AS before, b.status AS after FROM {a} a JOIN {b} b ON a.id = b.id WHERE NOT a.status <=> b.status")
 
 
 @query(_STATE.format("true"))

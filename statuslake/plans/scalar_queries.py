@@ -130,7 +130,7 @@ def f7_years(v: Source) -> DataFrame:
     return v("registry").groupBy(F.year("start_day").cast("bigint").alias("year")).agg(F.count("*").alias("n"), F.round(F.avg(S.years(at("start_day"), at("end_day"))), 6).alias("years"))
 
 
-@query("SELECT id, round(exp(n_chars / 10000) / (exp(n_chars / 10000) + exp(toxic)), 6) AS p FROM labeled WHERE n_chars < 100000")
+@query("SELECT id, round(1 / (1 + exp(toxic - n_chars / 10000)), 6) AS p FROM labeled")
 def f24_softmax(v: Source) -> DataFrame:
     return v("labeled").select("id", F.round(F.get(S.softmax(F.array(F.col("n_chars") / 10000, "toxic")), F.lit(0)), 6).alias("p"))
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +18,31 @@ def parquet(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return df.withColumn("filename", F.col("_metadata.file_path")) if with_file else df
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all machines share; a temporary one only in local mode."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    import tempfile
+
+    return "file://" + tempfile.gettempdir()
+
+
+def release_names(spark: SparkSession, path: str, partition: str = "release") -> list[str]:
+    """The releases under a prefix, the newest first, from the names of its folders alone."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    names = [f.getPath().getName() for f in files if f.isDirectory()]
+    return sorted((n.split("=", 1)[1] for n in names if n.startswith(f"{partition}=")), reverse=True)
+
+
+def newest_release(spark: SparkSession, path: str, partition: str = "release") -> DataFrame:
+    """The rows of the newest release's folder; no other is opened."""
+    return spark.read.parquet(f"{path}/{partition}={release_names(spark, path, partition)[0]}")
+
+
 def latest_release(df: DataFrame, partition: str = "release") -> DataFrame:
     """Rows of the newest release; the value is looked up first, so the filter prunes partitions."""
     newest = df.agg(F.max(partition)).first()[0]
@@ -56,6 +85,12 @@ def describe_schema(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([(n, t) for n, t in df.dtypes], "name string, type string")
 
 
+def schema_profile(df: DataFrame) -> DataFrame:
+    """(name, type, n, filled) of each column: rows, and those with a value."""
+    cells = [F.struct(F.lit(n).alias("name"), F.lit(t).alias("type"), F.count("*").alias("n"), F.count(F.col(f"`{n}`")).alias("filled")) for n, t in df.dtypes]
+    return df.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*")
+
+
 def write_parquet(df: DataFrame, path: str, *partitions: str) -> None:
     df.write.partitionBy(*partitions).parquet(path) if partitions else df.write.parquet(path)
 
@@ -71,8 +106,23 @@ def as_features(df: DataFrame, lon: str, lat: str, properties: list[str]) -> Dat
     return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), F.struct(*properties).alias("properties"))).alias("value"))
 
 
-def write_geojson(df: DataFrame, path: str, lon: str, lat: str, properties: list[str]) -> None:
-    as_features(df, lon, lat, properties).write.text(path)
+def write_geojson(df: DataFrame, path: str, lon: str, lat: str, properties: list[str], file_rows: int = 100_000) -> None:
+    """Feature collections of about ``file_rows`` features each, one to a file, a feature on each line."""
+    files = max(1, -(-df.count() // file_rows))
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = lambda values: pa.RecordBatch.from_arrays([values], ["value"])
+        yield lines(pa.array(['{"type":"FeatureCollection","features":[']))
+        first = True
+        for batch in batches:
+            values = batch.column(0)
+            if first and len(values):
+                yield lines(values.slice(0, 1))
+                values, first = values.slice(1), False
+            yield lines(pc.binary_join_element_wise(pa.scalar(",", values.type), values, pa.scalar("", values.type)))
+        yield lines(pa.array(["]}"]))
+
+    as_features(df, lon, lat, properties).repartition(files).mapInArrow(collect, "value string").write.text(path)
 
 
 def ids(df: DataFrame, key: str = "id") -> DataFrame:
