@@ -170,3 +170,34 @@ def test_pipeline_stages(spark, sf_dir):
     assert {r["doc_id"] for r in steps[3].collect()} == {r["doc_id"] for r in steps[2].collect()} - hit
     assert steps[4].count() == steps[3].count() == steps[5].count()
     assert pipeline.run(spark, sf_dir).columns == ["doc_id", "n_tokens", "ids"]
+
+
+def test_stages_on_odd_and_empty_tables(spark, sf_dir, odd, empty):
+    """Nulls, repeats, very long texts, extra columns and no rows at all pass every stage."""
+    import corpus_pipeline as pipeline
+
+    for docs in (odd, empty, odd.drop("n_chars")):
+        for name, stage in pipeline.STAGES:
+            out = stage(spark, docs, sf_dir)
+            if name == "bpe_encoding":
+                assert out.columns == ["doc_id", "n_tokens", "ids"] and out.count() == docs.count()
+                continue
+            assert out.columns == docs.columns
+            kept = out.count()
+            assert kept <= docs.count() and (kept > 0) == (docs is not empty)
+            if name == "surrogates":
+                assert kept == docs.count()
+
+
+def test_rows_that_share_an_id(spark, sf_dir):
+    """Different texts under one id both stay; repeats, near copies and copies without an id go."""
+    import corpus_pipeline as pipeline
+
+    from statuslake.llm.cluster import ship
+
+    ship(spark)
+    text = lambda word: " ".join(f"{word}{i}" for i in range(60))
+    rows = [(1, text("a")), (1, text("b")), (2, text("a") + " more"), (3, text("b")), (1, text("a")), (4, None), (4, ""), (5, None), (None, text("c")), (None, text("c")), (6, text("c")), (7, text("d"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars int").repartition(3)
+    got = pipeline.near_duplicates(spark, docs, sf_dir).collect()
+    assert sorted(((r["doc_id"] or 0, (r["text"] or "")[:1]) for r in got)) == [(1, "a"), (1, "b"), (4, ""), (4, ""), (5, ""), (6, "c"), (7, "d")]
