@@ -4,7 +4,8 @@ A window is ``window`` consecutive words of a benchmark item, or the whole item
 documents are seen as sets of shingles with places.  Containment must be full, so one shingle of a window is a
 necessary prefix; shingles are ordered by rarity and the rarest, the one met at the fewest places of the corpus, is
 taken.  Documents meet windows on that shingle alone; the length of the document and the shingle's place in the window
-bound where an occurrence can start; and a candidate is confirmed if every shingle of the window stands at its place.
+bound where an occurrence can start; a candidate stays if every shingle of the window stands at its place, and is
+confirmed by the words themselves.
 
 Texts are not shuffled to find hits: their shingles are matched against the benchmark's, which are broadcast if they are at
 most ``BROADCAST_SHINGLES`` (counted first) and joined by a shuffle beyond that; only places that match go on.
@@ -54,6 +55,19 @@ def windows(items: DataFrame, window: int) -> DataFrame:
     return each.select("item", F.sha2(F.concat_ws(" ", "words"), 256).alias("w"), "words", F.size("words").alias("size")).withColumn("k", F.least("size", F.lit(SHINGLE)))
 
 
+def same_row(a: str, b: str) -> list[Column]:
+    return [F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")), F.col(f"{a}.row") == F.col(f"{b}.row")]
+
+
+def confirmed(likely: DataFrame, base: DataFrame, win: DataFrame) -> DataFrame:
+    """Those occurrences whose words are the window's; only documents with one have their words split again."""
+    ids = durable(likely.select("doc_id", "row").distinct(), "likely_ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = base.alias("a").join(ids.alias("b"), same_row("a", "b"), "left_semi").dropDuplicates(["doc_id", "row"])
+    met = likely.alias("a").join(texts.alias("b"), same_row("a", "b")).select("a.*", F.slice("b.words", F.col("a.start").cast("int"), F.col("a.size")).alias("there"))
+    return met.join(win.select("w", F.col("words").alias("wanted")).dropDuplicates(["w"]), "w").where("there = wanted").select("doc_id", "row", "w", "size", "k", "start")
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items and items (sorted as strings) of each row of ``docs``."""
     win = durable(windows(benchmark, window), "windows")
@@ -90,12 +104,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     spread = start.join(ordered, "w").select("doc_id", "row", "w", "size", "k", "start", (F.col("start") + F.col("at")).alias("place"), "h")
     same = [F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), *(F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("row", "place", "h"))]
     there = spread.alias("a").join(seen.select("doc_id", "row", "place", "h").distinct().alias("b"), same).select("a.*")
-    sure = durable(there.groupBy("doc_id", "row", "w", "size", "k", "start").count().where("count = size - k + 1"), "occurrences")
+    likely = durable(there.groupBy("doc_id", "row", "w", "size", "k", "start").count().where("count = size - k + 1"), "likely")
+    sure = durable(confirmed(likely, base, win), "occurrences")
 
     places = sure.select("doc_id", "row", F.explode(F.expr("sequence(start, start + size - 1)")).alias("place")).distinct().groupBy("doc_id", "row").agg(F.count("*").alias("n_hit"))
     held = sure.select("doc_id", "row", "w").distinct().join(win.select("w", "item"), "w").groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    counts = places.alias("a").join(held.alias("b"), [F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), F.col("a.row") == F.col("b.row")]).select("a.*", "items")
-    every = found.where("place = 0").alias("a").join(counts.alias("b"), [F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), F.col("a.row") == F.col("b.row")], "left")
+    counts = places.alias("a").join(held.alias("b"), same_row("a", "b")).select("a.*", "items")
+    every = found.where("place = 0").alias("a").join(counts.alias("b"), same_row("a", "b"), "left")
     none = F.array().cast("array<string>")
     out = every.select("a.doc_id", "a.row", F.col("n_words").cast("bigint").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("items", none).alias("items"))
     return out.withColumn("n_items", F.size("items").cast("bigint"))
