@@ -25,9 +25,17 @@ BROADCAST_INTERVALS = 500_000
 
 
 def host(url: str) -> Column:
-    """The lower-cased host of an absolute URL; null if there is none."""
-    found = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
-    return F.when(found != "", F.regexp_replace(found, r"\.+$", ""))
+    """The lower-cased host of an absolute URL, an IPv6 address without its brackets; null if there is none."""
+    authority = F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), "^.*@", "")
+    name = F.when(authority.startswith("["), F.regexp_extract(authority, r"^\[([^\]]+)\]", 1)).otherwise(F.regexp_extract(authority, "^[^:]*", 0))
+    found = F.regexp_replace(F.lower(name), r"\.+$", "")
+    return F.when(found != "", found)
+
+
+def with_parents(name: str) -> Column:
+    """A host and its parent domains; an IP address has none."""
+    parents = F.expr(f"transform(sequence(1, size(split({name}, '[.]'))), i -> array_join(slice(split({name}, '[.]'), i, size(split({name}, '[.]'))), '.'))")
+    return F.when(F.col(name).rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$|:"), F.array(name)).otherwise(parents)
 
 
 def intervals(events: DataFrame) -> DataFrame:
@@ -46,9 +54,7 @@ def evaluate(captures: DataFrame, events: DataFrame, url: str = "url", at: str =
         held = F.broadcast(held)
     named = captures.withColumn("host", host(url))
     asked = named.select("host", F.col(at).alias("time")).where("host IS NOT NULL AND time IS NOT NULL").distinct()
-    labels = F.split("host", r"\.")
-    parents = F.expr("transform(sequence(1, size(labels)), i -> array_join(slice(labels, i, size(labels)), '.'))")
-    each = asked.withColumn("labels", labels).select("host", "time", F.explode(parents).alias("domain"))
+    each = asked.select("host", "time", F.explode(with_parents("host")).alias("domain"))
     met = each.join(held, "domain").where("since <= time AND (until IS NULL OR time < until)")
     best = met.groupBy("host", "time").agg(F.max_by(F.struct("domain", "list", "since"), F.struct(F.length("domain"), "list")).alias("statuslake_m")).withColumnsRenamed({"host": "statuslake_host", "time": "statuslake_time"})
     out = named.join(best, (named["host"] == best["statuslake_host"]) & (named[at] == best["statuslake_time"]), "left")
@@ -69,14 +75,15 @@ def page_events(pages: DataFrame) -> DataFrame:
 
 
 ORACLE = r"""
-WITH p AS (SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id * 7919 % 730 AS INTEGER) AS DATE) AS fetched_at,
+WITH a AS (SELECT *, string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '@')[-1] AS auth FROM pages),
+p AS (SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id * 7919 % 730 AS INTEGER) AS DATE) AS fetched_at,
        CAST(DATE '2024-01-01' + CAST(page_id * 31 % 700 AS INTEGER) AS DATE) AS day,
-       nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '') AS host FROM pages),
+       nullif(rtrim(lower(CASE WHEN auth LIKE '[%' THEN string_split(auth[2:], ']')[1] ELSE string_split(auth, ':')[1] END), '.'), '') AS host FROM a),
 e AS (SELECT CASE WHEN page_id % 4 = 1 THEN 'malware' ELSE 'adult' END AS list, host AS domain, day,
        max(CASE WHEN page_id % 10 IN (3, 5) THEN 'add' ELSE 'remove' END) AS action
       FROM p WHERE page_id % 10 IN (3, 5, 7) AND host IS NOT NULL GROUP BY ALL),
 i AS (SELECT * FROM (SELECT list, domain, day AS since, action, lead(day) OVER (PARTITION BY list, domain ORDER BY day) AS until FROM e) WHERE action = 'add'),
-m AS (SELECT p.page_id, domain, list, since FROM p JOIN i ON (p.host = i.domain OR ends_with(p.host, '.' || i.domain)) AND since <= fetched_at AND (until IS NULL OR fetched_at < until)
+m AS (SELECT p.page_id, domain, list, since FROM p JOIN i ON (p.host = i.domain OR (ends_with(p.host, '.' || i.domain) AND NOT regexp_full_match(p.host, '[0-9]{1,3}(\.[0-9]{1,3}){3}') AND NOT contains(p.host, ':'))) AND since <= fetched_at AND (until IS NULL OR fetched_at < until)
       QUALIFY row_number() OVER (PARTITION BY p.page_id ORDER BY length(domain) DESC, list DESC) = 1)
 SELECT p.page_id, p.url, p.fetched_at, p.host, m.domain IS NOT NULL AS blocked, m.domain AS listed_domain, m.list, m.since FROM p LEFT JOIN m USING (page_id)
 """

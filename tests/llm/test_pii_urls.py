@@ -3,6 +3,7 @@
 import random
 import re
 from datetime import date
+from urllib.parse import urlsplit
 
 from statuslake.llm import pii, url_lists
 
@@ -143,6 +144,16 @@ def test_lists_as_of_the_fetch(spark):
     assert url_lists.evaluate(c.where("page_id > 99"), e).count() == 0
 
 
+def test_hosts_as_python_reads_them(spark):
+    urls = ["http://[2001:DB8::1]/x", "http://[::1]:8080", "http://u:p@x@evil.com/", "https://User@Example.COM.:443/p?q#f", "ftp://a.b.c", "http://1.2.3.4:80/", "http://x.example?y@z", "http://x.example#a@b", "HTTP://Ünï.example/", "http:///path", "mailto:a@b.c", "//no.scheme/", "http://:80/", "a+b-c.d://h.example/"]
+    got = [r["host"] for r in spark.createDataFrame([(u,) for u in urls], "url string").select(url_lists.host("url").alias("host")).collect()]
+    assert got == [((urlsplit(u).hostname or "").rstrip(".") or None) if u[:2] != "//" else None for u in urls]
+    day = date(2024, 1, 2)
+    c = spark.createDataFrame([(i, u, day) for i, u in enumerate(["http://1.2.3.4/", "http://9.2.3.4/", "http://[2001:db8::1]/", "http://a.3.4/"])], "page_id bigint, url string, fetched_at date")
+    e = spark.createDataFrame([("l", d, "add", day) for d in ("2.3.4", "1.2.3.4", "2001:db8::1", "3.4")], "list string, domain string, action string, at date")
+    assert sorted(r["page_id"] for r in url_lists.evaluate(c, e).where("blocked").collect()) == [0, 2, 3]
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline as pipeline
 
