@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from statuslake.functions.similarity import may_reach, prepared
+from statuslake.functions.similarity import indel, may_reach, prepared
 from statuslake.operators import matching
 
 WORDS = "the a blue red door cafe café joe's joes taqueria taqeria bar grill 7 x le petit pettit bistro bistrot of corner corne".split()
@@ -53,3 +53,22 @@ def test_cascade_finds_names_with_articles(spark):
     place = lambda name, at: spark.createDataFrame([(1, name, at, at, "town")], "id bigint, name string, lat double, lon double, locality string")
     got = matching.cascade(place("The Blue Door", 1.0), place("Blue Door", 2.0)).first()
     assert (got["match_type"], got["r_id"], got["nsim"]) == ("name", 1, 1.0)
+
+
+def common(a, b):
+    """Length of the longest common subsequence by its table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        diagonal = 0
+        for j, y in enumerate(b, 1):
+            above = row[j]
+            row[j] = diagonal + 1 if x == y else max(above, row[j - 1])
+            diagonal = above
+    return row[-1]
+
+
+def test_indel_equals_the_table():
+    rng = random.Random(9)
+    for _ in range(500):
+        a, b = ("".join(rng.choice("abc ") for _ in range(rng.randint(0, 90))) for _ in range(2))
+        assert indel(a, b) == (100.0 if not a and not b else 200.0 * common(a, b) / (len(a) + len(b)))
