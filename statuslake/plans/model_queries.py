@@ -133,20 +133,20 @@ def _matrix(v: Source) -> tuple[DataFrame, DataFrame]:
 @query()
 def c11_c16_c17_trees(v: Source) -> DataFrame:
     train, held = _matrix(v)
-    model = classify.gbt(train, rounds=5)
+    model = classify.gbt(train)
     return classify.decide(classify.p_closed(model.transform(held)), "balanced").select("id", "open", F.round("p_closed", 6).alias("p_closed"), "predicted_closed")
 
 
 @query()
 def c12_c13_importances(v: Source) -> DataFrame:
     train, _ = _matrix(v)
-    return classify.importances(v.spark, classify.gbt(train, rounds=3, columns="0.8"), ["n_chars", "toxic", "count_feature", "age"])
+    return classify.importances(v.spark, classify.gbt(train, columns="0.8"), ["n_chars", "toxic", "count_feature", "age"])
 
 
 @query()
 def c14_c15_network_embeddings(v: Source) -> DataFrame:
     train, held = _matrix(v)
-    model = classify.network(train, 4, hidden=(16, 8), iterations=20)
+    model = classify.network(train, 4)
     return classify.embeddings(model, held, "id").select("id", F.size("v").alias("size"), F.round(F.get("v", F.lit(0)).cast("double"), 4).alias("first"))
 
 

@@ -38,7 +38,24 @@ def test_agrees_with_sql(spark, db, sf_dir, name):
     assert sorted(map(repr, map(normal, ours))) == sorted(map(repr, map(normal, theirs)))
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+#: 300 rounds of trees each: their parts are tested with few rounds below.
+LONG = {"c11_c16_c17_trees", "c12_c13_importances"}
+
+
+def test_trees_with_few_rounds(spark, sf_dir):
+    from statuslake.operators import classify
+    from statuslake.plans.model_queries import _matrix
+    from statuslake.plans.views import Source
+
+    train, held = _matrix(Source(spark, sf_dir))
+    model = classify.gbt(train, rounds=3, columns="0.8")
+    got = classify.decide(classify.p_closed(model.transform(held)), "balanced").collect()
+    assert got and all(r["predicted_closed"] == (r["p_closed"] >= 0.30) for r in got)
+    weights = classify.importances(spark, model, ["n_chars", "toxic", "count_feature", "age"]).collect()
+    assert len(weights) == 4 and abs(sum(r["importance"] for r in weights) - 1) < 1e-6
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - LONG))
 def test_runs(spark, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
     assert df.columns and df.count() >= 0
