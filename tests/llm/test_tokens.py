@@ -47,8 +47,9 @@ def test_any_text(text):
 
 @pytest.mark.parametrize("form", ["x{}y", "{}\u0327'S"])
 def test_all_characters(form):
-    """Every code point but the surrogates, in blocks."""
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3400 or c >= 0xA000) and (c < 0xAC00 or c >= 0xD7A4) and not 0x20000 <= c < 0x2FA00 and c < 0xF0000] + list(range(0x3400, 0x110000, 97))
+    """Every code point below 0x20000 but surrogates, ideographs and syllables of one kind, of which every 97th stands for all."""
+    alike = [range(0x3400, 0xA000), range(0xAC00, 0xD7A4), range(0x20000, 0x110000)]
+    points = [c for c in range(0x20000) if not any(c in r for r in alike)] + [c for r in alike for c in r[::97]]
     for i in range(0, len(points), 20_000):
         texts = [form.format(chr(c)) for c in points[i : i + 20_000] if not 0xD800 <= c < 0xE000]
         want = [e.ids for e in LIBRARY.encode_batch_fast(texts, add_special_tokens=False)]
