@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuslake.llm import bpe, cotraining, decontaminate, minhash, pii
-from statuslake.llm.cluster import documents, durable, ship
+from statuslake.llm.cluster import documents, durable, join_members, ship
 
 #: A document stays if it is this likely to be good; below one half, so that clean documents stay.
 QUALITY_THRESHOLD = 0.3
@@ -28,14 +28,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates on five-word shingles at a similarity of 0.8: the smallest id.
 
-    Of rows of one id and one text one stays, and of rows of one id and different texts all that aren't near-duplicates.
-    Null and blank texts are near-duplicates of nothing.
+    Every row is a document of its own, whatever its id: of rows of one id those that aren't near-duplicates all stay.
+    A null id counts as the greatest.  Null and blank texts are near-duplicates of nothing.
     """
     ship(spark)
-    node = F.struct("doc_id", F.xxhash64("text").alias("text"))
-    found = minhash.near_duplicates(docs.select(node.alias("doc_id"), "text"), shingle=5, percent=80)
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("pipeline_node")).distinct()
-    return docs.withColumn("pipeline_node", node).dropDuplicates(["pipeline_node"]).join(gone, "pipeline_node", "left_anti").select(*docs.columns)
+    rows = durable(docs.withColumn("pipeline_row", F.monotonically_increasing_id()), "numbered")
+    found = minhash.near_duplicates(rows.select(F.col("pipeline_row").alias("doc_id"), "text"), shingle=5, percent=80)
+    found = found.select(F.col("doc_id").alias("pipeline_row"), "component_id")
+    known = durable(rows.select("pipeline_row", "doc_id").join(found, "pipeline_row"), "components")
+    smallest = F.min_by("pipeline_row", F.struct(F.col("doc_id").isNull(), "doc_id", "pipeline_row"))
+    groups = durable(known.groupBy("component_id").agg(smallest.alias("stays"), F.count("*").alias("members")).where("members > 1"), "groups")
+    gone = durable(join_members(known, groups, ["component_id"]).where("pipeline_row <> stays").select("pipeline_row"), "gone")
+    gone = F.broadcast(gone) if gone.count() <= minhash.BROADCAST_IDS else gone
+    return rows.join(gone, "pipeline_row", "left_anti").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
