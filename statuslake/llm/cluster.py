@@ -56,9 +56,16 @@ def join_members(rows: DataFrame, classes: DataFrame, on: list[str], members: st
     return rows.join(hot, on).unionByName(rest)
 
 
+#: Rows of an Arrow batch: whole texts, of a few kilobytes mostly, in the JVM and in the Python worker at once.
+BATCH_ROWS = 2000
+
+
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable in the executors' Python workers."""
+    """Makes this package importable in the executors' Python workers, and keeps batches of texts small in the session."""
     context = spark.sparkContext
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(limit)) <= BATCH_ROWS:
+        spark.conf.set(limit, BATCH_ROWS)
     if getattr(context, "_statuslake_shipped", False):
         return
     root = Path(__file__).resolve().parents[2]

@@ -37,6 +37,8 @@ from .words import split_words, text_slices, whole_texts
 TEXT_SIZE = 1 << 16
 META_SIZE = 1 << 12
 SIZES = TEXT_SIZE, META_SIZE
+#: Bytes of text whose views are built at once; several numbers stand for each of them.
+VIEW_BYTES = 1 << 20
 #: Steps of a score for each unit of the mean log ratio.
 STEPS = 4096
 #: Beyond all steps.
@@ -147,7 +149,7 @@ def feature_rows(rows: DataFrame, others: list[str], kinds: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, max_bytes=VIEW_BYTES):
                 lists = [pa.array([x.tobytes() for x in np.split(f.astype(np.uint16), o[1:-1])], pa.binary()) for f, o in views(part)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), *lists], [*others, "text_features", "meta_features"])
 
@@ -300,7 +302,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, max_bytes=VIEW_BYTES):
                 p = model.scores(*views(part))
                 yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, p), pa.array(p[2] >= threshold)], [*part.schema.names, *names, "kept"])
 

@@ -70,7 +70,7 @@ def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for part in text_slices(batch, max_bytes=2 << 20):
+    for part in text_slices(batch, max_bytes=1 << 20):
         for i in range(0, part.num_rows, MAX_DOCS):
             yield part.slice(i, MAX_DOCS)
 
