@@ -300,7 +300,7 @@ def s4_s5_json_lines(v: Source) -> DataFrame:
 def s6_geojson_collections(v: Source) -> DataFrame:
     """Collections of at most 500 features each; every fourth place has no geometry."""
     path = scratch(v, "geo")
-    io.write_geojson(v("flat_places").withColumn("lon", F.when(F.col("k") % 4 != 0, F.col("lon"))), path, "lon", "lat", ["id", "name"], file_rows=500)
+    io.write_collections(v("flat_places").withColumn("lon", F.when(F.col("k") % 4 != 0, F.col("lon"))), path, "lon", "lat", ["id", "name"], file_rows=500)
     return io.geojson(v.spark, path, "id: string, name: string").select("id", "name", "has_geometry", "lon", "lat")
 
 

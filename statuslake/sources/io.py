@@ -106,7 +106,12 @@ def as_features(df: DataFrame, lon: str, lat: str, properties: list[str]) -> Dat
     return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), F.struct(*properties).alias("properties"))).alias("value"))
 
 
-def write_geojson(df: DataFrame, path: str, lon: str, lat: str, properties: list[str], file_rows: int = 100_000) -> None:
+def write_geojson(df: DataFrame, path: str, lon: str, lat: str, properties: list[str]) -> None:
+    """A feature on each line, as ``geojson_lines`` reads them."""
+    as_features(df, lon, lat, properties).write.text(path)
+
+
+def write_collections(df: DataFrame, path: str, lon: str, lat: str, properties: list[str], file_rows: int = 100_000) -> None:
     """Feature collections of about ``file_rows`` features each, one to a file, a feature on each line."""
     files = max(1, -(-df.count() // file_rows))
 
