@@ -35,6 +35,8 @@ BYTE_LETTERS = dict(enumerate(byte_letters()))
 OLD_LETTERS = "\u02b0"
 #: Files whose chunks are numbered within one task.
 INDEX_FILES = 1024
+#: Bytes of text encoded at once: the more, the fewer words are looked up again.
+ENCODE_BYTES = 8 << 20
 #: Bytes of text for each file.
 FILE_BYTES = 48 << 20
 CHUNK_SCHEMA = "file int, chunk int, doc_ids array<bigint>, sizes array<bigint>, n_ids bigint, planes string, blocks array<struct<n: int, planes: array<binary>>>"
@@ -136,7 +138,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 
         for batch in batches:
             file = batch.column("file")[0].as_py() if batch.num_rows else file
-            for part in text_slices(batch):
+            for part in text_slices(batch, max_bytes=ENCODE_BYTES):
                 flat, offsets = encode(part.column("text"))
                 for key, i, j in zip(part.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                     keys.append(key)
