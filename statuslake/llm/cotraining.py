@@ -3,8 +3,10 @@
 Two views of a document: its content (distinct words and the last two characters of each) and its metadata (language,
 source and layout: lengths, lines, share of punctuation, share of distinct words, in buckets).  Each view has a naive
 Bayes scorer.  In every round each scorer labels the pool, and the documents it is surest of, in the proportion of the
-classes, join the training set of the *other* view.  In the end both scores are calibrated on labelled rows that took no
-part in training, and the calibrated log-odds are combined by a logistic model fitted on further such rows.
+classes, join the training set of the *other* view.  In the end both scores are calibrated by cross-fitting: each labelled
+row is scored by weights from which the counts of its own fold are subtracted.  The calibrated log-odds are combined by a
+logistic model on the same rows, whose weights are never negative and lean towards equal ones, the more so the fewer rows
+there are.
 
 Labelled documents are a bounded sample: the first ``max_labelled`` in the order of a hash of doc_id.  The pool is every
 other document, so the ids to leave out are bounded as well and nothing is shuffled to find it.  Its features are written
@@ -14,9 +16,9 @@ a cut-off falls within a step, a hash of the row decides which of its rows are t
 to the spread of a draw.  Scoring covers every document, slice by slice.
 
 Defined results: null text counts as empty and has metadata only; null language or source is a value of its own;
-a document without any labelled data gets the share of good labels, or 1 where there are no labels, and is kept then;
-repeated rows each get the same score; score columns of the input are replaced; labels that are null are not used; an empty table gives an empty table; other
-columns are not read.
+a table without lang or source counts as one of nulls; if the labels lack a class, every document gets the share of good
+ones, or 1 where there are no labels, and is kept then; repeated rows each get the same score; score columns of the input
+are replaced; labels that are null are not used; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -45,6 +47,9 @@ STEPS = 4096
 NEVER = 1 << 60
 #: Added to counts, in the proportion of the classes, so that an unseen feature weighs nothing.
 SMOOTH = 1.0
+#: Folds of labelled rows, and how strongly (in the units of a row's squared log-odds) the views' weights lean towards equal ones.
+FOLDS = 5
+EQUAL = 10.0
 PUNCT = np.array([33 <= b <= 47 or 58 <= b <= 64 or 91 <= b <= 96 or 123 <= b <= 126 for b in range(256)])
 
 
@@ -68,9 +73,10 @@ def views(part: pa.RecordBatch) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np
     n_words = np.diff(offsets)
     distinct = np.bincount(np.unique(row * max(len(words), 1) + codes) // max(len(words), 1), minlength=n)
     log2 = lambda x: np.floor(np.log2(x + 1)).astype(np.int64)
+    given = lambda c: part.column(c) if c in part.schema.names else pa.nulls(n, pa.string())
     columns = {
-        "lang": part.column("lang"),
-        "source": part.column("source"),
+        "lang": given("lang"),
+        "source": given("source"),
         "bytes": log2(size),
         "lines": log2(lines),
         "line": log2(size / lines),
@@ -110,19 +116,31 @@ def fit_weights(counts: np.ndarray) -> np.ndarray:
     return np.log((counts[1, :-1] + SMOOTH * share) / n1) - np.log((counts[0, :-1] + SMOOTH * (1 - share)) / n0)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Newton's method for a small logistic model; the last coefficient is the intercept."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, centre: float = 0.0) -> np.ndarray:
+    """A small logistic model by Newton's method; slopes are at least 0, the last coefficient is the intercept.
+
+    ``ridge`` pulls the slopes towards ``centre``.  A slope that would become negative is held at 0.
+    """
     x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + ridge * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
-        w -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
+    goal, pull = np.full(x.shape[1], centre), np.full(x.shape[1], ridge)
+    goal[-1], pull[-1] = 0.0, 1e-2
+    free = np.ones(len(goal), bool)
+    while True:
+        w = np.where(free, goal, 0.0)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            grad = (x.T @ (p - y) + pull * (w - goal))[free]
+            hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag(pull)
+            step = np.linalg.solve(hess[free][:, free], grad)
+            # damped, so that few and well separated rows don't throw it off
+            w[free] -= step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
+            if np.abs(step).max() < 1e-8:
+                break
+        negative = free & (w < 0)
+        negative[-1] = False
+        if not negative.any():
+            return w
+        free &= ~negative
 
 
 @dataclass
@@ -239,16 +257,16 @@ def cut(step: np.ndarray, n: np.ndarray, want: int) -> tuple[int, float]:
     return int(step[i]), float(min(1.0, (want - (total[i] - n[i])) / n[i]))
 
 
-def cotrain(text: list[np.ndarray], meta: list[np.ndarray], labels: np.ndarray, held: np.ndarray, pool: DataFrame, rounds: int, share: float) -> Model:
-    """``text``, ``meta``, ``labels``: labelled rows; ``held``: those kept for calibration; ``share``: of the pool, each round."""
-    train, test = np.flatnonzero(~held), np.flatnonzero(held)
-    if len(set(labels[train].tolist())) < 2 or len(set(labels[test].tolist())) < 2:
+def cotrain(text: list[np.ndarray], meta: list[np.ndarray], labels: np.ndarray, fold: np.ndarray, pool: DataFrame, rounds: int, share: float) -> Model:
+    """``text``, ``meta``, ``labels``, ``fold``: of the labelled rows; ``share``: of the pool, each round."""
+    if len(set(labels.tolist())) < 2:
         return Model(np.zeros(TEXT_SIZE), np.zeros(META_SIZE), prior=float(labels.mean()) if len(labels) else 1.0)
     rows = (text, meta)
     pool = durable(pool, "pool")
-    good = float(labels[train].mean())
+    good = float(labels.mean())
     take = max(2, int(share * pool.count()))
-    base = [feature_counts([rows[v][i] for i in train], labels[train], SIZES[v]) for v in (0, 1)]
+    base = [feature_counts(rows[v], labels, SIZES[v]) for v in (0, 1)]
+    gained = [np.zeros_like(b) for b in base]
     weights, past, history = [fit_weights(c) for c in base], [], []
     for _ in range(rounds):
         table = pool_steps(pool, past, weights)
@@ -265,34 +283,47 @@ def cotrain(text: list[np.ndarray], meta: list[np.ndarray], labels: np.ndarray,
             now.cuts.append((*cut(step[::-1], n[::-1], n1), *cut(step, n, n0)))
             history.append({"from": ("text", "metadata")[v], "good": n1, "bad": n0})
         past.append(now)
-        weights = [fit_weights(b + c) for b, c in zip(base, pool_counts(pool, past), strict=True)]
+        gained = pool_counts(pool, past)
+        weights = [fit_weights(b + c) for b, c in zip(base, gained, strict=True)]
     model = Model(*weights, history=history, prior=good)
-    # every second held row calibrates, the others combine, unless one half lacks a class
-    halves = test[::2], test[1::2]
-    one, two = halves if all(len(set(labels[h].tolist())) == 2 for h in halves) else (test, test)
     z = []
-    for v, w in enumerate((model.text, model.meta)):
-        m = lambda at: np.array([w[rows[v][i]].mean() if len(rows[v][i]) else 0.0 for i in at])  # noqa: E731, B023
-        c = logistic(m(one)[:, None], labels[one].astype(float))
+    for v in (0, 1):
+        m = out_of_fold(rows[v], labels, fold, base[v] + gained[v], SIZES[v])
+        c = logistic(m[:, None], labels.astype(float))
         model.calibrate.append(c)
-        z.append(np.clip(m(two) * c[0] + c[1], -30, 30))
-    model.combine = logistic(np.column_stack(z), labels[two].astype(float))
+        z.append(np.clip(m * c[0] + c[1], -30, 30))
+    model.combine = logistic(np.column_stack(z), labels.astype(float), EQUAL, 0.5)
     return model
 
 
+def out_of_fold(rows: list[np.ndarray], labels: np.ndarray, fold: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """The mean weight of each labelled row, under the weights of ``counts`` less those of the row's own fold."""
+    out = np.zeros(len(rows))
+    for f in np.unique(fold):
+        own = np.flatnonzero(fold == f)
+        rest = fit_weights(counts - feature_counts([rows[i] for i in own], labels[own], size))
+        out[own] = [rest[rows[i]].mean() if len(rows[i]) else 0.0 for i in own]
+    return out
+
+
+def read_columns(docs: DataFrame) -> list[str]:
+    """The columns of ``docs`` that the views read, as far as they are there."""
+    return [c for c in ("text", "lang", "source") if c in docs.columns]
+
+
 def fit(docs: DataFrame, labels: DataFrame, rounds: int = 4, share: float = 0.05, max_labelled: int = 6000) -> Model:
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)  # the only rows that the driver sees
-    docs = docs.select("doc_id", "text", "lang", "source")
-    rows = docs.join(F.broadcast(some), "doc_id").withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(4)) == 0)
-    table = feature_rows(rows, ["doc_id", "label", "held"], f"doc_id {dict(docs.dtypes)['doc_id']}, label int, held boolean").toArrow()
+    docs = docs.select("doc_id", *read_columns(docs))
+    rows = docs.join(F.broadcast(some), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int"))
+    table = feature_rows(rows, ["doc_id", "label", "fold"], f"doc_id {dict(docs.dtypes)['doc_id']}, label int, fold int").toArrow()
     order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
     text, meta = ([np.frombuffer(x, np.uint16).astype(np.int64) for x in table.column(c).take(order).to_pylist()] for c in ("text_features", "meta_features"))
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("draw")), F.lit(1 << 30)) / (1 << 30)
     # at most max_labelled ids are broadcast
     others = docs.join(F.broadcast(some.select("doc_id")), "doc_id", "left_anti")
     pool = feature_rows(others.withColumn("draw", draw), ["draw"], "draw double")
-    return cotrain(text, meta, table.column("label").to_numpy()[order], table.column("held").to_numpy(zero_copy_only=False).astype(bool)[order], pool, rounds, share)
+    return cotrain(text, meta, table.column("label").to_numpy()[order], table.column("fold").to_numpy()[order], pool, rounds, share)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -314,4 +345,4 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
 def scored(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
     """doc_id, text_score, meta_score, quality_score and kept of each document."""
-    return score(docs.select("doc_id", "text", "lang", "source"), fit(docs, labels, **parameters)).select("doc_id", "text_score", "meta_score", "quality_score", "kept")
+    return score(docs.select("doc_id", *read_columns(docs)), fit(docs, labels, **parameters)).select("doc_id", "text_score", "meta_score", "quality_score", "kept")

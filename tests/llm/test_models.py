@@ -50,6 +50,64 @@ def test_the_whole_pool_takes_part(spark):
     assert sum(r["kept"] == bool(r["doc_id"] % 2) for r in got) >= 0.99 * len(got)
 
 
+def test_weights_by_hand(spark, sf_dir):
+    """Co-training with sets and dictionaries gives the same weights; scores of labelled rows leave out their fold."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = cotraining.fit(docs, labels, rounds=2)
+    draw = "pmod(xxhash64(doc_id, text, 'draw'), 1073741824) / 1073741824"
+    table = docs.selectExpr("doc_id", "text", "lang", "source", f"{draw} AS draw").toArrow()
+    views = [[np.split(f, o[1:-1]) for f, o in [v]][0] for v in cotraining.views(table.combine_chunks().to_batches()[0])]
+    ids, draws = table.column("doc_id").to_pylist(), table.column("draw").to_pylist()
+    given = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    good = sum(given.values()) / len(given)
+    free = [i for i, d in enumerate(ids) if d not in given]
+    known = [{i: given[d] for i, d in enumerate(ids) if d in given} for _ in (0, 1)]
+
+    def weigh(v):
+        n = [max(sum(y == c for y in known[v].values()), 1) for c in (0, 1)]
+        share = n[1] / sum(n)
+        have = [Counter(f for i, y in known[v].items() if y == c for f in views[v][i].tolist()) for c in (0, 1)]
+        return {f: math.log((have[1][f] + share) / n[1]) - math.log((have[0][f] + 1 - share) / n[0]) for f in range((cotraining.TEXT_SIZE, cotraining.META_SIZE)[v])}
+
+    take = max(2, int(0.05 * len(free)))
+    for _ in range(2):
+        weights, new = [weigh(v) for v in (0, 1)], [{}, {}]
+        for v in (0, 1):
+            step = {i: math.floor(sum(weights[v][f] for f in views[v][i].tolist()) / max(len(views[v][i]), 1) * cotraining.STEPS) for i in free if i not in known[1 - v]}
+            for y, want in ((0, max(1, round(take * (1 - good)))), (1, max(1, round(take * good)))):
+                order = sorted(step.values(), reverse=y == 1)
+                at = order[min(want, len(order)) - 1]
+                before = sum((s > at) if y else (s < at) for s in step.values())
+                part = (want - before) / sum(s == at for s in step.values())
+                for i, s in step.items():
+                    if (s > at or s == at and draws[i] < part) if y else (s < at or s == at and draws[i] >= 1 - part):
+                        new[1 - v][i] = y
+        for v in (0, 1):
+            known[v] |= new[v]
+    for v, got in ((0, model.text), (1, model.meta)):
+        want = weigh(v)
+        assert np.allclose(got, [want[f] for f in range(len(got))])
+    assert (model.combine[:2] >= 0).all() and all(c[0] >= 0 for c in model.calibrate)
+
+
+@pytest.mark.parametrize("sf, n", [("sf0.001", 20), ("sf0.001", 80), ("sf0.01", 400)])
+def test_few_labels(spark, sf_dir, sf, n):
+    """Weights are never negative, and at most 3 % of the good documents go, however few labels there are."""
+    path = sf_dir.replace("sf0.001", sf)
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    model = cotraining.fit(docs, labels.orderBy("doc_id").limit(n))
+    assert (model.combine[:2] >= 0).all() and all(c[0] >= 0 for c in model.calibrate)
+    good = cotraining.score(docs, model, 0.3).join(labels.where("quality = 1"), "doc_id")
+    assert good.where("NOT kept").count() <= 0.03 * good.count()
+
+
+def test_quality_without_metadata_columns(spark, odd):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, quality int")
+    bare = odd.select("doc_id", "text")
+    assert cotraining.score(bare, cotraining.fit(bare, labels)).count() == odd.count()
+
+
 def direct(train: list[bytes], depth: int):
     """Mixture probabilities straight from the recursion, over all contexts seen."""
     counts = Counter()
