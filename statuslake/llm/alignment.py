@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import os
 from collections.abc import Iterator
 
@@ -42,8 +43,12 @@ from .words import text_slices, whole_texts
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Text of a block: its distinct words and pairs are in memory at once.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 SLICE_BYTES = 1 << 20
+#: Characters up to which words are encoded together; the libraries' time grows faster than a longer word.
+LONG = 300
+#: Words that a task keeps from one block to the next.
+CACHE_WORDS = 200_000
 #: Merge steps of a piece.
 PIECE = 64
 #: A group of more token pairs is linked by its distinct ids and their numbers.
@@ -60,6 +65,8 @@ class Pair:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import json
 
+        import public_tokenizers
+        import tiktoken
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
@@ -81,18 +88,53 @@ class Pair:
             made = json.load(f)
         before = made.get("pre_tokenizer") or {}
         plain = made.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        # a second library takes the same merges faster if each one makes the next id
+        merges = [m if isinstance(m, list) else m.split(" ") for m in made["model"].get("merges", [])]
+        first = len(letter)
+        in_order = plain and made["model"]["type"] == "BPE" and not made["model"].get("ignore_merges") and all(vocabulary.get("".join(m)) == first + k for k, m in enumerate(merges)) and {vocabulary.get(c) for c in letter} == set(range(first))
+        self.a_made = range(first + len(merges)) if in_order else range(0)
         #: whether words can be encoded apart
         self.cuts = bool(plain) and not any("▁" in p.lstrip("▁") for p in pieces)
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids in A and in B of a space and each text; none for a text whose bytes either of them changes."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1)
-        for k, t in enumerate(texts):
-            data = (" " + t).encode()
-            if b"".join([self.a_bytes[i] for i in a[k]]) != data or b"".join([self.b_bytes[i] for i in b[k]]) != data:
-                a[k], b[k] = [], []
-        return a, b
+        ranks = {t: i for i, t in enumerate(self.a_bytes) if i in self.a_made}
+        self.quick = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}) if self.a_made else None
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids in A and in B of a space and each word in one array, and the words' offsets in it.
+
+        A word whose bytes either of them changes has none.  Words are joined by spaces and encoded together, unless one of
+        them is long or a vocabulary doesn't let words apart.
+        """
+        if self.cuts and max(map(len, words)) <= LONG:
+            end = np.cumsum([len(w.encode()) + 1 for w in words])
+            data = (" " + " ".join(words)).encode()
+            if self.quick:
+                a = np.array(self.quick.encode_ordinary(" " + " ".join(words)), np.int64)
+            else:
+                a = np.concatenate([e.ids for e in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]).astype(np.int64)
+            b = np.array([i for ids in self.b.encode([" ".join(words[k : k + 50]) for k in range(0, len(words), 50)], num_threads=1) for i in ids], np.int64)
+            if b"".join(map(self.a_bytes.__getitem__, a.tolist())) == data and b"".join(map(self.b_bytes.__getitem__, b.tolist())) == data:
+                return a, offsets_at(self.a_length[a], end), b, offsets_at(self.b_length[b], end)
+        elif len(words) == 1:
+            w = words[0]
+            a = self.a.encode_batch_fast([" " + w], add_special_tokens=False)[0].ids
+            b = self.b.encode(w)
+            data = (" " + w).encode()
+            if b"".join([self.a_bytes[i] for i in a]) != data or b"".join([self.b_bytes[i] for i in b]) != data:
+                a, b = [], []
+            return np.array(a, np.int64), np.array([0, len(a)]), np.array(b, np.int64), np.array([0, len(b)])
+        # some word is long or changes: halves, down to the single word
+        if len(words) == 1:
+            none = np.zeros(0, np.int64)
+            return none, np.array([0, 0]), none, np.array([0, 0])
+        half = len(words) // 2
+        left, right = self.encode(words[:half]), self.encode(words[half:])
+        return tuple(np.concatenate([x, y]) if k % 2 == 0 else np.concatenate([x, x[-1] + y[1:]]) for k, (x, y) in enumerate(zip(left, right, strict=True)))
+
+
+def offsets_at(length: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many tokens end at 0 and up to each of ``end``."""
+    return np.concatenate([[0], np.searchsorted(np.cumsum(length), end, "right")])
 
 
 @functools.cache
@@ -100,12 +142,6 @@ def tokenizers_of(a_path: str, b_path: str) -> Pair:
     return Pair(a_path, b_path)
 
 
-def flat(lists: list) -> tuple[np.ndarray, np.ndarray]:
-    """All elements in one array, and the offsets of the lists in it."""
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-    return np.fromiter((i for x in lists for i in x), np.int64, offsets[-1]), offsets
-
-
 def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The numbers from each start on, ``counts`` of them, one range after the other."""
     total = np.cumsum(counts)
@@ -159,24 +195,22 @@ def merge_ends(a: np.ndarray, b: np.ndarray, width: int = PIECE) -> tuple[np.nda
     return group[order], x[order], y[order]
 
 
-class Block:
-    """Words of a block of documents, each with its groups and linked id pairs."""
+class Words:
+    """Distinct words, each with its groups and linked id pairs; what is added comes in chunks."""
 
     def __init__(self, pair: Pair):
-        self.pair, self.known, self.size, self.bytes = pair, {}, 0, 0
+        self.pair, self.known, self.size = pair, {}, 0
         self.strings: list[str] = []
-        self.numbers: list[np.ndarray] = []  # per word: tokens of A, tokens of B, groups, links
-        self.links: list[tuple[np.ndarray, np.ndarray]] = []  # per call of add: pair codes and how often
-        self.n_links: list[np.ndarray] = []
-        self.docs: list[pa.Array] = []
-        self.entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # document, word, times
-        self.rows: list[tuple[np.ndarray, list[str]]] = []
-        self.n_docs = 0
-
-    def add_words(self, words: list[str]) -> np.ndarray:
-        """Aligns new words; returns their codes."""
-        a, b = self.pair.encode(words)
-        (ids_a, off_a), (ids_b, off_b) = flat(a), flat(b)
+        self.numbers = np.zeros((0, 4), np.int64)  # tokens of A, tokens of B, groups, links
+        self.offsets = np.zeros(1, np.int64)  # of the pairs
+        self.codes, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ids = range(max(len(pair.a_bytes), len(pair.b_bytes)))
+        self.labels = np.array([f"{i}{c}" for c in ",|;" for i in ids], object)
+        self.label_size, self.n_ids = np.array([len(x) for x in self.labels], np.int64), len(ids)
+
+    def add(self, words: list[str]) -> np.ndarray:
+        """Aligns words; returns their codes."""
+        ids_a, off_a, ids_b, off_b = self.pair.encode(words)
         end_a, end_b = np.cumsum(self.pair.a_length[ids_a]), np.cumsum(self.pair.b_length[ids_b])
         group, x, y = merge_ends(end_a, end_b)
         n_groups = int(group[-1]) + 1 if len(group) else 0
@@ -185,12 +219,11 @@ class Block:
         n_a, n_b = np.diff(from_a), np.diff(from_b)
         word_of = np.searchsorted(off_a, from_a[:-1], "right") - 1
         in_word = np.bincount(word_of, minlength=len(words))
-        self.numbers.append(np.column_stack([np.diff(off_a), np.diff(off_b), in_word, np.bincount(word_of, n_a * n_b, len(words)).astype(np.int64)]))
+        self.numbers = np.concatenate([self.numbers, np.column_stack([np.diff(off_a), np.diff(off_b), in_word, np.bincount(word_of, n_a * n_b, len(words)).astype(np.int64)])])
         wide = n_a * n_b > WIDE
         slim = np.flatnonzero(~wide)
         each = n_a[slim] * n_b[slim]
-        place = spread(np.zeros(len(slim), np.int64), each)
-        width = np.repeat(n_b[slim], each)
+        place, width = spread(np.zeros(len(slim), np.int64), each), np.repeat(n_b[slim], each)
         code = ids_a[np.repeat(from_a[slim], each) + place // np.maximum(width, 1)] * self.pair.b_size + ids_b[np.repeat(from_b[slim], each) + place % np.maximum(width, 1)]
         linked = [(code, np.repeat(word_of[slim], each), np.ones(len(code), np.int64))]
         for g in np.flatnonzero(wide).tolist():
@@ -199,83 +232,97 @@ class Block:
             linked.append(((u[:, None] * self.pair.b_size + v).ravel(), np.full(len(u) * len(v), word_of[g]), (n[:, None] * m).ravel()))
         code, owner, times = (np.concatenate(c) for c in zip(*linked, strict=True))
         order = np.argsort(owner, kind="stable")
-        self.links.append((code[order], times[order]))
-        self.n_links.append(np.bincount(owner, minlength=len(words)))
-        text_a, text_b = ([str(i) for i in z.tolist()] for z in (ids_a, ids_b))
-        fa, fb = from_a.tolist(), from_b.tolist()
-        parts = [",".join(text_a[fa[g] : fa[g + 1]]) + "|" + ",".join(text_b[fb[g] : fb[g + 1]]) for g in range(n_groups)]
-        at = 0
-        for n in in_word.tolist():
-            self.strings.append(";".join(parts[at : at + n]))
-            at += n
+        self.codes, self.times = np.concatenate([self.codes, code[order]]), np.concatenate([self.times, times[order]])
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(np.bincount(owner, minlength=len(words)))])
+        # labels in the order of their groups, those of A first; the last of each kind in a group ends with its own mark
+        last_a, last_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
+        last_a[from_a[1:] - 1], last_b[from_b[1:] - 1] = 1, 2
+        label = np.concatenate([ids_a + last_a * self.n_ids, ids_b + last_b * self.n_ids])
+        by_group = np.argsort(np.concatenate([2 * np.repeat(np.arange(n_groups), n_a), 2 * np.repeat(np.arange(n_groups), n_b) + 1]), kind="stable")
+        label = label[by_group]
+        text, size = "".join(self.labels[label].tolist()), np.concatenate([[0], np.cumsum(self.label_size[label])])
+        cut = size[off_a + off_b].tolist()
+        self.strings.extend([text[i:j] for i, j in zip(cut, cut[1:])])
         codes = np.arange(self.size, self.size + len(words))
         self.size += len(words)
         return codes
 
+    def look(self, words: list[str]) -> np.ndarray:
+        """Codes of ``words``, none of them twice; new ones are aligned."""
+        code = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(code < 0)
+        if len(new):
+            fresh = [words[k] for k in new.tolist()]
+            code[new] = self.add(fresh)
+            self.known.update(zip(fresh, code[new].tolist(), strict=True))
+        return code
+
+
+class Block:
+    """Documents whose pairs are counted and answered together."""
+
+    def __init__(self, words: Words):
+        self.words, self.bytes, self.n_docs = words, 0, 0
+        self.ids: list[pa.Array] = []
+        self.entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # document, word, times
+        self.hashes: list[str] = []
+
     def add(self, ids: pa.Array, texts: pa.Array) -> None:
         """Takes up a slice of documents."""
         texts = whole_texts(texts)
         n = len(texts)
-        whole = pc.match_substring_regex(texts, UNCUT).to_numpy(zero_copy_only=False) if self.pair.cuts else np.ones(n, bool)
+        whole = pc.match_substring_regex(texts, UNCUT).to_numpy(zero_copy_only=False) if self.words.pair.cuts else np.ones(n, bool)
         filled = pc.greater(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-        cut = np.flatnonzero(filled & ~whole)
+        cut, single = np.flatnonzero(filled & ~whole), np.flatnonzero(filled & whole)
         parts = pc.split_pattern(texts.take(pa.array(cut)), " ")
-        words = parts.flatten().dictionary_encode()
+        split = parts.flatten().dictionary_encode()
         offsets = parts.offsets.to_numpy().astype(np.int64)
-        lists = words.dictionary.to_pylist()
-        code = np.array([self.known.get(w, -1) for w in lists], np.int64)
-        new = np.flatnonzero(code < 0)
-        if len(new):
-            fresh = [lists[k] for k in new.tolist()]
-            code[new] = self.add_words(fresh)
-            self.known.update(zip(fresh, code[new].tolist(), strict=True))
-        flat_codes = code[words.indices.to_numpy(zero_copy_only=False)] if len(lists) else np.zeros(0, np.int64)
-        single = np.flatnonzero(filled & whole)
-        alone = self.add_words(texts.take(pa.array(single)).to_pylist()) if len(single) else np.zeros(0, np.int64)
+        codes = self.words.look(split.dictionary.to_pylist())[split.indices.to_numpy(zero_copy_only=False)]
+        alone = [self.words.add([t])[0] for t in texts.take(pa.array(single)).to_pylist()]
         doc = np.concatenate([np.repeat(cut, np.diff(offsets)), single])
-        flat_codes = np.concatenate([flat_codes, alone])
+        codes = np.concatenate([codes, np.array(alone, np.int64)])
         order = np.argsort(doc, kind="stable")
-        doc, flat_codes = doc[order], flat_codes[order]
-        # a word without tokens in A or B is one whose bytes were changed: its document has none
-        tokens = np.concatenate([x[:, 0] for x in self.numbers]) if self.numbers else np.zeros(0, np.int64)
+        doc, codes = doc[order], codes[order]
+        # a word without tokens is one whose bytes were changed: its document has none
         spoilt = np.zeros(n, bool)
-        spoilt[doc[tokens[flat_codes] == 0]] = True
+        spoilt[doc[self.words.numbers[codes, 0] == 0]] = True
         good = ~spoilt[doc]
-        doc, flat_codes = doc[good], flat_codes[good]
-        bounds = np.searchsorted(doc, np.arange(n + 1)).tolist()
-        of = flat_codes.tolist()
-        hashes = [hashlib.sha256(";".join([self.strings[c] for c in of[bounds[d] : bounds[d + 1]]]).encode()).hexdigest() if bounds[d] < bounds[d + 1] else "" for d in range(n)]
-        key, times = np.unique(doc << 40 | flat_codes, return_counts=True)
+        doc, codes = doc[good], codes[good]
+        bounds, strings = np.searchsorted(doc, np.arange(n + 1)).tolist(), list(map(self.words.strings.__getitem__, codes.tolist()))
+        for i, j in zip(bounds, bounds[1:]):
+            self.hashes.append(hashlib.sha256("".join(strings[i:j])[:-1].encode()).hexdigest() if i < j else "")
+        key, times = np.unique(doc << 40 | codes, return_counts=True)
         self.entries.append((self.n_docs + (key >> 40), key & ((1 << 40) - 1), times))
-        self.docs.append(ids)
-        self.rows.append(hashes)
+        self.ids.append(ids)
         self.n_docs += n
         self.bytes += texts.nbytes
 
     def record(self, block: int) -> dict[str, object]:
         """What is kept of the block: numbers of its documents, their words, the words' pairs, and the pairs."""
         doc, word, times = (np.concatenate([e[k] for e in self.entries]) for k in range(3))
-        numbers = np.concatenate(self.numbers) if self.numbers else np.zeros((0, 4), np.int64)
+        used, word = np.unique(word, return_inverse=True)
+        numbers = self.words.numbers[used]
         sums = [np.bincount(doc, numbers[word, k] * times, self.n_docs).astype(np.int64) for k in range(4)]
-        codes, weight = (np.concatenate([x[k] for x in self.links]) if self.links else np.zeros(0, np.int64) for k in (0, 1))
-        pairs, index = np.unique(codes, return_inverse=True)
-        n_links = np.concatenate(self.n_links) if self.n_links else np.zeros(0, np.int64)
+        n_links = np.diff(self.words.offsets)[used]
+        links = spread(self.words.offsets[used], n_links)
+        pairs, index = np.unique(self.words.codes[links], return_inverse=True)
+        weight = self.words.times[links]
         offset = np.concatenate([[0], np.cumsum(n_links)])
         held = np.zeros(len(pairs), np.int64)
         bounds = np.searchsorted(doc, np.arange(self.n_docs + 1))
+        cost = np.concatenate([[0], np.cumsum(n_links[word])])
         at = 0
         while at < self.n_docs:  # documents of about a million links at once
-            cost = np.cumsum(n_links[word[bounds[at] :]])
-            upto = int(np.searchsorted(bounds, bounds[at] + np.searchsorted(cost, 1_000_000) + 1, "left"))
-            upto = min(max(upto, at + 1), self.n_docs)
+            upto = int(np.searchsorted(cost[bounds], cost[bounds[at]] + 1_000_000, "right"))
+            upto = min(max(upto - 1, at + 1), self.n_docs)
             own = slice(bounds[at], bounds[upto])
-            links = spread(offset[word[own]], n_links[word[own]])
-            key = np.unique(np.repeat(doc[own], n_links[word[own]]) * max(len(pairs), 1) + index[links])
-            held += np.bincount(key % max(len(pairs), 1), minlength=len(pairs)) if len(pairs) else 0
+            each = n_links[word[own]]
+            key = np.unique(np.repeat(doc[own], each) * max(len(pairs), 1) + index[spread(offset[word[own]], each)])
+            held += np.bincount(key % max(len(pairs), 1), minlength=len(pairs))[: len(pairs)]
             at = upto
         small = lambda x: x.astype(np.int32)
         return {
-            "block": block, "hashes": [h for r in self.rows for h in r], **dict(zip(("n_a", "n_b", "n_groups", "n_links"), sums, strict=True)),
+            "block": block, "hashes": self.hashes, **dict(zip(("n_a", "n_b", "n_groups", "n_links"), sums, strict=True)),
             "entry_doc": small(doc), "entry_word": small(word), "entry_times": small(times), "word_links": small(n_links), "link_pair": small(index), "link_times": weight, "pairs": pairs, "held": held,
         }
 
@@ -294,12 +341,13 @@ def blocks(docs: DataFrame, a_path: str, b_path: str, block_bytes: int) -> DataF
         from pyspark import TaskContext
 
         pair = tokenizers_of(a_path, b_path)
-        part, made, block = TaskContext.get().partitionId(), 0, Block(pair)
+        part, made, words = TaskContext.get().partitionId(), 0, Words(pair)
+        block = Block(words)
 
         def done() -> pa.RecordBatch:
             record = block.record(part << 32 | made)
             names = [c.strip().split(" ")[0] for c in RECORD.split(",")]
-            ids = pa.concat_arrays(block.docs)
+            ids = pa.concat_arrays(block.ids)
             columns = {"block": pa.array([record["block"]]), "doc_ids": pa.array([ids.to_pylist()], pa.list_(ids.type))}
             for c in names:
                 if c not in columns:
@@ -311,7 +359,8 @@ def blocks(docs: DataFrame, a_path: str, b_path: str, block_bytes: int) -> DataF
                 block.add(piece.column("doc_id"), piece.column("text"))
                 if block.bytes >= block_bytes:
                     yield done()
-                    made, block = made + 1, Block(pair)
+                    words = words if words.size < CACHE_WORDS else Words(pair)
+                    made, block = made + 1, Block(words)
         if block.n_docs:
             yield done()
 

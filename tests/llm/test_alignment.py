@@ -63,8 +63,8 @@ def counts_of(texts):
     pair = alignment.Pair(A, B)
     count = Counter()
     for t in texts:
-        a, b = ([0] for _ in (0, 1)) if not t else (x[0] for x in pair.encode([t]))
-        if not t or not a:
+        a, _, b, _ = pair.encode([t]) if t else ((), 0, (), 0)
+        if not len(a):
             continue
         end_a, end_b = (np.cumsum([len(table[i]) for i in ids]).tolist() for table, ids in ((pair.a_bytes, a), (pair.b_bytes, b)))
         cuts = sorted(set(end_a) & set(end_b))
@@ -114,7 +114,7 @@ def test_small_blocks_give_the_same(spark, documents, monkeypatch):
     assert rows_of(alignment.align(some, block_bytes=20_000)) == want
     monkeypatch.setattr(alignment, "WIDE", 2)
     rows = some.collect()
-    block = alignment.Block(alignment.tokenizers_of(A, B))
+    block = alignment.Block(alignment.Words(alignment.tokenizers_of(A, B)))
     block.add(pa.array([r["doc_id"] for r in rows]), pa.array([r["text"] for r in rows]))
     made = block.record(0)
     assert sum(made["n_links"]) == sum(n * k[4] for k, n in want.items())
