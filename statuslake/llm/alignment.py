@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import io
 import itertools
 import os
 from collections.abc import Iterator
@@ -34,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -321,21 +323,29 @@ class Block:
             held += np.bincount(key % max(len(pairs), 1), minlength=len(pairs))[: len(pairs)]
             at = upto
         small = lambda x: x.astype(np.int32)
-        return {
-            "block": block, "hashes": self.hashes, **dict(zip(("n_a", "n_b", "n_groups", "n_links"), sums, strict=True)),
-            "entry_doc": small(doc), "entry_word": small(word), "entry_times": small(times), "word_links": small(n_links), "link_pair": small(index), "link_times": weight, "pairs": pairs, "held": held,
-        }
+        held_back = packed([small(np.diff(bounds)), small(word), small(times), small(n_links), small(index), weight])
+        return {"block": block, "hashes": self.hashes, **dict(zip(("n_a", "n_b", "n_groups", "n_links"), sums, strict=True)), "links": held_back, "pairs": pairs, "held": held}
 
 
-RECORD = (
-    "block bigint, doc_ids array<{id}>, hashes array<string>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, entry_doc array<int>, entry_word array<int>, "
-    "entry_times array<int>, word_links array<int>, link_pair array<int>, link_times array<bigint>, pairs array<bigint>, held array<bigint>"
-)
+def packed(arrays: list[np.ndarray]) -> bytes:
+    """Arrays in one compressed value, so that the JVM holds and sends little."""
+    out = io.BytesIO()
+    for a in arrays:
+        np.save(out, a)
+    return zstandard.compress(out.getvalue(), 1)
+
+
+def unpacked(data: bytes, count: int) -> list[np.ndarray]:
+    held = io.BytesIO(zstandard.decompress(data))
+    return [np.load(held) for _ in range(count)]
+
+
+RECORD = "block bigint, doc_ids array<{id}>, hashes array<string>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, links binary, pairs array<bigint>, held array<bigint>"
 RESULT = "doc_id {id}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
 
 
 def blocks(docs: DataFrame, a_path: str, b_path: str, block_bytes: int) -> DataFrame:
-    """One row for each block of documents, as written by ``Block.record``."""
+    """One row for each block of documents: what ``Block.record`` returns, and the documents' ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -392,14 +402,13 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
         place = right.column("place").to_numpy()
         n[place], best[place] = right.column("n").to_numpy(), right.column("best").to_numpy()
         for k in range(left.num_rows):
-            array = lambda c: left.column(c)[k].values.to_numpy(zero_copy_only=False)  # noqa: E731, B023
-            pair, times, doc, word, often = (array(c) for c in ("link_pair", "link_times", "entry_doc", "entry_word", "entry_times"))
-            owner = np.repeat(np.arange(len(array("word_links"))), array("word_links"))
+            words, word, often, links, pair, times = unpacked(left.column("links")[k].as_py(), 6)
+            doc, owner = np.repeat(np.arange(len(words)), words), np.repeat(np.arange(len(links)), links)
             ids = left.column("doc_ids")[k].values
             out = [ids, *(left.column(c)[k].values for c in ("n_a", "n_b", "n_groups", "n_links"))]
             for value in (best, n):
                 # whole numbers below 2^53 in double precision
-                of_word = np.bincount(owner, value[pair] * times, len(array("word_links")))
+                of_word = np.bincount(owner, value[pair] * times, len(links))
                 out.append(pa.array(np.bincount(doc, of_word[word] * often, len(ids)).astype(np.int64)))
             tables.append(pa.table([*out, left.column("hashes")[k].values], [c.strip().split(" ")[0] for c in RESULT.split(",")]))
         return pa.concat_tables(tables)
