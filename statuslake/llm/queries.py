@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, conversations, cotraining, ctw, decontaminate, minhash, pii, sharding, token_files, url_lists, vectors
+from . import alignment, bpe, conversations, cotraining, ctw, decontaminate, extraction, minhash, pii, sharding, token_files, url_lists, vectors
 from .cluster import documents, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,10 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(documents(spark, sf_dir))
 
 
+def op13_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
 def shipped(query: Query) -> Query:
     """``query`` after the package has been sent to the executors."""
 
@@ -82,7 +86,7 @@ def shipped(query: Query) -> Query:
     return run
 
 
-ALL = (op1_token_files, op2_cotraining, op3_pii, op4_minhash, op5_decontaminate, op6_ctw, op7_shards, op8_vectors, op9_bpe, op10_url_lists, op11_conversations, op12_alignment)
+ALL = (op1_token_files, op2_cotraining, op3_pii, op4_minhash, op5_decontaminate, op6_ctw, op7_shards, op8_vectors, op9_bpe, op10_url_lists, op11_conversations, op12_alignment, op13_extraction)
 QUERIES: dict[str, Query] = {f.__name__: shipped(f) for f in ALL}
 #: The others hash, fit or write files; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {"op4_minhash": minhash.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op8_vectors": vectors.ORACLE, "op10_url_lists": url_lists.ORACLE}
