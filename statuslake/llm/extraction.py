@@ -181,7 +181,7 @@ def token_of(kind: str, e: Element, text: str) -> int | None:
     return mixed(e.path, kind)
 
 
-def sums(page: str, memo: dict, elements: dict[int, list]) -> int:
+def sums(items: list, elements: dict[int, list]) -> int:
     """Adds to ``elements``, by token, words of the page's text under each element: [words, semantic, depth, holder].
 
     Words in menus, links and the like don't count; returns all that do.
@@ -196,7 +196,7 @@ def sums(page: str, memo: dict, elements: dict[int, list]) -> int:
             if stack:
                 stack[-1][2] += n
 
-    for kind, e, text in read(page, memo):
+    for kind, e, text in items:
         if kind == "<":
             leave(e.depth)
             if e.name in HOLDERS and not e.apart:
@@ -232,7 +232,7 @@ def main_text(page: str | None, slot: int | None = None, steady: frozenset = fro
     tokens = {mixed(e.path, "<") for kind, e, _ in items if kind == "<"} if slot is not None else ()
     if slot not in tokens:
         elements: dict[int, list] = {}
-        total = sums(page, memo, elements)
+        total = sums(items, elements)
         slot = slot_of(elements, total)
     blocks, now, own, inside = [], [], [], []
 
@@ -331,11 +331,11 @@ class Check:
     words: dict[str, list] = field(default_factory=lambda: defaultdict(lambda: [0, {}]))
 
     def page(self, host: str, page: str, class_of: dict[int, int], memo: dict) -> None:
+        items = list(read(page, memo))
+        tokens = [t for item in items if (t := token_of(*item)) in class_of]
         seen = defaultdict(list)
-        for item in read(page, memo):
-            t = token_of(*item)
-            if t in class_of:
-                seen[class_of[t]].append(t)
+        for t in tokens:
+            seen[class_of[t]].append(t)
         cycle = {}
         for c, order in seen.items():
             size = len(set(order))
@@ -343,10 +343,9 @@ class Check:
             whole = order == order[:size] * (len(order) // size)
             self.orders[host, c].add(signed(xxhash.xxh3_64_intdigest(repr(order[:size]).encode())) if whole else None)
         stack: list[list] = []
-        for item in read(page, memo):
-            t = token_of(*item)
-            c = class_of.get(t)
-            if c is None or None in self.orders[host, c]:
+        for t in tokens:
+            c = class_of[t]
+            if None in self.orders[host, c]:
                 continue
             if t == cycle[c][0]:
                 stack.append([c, 0])
@@ -359,7 +358,7 @@ class Check:
             if stack and stack[-1][0] == c and stack[-1][1] + 1 == len(cycle[c]):
                 stack.pop()
         own = self.words[host]
-        own[0] += sums(page, memo, own[1])
+        own[0] += sums(items, own[1])
 
 
 def judged(pages: DataFrame, found: DataFrame) -> DataFrame:
