@@ -45,12 +45,12 @@ from .words import text_slices, whole_texts
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Text of a block: its distinct words and pairs are in memory at once.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 SLICE_BYTES = 1 << 20
 #: Characters up to which words are encoded together; the libraries' time grows faster than a longer word.
 LONG = 300
 #: Words that a task keeps from one block to the next.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 #: Merge steps of a piece.
 PIECE = 64
 #: A group of more token pairs is linked by its distinct ids and their numbers.
