@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import io
+
 BROADCAST_ROWS = 1_000_000
+#: Rows that running sums take in one pass, a key a task; beyond it a key is cut into ranges.
+WHOLE_KEYS = 1_000_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -84,7 +88,7 @@ def seeded_rank(df: DataFrame, group: str, key: str, seed: int | str = 42, name:
     Rows are ranked within the 4,096 ranges of the order's first digits and shifted by the counts of the ranges before,
     so a group of any size is spread over as many tasks.  Rows of a null group are left out.
     """
-    rows = df.where(F.col(group).isNotNull()).withColumn("_h", seeded(key, seed=seed)).withColumn("_range", F.substring("_h", 1, 3))
+    rows = df.where(F.col(group).isNotNull()).withColumn("_h", seeded(key, seed=seed)).withColumn("_range", F.coalesce(F.substring("_h", 1, 3), F.lit("")))
     before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shift = rows.groupBy(group, "_range").agg(F.count("*").alias("_n")).withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = F.row_number().over(Window.partitionBy(group, "_range").orderBy("_h", key))
@@ -100,12 +104,16 @@ def cuts_of(df: DataFrame, column: str, ranges: int = 256) -> list:
 def running_sums(df: DataFrame, key: str, by: str, values: list[str]) -> DataFrame:
     """Adds before_<value>: the sum over the key's rows with a smaller ``by``; one row for each key and ``by``.
 
-    Sums run within ranges of ``by`` and are shifted by those of the ranges before, so no task holds a whole key.
+    Beyond ``WHOLE_KEYS`` rows, counted first, sums run within ranges of ``by`` and are shifted by those of the ranges
+    before, so no task holds a whole key; ``df`` is written once then, and its ranges are found in what was written.
     """
-    cuts = cuts_of(df, by)
-    rows = df.withColumn("_range", F.size(F.filter(F.lit(cuts), lambda c: c < F.col(by))) if cuts else F.lit(0))
     earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     over = lambda c, w: F.coalesce(F.sum(c).over(earlier(w)), F.lit(0))
+    if df.limit(WHOLE_KEYS + 1).count() <= WHOLE_KEYS:
+        return df.withColumns({f"before_{v}": over(v, Window.partitionBy(key).orderBy(by)) for v in values})
+    df = io.written(df, "sums")
+    cuts = cuts_of(df, by)
+    rows = df.withColumn("_range", F.size(F.filter(F.lit(cuts), lambda c: c < F.col(by))) if cuts else F.lit(0))
     totals = rows.groupBy(key, "_range").agg(*[F.sum(v).alias(v) for v in values])
     shifts = totals.select(key, "_range", *[over(v, Window.partitionBy(key).orderBy("_range")).alias(f"_{v}") for v in values])
     inside = Window.partitionBy(key, "_range").orderBy(by)
@@ -114,8 +122,8 @@ def running_sums(df: DataFrame, key: str, by: str, values: list[str]) -> DataFra
 
 
 def sample_exact(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """Exactly n rows (or all, if fewer), chosen by the seeded order."""
-    return df.orderBy(seeded(key, seed=seed), key).limit(n)
+    """Exactly n rows (or all, if fewer), chosen by the seeded order; ``n`` may grow with the data, no task holds them."""
+    return seeded_rank(df.withColumn("_all", F.lit(1)), "_all", key, seed, "_place").where(F.col("_place") <= n).drop("_all", "_place")
 
 
 def sample_per_group(df: DataFrame, group: str, n: int, key: str, seed: int = 42) -> DataFrame:

@@ -86,6 +86,9 @@ VIEWS = {
         SELECT 'a' AS model, id, CASE WHEN open = 1 THEN 0 ELSE 1 END AS y, category, CAST(CAST(n_chars AS BIGINT) * 7919 % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE) AS p_closed, n_chars, toxic FROM labeled
         UNION ALL
         SELECT 'b' AS model, id, CASE WHEN open = 1 THEN 0 ELSE 1 END AS y, category, CAST(doc_id * 31 % 100 AS DOUBLE) / CAST(100 AS DOUBLE) AS p_closed, n_chars, toxic FROM labeled""",
+    "sightings": """
+        SELECT o_custkey AS id, CAST((year(CAST(o_orderdate AS DATE)) - 1992) * 4 + quarter(CAST(o_orderdate AS DATE)) - 1 AS BIGINT) AS release, CAST(max(CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END) AS INT) AS closed
+        FROM orders GROUP BY 1, 2""",
     "embed": "SELECT vec_id AS id, embedding AS v, label FROM embeddings",
 }
 

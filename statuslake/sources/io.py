@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,6 +31,13 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + tempfile.gettempdir()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written in the shared folder and read back: cuts the lineage, survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def release_names(spark: SparkSession, path: str, partition: str = "release") -> list[str]:
     """The releases under a prefix, the newest first, from the names of its folders alone."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -40,7 +48,22 @@ def release_names(spark: SparkSession, path: str, partition: str = "release") ->
 
 def newest_release(spark: SparkSession, path: str, partition: str = "release") -> DataFrame:
     """The rows of the newest release's folder; no other is opened."""
-    return spark.read.parquet(f"{path}/{partition}={release_names(spark, path, partition)[0]}")
+    names = release_names(spark, path, partition)
+    if not names:
+        raise ValueError(f"no release under {path}")
+    return release(spark, path, names[0], partition)
+
+
+def release(spark: SparkSession, path: str, name: str, partition: str = "release") -> DataFrame:
+    """The rows of one release; unknown ones, and those whose writer hasn't finished, are refused."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{partition}={name}")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        raise ValueError(f"unknown release {name}; there are {release_names(spark, path, partition)}")
+    done = [spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS") for f in (folder, folder.getParent())]
+    if not any(files.exists(f) for f in done):
+        raise ValueError(f"release {name} is not complete")
+    return spark.read.parquet(folder.toString())
 
 
 def latest_release(df: DataFrame, partition: str = "release") -> DataFrame:
