@@ -106,7 +106,8 @@ def with_views(sql: str) -> str:
     parts = [f"{n} AS ({VIEWS[n]})" for n in needed(sql)]
     if not parts:
         return sql
-    return f"WITH {', '.join(parts)} " + (re.sub(r"^\s*WITH\b", ", ", sql) if re.match(r"\s*WITH\b", sql) else sql)
+    own = re.match(r"\s*WITH\b( RECURSIVE\b)?", sql)
+    return f"WITH{own and own[1] or ''} {', '.join(parts)} " + (", " + sql[own.end() :] if own else sql)
 
 
 class Source:
