@@ -32,15 +32,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A null id counts as the greatest.  Null and blank texts are near-duplicates of nothing.
     """
     ship(spark)
-    rows = durable(docs.withColumn("pipeline_row", F.monotonically_increasing_id()), "numbered")
-    found = minhash.near_duplicates(rows.select(F.col("pipeline_row").alias("doc_id"), "text"), shingle=5, percent=80)
-    found = found.select(F.col("doc_id").alias("pipeline_row"), "component_id")
-    known = durable(rows.select("pipeline_row", "doc_id").join(found, "pipeline_row"), "components")
-    smallest = F.min_by("pipeline_row", F.struct(F.col("doc_id").isNull(), "doc_id", "pipeline_row"))
+    row = "pipeline_row"
+    while row in docs.columns:
+        row += "_"
+    rows = durable(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = minhash.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), shingle=5, percent=80)
+    found = found.select(F.col("doc_id").alias(row), "component_id")
+    known = durable(rows.select(row, "doc_id").join(found, row), "components")
+    smallest = F.min_by(row, F.struct(F.col("doc_id").isNull(), "doc_id", row))
     groups = durable(known.groupBy("component_id").agg(smallest.alias("stays"), F.count("*").alias("members")).where("members > 1"), "groups")
-    gone = durable(join_members(known, groups, ["component_id"]).where("pipeline_row <> stays").select("pipeline_row"), "gone")
+    gone = durable(join_members(known, groups, ["component_id"]).where(F.col(row) != F.col("stays")).select(row), "gone")
     gone = F.broadcast(gone) if gone.count() <= minhash.BROADCAST_IDS else gone
-    return rows.join(gone, "pipeline_row", "left_anti").select(*docs.columns)
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
