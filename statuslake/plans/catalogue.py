@@ -25,7 +25,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import dataset_queries, match_queries, model_queries, profile_queries, release_queries, scalar_queries, survival_queries, validate_queries  # noqa: F401
+    from . import agreement_queries, dataset_queries, match_queries, model_queries, profile_queries, release_queries, scalar_queries, survival_queries, validate_queries  # noqa: F401
 
     return dict(_QUERIES)
 
