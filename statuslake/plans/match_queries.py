@@ -68,6 +68,15 @@ def m4_m7_staleness_transfer(v: Source) -> DataFrame:
     return matching.transfer_labels(rows, limit=700).select(F.col("o_orderkey").alias("id"), "label")
 
 
+@query(f"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 AND {_STALE} <= 700 THEN 0 ELSE 1 END AS label FROM orders")
+def m7_relabelled(v: Source) -> DataFrame:
+    """Stale closures become open instead of being left out."""
+    t = F.col("o_orderdate").cast("timestamp")
+    rows = v("orders").withColumn("r_closed", F.col("o_orderkey") % 2 == 0)
+    rows = rows.withColumn("stale_days", matching.staleness(F.col("r_closed"), t, F.lit("2001-08-02 00:00:00").cast("timestamp")))
+    return matching.transfer_labels(rows, limit=700, relabel=True).select(F.col("o_orderkey").alias("id"), "label")
+
+
 @query(f"SELECT id, name, lat, lon, CASE WHEN lower(status) IN ('permanently_closed', 'closed') THEN 0 ELSE 1 END AS open FROM flat_places WHERE lon BETWEEN {BOX[0]} AND {BOX[1]} AND lat BETWEEN {BOX[2]} AND {BOX[3]}")
 def m9_area_labels(v: Source) -> DataFrame:
     return matching.area(v.places(), BOX)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import assembly, classify, evaluate, relational
+from ..operators import assembly, classify, evaluate, relational, stored
 from ..sources import io
 from ..streaming import state as streaming
 from .catalogue import query
@@ -150,6 +150,45 @@ def c14_c15_network_embeddings(v: Source) -> DataFrame:
     return classify.embeddings(model, held, "id").select("id", F.size("v").alias("size"), F.round(F.get("v", F.lit(0)).cast("double"), 4).alias("first"))
 
 
+_FEATURES = ["n_chars", "toxic", "count_feature", "age"]
+_X = "SELECT id, i AS feature, [n_chars, toxic, count_feature, age][i + 1] AS x FROM labeled, (SELECT unnest([0, 1, 2, 3]) AS i)"
+
+
+@query(f"""WITH RECURSIVE f AS ({_X}), n AS MATERIALIZED (SELECT * FROM tree_nodes), w AS (
+    SELECT id, tree, 0 AS node FROM labeled, (SELECT DISTINCT tree FROM n)
+    UNION ALL SELECT w.id, w.tree, CASE WHEN f.x <= n.threshold THEN n.l ELSE n.r END FROM w JOIN n ON n.tree = w.tree AND n.node = w.node JOIN f ON f.id = w.id AND f.feature = n.feature),
+  p AS (SELECT w.id, 1 - 1 / (1 + exp(-2 * sum(n.weight * n.value))) AS p FROM w JOIN n ON n.tree = w.tree AND n.node = w.node WHERE n.feature IS NULL GROUP BY w.id)
+  SELECT id, round(p, 6) AS p_closed, CASE WHEN p >= 0.3 THEN 1 ELSE 0 END AS predicted_closed FROM p""")
+def c11_c16_c17_stored_trees(v: Source) -> DataFrame:
+    """Scores and decisions of a stored table of tree nodes; SQL walks the same table."""
+    scored = stored.p_closed_by_trees(v("labeled"), v("tree_nodes"), _FEATURES)
+    return classify.decide(scored, "balanced").select("id", F.round("p_closed", 6).alias("p_closed"), "predicted_closed")
+
+
+@query("""WITH split_gain AS (SELECT feature, weight, (SELECT var_pop(value) FROM tree_nodes b WHERE b.tree = a.tree AND b.feature IS NULL) AS spread FROM tree_nodes a WHERE feature IS NOT NULL)
+  SELECT feature, count(*) AS splits, round(sum(weight * spread), 6) AS spread FROM split_gain GROUP BY feature""")
+def c12_c13_stored_splits(v: Source) -> DataFrame:
+    """How often each feature splits in a stored model, and the spread of the trees' values there."""
+    return stored.split_spread(v("tree_nodes")).withColumn("spread", F.round("spread", 6))
+
+
+@query(f"""WITH f AS ({_X}), h AS (SELECT id, unit, 1 / (1 + exp(-sum(CASE WHEN w.source = -1 THEN w ELSE w * x END))) AS h FROM net_weights w JOIN (SELECT * FROM f UNION ALL SELECT id, -1, 1.0 FROM labeled) f ON f.feature = w.source WHERE layer = 1 GROUP BY id, unit),
+  o AS (SELECT id, w.unit, sum(w.w * h) AS z FROM net_weights w JOIN h ON h.unit = w.source WHERE layer = 2 GROUP BY id, w.unit)
+  SELECT h.id, round(max(CASE WHEN h.unit = 0 THEN h END), 6) AS h0, round(max(CASE WHEN h.unit = 1 THEN h END), 6) AS h1, round(max(CASE WHEN h.unit = 2 THEN h END), 6) AS h2, round(max(p), 6) AS p_closed
+  FROM h JOIN (SELECT id, max(CASE WHEN unit = 0 THEN exp(z) END) / sum(exp(z)) AS p FROM o GROUP BY id) o ON o.id = h.id GROUP BY h.id""")
+def c14_c15_stored_network(v: Source) -> DataFrame:
+    """Hidden units and probabilities of a stored table of weights; SQL forms the same products."""
+    out = stored.network_layers(v("labeled"), v("net_weights"), _FEATURES)
+    hidden = [F.round(F.get("hidden", F.lit(i)), 6).alias(f"h{i}") for i in range(3)]
+    return out.select("id", *hidden, F.round(F.get("proba", F.lit(0)), 6).alias("p_closed"))
+
+
+@query()
+def c5_condition_numbers_whole(v: Source) -> DataFrame:
+    """All 64 coordinates: no SQL form, a test holds it against the eigenvalues."""
+    return classify.condition_numbers(classify.da_fit(v("embed")))
+
+
 # evaluation
 
 _AUC = "SELECT model, round(sum(CAST(pos AS DOUBLE) * (less + neg / 2.0)) / (sum(pos) * sum(neg)), 6) AS auc FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY model ORDER BY p_closed ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS less FROM (SELECT model, p_closed, sum(y) AS pos, sum(1 - y) AS neg FROM scored GROUP BY ALL)) GROUP BY model"

@@ -25,6 +25,16 @@ def coded_name(digits: str, step: int) -> str:
     return f"{part('abcdefghij', 0)} || ' ' || {part('klmnopqrst', 2)}"
 
 
+def tree_of(tree: int, upper: tuple[int, str], lower: tuple[int, str]) -> tuple[str, str]:
+    """The inner nodes and leaves of a tree that splits all rows at ``upper``, both parts at ``lower`` (index and name)."""
+    (f, x), (g, y) = upper, lower
+    inner = f"SELECT {tree} AS tree, 0 AS node, {f} AS feature, t{f} AS threshold, 1 AS l, 2 AS r FROM tree_cuts UNION ALL " + " UNION ALL ".join(f"SELECT {tree}, {i}, {g}, t{g}, {2 * i + 1}, {2 * i + 2} FROM tree_cuts" for i in (1, 2))
+    leaf = f"SELECT {tree} AS tree, CASE WHEN {x} <= t{f} THEN 3 ELSE 5 END + CASE WHEN {y} <= t{g} THEN 0 ELSE 1 END AS node, round(2 * avg(CAST(open AS DOUBLE)) - 1, 6) AS value FROM labeled JOIN tree_cuts ON true GROUP BY 1, 2"
+    return inner, leaf
+
+
+TREES = [tree_of(0, (0, "n_chars"), (1, "toxic")), tree_of(1, (2, "count_feature"), (3, "age")), tree_of(2, (3, "age"), (0, "n_chars"))]
+
 VIEWS = {
     "flat_places": """
         SELECT c_custkey AS k, CAST(c_custkey AS STRING) AS id, p_name || ' ' || lower(c_mktsegment) AS name,
@@ -82,6 +92,18 @@ VIEWS = {
                CAST(l.toxic AS DOUBLE) AS toxic, CAST(d.doc_id % 7 AS INT) AS count_feature,
                CASE WHEN d.doc_id % 5 = 0 THEN CAST(-1 AS DOUBLE) ELSE CAST(d.n_chars % 900 AS DOUBLE) END AS age
         FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
+    "tree_cuts": "SELECT round(avg(n_chars), 1) + CAST(0.05 AS DOUBLE) AS t0, CAST(0.5 AS DOUBLE) AS t1, CAST(2.5 AS DOUBLE) AS t2, round(avg(age), 1) + CAST(0.05 AS DOUBLE) AS t3 FROM labeled",
+    "tree_inner": " UNION ALL ".join(inner for inner, _ in TREES),
+    "tree_leaves": " UNION ALL ".join(leaf for _, leaf in TREES),
+    "tree_places": "SELECT tree, node, feature, threshold, l, r FROM tree_inner UNION ALL SELECT DISTINCT tree, c, CAST(NULL AS INT), CAST(NULL AS DOUBLE), CAST(NULL AS INT), CAST(NULL AS INT) FROM (SELECT tree, l AS c FROM tree_inner WHERE l > 2 UNION ALL SELECT tree, r AS c FROM tree_inner WHERE r > 2)",
+    "tree_nodes": """
+        SELECT p.tree, p.node, feature, threshold, l, r, CASE WHEN feature IS NULL THEN coalesce(value, 0) END AS value, CAST(1 AS DOUBLE) / CAST(p.tree + 1 AS DOUBLE) AS weight
+        FROM tree_places p LEFT JOIN tree_leaves v ON v.tree = p.tree AND v.node = p.node""",
+    "net_effects": " UNION ALL ".join(f"SELECT {i} AS source, round(avg({c}), 2) AS m, round(stddev_pop({c}) + CAST(0.01 AS DOUBLE), 2) AS s, round((avg(CASE WHEN open = 1 THEN {c} END) - avg(CASE WHEN open = 0 THEN {c} END)) / (stddev_pop({c}) + 0.01), 3) AS e FROM labeled" for i, c in enumerate(("n_chars", "toxic", "count_feature", "age"))),
+    "net_weights": """
+        SELECT 1 AS layer, u AS unit, source, CASE WHEN (source + u) % 2 = 0 THEN e / s ELSE CAST(0.1 AS DOUBLE) / s END AS w FROM net_effects JOIN (SELECT 0 AS u UNION ALL SELECT 1 AS u UNION ALL SELECT 2 AS u) AS units ON true
+        UNION ALL SELECT 1, u, -1, sum(-m * CASE WHEN (source + u) % 2 = 0 THEN e / s ELSE CAST(0.1 AS DOUBLE) / s END) FROM net_effects JOIN (SELECT 0 AS u UNION ALL SELECT 1 AS u UNION ALL SELECT 2 AS u) AS units ON true GROUP BY u
+        UNION ALL SELECT 2, o, u, CAST((1 - 2 * o) * (u + 1) AS DOUBLE) FROM (SELECT 0 AS u UNION ALL SELECT 1 AS u UNION ALL SELECT 2 AS u) AS units JOIN (SELECT 0 AS o UNION ALL SELECT 1 AS o) AS outs ON true""",
     "scored": """
         SELECT 'a' AS model, id, CASE WHEN open = 1 THEN 0 ELSE 1 END AS y, category, CAST(CAST(n_chars AS BIGINT) * 7919 % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE) AS p_closed, n_chars, toxic FROM labeled
         UNION ALL
