@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..functions.similarity import ALPHABET, FIRST_WORD_WEIGHT, may_reach, name_similarity, prepared, prepared_similarity, token_sort_ratio
+from ..functions.similarity import FIRST_WORD_WEIGHT, may_reach, name_similarity, prepared, prepared_similarity, token_sort_ratio
 from . import spatial
 from .profile import threshold_sweep
 from .relational import best_per_key
@@ -103,14 +103,27 @@ def letter_blocks(names: DataFrame, least: float, own: str, other: str) -> DataF
     return each.withColumn("token", F.explode(F.slice("_t", F.lit(1), F.greatest(F.col(own) - needed + 1, F.lit(0))))).drop("_t")
 
 
-def inner_blocks(names: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``names`` with a gram that any name holding them has: a pair of characters made of rare ones, or the only one; and
-    ``names`` with all their grams."""
-    grams = "IF(length(_n.name) < 2, array(_n.name), transform(sequence(1, length(_n.name) - 1), i -> substr(_n.name, i, 2)))"
-    rarest = F.expr(f"array_min(transform({grams}, g -> struct(instr('{ALPHABET}', left(g, 1)) + instr('{ALPHABET}', right(g, 1)) AS r, g AS g))).g")
-    known = names.where("_n.name <> ''")
-    every = F.expr(f"array_distinct(concat({grams}, split(_n.name, '')))")
-    return known.withColumn("gram", rarest), known.withColumn("gram", F.explode(every))
+def grams_of(name: str) -> Column:
+    """All runs of three characters of a name; of a shorter one the name itself."""
+    return F.expr(f"array_distinct(IF(length({name}) < 3, array({name}), transform(sequence(1, length({name}) - 2), i -> substr({name}, i, 3))))")
+
+
+def inner_blocks(names: DataFrame, others: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``names`` with their gram that is rarest in ``others``, and ``others`` with every gram that a name in them can have.
+
+    A name within another one has all its grams there.  How often grams occur is counted over all of ``others``: at most
+    the third power of the alphabet's size, so that table is small whatever the input.
+    """
+    known, into = names.where("_n.name <> ''"), others.where("_n.name <> ''")
+    shorter = [f"transform(sequence(1, length(_n.name) - {k - 1}), i -> substr(_n.name, i, {k}))" for k in (1, 2)]
+    short = f"concat({shorter[0]}, IF(length(_n.name) < 2, CAST(array() AS ARRAY<STRING>), {shorter[1]}))"
+    every = into.withColumn("gram", F.explode(F.array_distinct(F.concat(grams_of("_n.name"), F.expr(short)))))
+    often = every.groupBy("gram").agg(F.count("*").alias("often"))
+    each = known.select("id", "locality", F.explode(grams_of("_n.name")).alias("gram")).join(F.broadcast(often), "gram")
+    rarest = each.groupBy("id", "locality").agg(F.min_by("gram", F.struct("often", "gram")).alias("gram"), F.count("*").alias("present"))
+    # a gram that no other name has rules the name out
+    whole = known.join(rarest, ["id", "locality"]).where(F.col("present") == F.size(grams_of("_n.name"))).drop("present")
+    return whole, every
 
 
 def named_pairs(left: DataFrame, right: DataFrame, least: float, weight: float = FIRST_WORD_WEIGHT) -> DataFrame:
@@ -124,7 +137,7 @@ def named_pairs(left: DataFrame, right: DataFrame, least: float, weight: float =
     renamed = lambda df: df.withColumnsRenamed({"id": "r_id", "_n": "r__n"})
     first = (least - (1 - weight)) / weight
     alike = letter_blocks(a, first, "m", "n").join(renamed(letter_blocks(b, first, "n", "m")), ["locality", "m", "n", "token"])
-    (one_a, all_a), (one_b, all_b) = inner_blocks(a), inner_blocks(b)
+    (one_a, all_b), (one_b, all_a) = inner_blocks(a, b), inner_blocks(b, a)
     inside = one_a.join(renamed(all_b), ["locality", "gram"]).where(F.contains("r__n.name", F.col("_n.name")))
     around = all_a.join(renamed(one_b), ["locality", "gram"]).where(F.contains("_n.name", F.col("r__n.name")))
     columns = ["id", "r_id", "_n", "r__n"]

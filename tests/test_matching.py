@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from statuslake.functions.similarity import indel, may_reach, prepared
+from statuslake.functions.similarity import indel, indels, may_reach, prepared
 from statuslake.operators import matching
 
 WORDS = "the a blue red door cafe café joe's joes taqueria taqeria bar grill 7 x le petit pettit bistro bistrot of corner corne".split()
@@ -72,3 +72,20 @@ def test_indel_equals_the_table():
     for _ in range(500):
         a, b = ("".join(rng.choice("abc ") for _ in range(rng.randint(0, 90))) for _ in range(2))
         assert indel(a, b) == (100.0 if not a and not b else 200.0 * common(a, b) / (len(a) + len(b)))
+
+
+def test_indels_of_a_batch_equal_single_ones():
+    rng = random.Random(10)
+    text = lambda: "".join(rng.choice("abcé😀 \0") for _ in range(rng.choice((0, 1, 5, 30, 63, 64, 65, 130))))
+    a, b = [text() for _ in range(3000)], [text() for _ in range(3000)]
+    assert indels(a, b).tolist() == [indel(x, y) for x, y in zip(a, b, strict=True)]
+    assert indels([], []).tolist() == []
+
+
+def test_crowded_locality_keeps_its_pairs(spark):
+    """Names that share nearly all their grams, and short ones inside long ones."""
+    names = ["caf", "ca", "c", "cafe", "cafe bar", "the cafe bar of the corner"] + [f"cafe bar {i}" for i in range(60)]
+    left = spark.createDataFrame([(i, n, "town") for i, n in enumerate(names)], "id bigint, name string, locality string")
+    got = {(r["id"], r["r_id"]): r["nsim"] for r in matching.named_pairs(left, left, 0.75).collect()}
+    want = {(i, j): s for i, a in enumerate(names) for j, b in enumerate(names) if (s := similarity(a, b)) >= 0.75}
+    assert got == pytest.approx(want)
