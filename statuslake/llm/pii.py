@@ -4,7 +4,7 @@ Entities are found by one pattern.  Each distinct value, written in any format o
 value) and gets one keyed surrogate of the same type: hashes of a secret key, the type, the value and an attempt number
 choose the new characters, class by class.  Every occurrence is then filled with the surrogate's characters in its own
 format: punctuation, spacing, case, length, top-level domain, country prefix and the validity of a card's check digit
-stay.
+stay; so do a card's issuer digits, the remainder of an IBAN by 97 and whether an address is a private one.
 
 Names are found behind a title, in Latin, Cyrillic, Greek or Armenian letters.  Their words are units of the one type
 that a script has, whatever the title; titles of all their occurrences tell their gender (neutral if they disagree or
@@ -31,6 +31,8 @@ from .cluster import durable, join_members
 
 #: Attempts after which surrogates other than names get longer.
 LONGER = 8
+#: Leading digits of a card that name its issuer and stay.
+ISSUER = 6
 
 
 def titles(words: str) -> str:
@@ -44,12 +46,17 @@ TITLE = rf"(?:{FEMALE}|{MALE}|{NEUTRAL})\.? "
 LETTERS = r"[\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{IsArmenian}]"
 WORD = rf"(?=\p{{Lu}}){LETTERS}(?:{LETTERS}|['’-](?={LETTERS})){{1,30}}"
 NO_BEFORE, NO_AFTER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+#: Letters and digits end and begin where a word stands alone.
+BOUNDARY = r"(?<![\p{L}\p{N}])(?=[\p{L}\p{N}])|(?<=[\p{L}\p{N}])(?![\p{L}\p{N}])"
+OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
+#: Address blocks that aren't public: the first octet, or the first two of them, tell.
+PRIVATE = r"^(?:10|127)[.]|^(?:192[.]168|169[.]254|172[.](?:1[6-9]|2[0-9]|3[01]))[.]"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "secret": rf"{NO_BEFORE}[0-9a-f]{{32,64}}{NO_AFTER}",
     "iban": rf"{NO_BEFORE}[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9A-Z]{{4}}){{3,7}}(?: ?[0-9A-Z]{{1,3}})?{NO_AFTER}",
-    "ip": r"(?<![\p{L}\p{N}.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\p{L}\p{N}]|\.[0-9])",
-    "ip6": r"(?<![\p{L}\p{N}:.])(?=[A-Fa-f:]{0,39}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
+    "ip": rf"(?<![\p{{L}}\p{{N}}.])(?:{OCTET}\.){{3}}{OCTET}(?![\p{{L}}\p{{N}}]|\.[0-9])",
+    "ip6": r"(?<![\p{L}\p{N}:.])(?=[A-Fa-f:]{0,39}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})(?![\p{L}\p{N}:])",
     "card": rf"{NO_BEFORE}[0-9]{{4}}(?:[ -]?[0-9]{{4}}){{2}}[ -]?[0-9]{{1,7}}{NO_AFTER}",
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}]|-[0-9])",
     "phone": rf"(?<![\p{{L}}\p{{N}}+])(?:(?:\+[0-9]{{1,3}}[ .-]?)?(?:\([0-9]{{1,4}}\)|[0-9]{{3}})[ .-]?[0-9]{{3}}[ .-]?[0-9]{{4}}|\+(?=(?:[ .()-]{{0,2}}[0-9]){{8}})[0-9]{{1,3}}(?:[ .-]?(?:\([0-9]{{1,4}}\)|[0-9]{{1,4}})){{2,5}}){NO_AFTER}",
@@ -111,11 +118,13 @@ def drawn() -> Column:
     value = "CAST(conv(substr(h, (i * 2) % 120 + 1, 4), 16, 10) AS INT)"
     char = f"""CASE WHEN (type LIKE 'phone %' OR type LIKE 'iban %') AND i < {keep} THEN c
         WHEN type = 'email' AND i >= length({body}) - {keep} THEN c
+        WHEN type = 'card' AND i < {ISSUER} AND attempt < {LONGER} THEN c
         WHEN c RLIKE '[0-9]' THEN CAST({value} % 10 AS STRING)
         WHEN type IN ('secret', 'ip6') THEN substr('abcdef', {value} % 6 + 1, 1)
         ELSE chr(97 + {value} % 26) END"""
     chars = f"concat(array_join(transform(split({body}, ''), (c, i) -> {char}), ''), substr(h, 1, {more}))"
-    octets = f"""array_join(transform(split(canon, '[.]'), (o, i) -> CAST(CASE WHEN attempt >= {LONGER} THEN pmod(CAST(conv(substr(h, i * 4 + 1, 4), 16, 10) AS INT), 256)
+    octets = f"""array_join(transform(split(canon, '[.]'), (o, i) -> CAST(CASE WHEN attempt < {2 * LONGER} AND i < CASE WHEN NOT canon RLIKE '{PRIVATE}' THEN 0 WHEN canon RLIKE '^(10|127)[.]' THEN 1 ELSE 2 END THEN o
+        WHEN attempt >= {LONGER} THEN pmod(CAST(conv(substr(h, i * 4 + 1, 4), 16, 10) AS INT), 256)
         WHEN length(o) = 1 THEN pmod(CAST(conv(substr(h, i * 4 + 1, 4), 16, 10) AS INT), 10)
         WHEN length(o) = 2 THEN 10 + pmod(CAST(conv(substr(h, i * 4 + 1, 4), 16, 10) AS INT), 90)
         ELSE 100 + pmod(CAST(conv(substr(h, i * 4 + 1, 4), 16, 10) AS INT), 156) END AS STRING)), '.')"""
@@ -141,6 +150,19 @@ def checked_card() -> Column:
     return F.expr(f"IF(type = 'card' AND attempt < {LONGER}, concat(substr(s, 1, length(s) - 1), CAST(pmod(CAST(right(s, 1) AS INT) + {rest('canon')} - {rest('s')}, 10) AS STRING)), s)")
 
 
+def checked_iban() -> Column:
+    """The surrogate with its check digits set so that the remainder by 97 is the real number's."""
+
+    def rest(text: str) -> str:
+        return f"""aggregate(split({text}, ''), 0, (a, c) -> IF(c RLIKE '[0-9]', (a * 10 + CAST(c AS INT)) % 97, (a * 100 + ascii(c) - 87) % 97))"""
+
+    blank = "concat(substr(s, 5), substr(s, 1, 2), '00')"
+    wanted = f"{rest('concat(substr(canon, 5), substr(canon, 1, 4))')} - {rest(blank)}"
+    # 97 and 98 are written for 0 and 1
+    digits = f"transform(array(pmod({wanted}, 97)), d -> lpad(CAST(IF(d < 2, d + 97, d) AS STRING), 2, '0'))[0]"
+    return F.expr(f"IF(type LIKE 'iban %' AND attempt < {LONGER}, concat(substr(s, 1, 2), {digits}, substr(s, 5)), s)")
+
+
 def surrogates(real: DataFrame, key: str) -> DataFrame:
     """(type, canon, s): a surrogate for each unit of ``real`` (type, canon, gender, surname), a written table.
 
@@ -150,7 +172,10 @@ def surrogates(real: DataFrame, key: str) -> DataFrame:
     while not pending.isEmpty():
         h = digest(F.lit(key), F.col("type"), F.col("canon"), F.lit(str(attempt)))
         tried = pending.withColumn("attempt", F.lit(attempt)).withColumn("h", h).withColumn("s", drawn())
-        tried = durable(tried.withColumn("s", checked_card()).select("type", "canon", "h", "s"), "tried")
+        tried = tried.withColumn("s", checked_card()).withColumn("s", checked_iban())
+        # a public address stays public
+        tried = tried.where(~((F.col("type") == "ip") & F.col("s").rlike(PRIVATE) & ~F.col("canon").rlike(PRIVATE)))
+        tried = durable(tried.select("type", "canon", "h", "s"), "tried")
         first = tried.groupBy("type", F.lower("s").alias("low")).agg(F.min_by("canon", F.struct("h", "canon")).alias("canon"))
         first = first.join(real.select("type", body_of("canon").alias("low")).distinct(), ["type", "low"], "left_anti")
         if done is not None:
@@ -174,18 +199,13 @@ def filled() -> Column:
         r -> concat(r.out, substr(s, r.at))))""")
 
 
-def alone(word: Column) -> Column:
-    """The pattern of a word that is no part of a longer one."""
-    return F.concat(F.lit(NO_BEFORE + r"\Q"), word, F.lit(r"\E" + NO_AFTER))
-
-
 def in_case(s: Column, word: Column) -> Column:
     """``s`` in capitals if ``word`` is, else capitalised."""
     return F.when(word == F.upper(word), F.upper(s)).otherwise(F.initcap(s))
 
 
 def replacements(entities: DataFrame, key: str) -> DataFrame:
-    """``entities`` (e, members) with new, and mentions: patterns and replacements of its words where they stand alone."""
+    """``entities`` (e, members) with new, and mentions: its words and what replaces them where they stand alone."""
     known = durable(units(entities), "entities")
     each = known.select("e", F.posexplode("units").alias("place", "u")).select("e", "place", "u.*")
     female, male = F.max(F.col("gender") == "f"), F.max(F.col("gender") == "m")
@@ -197,8 +217,8 @@ def replacements(entities: DataFrame, key: str) -> DataFrame:
     drawn_ = surrogates(real, key).join(roles, ["type", "canon"])
     title_case, capitals = F.initcap("canon"), F.upper("canon")
     forms = F.array_distinct(F.array(F.col("word"), title_case, capitals))
-    mentions = F.when((F.col("word") != "") & (F.col("bare") | (F.length("canon") > 2)), F.transform(forms, lambda w: F.struct(alone(w).alias("pattern"), in_case(F.col("s"), w).alias("new"))))
-    none = F.array().cast("array<struct<pattern: string, new: string>>")
+    mentions = F.when((F.col("word") != "") & (F.col("bare") | (F.length("canon") > 2)), F.transform(forms, lambda w: F.struct(w.alias("word"), in_case(F.col("s"), w).alias("new"))))
+    none = F.array().cast("array<struct<word: string, new: string>>")
     told = each.join(drawn_, ["type", "canon"]).select("e", "place", F.when(F.col("word") == "", F.col("s")).otherwise(in_case(F.col("s"), F.col("word"))).alias("s"), F.coalesce(mentions, none).alias("mentions"))
     joined = told.groupBy("e").agg(F.sort_array(F.collect_list(F.struct("place", "s", "mentions"))).alias("p"))
     out = known.select("e", "members", "type").join(joined, "e").withColumn("parts", F.transform("p", lambda x: x["s"])).withColumn("s", F.get("parts", F.lit(0)))
@@ -219,13 +239,56 @@ def anonymise(docs: DataFrame, key: str = "statuslake", text: str = "text") -> D
     each = hit.select("statuslake_row", F.posexplode("statuslake_found").alias("place", "e"))
     new = durable(replacements(each.groupBy("e").agg(F.count("*").alias("members")), key), "replacements")
     told = join_members(each, new, ["e"])
-    lists = told.groupBy("statuslake_row").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "new"))), lambda x: x["new"]).alias("statuslake_new"), F.array_distinct(F.flatten(F.collect_set("mentions"))).alias("statuslake_mentions"))
-    between, mentions = F.split(text, ANY, -1), F.col("statuslake_mentions")
-    # a surrogate is no real name of its script, so a replaced word is not replaced again
-    spoken = F.when(F.size(mentions) == 0, between).otherwise(F.transform(between, lambda part: F.aggregate(mentions, part, lambda t, m: F.regexp_replace(t, m["pattern"], m["new"]))))
-    rebuilt = F.array_join(F.zip_with(spoken, F.concat("statuslake_new", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    bare = F.aggregate(mentions, F.lit(0), lambda n, m: n + F.regexp_count(F.array_join(between, "\n"), m["pattern"]))
-    n = (F.size("statuslake_found") + F.when(F.size(mentions) == 0, 0).otherwise(bare)).cast("bigint")
-    changed = hit.join(lists, "statuslake_row").withColumn("n_entities", n).withColumn(text, rebuilt).select(*docs.columns, "n_entities")
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("place", "new"))), lambda x: x["new"])
+    lists = told.groupBy("statuslake_row").agg(ordered.alias("statuslake_new"), F.max(F.size("mentions") > 0).alias("statuslake_named"))
+    filled_in = hit.join(lists, "statuslake_row").withColumn("n_entities", F.size("statuslake_found").cast("bigint"))
+    between = F.split(text, ANY, -1)
+    plain = F.array_join(F.zip_with(between, F.concat("statuslake_new", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    columns = [*docs.columns, "n_entities"]
+    unnamed = filled_in.where(~F.col("statuslake_named")).withColumn(text, plain).select(*columns)
+    words = told.select("statuslake_row", F.explode("mentions").alias("m")).select("statuslake_row", "m.word", "m.new").distinct()
+    named = with_mentions(filled_in.where("statuslake_named"), words, between, text).select(*columns)
     same = marked.where(F.size("statuslake_found") == 0).select(*docs.columns, F.lit(0).cast("bigint").alias("n_entities"))
-    return same.unionByName(changed)
+    return same.unionByName(unnamed).unionByName(named)
+
+
+def with_mentions(rows: DataFrame, words: DataFrame, between: Column, text: str) -> DataFrame:
+    """``rows`` with their entities and the mentions of ``words`` (statuslake_row, word, new) replaced and counted.
+
+    A text becomes the array of its words and of what lies between them, entities replaced; its capitalised words (two
+    around an apostrophe also as one) meet its names in a join, and what met is put back at its place: work is linear
+    in the text, however many names it has.
+    """
+    piece = lambda t, fixed: F.struct(t.alias("t"), F.lit(fixed).alias("fixed"))
+    none = F.array().cast("array<struct<t: string, fixed: boolean>>")
+    told = F.col("statuslake_new")
+    pieces = F.flatten(F.transform(between, lambda p, i: F.concat(F.transform(F.split(p, BOUNDARY, -1), lambda t: piece(t, False)), F.when(i < F.size(told), F.array(piece(F.get(told, i), True))).otherwise(none))))
+
+    def spans(p: Column) -> Column:
+        joined = lambda x, i: F.when(F.get(p, i + 1)["t"].isin("'", "’"), F.concat(x["t"], F.get(p, i + 1)["t"], F.get(p, i + 2)["t"]))
+        every = F.transform(p, lambda x, i: F.struct(i.alias("at"), x["fixed"].alias("fixed"), x["t"].alias("one"), joined(x, i).alias("three")))
+        return F.filter(every, lambda x: ~x["fixed"] & x["one"].rlike(r"^\p{Lu}"))
+
+    # the array is bound to a lambda's variable, so it is built once
+    seen = rows.select("statuslake_row", F.explode(F.get(F.transform(F.array(pieces), spans), F.lit(0))).alias("x"))
+    either = F.array(F.struct(F.lit(1).alias("span"), F.col("x.one").alias("word")), F.struct(F.lit(3).alias("span"), F.col("x.three").alias("word")))
+    seen = seen.select("statuslake_row", "x.at", F.explode(either).alias("w")).select("statuslake_row", "at", "w.span", "w.word").where("word IS NOT NULL")
+    met = seen.join(words, ["statuslake_row", "word"])
+    places = met.groupBy("statuslake_row").agg(F.sort_array(F.collect_list(F.struct("at", (-F.col("span")).alias("less"), "new"))).alias("statuslake_met"))
+
+    def covered(m: Column, x: Column, i: Column) -> Column:
+        """Whether one of the two entries before ``x`` is a word around an apostrophe that holds it."""
+        by = lambda k: F.coalesce((F.get(m, i - k)["less"] == -3) & (F.get(m, i - k)["at"] >= x["at"] - 2), F.lit(False))
+        return by(1) | by(2)
+
+    def rebuilt(r: Column) -> Column:
+        m, p = r["m"], r["p"]
+        end = lambda j: F.coalesce(F.get(m, j - 1)["at"] - F.get(m, j - 1)["less"], F.lit(0))
+        part = lambda j: F.slice(p, end(j) + 1, F.greatest(F.coalesce(F.get(m, j)["at"], F.size(p)) - end(j), F.lit(0)))
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(m)), lambda j: F.concat(F.array_join(part(j), ""), F.coalesce(F.get(m, j)["new"], F.lit("")))), "")
+
+    met_ = F.coalesce("statuslake_met", F.array().cast("array<struct<at: int, less: int, new: string>>"))
+    kept = F.get(F.transform(F.array(met_), lambda m: F.filter(m, lambda x, i: ~covered(m, x, i))), F.lit(0))
+    out = rows.join(places, "statuslake_row", "left").withColumn("statuslake_met", kept)
+    whole = F.array(F.struct(F.col("statuslake_met").alias("m"), F.transform(pieces, lambda x: x["t"]).alias("p")))
+    return out.withColumn("n_entities", F.col("n_entities") + F.size("statuslake_met")).withColumn(text, F.get(F.transform(whole, rebuilt), F.lit(0)))

@@ -212,3 +212,36 @@ def test_rows_that_share_an_id(spark, sf_dir):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars int").repartition(3)
     got = pipeline.near_duplicates(spark, docs, sf_dir).collect()
     assert sorted(((r["doc_id"] or 0, (r["text"] or "")[:1]) for r in got)) == [(1, "a"), (1, "b"), (4, ""), (4, ""), (5, ""), (6, "c"), (7, "d")]
+
+
+def remainder(number):
+    plain = number.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97
+
+
+def test_surrogates_keep_what_makes_them_valid(spark):
+    texts = ["from 10.0.0.1 and 192.168.4.5 to 8.8.8.8, not 999.999.999.999", "loop ::1 end", "card 4111 1111 1111 1111", "to DE89 3704 0044 0532 0130 00 or GB82WEST12345698765432", "bad DE89 3704 0044 0532 0130 01"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = [r["text"] for r in pii.anonymise(rows).orderBy("doc_id").collect()]
+    addresses = re.findall(r"[0-9.]*[0-9]", got[0])
+    assert addresses[0].startswith("10.") and addresses[1].startswith("192.168.") and not re.match(pii.PRIVATE, addresses[2])
+    assert addresses[3] == "999.999.999.999" and not {"10.0.0.1", "192.168.4.5", "8.8.8.8"} & set(addresses)
+    assert re.fullmatch("loop ::[0-9] end", got[1]) and got[1] != texts[1]
+    card = got[2].removeprefix("card ").replace(" ", "")
+    assert card[:6] == "411111" and card != "4" + "1" * 15
+    assert sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(card))) % 10 == 0
+    ibans = got[3].removeprefix("to ").split(" or ")
+    assert [remainder(x) for x in ibans] == [1, 1] and ibans[0][:2] == "DE" and ibans[1][:2] == "GB"
+    assert remainder(got[4].removeprefix("bad ")) == remainder("DE89 3704 0044 0532 0130 01") != 1
+
+
+def test_mentions_beside_apostrophes_and_many_names(spark):
+    letters = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:05d}").capitalize()
+    many = " ".join(f"Dr. Q{letters(i).lower()} met Q{letters(i).lower()}'s aunt." for i in range(3000))
+    rows = spark.createDataFrame([(0, "Mr Sean O'Brien, O'Brien's and O’BRIEN; Brien, Sean's, SEAN sean Seans"), (1, many)], "doc_id int, text string")
+    one, two = pii.anonymise(rows).orderBy("doc_id").collect()
+    sean, brien = re.match(r"Mr (\w+) (\w+),", one["text"]).groups()
+    assert one["text"].split(", ", 1)[1] == f"{brien}'s and O’BRIEN; Brien, {sean}'s, {sean.upper()} sean Seans"
+    pairs = re.findall(r"Dr\. (\w+) met (\w+)'s aunt\.", two["text"])
+    assert two["n_entities"] == 6000 and len(set(pairs)) == 3000 and all(a == b for a, b in pairs)
+    assert not {a for a, _ in pairs} & {f"Q{letters(i).lower()}" for i in range(3000)}
