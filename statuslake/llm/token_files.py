@@ -14,18 +14,18 @@ first and equal ids are ordered by a hash of the text.  A document longer than a
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import PUNCTUATION, WordCache, byte_letters, slice_ids, tokenizer_path
+from .bpe import PUNCTUATION, byte_letters, tokenizer_path
 from .cluster import shared_dir
-from .words import text_slices
+from .words import split_words, text_slices
 
 BLOCK = 1 << 16
 #: Ids after which a chunk is closed.
@@ -58,12 +58,19 @@ def from_planes(planes: list[bytes], n: int) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").reshape(-1).view("<u4")
 
 
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places ``start`` to ``start + size`` of every span, one span behind the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
 class Encoder:
-    """Ids of words by the tokenizers library, once for each distinct word of a slice.
+    """Ids of words by the tokenizers library, once for each distinct piece of a slice.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those of its words in order.
     A word of letters below ``OLD_LETTERS``, perhaps with ASCII punctuation behind, needs no normaliser and is cut by eye;
-    its pieces go straight to the library's model.  All other words take the whole way through the library.
+    its distinct pieces go to the library's model in one call, whose ids tell by their suffix where a piece ends.  All
+    other words, and all words of a file that doesn't lower-case, cut and end pieces that way, take the whole way.
     """
 
     def __init__(self, path: str):
@@ -76,35 +83,81 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        self.pieces = WordCache(lambda pieces: [array("i", [t.id for t in self.model.tokenize(p)]).tobytes() for p in pieces])
-        self.cache = WordCache(self.encode)
-
-    def encode(self, words: list[str]) -> list[bytes]:
-        cores, tails = [], []
-        for word in words:
-            core = word.rstrip(PUNCTUATION)
-            size = len(core)
-            if core.isalpha() and max(core) < OLD_LETTERS:
-                core = core.lower() if core.isascii() else self.letters_of(core)
-            else:
-                core = ""
-            cores.append(core)
-            tails.append(word[size:] if core else word)
-        ids = self.pieces
-        own = ids([c for c in cores if c])
-        behind = ids([t for c, t in zip(cores, tails, strict=True) if c and t])
-        whole = self.tokenizer.encode_batch_fast([t for c, t in zip(cores, tails, strict=True) if not c], add_special_tokens=False)
-        own, behind, whole = iter(own), iter(behind), iter(whole)
-        return [next(own) + next(behind) if c and t else next(own) if c else array("i", next(whole).ids).tobytes() for c, t in zip(cores, tails, strict=True)]
+        self.bare = Tokenizer(self.model)
+        suffix = getattr(self.model, "end_of_word_suffix", None)
+        self.by_eye = bool(suffix) and self.cuts_by_eye()
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if self.by_eye:
+            for token, i in self.bare.get_vocab().items():
+                self.ends[i] = token.endswith(suffix)
+
+    def cuts_by_eye(self) -> bool:
+        """Whether the file's own normaliser lower-cases and its splitter cuts letters from punctuation behind them."""
+        word = "AbÀ" + PUNCTUATION
+        normaliser, splitter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        if normaliser is None or splitter is None or normaliser.normalize_str(word) != word.lower():
+            return False
+        return [p for p, _ in splitter.pre_tokenize_str(word.lower())] == [self.letters_of("AbÀ"), PUNCTUATION]
 
     @staticmethod
     def letters_of(core: str) -> str:
         """A word of letters, lower-cased, in the vocabulary's characters for its bytes; empty if that isn't certain."""
         lower = core.lower()
-        return lower.encode().decode("latin-1").translate(BYTE_LETTERS) if lower.isalpha() and len(lower) == len(core) else ""
+        plain = core.isalpha() and max(core) < OLD_LETTERS and lower.isalpha() and len(lower) == len(core)
+        return lower.encode().decode("latin-1").translate(BYTE_LETTERS) if plain else ""
+
+    def pieces(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces in one array, and where each begins (one more than there are pieces)."""
+        if not names:
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
+        ids = np.array(self.bare.encode_batch_fast([names], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(names):  # a file in which other tokens end like that, too
+            lists = [[t.id for t in self.model.tokenize(n)] for n in names]
+            return np.array([i for x in lists for i in x], np.int32), np.cumsum([0, *map(len, lists)])
+        return ids, np.append(0, ends)
+
+    def words(self, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in one array, and where each begins (one more than there are words)."""
+        n = len(vocabulary)
+        cores = pc.utf8_rtrim(vocabulary, PUNCTUATION)
+        plain = pc.string_is_ascii(cores)
+        flags = lambda x: x.to_numpy(zero_copy_only=False)
+        eye = flags(pc.and_(plain, pc.utf8_is_alpha(cores)))
+        odd = ~flags(plain)
+        lower = pc.ascii_lower(cores)
+        if odd.any():
+            seen = cores.filter(pa.array(odd)).dictionary_encode()
+            made = pa.array([self.letters_of(c) for c in seen.dictionary.to_pylist()], lower.type).take(seen.indices)
+            lower = pc.replace_with_mask(lower, pa.array(odd), made)
+            eye[odd] = flags(pc.greater(pc.binary_length(made), 0))
+        if not self.by_eye:
+            eye[:] = False
+        # what stands behind the letters, from the bytes of the words
+        end = np.frombuffer(vocabulary.buffers()[1], np.int64)[vocabulary.offset : vocabulary.offset + n + 1][1:]
+        behind = (pc.binary_length(vocabulary).to_numpy() - pc.binary_length(cores).to_numpy()).astype(np.int64)
+        tailed = eye & (behind > 0)
+        size = behind[tailed]
+        data = np.frombuffer(vocabulary.buffers()[2] or b"", np.uint8)[spans(end[tailed] - size, size)]
+        tails = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int64)), pa.py_buffer(data))
+        coded = pa.concat_arrays([lower.filter(pa.array(eye)), tails]).dictionary_encode()
+        ids, at = self.pieces(coded.dictionary.to_pylist())
+        piece = coded.indices.to_numpy().astype(np.int64)
+        whole = [x.ids for x in self.tokenizer.encode_batch_fast(vocabulary.filter(pa.array(~eye)).to_pylist(), add_special_tokens=False)]
+        far = np.cumsum([0, *map(len, whole)]) + len(ids)
+        ids = np.concatenate([ids, np.array([i for x in whole for i in x], np.int32)])
+        # each word is one span of ids, perhaps with a second one behind
+        starts, sizes = np.zeros((n, 2), np.int64), np.zeros((n, 2), np.int64)
+        for where, column, first, after in ((eye, 0, at[piece[: eye.sum()]], at[piece[: eye.sum()] + 1]), (tailed, 1, at[piece[eye.sum() :]], at[piece[eye.sum() :] + 1]), (~eye, 0, far[:-1], far[1:])):
+            starts[where, column], sizes[where, column] = first, after - first
+        return ids[spans(starts.ravel(), sizes.ravel())], np.append(0, np.cumsum(sizes.sum(axis=1)))
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return slice_ids(column, self.cache)
+        """All ids of the texts of a slice in one array, and the texts' offsets in it."""
+        vocabulary, codes, offsets = split_words(column, lower=False)
+        ids, at = self.words(vocabulary)
+        start, size = at[codes], np.diff(at)[codes]
+        return ids[spans(start, size)], np.append(0, np.cumsum(size))[offsets]
 
 
 ENCODERS: dict[str, Encoder] = {}

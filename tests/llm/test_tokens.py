@@ -58,6 +58,34 @@ def test_all_characters(form):
             assert [flat[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == want
 
 
+def test_cuts_by_eye(tmp_path):
+    """Words are cut by eye only if the file itself lower-cases, cuts and ends pieces that way."""
+    import json
+
+    data = json.load(open(PATH, encoding="utf-8"))
+    cased = tmp_path / "cased.json"
+    cased.write_text(json.dumps(data | {"normalizer": {"type": "NFC"}}), encoding="utf-8")
+    texts = ["Two WORDS, Größe! and more", "ABC", "a\u0301b x", "", None, "end.</w> </w>"]
+    column = pa.array(texts, pa.string())
+    for path, by_eye in ((PATH, True), (str(cased), False), (bpe.tokenizer_path("byte_bpe_50k.json"), False)):
+        own = token_files.Encoder(path)
+        assert own.by_eye is by_eye
+        if path.endswith("byte_bpe_50k.json"):
+            continue
+        library = Tokenizer.from_file(path)
+        flat, offsets = own(column)
+        assert [flat[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_many_words_behind_each_other():
+    """Slices of an array, and words of letters with and without punctuation, and others, side by side."""
+    texts = ["Alpha beta!! été, x1 ÀB?! " * 50, "b", "ǅ... Ünder, it's", " ", None, "z!"] * 7
+    column = pa.array(texts, pa.string())
+    for part in (column, column.slice(3, 20), column.slice(5, 0)):
+        flat, offsets = token_files.encoder(PATH)(part)
+        assert [flat[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [ids_of(t) for t in part.to_pylist()]
+
+
 def test_merges_make_later_ranks():
     """A merged symbol only takes part in merges of a higher rank, so all places of a pair may be merged at once."""
     m = bpe.merges(PATH)
