@@ -148,9 +148,13 @@ def upper_median(df: DataFrame, column: str) -> DataFrame:
 
 
 def rate_of_largest(df: DataFrame, by: str, flag: str, n: int = 15) -> DataFrame:
-    """Rate of ``flag`` in the n largest groups."""
-    largest = top_values(df, by, n, with_null=False).select(by)
-    return df.join(F.broadcast(largest), by, "left_semi").groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg(F.col(flag).cast("double")), 6).alias("rate")).orderBy(F.desc("rate"), by)
+    """Rate of ``flag`` in the n largest groups, all groups counted in one pass.
+
+    Rows of a null group are left out by their count, behind the aggregation: as a filter before it, the test can reach a join
+    below, become its condition and turn it into a nested loop.
+    """
+    groups = df.groupBy(by).agg(F.count(by).alias("n"), F.round(F.avg(F.col(flag).cast("double")), 6).alias("rate")).where("n > 0")
+    return groups.orderBy(F.desc("n"), F.asc(by)).limit(n).orderBy(F.desc("rate"), by)
 
 
 def exploded_sources(places: DataFrame) -> DataFrame:
