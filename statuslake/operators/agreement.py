@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 from ..functions import scalar as S
 from ..functions.similarity import letter_counts
 from ..sources import io
-from . import spatial
+from . import nearby, spatial
+from .relational import small
 
 
 def tokens(text: str) -> Column:
@@ -90,13 +91,13 @@ def _bound(shared: Column, prefix: Column) -> Column:
 def similar_within(left: DataFrame, right: DataFrame, metres: float = 100.0, least: float = 0.85) -> DataFrame:
     """(id, r_id, dist_m, similarity): points within ``metres`` whose normal names have at least this Jaro-Winkler similarity.
 
-    Both sides have id, name, lon and lat.  Names that can't reach it by the characters they share are dropped by built-in
-    functions, and each distinct pair of names is compared once, behind a shuffle that deals them evenly.
+    Both sides have id, name, lon and lat.  Names come first: those that can't reach it by the characters they share are
+    dropped by built-in functions, each distinct pair is compared once, and only points of similar names meet.
     """
-    ready = lambda df: df.withColumn("name", S.normal_name(F.coalesce("name", F.lit("")))).where("name <> ''").withColumn("letters", letter_counts(F.col("name")))
-    pairs = spatial.radius_join(ready(left), ready(right), metres).select("id", "r_id", "dist_m", F.col("name").alias("a"), F.col("r_name").alias("b"), "letters", "r_letters")
-    shared = F.aggregate(F.zip_with("letters", "r_letters", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    plain = lambda df: df.select("id", S.normal_name(F.coalesce("name", F.lit(""))).alias("name"), "lon", "lat").where("name <> ''")
+    a, b = plain(left), plain(right)
+    shared = F.aggregate(F.zip_with("x", "y", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     prefix = sum(((F.substring("a", 1, k) == F.substring("b", 1, k)) & (F.length("a") >= k) & (F.length("b") >= k)).cast("int") for k in range(1, 5))
-    open_ = pairs.where(_bound(shared, prefix) >= least).drop("letters", "r_letters")
-    distinct = open_.select("a", "b").distinct().repartition("a", "b").withColumn("similarity", jaro_winkler_udf("a", "b")).where(F.col("similarity") >= least)
-    return open_.join(distinct, ["a", "b"]).select("id", "r_id", "dist_m", "similarity")
+    open_ = nearby.meeting_names(a, b, "name", metres, letter_counts).where(_bound(shared, prefix) >= least)
+    names = io.written(open_.select(F.col("a").alias("name"), F.col("b").alias("r_name"), jaro_winkler_udf("a", "b").alias("similarity")).where(F.col("similarity") >= least), "names")
+    return spatial.radius_join(a.join(small(names), "name"), b, metres, ["r_name"]).select("id", "r_id", "dist_m", "similarity")
