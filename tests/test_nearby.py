@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statuslake.functions.similarity import indel
-from statuslake.operators import agreement, matching, nearby
+from statuslake.operators import agreement, matching, nearby, spatial
 
 from .test_matching import similarity
 
@@ -84,3 +84,16 @@ def test_crowd_is_matched_in_time(crowd):
 def test_only_points_of_similar_names_meet(crowd):
     plan = agreement.similar_within(*crowd)._jdf.queryExecution().optimizedPlan().toString()
     assert [line for line in plan.splitlines() if "Join Inner" in line and "_cx" in line and "name" in line]
+
+
+def test_points_of_one_spot_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "SPOT_IDS", 3)
+    here = [(i, 37.71, -122.51) for i in range(7)] + [(7, 37.7101, -122.51), (8, None, -122.51), (9, 37.9, -122.51)]
+    left, right = (spark.createDataFrame(rows, "id long, lat double, lon double") for rows in (here, [(100 + i, a, b) for i, a, b in here]))
+    a, b = spatial.spots(left), spatial.spots(right)
+    met = spatial.radius_join(a, b, 100.0, parts=spatial.many_parts(left))
+    assert met.count() == 4 * 4 + 1  # three rows of one spot and one of another, and the one far away
+    pairs = lambda df: sorted(map(tuple, df.select("id", "r_id", "dist_m").collect()))
+    assert pairs(spatial.expanded(met)) == pairs(spatial.radius_join(left, right, 100.0))
+    ids = lambda df: sorted(map(tuple, df.select("id", "r_id").collect()))
+    assert ids(spatial.expanded(spatial.band_join(a, b, 0.001))) == ids(spatial.band_join(left, right, 0.001))
