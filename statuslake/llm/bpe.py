@@ -6,7 +6,7 @@ the normaliser and pre-tokeniser of the vocabulary file, so that both follow the
 The symbols of many words lie in one flat array.  A round looks every adjacent pair up by binary search over the
 sorted pair keys, takes the lowest rank of each word, and merges that pair wherever it stands in the word, from the
 left; words without a known pair are finished and leave the array.  Only distinct words of a slice are encoded, and a
-task keeps a bounded cache of finished words; documents are put together from their words' results.
+task keeps a bounded cache of finished words, of frequent ones above all; documents are put together from their words' results.
 
 Texts: null and empty have no tokens; any length is encoded whole, a slice of a few MB of text (or one longer
 document) at a time; equal texts get equal ids; an empty table gives an empty table; other columns are not read.
@@ -14,7 +14,9 @@ document) at a time; equal texts get equal ids; an empty table gives an empty ta
 
 from __future__ import annotations
 
+import contextlib
 import functools
+import gc
 import hashlib
 import json
 import re
@@ -69,6 +71,7 @@ class Merges:
         self.tokens = [""] * self.size
         for token, i in [*vocab.items(), *self.special.items()]:
             self.tokens[i] = token
+        self.decimal = [str(i) for i in range(self.size)]
         self.first = np.array([vocab[c] for c in letters], np.int64)
         self.last = np.array([vocab[c + self.end] for c in letters], np.int64)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -150,10 +153,10 @@ class Merges:
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """The ids of each word; words are free of ASCII white space."""
         cut = [self.pieces_of(w) for w in words]
-        new = {p for ps in cut for p in ps if p not in self.pieces and p not in self.special}
-        if len(self.pieces) + len(new) > CACHE_WORDS:
-            self.pieces.clear()
-            new = {p for ps in cut for p in ps if p not in self.special}
+        asked = {p for ps in cut for p in ps if p not in self.special}
+        new = asked - self.pieces.keys()
+        if len(self.pieces) + len(new) > CACHE_WORDS:  # those asked for stay
+            self.pieces = {p: self.pieces[p] for p in asked - new}
         fresh = sorted(new)
         if fresh:
             self.pieces.update(zip(fresh, self.merge(fresh), strict=True))
@@ -162,7 +165,7 @@ class Merges:
 
     def decode(self, ids: list[int]) -> str:
         """As the tokenizers library joins tokens where the file names no decoder: with one space."""
-        return " ".join(self.tokens[i] for i in ids)
+        return " ".join([self.tokens[i] for i in ids])
 
 
 @functools.cache
@@ -170,8 +173,23 @@ def merges(path: str) -> Merges:
     return Merges(path)
 
 
+@contextlib.contextmanager
+def uncollected() -> Iterator[None]:
+    """No search for cycles while many small results are made that hold none: it would visit all of them again and again."""
+    enabled = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if enabled:
+            gc.enable()
+
+
 class WordCache:
-    """Results for distinct words; bounded by ``CACHE_WORDS`` besides the words of one slice."""
+    """Results for distinct words; bounded by ``CACHE_WORDS`` besides the words of one slice.
+
+    What is full gives up all words but those of the slice, so frequent words stay, however many rare ones a slice brings.
+    """
 
     def __init__(self, make):
         self.make, self.known = make, {}
@@ -180,9 +198,9 @@ class WordCache:
         known = self.known
         if missing := [w for w in words if w not in known]:
             if len(known) + len(missing) > CACHE_WORDS:
-                known.clear()
-                missing = words
-            known.update(zip(missing, self.make(missing), strict=True))
+                self.known = known = {w: known[w] for w in words if w in known}
+            with uncollected():
+                known.update(zip(missing, self.make(missing), strict=True))
         return [known[w] for w in words]
 
 
@@ -271,6 +289,7 @@ def word_strings(path: str) -> WordCache:
 
     def make(words: list[str]) -> list[tuple[int, str, str]]:
         model = merges(path)
-        return [(len(ids), " ".join(map(str, ids)), model.decode(ids)) for ids in model.encode_words(words)]
+        decimal, tokens = model.decimal, model.tokens
+        return [(len(ids), " ".join([decimal[i] for i in ids]), " ".join([tokens[i] for i in ids])) for ids in model.encode_words(words)]
 
     return WordCache(make)

@@ -137,3 +137,13 @@ def test_odd_documents(odd, empty):
     assert all(a + n == b for (a, n), (b, _) in zip(places, places[1:]))
     assert rows and [r["doc_id"] for r in sorted(rows, key=lambda r: r["start"])][0] is None
     assert token_files.round_trip(empty).count() == 0
+
+
+def test_frequent_words_stay_when_the_cache_is_full(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 4)
+    made = []
+    cache = bpe.WordCache(lambda words: made.extend(words) or [w.upper() for w in words])
+    assert cache(["a", "b", "c"]) == ["A", "B", "C"]
+    assert cache(["d", "a", "e"]) == ["D", "A", "E"]
+    assert cache(["a", "f", "g", "h"]) == ["A", "F", "G", "H"]
+    assert made == ["a", "b", "c", "d", "e", "f", "g", "h"] and len(cache.known) == 4
