@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import softmax
+from ..sources import io
 
 
 # nearest class mean
@@ -196,6 +197,15 @@ def state_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 # models of pyspark.ml
 
+#: Parts of a table that a model is fitted on. Trees pass over it more than a thousand times, and a part of a pass is a task that reports to the driver.
+PARTS = 64
+
+
+def dealt(train: DataFrame, key: str) -> DataFrame:
+    """``train`` written once, in one order and in equal parts: one for each core and no more than ``PARTS``, however long it is."""
+    parts = min(train.sparkSession.sparkContext.defaultParallelism, PARTS)
+    return io.written(train.repartition(parts, key).sortWithinPartitions(key), "training").coalesce(parts)
+
 
 def gbt(train: DataFrame, rounds: int = 300, depth: int = 4, rate: float = 0.05, subsample: float = 0.8, columns: str = "all", label: str = "label", weight: str | None = "weight"):
     """Gradient-boosted trees; ``columns='0.8'`` samples features at each node."""

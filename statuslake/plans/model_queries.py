@@ -127,7 +127,8 @@ def c18_incremental_is_full(v: Source) -> DataFrame:
 
 def _matrix(v: Source) -> tuple[DataFrame, DataFrame]:
     rows = assembly.assemble(split(v), ["n_chars", "toxic", "count_feature", "age"])
-    return assembly.balanced_weights(rows.where("NOT held"), "open").withColumnRenamed("open", "label"), rows.where("held")
+    train = assembly.balanced_weights(rows.where("NOT held"), "open").withColumnRenamed("open", "label")
+    return classify.dealt(train, "id"), rows.where("held")
 
 
 @query()

@@ -55,6 +55,28 @@ def test_trees_with_few_rounds(spark, sf_dir):
     assert len(weights) == 4 and abs(sum(r["importance"] for r in weights) - 1) < 1e-6
 
 
+def test_training_tables_have_few_parts(spark, sf_dir):
+    """However many tasks made it: each round of the trees is some tasks for each part."""
+    from statuslake.operators import classify
+    from statuslake.plans.model_queries import _matrix
+    from statuslake.plans.views import Source
+
+    most = min(spark.sparkContext.defaultParallelism, classify.PARTS)
+    many = {"spark.sql.shuffle.partitions": "71", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in many}
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        train, held = _matrix(Source(spark, sf_dir))
+        assert train.rdd.getNumPartitions() <= most
+        ids = [r["id"] for r in train.select("id").unionByName(held.select("id")).collect()]
+        assert sorted(ids) == sorted(r["id"] for r in Source(spark, sf_dir)("labeled").select("id").collect())
+        assert train.rdd.map(lambda r: r["id"]).collect() == _matrix(Source(spark, sf_dir))[0].rdd.map(lambda r: r["id"]).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - LONG))
 def test_runs(spark, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
