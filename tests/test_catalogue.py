@@ -77,6 +77,14 @@ def test_training_tables_have_few_parts(spark, sf_dir):
             spark.conf.set(k, v)
 
 
+def test_a_training_table_of_one_part_is_dealt_to_all_cores(spark):
+    from statuslake.operators import classify
+
+    train = classify.dealt(spark.range(4000).coalesce(1), "id")
+    sizes = train.rdd.glom().map(len).collect()
+    assert len(sizes) == min(spark.sparkContext.defaultParallelism, classify.PARTS) and max(sizes) < 2 * 4000 / len(sizes)
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - LONG))
 def test_runs(spark, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
