@@ -14,8 +14,11 @@ from . import classify, evaluate
 from .profile import exact_quantiles
 from .relational import seeded, seeded_rank
 
-#: Members of a cell that are in memory together.
-CELL_ROWS = 4096
+#: Rows of a bin of cells, and of the rows that meet it in one task; fewer if their vectors hold more than so many numbers.
+CELL_ROWS = 65_536
+CELL_VALUES = 1 << 22
+#: Rows that are compared at once: of those that ask, and of a cell.
+ASKING, MET = 256, 4096
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -23,23 +26,95 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(flat), -1)
 
 
-def _nearest(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of q, row of x, distance): each q's k nearest of ``x`` but for itself, no farther than its bound."""
-    out = []
-    for at in range(0, len(q), 256):
-        own = q[at : at + 256]
-        rough = (own * own).sum(1)[:, None] + (x * x).sum(1) - 2 * own @ x.T
-        rough[q_id[at : at + 256, None] == x_id] = np.inf
-        slack = 1e-9 * ((own * own).sum(1) + (x * x).sum(1).max(initial=0)) + 1e-12
-        limit = np.partition(rough, k - 1, axis=1)[:, k - 1] if rough.shape[1] > k else np.full(len(own), np.inf)
-        limit = np.minimum(limit, bound[at : at + 256] ** 2)
-        row, col = np.nonzero((rough <= (limit + slack)[:, None]) & np.isfinite(rough))
-        distance = np.sqrt(((own[row] - x[col]) ** 2).sum(1))
-        order = np.lexsort((x_id[col], distance, row))
-        row, col, distance = row[order], col[order], distance[order]
+def _to_centres(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.stack([np.sqrt(((x - c) ** 2).sum(1)) for c in centres], 1)
+
+
+def _few_copies(x: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Rows of ``x`` but those with more than k copies of smaller ids, which are among nobody's k nearest."""
+    raw = np.ascontiguousarray(x + 0.0)
+    _, group = np.unique(raw.view(np.dtype((np.void, raw.dtype.itemsize * raw.shape[1]))).ravel(), return_inverse=True)
+    order = np.lexsort((ids, group))
+    place = np.arange(len(order)) - np.searchsorted(group[order], group[order])
+    return np.sort(order[place <= k])
+
+
+class _Best:
+    """The k nearest so far of each row that asks, and the squared distance up to which others count."""
+
+    def __init__(self, q: np.ndarray, ids: np.ndarray, bound: np.ndarray, k: int):
+        self.q, self.ids, self.k = q, ids, k
+        self.limit, self.norm = bound**2, np.sqrt((q * q).sum(1))
+        self.distance, self.near = np.full((len(q), k), np.inf), np.full((len(q), k), -1, np.int64)
+
+    def meet(self, rows: np.ndarray, x: np.ndarray, x_id: np.ndarray, centre: np.ndarray, rough: np.ndarray) -> None:
+        """``rows`` of those that ask meet ``x``; ``rough``: in single precision x - centre, and behind it its square.
+
+        Squared distances in single precision, with their error added to the limit, leave few pairs, whose distances are
+        computed in double precision.
+        """
+        own = self.q[rows] - centre
+        square = (own * own).sum(1)
+        widest = float(rough[:, -1].max())
+        if not max(widest, float(square.max())) < 1e30:  # beyond single precision
+            apart = x - centre
+            rough, widest = np.column_stack([apart, (apart * apart).sum(1)]), float((apart * apart).sum(1).max())
+        # of a sum of so many products in single precision, and of the differences from the centre in double precision
+        lost = 1e-15 * (self.norm[rows] + np.sqrt((centre * centre).sum()) + np.sqrt(widest))
+        slack = (rough.shape[1] + 16) * 2.4e-7 * (square + widest) + 8 * lost * (np.sqrt(square) + np.sqrt(widest) + lost) + 1e-30
+        got = np.column_stack([-2 * own, np.ones(len(own))]).astype(rough.dtype) @ rough.T
+        limit = self.limit[rows]
+        if np.isinf(limit).any() and len(x) > self.k:  # one more than k, as the row itself may be among them
+            limit = np.minimum(limit, np.partition(got, self.k, axis=1)[:, self.k] + square + slack)
+        top = np.nextafter((limit + slack - square).astype(rough.dtype), rough.dtype.type(np.inf))
+        flat = np.flatnonzero(got <= top[:, None])
+        row, col = flat // len(x), flat % len(x)
+        other = self.ids[rows[row]] != x_id[col]
+        row, col = row[other], col[other]
+        for at in range(0, len(row), 1 << 16):  # copies, at equal distances, may be many
+            self.add(rows[row[at : at + (1 << 16)]], x, x_id, col[at : at + (1 << 16)])
+
+    def add(self, row: np.ndarray, x: np.ndarray, x_id: np.ndarray, col: np.ndarray) -> None:
+        distance = np.sqrt(((self.q[row] - x[col]) ** 2).sum(1))
+        counts = distance * distance <= self.limit[row] * (1 + 1e-12)
+        row, col, distance = row[counts], col[counts], distance[counts]
+        if not len(row):
+            return
+        met = np.unique(row)
+        row, distance, near = np.concatenate([row, np.repeat(met, self.k)]), np.concatenate([distance, self.distance[met].ravel()]), np.concatenate([x_id[col], self.near[met].ravel()])
+        order = np.lexsort((near, distance, row))
+        row, distance, near = row[order], distance[order], near[order]
         place = np.arange(len(row)) - np.searchsorted(row, row)
-        out.append((row[place < k] + at, col[place < k], distance[place < k]))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        kept = place < self.k
+        self.distance[row[kept], place[kept]], self.near[row[kept], place[kept]] = distance[kept], near[kept]
+        self.limit[met] = np.minimum(self.limit[met], self.distance[met, -1] ** 2)
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, place = np.nonzero(np.isfinite(self.distance))
+        return self.ids[row], self.near[row, place], self.distance[row, place]
+
+
+def _bins(sizes: list[int], centres: np.ndarray, most: int) -> tuple[list[int], list[int], list[list[int]]]:
+    """For each cell its first bin and in how many it lies; for each bin its cells.
+
+    Cells of more than ``most`` rows are cut; others, each with the nearest that is left behind it, fill bins.
+    """
+    start, pieces, bins, room = [0] * len(sizes), [0] * len(sizes), [], 0
+    for c in np.flatnonzero(np.array(sizes) > most).tolist():
+        start[c], pieces[c] = len(bins), -(-sizes[c] // most)
+        bins += [[c]] * pieces[c]
+    left = [c for c, n in enumerate(sizes) if 0 < n <= most]
+    at = left[0] if left else 0
+    while left:
+        at = min(left, key=lambda c: ((centres[c] - centres[at]) ** 2).sum())  # noqa: B023
+        left.remove(at)
+        if sizes[at] > room:
+            bins.append([])
+            room = most
+        room -= sizes[at]
+        bins[-1].append(at)
+        start[at], pieces[at] = len(bins) - 1, 1
+    return start, pieces, bins
 
 
 _FOUND = "id bigint, near bigint, distance double"
@@ -51,9 +126,11 @@ def nearest(rows: DataFrame, key: str, vector: str, k: int = 5, pivots: int = 64
     Rows belong to the nearest of at most ``pivots`` rows, drawn by the seeded order.  A row first meets the members of its
     own cell and of the next ``first`` ones; the distance to its k-th neighbour so far bounds the rest: by the triangle
     inequality a cell is skipped if the row is farther from its pivot than the bound and the cell's radius together, and
-    so is a member whose distance to the pivot differs by more than the bound.  Crowded cells are cut into blocks of
-    ``CELL_ROWS``, which a visitor meets one by one.  Only the pivots, and a row of facts for each cell, are broadcast.  Rows
-    without an id or a vector, or with a null in it, are left out; ids are unique.
+    so is a member whose distance to the pivot differs by more than the bound.  Cells near one another share a bin of up
+    to ``CELL_ROWS`` rows, crowded ones are cut into several; a row is sent once to each bin that holds a cell it can't
+    skip, where it meets the members of those cells, so what is sent is the rows times the bins at most.  Only the pivots,
+    and a row of facts for each cell, are broadcast.  Rows without an id or a vector, or with a null in it, are left out;
+    ids are unique.
     """
     usable = F.col(key).isNotNull() & F.col(vector).isNotNull() & ~F.exists(F.col(vector), lambda x: x.isNull() | F.isnan(x))
     known = rows.where(usable).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
@@ -63,54 +140,92 @@ def nearest(rows: DataFrame, key: str, vector: str, k: int = 5, pivots: int = 64
 
     def place(batches):
         for batch in batches:
-            x = _matrix(pa.chunked_array([batch.column(1)]))
-            d = np.sqrt(np.maximum(((x[:, None, :] - centres) ** 2).sum(2) if len(x) * centres.size < 5_000_000 else np.stack([((x - c) ** 2).sum(1) for c in centres], 1), 0))
-            cell = d.argmin(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(x)), cell]), pa.array(list(d), pa.list_(pa.float64()))], ["id", "v", "cell", "far", "to"])
-
-    placed = io.written(known.mapInArrow(place, "id bigint, v array<double>, cell int, far double, to array<double>"), "cells")
-    cells = placed.groupBy("cell").agg(F.max("far").alias("radius"), F.count("*").alias("n"))
-    facts = {r["cell"]: (r["radius"], -(-r["n"] // CELL_ROWS)) for r in cells.collect()}
-    radius = F.array(*[F.lit(float(facts.get(c, (-1.0, 0))[0])) for c in range(len(centres))])
-    blocks = F.array(*[F.lit(int(facts.get(c, (0, 0))[1])) for c in range(len(centres))])
-    members = placed.select(F.col("id").alias("member"), F.col("v").alias("x"), F.col("far").alias("off"), F.col("cell").alias("c"), F.pmod(F.xxhash64("id"), F.get(blocks, F.col("cell"))).cast("int").alias("b"))
-
-    def visit(asking: DataFrame) -> DataFrame:
-        """``asking`` (id, v, to, bound, cells) meets the members of its cells."""
-        each = asking.select("id", "v", "to", "bound", F.explode("cells").alias("cell")).withColumn("away", F.get("to", F.col("cell")))
-        sent = each.select("id", "v", "bound", "away", "cell", F.explode(F.sequence(F.lit(0), F.get(blocks, F.col("cell")) - 1)).alias("block"))
+            d = _to_centres(_matrix(pa.chunked_array([batch.column(1)])), centres)
+            cells = np.argsort(d, axis=1, kind="stable")[:, : 1 + first].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d[np.arange(len(d)), cells[:, 0]]), pa.array(list(cells), pa.list_(pa.int32()))], ["id", "v", "far", "cells"])
+
+    placed = io.written(known.mapInArrow(place, "id bigint, v array<double>, far double, cells array<int>"), "cells").withColumn("cell", F.get("cells", F.lit(0)))
+    facts = {r["cell"]: (r["radius"], r["n"]) for r in placed.groupBy("cell").agg(F.max("far").alias("radius"), F.count("*").alias("n")).collect()}
+    sizes, radius = [facts.get(c, (0.0, 0))[1] for c in range(len(centres))], np.array([facts.get(c, (-np.inf, 0))[0] for c in range(len(centres))])
+    # some bins for each core, or a few tasks would have it all
+    share = -(-sum(sizes) // int(np.ceil(np.sqrt(3 * rows.sparkSession.sparkContext.defaultParallelism))))
+    most = min(CELL_ROWS, max(CELL_VALUES // centres.shape[1], 256), max(share, 1024))
+    start, pieces, bins = _bins(sizes, centres, most)
+    ints = lambda values: F.array(*[F.lit(int(x)) for x in values])
+    bin_ = F.get(ints(start), F.col("cell")) + F.pmod(F.xxhash64("id"), F.get(ints(pieces), F.col("cell"))).cast("int")
+    members = placed.select(F.col("id").alias("member"), F.col("v").alias("x"), F.col("far").alias("off"), F.col("cell").alias("c"), bin_.alias("bin"))
+
+    def visit(asking: DataFrame, again: bool) -> DataFrame:
+        """``asking`` (id, v, cells, bound, bins), a written table, meets the members of ``cells`` or, ``again``, of all others."""
+        sent = asking.select("id", "v", "cells", "bound", F.explode("bins").alias("bin"))
+        counted = {r["bin"]: r["count"] for r in sent.groupBy("bin").count().collect()}
+        parts = [-(-counted.get(b, 0) // most) for b in range(len(bins))]
+        tasks = min(4 * sum(parts), 4096) or 1
+        part = F.pmod(F.xxhash64("id", F.lit("part")), F.get(ints(parts), F.col("bin"))).cast("int")
+        left = sent.withColumn("part", part).repartition(tasks, "bin", "part")
+        right = members.where(F.get(ints(parts), F.col("bin")) > 0).withColumn("part", F.explode(F.sequence(F.lit(0), F.get(ints(parts), F.col("bin")) - 1))).repartition(tasks, "bin", "part")
 
         def meet(left: pa.Table, right: pa.Table) -> pa.Table:
             none = pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], ["id", "near", "distance"])
             if not left.num_rows or not right.num_rows:
                 return none
-            order = np.argsort(right.column("off").to_numpy())
-            x, x_id, far = _matrix(right.column("x"))[order], right.column("member").to_numpy()[order], right.column("off").to_numpy()[order]
-            q_id, away, bound = (left.column(c).to_numpy() for c in ("id", "away", "bound"))
-            q, tables = _matrix(left.column("v")), [none]
-            by_away = np.argsort(away)
-            for at in range(0, len(q), 256):
-                own = by_away[at : at + 256]
-                low, high = np.searchsorted(far, (away - bound)[own].min() - 1e-9), np.searchsorted(far, (away + bound)[own].max() + 1e-9, "right")
-                i, j, d = _nearest(q[own], q_id[own], x[low:high], x_id[low:high], k, bound[own])
-                tables.append(pa.table([q_id[own][i], x_id[low:high][j], d], ["id", "near", "distance"]))
+            x, x_id, off, c = _matrix(right.column("x")), *(right.column(n).to_numpy() for n in ("member", "off", "c"))
+            kept = _few_copies(x, x_id, k)
+            kept = kept[np.lexsort((off[kept], c[kept]))]
+            x, x_id, off, c = x[kept], x_id[kept], off[kept], c[kept]
+            held, begin = np.unique(c, return_index=True)
+            end = np.append(begin[1:], len(c))
+            rough = np.empty((len(x), x.shape[1] + 1), np.float32)
+            for cell, low, high in zip(held, begin, end, strict=True):
+                apart = x[low:high] - centres[cell]
+                with np.errstate(over="ignore"):
+                    rough[low:high, :-1], rough[low:high, -1] = apart, (apart * apart).sum(1)
+            q, q_id, bound, cells = _matrix(left.column("v")), left.column("id").to_numpy(), left.column("bound").to_numpy(), _matrix(left.column("cells")).astype(int)
+            order, tables = np.argsort(cells[:, 0], kind="stable"), [none]
+            for at in range(0, len(q), ASKING):
+                own = order[at : at + ASKING]
+                best, away = _Best(q[own], q_id[own], bound[own], k), _to_centres(q[own], centres[held])
+                for i in np.argsort(away.min(0)):
+                    reach = np.sqrt(best.limit) + 1e-9 * (1 + away[:, i] + off[end[i] - 1])
+                    asks = (cells[own] == held[i]).any(1) != again
+                    asks = np.flatnonzero(asks & (away[:, i] - off[end[i] - 1] <= reach) & (off[begin[i]] - away[:, i] <= reach))
+                    if len(asks):
+                        span = off[begin[i] : end[i]]
+                        low = begin[i] + np.searchsorted(span, (away[asks, i] - reach[asks]).min())
+                        high = begin[i] + np.searchsorted(span, (away[asks, i] + reach[asks]).max(), "right")
+                        for to in range(low, high, MET):
+                            upto = min(to + MET, high)
+                            best.meet(asks, x[to:upto], x_id[to:upto], centres[held[i]], rough[to:upto])
+                tables.append(pa.table(list(best.found()), ["id", "near", "distance"]))
             return pa.concat_tables(tables)
 
-        return sent.groupBy("cell", "block").cogroup(members.groupBy("c", "b")).applyInArrow(meet, _FOUND)
+        return left.groupBy("bin", "part").cogroup(right.groupBy("bin", "part")).applyInArrow(meet, _FOUND)
 
     def best(found: DataFrame) -> DataFrame:
         # k or fewer from each visit
         return found.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "near"))), 1, k).alias("best"))
 
-    held = F.filter(F.sequence(F.lit(0), F.lit(len(centres) - 1)), lambda c: F.get(blocks, c) > 0)
-    nearby = F.transform(F.slice(F.array_sort(F.transform(held, lambda c: F.struct(F.get(F.col("to"), c).alias("d"), c.alias("c")))), 1, 1 + first), lambda s: s["c"])
-    begun = placed.select("id", "v", "to", F.lit(float("inf")).alias("bound"), nearby.alias("cells"))
-    early = io.written(best(visit(begun)), "early")
+    in_bins = F.transform("cells", lambda c: F.when(F.get(ints(pieces), c) > 0, F.sequence(F.get(ints(start), c), F.get(ints(start), c) + F.get(ints(pieces), c) - 1)).otherwise(F.array().cast("array<int>")))
+    begun = placed.select("id", "v", "cells", F.lit(float("inf")).alias("bound"), F.array_distinct(F.flatten(in_bins)).alias("bins"))
+    early = io.written(best(visit(begun, False)), "early")
     kth = F.when(F.size("best") == k, F.get("best", F.lit(k - 1))["distance"]).otherwise(F.lit(float("inf")))
-    bounded = placed.join(early, "id", "left").withColumn("bound", F.coalesce(kth, F.lit(float("inf")))).withColumn("seen", nearby)
-    far = F.filter(held, lambda c: (F.get(F.col("to"), c) - F.get(radius, c) <= F.col("bound") + 1e-9) & ~F.array_contains(F.col("seen"), c))
-    late = visit(bounded.withColumn("cells", far).select("id", "v", "to", "bound", "cells"))
-    every = early.select("id", F.explode("best").alias("x")).select("id", "x.near", "x.distance").unionByName(late)
+    bounded = placed.join(early, "id", "left").select("id", "v", "cells", F.coalesce(kth, F.lit(float("inf"))).alias("bound"))
+
+    def unseen(batches):
+        """The bins of the cells that a row has not met and can't skip."""
+        lies = np.zeros((len(centres), len(bins)), bool)
+        for b, held in enumerate(bins):
+            lies[held, b] = True
+        for batch in batches:
+            d, bound = _to_centres(_matrix(pa.chunked_array([batch.column(1)])), centres), batch.column(3).to_numpy()
+            open_ = d - radius <= bound[:, None] + 1e-9 * (1 + d + np.maximum(radius, 0))
+            np.put_along_axis(open_, _matrix(pa.chunked_array([batch.column(2)])).astype(int), False, axis=1)
+            row, b = np.nonzero(open_ @ lies)
+            offsets = np.searchsorted(row, np.arange(len(d) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(b.astype(np.int32)))], [*batch.schema.names, "bins"])
+
+    asking = io.written(bounded.mapInArrow(unseen, "id bigint, v array<double>, cells array<int>, bound double, bins array<int>"), "asking")
+    every = early.select("id", F.explode("best").alias("x")).select("id", "x.near", "x.distance").unionByName(visit(asking, True))
     return best(every).select("id", F.posexplode("best").alias("rank", "x")).select("id", "x.near", "x.distance", (F.col("rank") + 1).alias("rank"))
 
 

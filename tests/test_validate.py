@@ -36,6 +36,37 @@ def test_nearest_is_that_of_all_pairs(spark, monkeypatch, pivots, first, cell):
     assert validate.nearest(df.where("false"), "id", "v", 5).count() == 0
 
 
+@pytest.mark.parametrize("scale, offset", [(1.0, 0.0), (1e-3, 1e6), (1e18, 0.0), (1e-9, 0.0)])
+def test_nearest_among_copies_and_odd_values(spark, monkeypatch, scale, offset):
+    """More copies than neighbours, spread over several bins; values beyond single precision and far from the origin."""
+    monkeypatch.setattr(validate, "CELL_ROWS", 40)
+    x = np.array([r[1] for r in cloud(5, 200)]) * scale + offset
+    x[::3] = x[1]
+    df = spark.createDataFrame([(i, [float(z) for z in v]) for i, v in enumerate(x)], "id bigint, v array<double>").repartition(3)
+    got = {}
+    for r in validate.nearest(df, "id", "v", 4, pivots=6, first=1).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["near"]))
+    for i in range(len(x)):
+        d = np.sqrt(((x[i] - x) ** 2).sum(1))
+        want = sorted((d[j], j) for j in range(len(x)) if j != i)[:4]
+        assert sorted(got[i]) == [(k + 1, j) for k, (_, j) in enumerate(want)]
+
+
+def test_small_cells_share_a_bin():
+    """So a row that can skip no cell is sent once for each bin, not once for each cell."""
+    centres = np.arange(12.0)[:, None]
+    start, pieces, bins = validate._bins([3, 3, 3, 0, 25, *[3] * 7], centres, 10)
+    assert len(bins) == 3 + 4 and pieces[4] == 3 and pieces[3] == 0
+    assert sorted(c for b in bins for c in set(b)) == [0, 1, 2, 4, 4, 4, *range(5, 12)]
+    assert all(c in bins[start[c] + i] for c in range(12) for i in range(pieces[c]))
+    assert validate._bins([0, 0], centres[:2], 10) == ([0, 0], [0, 0], [])
+
+
+def test_copies_that_are_nobodys_neighbours():
+    x = np.array([[0.0, 1.0]] * 5 + [[-0.0, 1.0]] + [[2.0, 1.0]] * 2)
+    assert validate._few_copies(x, np.array([9, 8, 7, 6, 5, 4, 3, 2]), 2).tolist() == [3, 4, 5, 6, 7]
+
+
 def test_silhouettes_are_those_of_all_pairs(spark):
     rows = cloud(2, 90) + [(900, [9.0] * 6, 7)]
     df = spark.createDataFrame(rows, "id bigint, v array<double>, label int")
