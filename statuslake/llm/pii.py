@@ -173,9 +173,9 @@ def surrogates(real: DataFrame, key: str) -> DataFrame:
         h = digest(F.lit(key), F.col("type"), F.col("canon"), F.lit(str(attempt)))
         tried = pending.withColumn("attempt", F.lit(attempt)).withColumn("h", h).withColumn("s", drawn())
         tried = tried.withColumn("s", checked_card()).withColumn("s", checked_iban())
-        # a public address stays public
-        tried = tried.where(~((F.col("type") == "ip") & F.col("s").rlike(PRIVATE) & ~F.col("canon").rlike(PRIVATE)))
         tried = durable(tried.select("type", "canon", "h", "s"), "tried")
+        # a public address stays public; tested on the written column, as a plan would put the whole expression of s in its place, many times over
+        tried = tried.where(~((F.col("type") == "ip") & F.col("s").rlike(PRIVATE) & ~F.col("canon").rlike(PRIVATE)))
         first = tried.groupBy("type", F.lower("s").alias("low")).agg(F.min_by("canon", F.struct("h", "canon")).alias("canon"))
         first = first.join(real.select("type", body_of("canon").alias("low")).distinct(), ["type", "low"], "left_anti")
         if done is not None:

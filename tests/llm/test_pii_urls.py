@@ -245,3 +245,19 @@ def test_mentions_beside_apostrophes_and_many_names(spark):
     pairs = re.findall(r"Dr\. (\w+) met (\w+)'s aunt\.", two["text"])
     assert two["n_entities"] == 6000 and len(set(pairs)) == 3000 and all(a == b for a, b in pairs)
     assert not {a for a, _ in pairs} & {f"Q{letters(i).lower()}" for i in range(3000)}
+
+
+def test_drawing_has_a_small_plan(spark, monkeypatch):
+    """A surrogate's expression isn't put into itself again and again, which filled the driver; public addresses stay public."""
+    sizes, durable = {}, pii.durable
+
+    def measured(df, name):
+        sizes[name] = max(sizes.get(name, 0), len(df._jdf.queryExecution().optimizedPlan().toString()))
+        return durable(df, name)
+
+    monkeypatch.setattr(pii, "durable", measured)
+    addresses = [f"{11 + i % 80}.{i % 7}.{i}.{i % 10}" for i in range(250)]
+    got = changed(spark, [" and ".join(addresses), "at 10.1.2.3"])
+    new = got[0]["text"].split(" and ")
+    assert len(set(new)) == len(new) == len(addresses) and not any(re.match(pii.PRIVATE, a) for a in new) and re.match(r"at 10\.", got[1]["text"])
+    assert max(sizes.values()) < 50_000, sizes
