@@ -1,20 +1,16 @@
-"""Near-duplicate embeddings by a subspace pigeonhole join.
+"""Near-duplicate embeddings: blocks of vectors meet one another, whatever their labels.
 
-Unit vectors of cosine at least ``c`` are within squared distance ``2 - 2c``.  A seeded rotation spreads that distance
-over all coordinates, which are split into ``blocks``; in at least one block a linked pair is within its share of the
-budget (proportional to the block's dimensions).  Each block is range-joined on its own: a grid over its first
-coordinates, with cells as wide as the ball, sends a vector to its own cell and, as a query, to those cells its ball
-touches that come before its own, so a pair meets in one cell of a block.  Every coordinate of the grid saves about a
-quarter of the comparisons and doubles the copies of a vector, so one more is taken whenever vectors double.  Inside a cell the block's distances pick
-candidates, whole vectors confirm them by their cosine in double precision, and a pair counts in the first block that
-finds it.
+In 64 dimensions at a cosine of 0.95 a part of the coordinates rules out few pairs, and sending vectors to all cells of a
+grid that they may touch multiplies them.  So vectors lie in blocks of at most ``CELL_ROWS``, written once, and a product
+without keys lets each two blocks of one length meet once: it reads blocks again rather than copying them, so what is written
+grows with the input, and a task holds the blocks of two partitions.  All pairs are compared, which is quadratic by nature:
+one matrix product in single precision for two blocks, double precision where it leaves a pair open.
 
-Pairs never leave the task: a cell returns how many vectors each of its vectors is linked with, and a spanning forest
-of the links.  A cell of more than ``CELL_ROWS`` rows is cut into pieces whose pairs are separate groups, so no task gets
-an unbounded cell.  Exact copies meet first and are one class, joined once, and counted in the links of others.
+Pairs never leave the task: it returns how many vectors each of its vectors is linked with, and a spanning forest of the
+links.  Exact copies meet first and are one class, joined once, and counted in the links of others.
 
-Matrix products, first in single and then in double precision, decide wherever they are clear; within ``BAND`` of a
-threshold the same sums are taken term by term, so all tasks decide alike.  The cosine of a pair right at the threshold is that of the given values.
+Matrix products decide wherever they are clear; within ``BAND`` of the threshold the same sums are taken term by term from
+the given values, so all tasks decide alike.
 
 Defined results: null vectors, zero vectors, vectors that hold null or non-finite components link with nothing, and so
 do vectors of different lengths with each other; rows with a null id keep a row without links, component null, and are
@@ -24,35 +20,29 @@ gives an empty table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import components, durable, join_members
 
+#: Vectors of a block at most.
 CELL_ROWS = 16_384
+#: Blocks of a partition at most, so many in a task's memory on either side.
+HELD = 16
 #: Rows and columns that are compared at once.
 TILE, WIDE = 256, 4096
 #: The name of a vector's value: a hash of its components (0.0 and -0.0 are the same).
 CLASS_NAME = "unhex(sha2(concat_ws(',', transform(embedding, x -> CAST(x + 0.0D AS STRING))), 256))"
-#: Added to squared radii, above the rounding of unit vectors in double precision.
-SLACK = 1e-9
 #: What matrix products of unit vectors are trusted to.
 BAND = 1e-11
-#: The same in single precision.
-BAND32 = 1e-5
-#: Cells of several pieces that are broadcast, about 40 bytes each; beyond that they are shuffled.
-BROADCAST_CELLS = 1_000_000
-#: Coordinates of a grid at most, and bits of a cell's number for each; coordinates beyond share the last cell.
-MOST_GRID, CELL_BITS = 8, 7
-
-
-def rotation(n: int, seed: int = 7) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, n)))
-    return q * np.sign(np.diag(r))
+#: The same in single precision, at least and for each dimension.
+BAND32, EACH32 = 1e-5, 2e-7
 
 
 def usable(c: str) -> Column:
@@ -65,59 +55,33 @@ def scaled(x: np.ndarray) -> np.ndarray:
     return x / np.abs(x).max(axis=1, keepdims=True)
 
 
-def rotated(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors and their rotation; term by term, so that a vector has the same bits in every task."""
-    x = scaled(x)
-    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-    out = np.zeros_like(unit)
-    for weight, row in zip(unit.T, rotation(x.shape[1]), strict=True):
-        out += weight[:, None] * row
-    return unit, out
-
-
-def block_dims(n: int, blocks: int, cosine: float) -> list[tuple[np.ndarray, float]]:
-    """The coordinates of each block and its share of the squared distance."""
-    return [(dims, (2 - 2 * cosine) * len(dims) / n + SLACK) for dims in np.array_split(np.arange(n), min(blocks, n))]
+def blocks(vectors: DataFrame) -> DataFrame:
+    """``vectors`` (id, members, v) as (block, n, ids, members, v): rows of at most ``CELL_ROWS`` vectors of ``n`` components."""
+    kind = np.float32 if dict(vectors.dtypes)["v"] == "array<float>" else np.float64
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, waiting = TaskContext.get().partitionId() << 24, {}
 
-def cells(vectors: DataFrame, cosine: float, blocks: int, grid: int) -> DataFrame:
-    """``vectors`` (id, members, v) with (n, block, cell, own): a row for each block and cell; ``own`` in the own cell."""
+        def block(n: int, rows: pa.Table) -> pa.RecordBatch:
+            nonlocal number
+            number += 1
+            at = lambda c: rows.column(c).combine_chunks()
+            ids = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), at("id"))
+            members, v = at("members").to_numpy().tobytes(), at("v").flatten().to_numpy().astype(kind).tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([n], pa.int32()), ids, pa.array([members]), pa.array([v])], ["block", "n", "ids", "members", "v"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column("v").value_lengths().to_numpy()
-            for n in np.unique(sizes):
-                part = batch.take(pa.array(np.flatnonzero(sizes == n)))
-                _, x = rotated(part.column("v").flatten().to_numpy().astype(np.float64).reshape(-1, n))
-                for b, (dims, limit) in enumerate(block_dims(n, blocks, cosine)):
-                    g, r = min(grid, len(dims)), np.sqrt(limit)
-                    width = 2 * r * (1 + 1e-9)
-                    half = 1 << (CELL_BITS - 1)
-                    at = lambda y, w=width: np.clip(np.floor(y / w), -half, half - 1).astype(np.int64) + half  # noqa: E731, B023
-                    y = x[:, dims[:g]]
-                    low, high, own = at(y - r), at(y + r), at(y)
-                    number = lambda c, g=g: sum(c[:, k] << (CELL_BITS * k) for k in range(g))
-                    home = number(own)
-                    for corner in range(1 << g):
-                        pick = np.array([(corner >> k) & 1 for k in range(g)], bool)
-                        cell = number(np.where(pick, high, low))
-                        ok = ((low != high) | ~pick).all(axis=1) & (cell <= home)
-                        if ok.any():
-                            use = part.filter(pa.array(ok))
-                            yield pa.RecordBatch.from_arrays([*use.columns, pa.array(np.full(use.num_rows, n, np.int32)), pa.array(np.full(use.num_rows, b, np.int32)), pa.array(cell[ok]), pa.array((cell == home)[ok])], [*use.schema.names, "n", "block", "cell", "own"])
-
-    kinds = dict(vectors.dtypes)
-    return vectors.select("id", "members", "v").mapInArrow(run, f"id binary, members bigint, v {kinds['v']}, n int, block int, cell bigint, own boolean")
-
-
-def dealt(placed: DataFrame) -> DataFrame:
-    """Rows of cells in groups (n, block, cell, i, j): a row's piece meets every piece of its cell, itself included."""
-    counts = placed.groupBy("n", "block", "cell").count().where(f"count > {CELL_ROWS}")
-    pieces = durable(counts.select("n", "block", "cell", F.expr(f"CAST(ceil(count / {CELL_ROWS}) AS INT)").alias("pieces")), "pieces")
-    pieces = F.broadcast(pieces) if pieces.count() <= BROADCAST_CELLS else pieces
-    rows = placed.join(pieces, ["n", "block", "cell"], "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
-    rows = rows.withColumn("piece", F.expr("CAST(pmod(xxhash64(id), pieces) AS INT)")).withColumn("with", F.explode(F.expr("sequence(0, pieces - 1)")))
-    return rows.select("n", "block", "cell", F.least("piece", "with").alias("i"), F.greatest("piece", "with").alias("j"), "piece", "own", "id", "members", "v")
+            for n in np.unique(sizes).tolist():
+                part = pa.Table.from_batches([batch.take(pa.array(np.flatnonzero(sizes == n)))])
+                part = pa.concat_tables([waiting[n], part]) if n in waiting else part
+                while len(part) >= CELL_ROWS:
+                    yield block(n, part.slice(0, CELL_ROWS))
+                    part = part.slice(CELL_ROWS)
+                waiting[n] = part
+        yield from (block(n, part) for n, part in waiting.items() if len(part))
+
+    return vectors.select("id", "members", "v").mapInArrow(run, "block bigint, n int, ids array<binary>, members binary, v binary")
 
 
 def labels_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,114 +110,127 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return node, root[node]
 
 
-class Cell:
-    """The rows of one group, and what was found among them."""
-
-    def __init__(self, n: int, block: int, values: np.ndarray, members: np.ndarray, cosine: float, blocks: int):
-        self.raw, self.members, self.cosine = scaled(values), members.astype(np.float64), cosine
-        self.unit, x = rotated(values)
-        self.parts = [(np.ascontiguousarray(x[:, dims]), limit) for dims, limit in block_dims(n, blocks, cosine)][: block + 1]
-        self.squares = [(y * y).sum(axis=1) for y, _ in self.parts]
-        # one product of these gives the block's squared distance less the budget
-        y, square, one = self.parts[block][0], self.squares[block], np.ones(len(values))
-        self.left = np.column_stack([y, square - self.parts[block][1], one]).astype(np.float32)
-        self.right = np.column_stack([-2 * y, one, square]).astype(np.float32)
-        self.counts = np.zeros(len(values))
-        self.edges: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def near(self, b: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Which rows p and q are within the budget of block ``b``, as a matrix."""
-        y, limit = self.parts[b]
-        over = self.squares[b][p][:, None] + self.squares[b][q][None, :] - 2 * (y[p] @ y[q].T) - limit
-        out = over <= 0
-        i, j = np.nonzero(np.abs(over) <= BAND)
-        if len(i):
-            out[i, j] = ((y[p[i]] - y[q[j]]) ** 2).sum(axis=1) <= limit
-        return out
-
-    def alike(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        over = self.unit[p] @ self.unit[q].T - self.cosine
-        out = over >= 0
-        i, j = np.nonzero(np.abs(over) <= BAND)
-        if len(i):
-            x, y = self.raw[p[i]], self.raw[q[j]]
-            out[i, j] = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1)) >= self.cosine
-        return out
-
-    def compare(self, p: np.ndarray, q: np.ndarray | None = None) -> None:
-        """All pairs of rows p and q, or of two different rows of p."""
-        for at in range(0, len(p), TILE):
-            for to in range(at if q is None else 0, len(p if q is None else q), WIDE):
-                self.tile(p[at : at + TILE], (p if q is None else q)[to : to + WIDE], at - to if q is None else None)
-
-    def tile(self, x: np.ndarray, y: np.ndarray, ahead: int | None) -> None:
-        """Rows x and y; with ``ahead``, both are parts of one list, x starts so many places behind y."""
-        over = self.left[x] @ self.right[y].T
-        if over.min() > BAND32:
-            return
-        found = over <= BAND32
-        if ahead is not None:
-            found &= np.arange(len(y))[None, :] > (np.arange(len(x)) + ahead)[:, None]
-        for test in (lambda: self.near(len(self.parts) - 1, x, y), lambda: self.alike(x, y), *(lambda b=b: ~self.near(b, x, y) for b in range(len(self.parts) - 1)), None):
+class Block:
+    """A row of ``blocks``, prepared for products."""
+
+    def __init__(self, n: int, members: bytes, v: bytes):
+        self.members = np.frombuffer(members, np.int64).astype(np.float64)
+        self.raw = scaled(np.frombuffer(v, np.float32 if len(v) == 4 * n * len(self.members) else np.float64).reshape(-1, n).astype(np.float64))
+        self.unit = self.raw / np.sqrt((self.raw * self.raw).sum(axis=1, keepdims=True))
+        self.short = self.unit.astype(np.float32)
+        self.counts = np.zeros(len(self.unit))
+
+
+def alike(a: Block, p: np.ndarray, b: Block, q: np.ndarray, cosine: float) -> np.ndarray:
+    """Which rows p of ``a`` and q of ``b`` are linked, as a matrix."""
+    over = a.unit[p] @ b.unit[q].T - cosine
+    out = over >= 0
+    i, j = np.nonzero(np.abs(over) <= BAND)
+    if len(i):
+        x, y = a.raw[p[i]], b.raw[q[j]]
+        out[i, j] = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1)) >= cosine
+    return out
+
+
+def compare(a: Block, b: Block, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Counts the links of two blocks, or of all pairs of one; yields edges (rows, other rows) of ``a``'s, then of ``b``'s rows to ``a``'s."""
+    least = cosine - max(BAND32, EACH32 * a.unit.shape[1])
+    for at in range(0, len(a.unit), TILE):
+        for to in range(at if a is b else 0, len(b.unit), WIDE):
+            near = a.short[at : at + TILE] @ b.short[to : to + WIDE].T
+            row = np.flatnonzero(near.max(axis=1) >= least)
+            near = near[row] >= least
+            if a is b:
+                near &= np.arange(to, to + near.shape[1])[None, :] > (row + at)[:, None]
+            col = np.flatnonzero(near.any(axis=0))
+            if not len(col):
+                continue
+            x, y = row + at, col + to
+            found = near[:, col] & alike(a, x, b, y, cosine)
             row, col = found.any(axis=1), found.any(axis=0)
             if not row.any():
-                return
+                continue
             x, y, found = x[row], y[col], found[row][:, col]
-            if test:
-                found &= test()
-        np.add.at(self.counts, x, found @ self.members[y])
-        np.add.at(self.counts, y, self.members[x] @ found)
-        rows, cols = labels_of(found)
-        self.edges += [(x, x[rows]), (y, x[cols])]
-
-
-def grid_of(n: int) -> int:
-    """Coordinates of the grid for ``n`` vectors."""
-    return min(max(n.bit_length() - 13, 2), MOST_GRID)
-
-
-def linked(vectors: DataFrame, cosine: float, blocks: int = 4, grid: int | None = None) -> DataFrame:
-    """(id, other, n) over ``vectors`` (id, members, v): ``n`` members of linked vectors, or, with ``other``, an edge."""
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        n, block, _, i, j = (k.as_py() for k in key)
-        table = table.combine_chunks()
-        values = table.column("v").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, n)
-        own, piece = table.column("own").to_numpy().astype(bool), table.column("piece").to_numpy()
-        cell = Cell(n, block, values, table.column("members").to_numpy(), cosine, blocks)
-        if i == j:
-            cell.compare(np.flatnonzero(own))
-            cell.compare(np.flatnonzero(own), np.flatnonzero(~own))
-        else:
-            cell.compare(np.flatnonzero(own & (piece == i)), np.flatnonzero(piece == j))
-            cell.compare(np.flatnonzero(~own & (piece == i)), np.flatnonzero(own & (piece == j)))
-        some = np.flatnonzero(cell.counts)
-        a, b = forest(len(values), *(np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*cell.edges, strict=True) if cell.edges else ((), ()))))
-        ids = table.column("id").combine_chunks()
-        take = lambda *at: ids.take(pa.array(np.concatenate(at)))
-        other = pa.concat_arrays([pa.nulls(len(some), pa.binary()), ids.take(pa.array(b)).cast(pa.binary())])
-        return pa.table({"id": take(some, a), "other": other, "n": pa.array(np.concatenate([cell.counts[some], np.zeros(len(a))]).astype(np.int64))})
-
-    grid = grid_of(vectors.count()) if grid is None else grid
-    groups = dealt(cells(vectors, cosine, blocks, grid)).groupBy("n", "block", "cell", "i", "j")
-    return groups.applyInArrow(run, "id binary, other binary, n bigint")
-
-
-def near_duplicates(rows: DataFrame, cosine: float = 0.95, blocks: int = 4, grid: int | None = None) -> DataFrame:
-    """vec_id, n_links, component_id and kept for each row of ``rows`` (vec_id, embedding)."""
-    rows = durable(rows.select("vec_id", "embedding").withColumn("name", F.when(F.col("vec_id").isNotNull() & usable("embedding"), F.expr(CLASS_NAME))), "vectors")
+            np.add.at(a.counts, x, found @ b.members[y])
+            np.add.at(b.counts, y, a.members[x] @ found)
+            rows, cols = labels_of(found)
+            yield x, x[rows], y, x[cols]
+
+
+class Found:
+    """What a task finds of the blocks that it sees: links of each vector, and a forest of them."""
+
+    def __init__(self):
+        self.starts: dict[int, int] = {}
+        self.ids: list[pa.Array] = []
+        self.counts, self.a, self.b = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def start(self, block: int, ids: pa.Array) -> int:
+        """The number of a block's first vector."""
+        if block not in self.starts:
+            self.starts[block] = len(self.counts)
+            self.ids.append(ids)
+            self.counts = np.concatenate([self.counts, np.zeros(len(ids))])
+        return self.starts[block]
+
+    def meet(self, i: int, a: Block, j: int, b: Block, cosine: float) -> None:
+        edges = [(np.concatenate([x + i, y + j]), np.concatenate([u, w]) + i) for x, u, y, w in compare(a, b, cosine)]
+        for start, block in {i: a, j: b}.items():
+            self.counts[start : start + len(block.counts)] += block.counts
+        if edges:
+            self.a, self.b = forest(len(self.counts), *(np.concatenate([old, *new]) for old, new in zip((self.a, self.b), zip(*edges, strict=True), strict=True)))
+
+    def table(self) -> Iterator[pa.RecordBatch]:
+        some = np.flatnonzero(self.counts)
+        if len(some):
+            ids = pa.concat_arrays(self.ids)
+            first = ids.take(pa.array(np.concatenate([some, self.a])))
+            other = pa.concat_arrays([pa.nulls(len(some), pa.binary()), ids.take(pa.array(self.b))])
+            n = np.concatenate([self.counts[some], np.zeros(len(self.a))]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([first, other, pa.array(n)], ["id", "other", "n"])
+
+
+def linked(vectors: DataFrame, n: int, cosine: float) -> DataFrame:
+    """(id, other, n) over ``n`` rows ``vectors`` (id, members, v): ``n`` members of linked vectors, or, with ``other``, an edge."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Found()
+        for batch in batches:
+            for row in range(batch.num_rows):
+                value = lambda c: batch.column(c)[row]  # noqa: B023, E731
+                side = lambda s: (found.start(value(f"{s}block").as_py(), value(f"{s}ids").values.cast(pa.binary())), Block(value("n").as_py(), value(f"{s}members").as_py(), value(f"{s}v").as_py()))  # noqa: B023, E731
+                i, a = side("")
+                j, b = side("r_") if value("r_block") != value("block") else (i, a)
+                found.meet(i, a, j, b, cosine)
+        yield from found.table()
+
+    full = math.ceil(n / CELL_ROWS)
+    parts = max(1, min(full, max(math.ceil(math.sqrt(8 * vectors.sparkSession.sparkContext.defaultParallelism)), math.ceil(full / HELD))))
+    a = durable(blocks(vectors.coalesce(parts)), "blocks").repartition(parts)
+    b = a.select(*[F.col(c).alias(f"r_{c}") for c in a.columns])
+    # of two blocks one order is taken, by turns; lengths are no key, or all blocks would be one task's
+    once = "block = r_block OR (block < r_block) = ((block + r_block) % 2 = 0)"
+    pairs = a.join(b.hint("shuffle_replicate_nl"), F.expr(f"abs(n - r_n) < 1 AND ({once})"))
+    return pairs.mapInArrow(run, "id binary, other binary, n bigint")
+
+
+def near_duplicates(rows: DataFrame, cosine: float = 0.95) -> DataFrame:
+    """vec_id, n_links, component_id and kept for each row of ``rows`` (vec_id, embedding), which is read twice."""
+    fit, embeddings = F.col("vec_id").isNotNull() & usable("embedding"), rows
+    rows = durable(rows.select("vec_id", F.when(fit, F.expr(CLASS_NAME)).alias("name")), "names")
     good = rows.where("name IS NOT NULL")
-    ids = durable(good.select("vec_id", "name").distinct(), "ids")
+    ids = durable(good.distinct(), "ids")
     classes = durable(ids.groupBy("name").agg(F.min("vec_id").alias("rep"), F.count("*").alias("members")), "classes")
-    reps = durable(good.join(classes.withColumnRenamed("rep", "vec_id"), ["name", "vec_id"]).dropDuplicates(["name"]).select(F.col("name").alias("id"), "members", F.col("embedding").alias("v")), "representatives")
-    found = durable(linked(reps, cosine, blocks, grid), "linked")
+    values = embeddings.where(fit).groupBy(F.expr(CLASS_NAME).alias("name")).agg(F.first("embedding").alias("v"))
+    reps = values.join(classes, "name").select(F.col("name").alias("id"), "members", "v")
+    found = durable(linked(reps, classes.count(), cosine), "linked")
     others = found.where("other IS NULL").groupBy(F.col("id").alias("name")).agg(F.sum("n").alias("others"))
     classes = durable(classes.join(others, "name", "left").select("name", "rep", "members", (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "counted")
     rep = lambda c, to: classes.select(F.col("name").alias(c), F.col("rep").alias(to))
     edges = found.where("other IS NOT NULL").select("id", "other").join(rep("id", "a"), "id").join(rep("other", "b"), "other").select("a", "b")
     copies = join_members(ids, classes, ["name"]).where("vec_id <> rep").select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))
     component = components(durable(edges.unionByName(copies).distinct(), "edges")).select(F.col("id").alias("vec_id"), F.col("component").alias("component_id"))
-    known = join_members(good.select("vec_id", "name"), classes, ["name"]).select("vec_id", "n_links")
+    known = join_members(good, classes, ["name"]).select("vec_id", "n_links")
     none = rows.where("name IS NULL").select("vec_id", F.lit(0).cast("bigint").alias("n_links"))
     out = known.unionByName(none).join(component, "vec_id", "left")
     return out.select("vec_id", "n_links", F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)))

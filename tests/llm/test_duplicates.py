@@ -167,3 +167,22 @@ def test_vectors_of_64_dimensions(spark):
     rng = np.random.default_rng(8)
     base = rng.normal(size=(20, 64))
     assert len(check_vectors(spark, [(i, (base[i % 20] + rng.normal(size=64) * s).tolist(), 0, 1, 2) for i, s in enumerate(rng.uniform(0.1, 0.35, 600))])) > 500
+
+
+def shuffled_mb(spark):
+    """What all stages of the session have written to be shuffled."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size())) / 1e6
+
+
+def test_vectors_are_not_copied(spark):
+    """What is shuffled stays near the size of the vectors, however many pairs they make; links across blocks are found."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(4000, 64))
+    x[2000:2100] = x[:100] * 2 + rng.normal(size=(100, 64)) * 0.1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    before = shuffled_mb(spark)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(df).collect()}
+    assert shuffled_mb(spark) - before < 4 * x.size * 4 / 1e6
+    assert all(got[i] == ((1, i % 2000) if i % 2000 < 100 and i < 2100 else (0, i)) for i in range(4000))
