@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import time
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from statuslake.functions.similarity import indel
 from statuslake.operators import agreement, matching, nearby, spatial
+from statuslake.plans import catalogue
 
 from .test_matching import similarity
 
@@ -111,3 +113,17 @@ def test_both_sides_are_read_once(spark, points):
     n = left.count() + right.count()
     matching.best_match(left.withColumn("name", seen("name")), right.withColumn("name", seen("name"))).collect()
     assert read.value == n
+
+
+def test_pairs_are_not_made_in_the_join_loop(spark, sf_dir):
+    """A join's generated loop holds what it makes of one left row: spots, not pairs of ids; and large tables aren't broadcast."""
+    usual = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name in ("j6_band_join", "j7_radius_join"):
+            plan = catalogue.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+            last_join = re.search(r"\*\((\d+)\) (?:SortMerge|BroadcastHash)Join \[_cx", plan)[1]
+            assert set(re.findall(r"\*\((\d+)\) Generate explode\(r?_?ids", plan)).isdisjoint({last_join})
+            assert not re.search(r"BroadcastHashJoin \[c_custkey", plan)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", usual)
